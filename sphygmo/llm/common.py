@@ -42,7 +42,8 @@ def blocked_rank(df: DataFrame, group: list[str], ties: list[str], rank: str, to
     and rows are numbered within their block by ``ties``. The order is by (block, ties), the same on every run.
     ``group`` columns may be null.
     """
-    keyed = df.withColumn("_g", F.struct(*group)).withColumn("_b", F.pmod(F.xxhash64(*ties), F.lit(blocks)))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", *ties)), 1, 8), 16, 10).cast("long")
+    keyed = df.withColumn("_g", F.struct(*group)).withColumn("_b", F.pmod(hashed, F.lit(blocks)))
     counts = keyed.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("_g")
     before = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

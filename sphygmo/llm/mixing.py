@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sphygmo.llm.common import WORD, blocked_rank, table, written
+from sphygmo.llm.common import WORD, blocked_rank, blocks_for, table, written
 
 #: Sources in order of their names weigh 5, 2, 1, 5, 2, 1, ...
 WEIGHTS = (5, 2, 1)
@@ -31,7 +31,7 @@ def with_targets(sources: DataFrame, share: Fraction = Fraction(3, 2), most: int
         if n == full or not weight:
             break
         full, level = n, (budget - (taken or 0)) / weight
-    return sources.withColumn("target", F.least(cap.cast("double"), F.col("weight") * F.lit(float(level))))
+    return sources.withColumn("target", F.round(F.least(cap.cast("double"), F.col("weight") * F.lit(float(level))), 6))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = Fraction(3, 2), most: int = 2, seed: str = "mix") -> DataFrame:
@@ -58,7 +58,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
     sources = sources.withColumn("offset", offset)
 
     classed = sized.withColumn("class", F.when(F.col("size") > 0, F.floor(16 * F.log2(F.col("size") + 0.5))).otherwise(F.lit(-1)).cast("int"))
-    ranked = blocked_rank(classed, ["source", "class"], ["doc_id", "size"], "rank", "n")
+    ranked = blocked_rank(classed, ["source", "class"], ["doc_id", "size"], "rank", "n", blocks_for(sized))
     classes = classed.groupBy("source", "class").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.select(F.col("source").alias("s"), F.col("class").alias("c"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
@@ -107,9 +107,18 @@ WITH sized AS (
 ), water AS (
   SELECT min(level) AS level FROM levels WHERE level <= full_at
 ), targets AS (
-  SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), weight * coalesce(water.level, 1e300)) AS target,
+  SELECT source, source_size, round(least(CAST(2 * source_size AS DOUBLE), weight * coalesce(water.level, 1e300)), 6) AS target,
     CAST(CAST('0x' || substr(md5('mix:' || coalesce('=' || source, 'null')), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0 AS off
   FROM src, water
+), placed AS (
+  SELECT doc_id, source, size, CASE WHEN size > 0 THEN CAST(floor(16 * log2(size + 0.5)) AS INTEGER) ELSE -1 END AS class,
+    CAST('0x' || substr(md5(concat_ws(':', doc_id, size)), 1, 8) AS UBIGINT) % (SELECT greatest(64, count(*) // 100000) FROM sized) AS block FROM sized
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, block, doc_id, size) - 1 AS place FROM placed
+), rated AS (
+  SELECT r.*, source_size, target, off, CASE WHEN source_size = 0 THEN 0.0 WHEN target >= 2 * source_size THEN 2.0 ELSE target / source_size END AS rate
+  FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+SELECT doc_id, size, source_size, target, source, CAST(floor((place + 1) * rate + off) - floor(place * rate + off) AS BIGINT) AS copies,
+  CAST(floor((place + 1) * rate + off) - floor(place * rate + off) AS BIGINT) * size AS taken FROM rated
 """
