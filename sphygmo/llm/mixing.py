@@ -105,7 +105,7 @@ WITH sized AS (
   SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
      / sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ratio
 ), water AS (
-  SELECT min(level) AS level FROM levels WHERE level <= full_at
+  SELECT arg_min(level, full_at) AS level FROM levels WHERE level <= full_at
 ), targets AS (
   SELECT source, source_size, round(least(CAST(2 * source_size AS DOUBLE), weight * coalesce(water.level, 1e300)), 6) AS target,
     CAST(CAST('0x' || substr(md5('mix:' || coalesce('=' || source, 'null')), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0 AS off
