@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -22,8 +23,8 @@ CAPACITY, END = 4096, 1
 GROUP = 8192
 #: A sequence filled to this share is not opened again by the next level.
 FILLED = 0.98
-#: Words whose ids a worker keeps at most; then it starts anew.
-KEPT_WORDS = 400_000
+#: Words, and parts of words, whose ids a worker keeps at most; then it starts anew.
+KEPT_WORDS, KEPT_PARTS = 1_200_000, 600_000
 
 _WORDS = re.compile(WORD)
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
@@ -44,7 +45,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.model, self.parts = self.tokenizer.model, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
@@ -55,10 +56,20 @@ class WordIds(dict):
         except UnicodeEncodeError:
             plain = False
         if plain:
-            ids = [t.id for p in _PIECES.findall(word.lower()) for t in self.model.tokenize("".join([_AS_CHAR[b] for b in p.encode()]))]
+            out = b"".join([self.part(p) for p in _PIECES.findall(word.lower())])
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        out = self[word] = np.array(ids, "<u4").tobytes()
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = out
+        return out
+
+    def part(self, part: str) -> bytes:
+        out = self.parts.get(part)
+        if out is None:
+            if len(self.parts) >= KEPT_PARTS:
+                self.parts.clear()
+            ids = [t.id for t in self.model.tokenize(part if part.isalpha() and part.isascii() else "".join([_AS_CHAR[b] for b in part.encode()]))]
+            out = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
     def of(self, text: str) -> bytes:
@@ -66,7 +77,7 @@ class WordIds(dict):
             text = text.lower()
         if re.search("[\x1c-\x1f]", text):  # white space for str.split alone
             return b"".join([self[w] for w in _WORDS.findall(text)])
-        return b"".join([self[w] for w in text.split()])
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
