@@ -19,9 +19,9 @@ WORDS, PERCENT = 5, 75
 #: Hashes of a signature, bands they form (4 hashes each miss a pair at 0.75 with 5e-6), hashes compared at a time,
 #: and the chance at which a pair at the threshold may be pruned.
 HASHES, BANDS, BATCH, MISS = 128, 32, 16, 1e-6
-#: A bucket up to this size gives all its pairs; a larger one first gives a star, then what the star left apart.
+#: A bucket up to this size gives all its pairs; a larger one gives a star, and its outliers are looked at after that.
 SMALL = 16
-#: Members of a large bucket compared in one task.
+#: Classes on either side that one task compares.
 TILE = 512
 #: Text bytes hashed at a time.
 CHUNK = 1 << 20
@@ -157,15 +157,15 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
     return out
 
 
-def _alive(a: np.ndarray, b: np.ndarray, floor: list[int]) -> np.ndarray:
-    """Which rows of two signature matrices stay in play when compared batch by batch."""
+def _alive(a: np.ndarray, b: np.ndarray, floor: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of two signature matrices stay in play when compared batch by batch, and their equal hashes."""
     at = np.arange(len(a))
     same = np.zeros(len(a), int)
     for k, least in enumerate(floor):
         same = same + (a[at, k * BATCH : (k + 1) * BATCH] == b[at, k * BATCH : (k + 1) * BATCH]).sum(axis=1)
         keep = same >= least
         at, same = at[keep], same[keep]
-    return at
+    return at, same
 
 
 def _sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -173,7 +173,7 @@ def _sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures leave the threshold possible."""
+    """The pairs (a, b) whose signatures leave the threshold possible, and how many of their hashes are equal."""
     floor = least_matches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +182,11 @@ def prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 n, m = (batch.column(k).to_numpy() for k in (2, 4))
                 s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, HASHES) for k in (3, 5))
                 at = np.flatnonzero(_sizes_fit(n, m))
-                yield batch.select([0, 1]).take(pa.array(at[_alive(s[at], t[at], floor)]))
+                left, same = _alive(s[at], t[at], floor)
+                yield pa.record_batch([*batch.select([0, 1]).take(pa.array(at[left])).columns, pa.array(same)], ["a", "b", "same"])
 
     side = lambda c: classes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("signature").alias(f"s{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a binary, b binary, same long")
 
 
 def exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -220,30 +221,71 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text").mapInArrow(run, "class binary, set binary").dropDuplicates(["class"])
 
 
-def _tiles(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of large buckets' members in different components that signatures leave possible.
+class _Sets:
+    """Sorted sets of one task, and how many values each has in common with one of them."""
 
-    Members are dealt to tiles by hash; a task compares two tiles of one bucket, and writes down survivors alone.
+    def __init__(self, sets: list[bytes]) -> None:
+        self.each = [np.frombuffer(x, np.uint64) for x in sets]
+        self.size = np.array([len(x) for x in self.each])
+        values, owner = np.concatenate(self.each), np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], owner[order]
+
+    def linked(self, i: int, j: np.ndarray) -> np.ndarray:
+        low, high = (np.searchsorted(self.values, self.each[i], side) for side in ("left", "right"))
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.size))[j]
+        return j[100 * both >= PERCENT * (self.size[i] + self.size[j] - both)]
+
+
+def outlier_links(large: DataFrame, part: DataFrame, slim: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that large buckets still hide, where their members are not one component after the stars.
+
+    The component that most of a bucket's members are in is its main one; the other members are outliers of it. All
+    outliers of one main component, from whatever buckets, are held against all its classes and against each other:
+    dealt by hash to tiles of TILE by TILE, signatures first, then the full sets of what is left. A task writes down
+    only links that join components not joined before, so a few rows however large the group is.
+    ``large`` has (band, class, component), ``part`` (node, component).
     """
+    sizes = large.groupBy("band", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("k")).filter("k > 1").select("band", F.col("most.component").alias("main"))
+    outliers = written(large.join(main, "band").filter("component <> main").select("main", "class", "component").distinct(), "outliers")
+    groups = outliers.groupBy("main").agg(F.count("*").alias("o"))
+    inside = part.select(F.col("component").alias("main"), F.col("node").alias("class")).unionByName(outliers.select("main", F.col("main").alias("class"))).distinct()
+    inside = inside.join(groups, "main")
+    counts = inside.groupBy("main").agg(F.count("*").alias("m"), F.first("o").alias("o"))
+    tiles = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / TILE)).cast("int")
+    deal = lambda of: F.pmod(F.xxhash64("class"), of).cast("int")
+    one = inside.select("main", "class").join(counts, "main").withColumn("component", F.col("main")).withColumn("_t", deal(tiles("m")))
+    one = one.withColumn("_u", F.explode(F.sequence(F.lit(0), tiles("o") - 1))).withColumn("_k", F.concat_ws(":", F.hex("main"), "_t", "_u")).withColumn("out", F.lit(0))
+    two = outliers.join(counts, "main").withColumn("_u", deal(tiles("o")))
+    with_main = two.withColumn("_t", F.explode(F.sequence(F.lit(0), tiles("m") - 1))).withColumn("_k", F.concat_ws(":", F.hex("main"), "_t", "_u")).withColumn("out", F.lit(1))
+    other = two.withColumn("_t", F.explode(F.sequence(F.lit(0), tiles("o") - 1))).withColumn("_k", F.concat_ws(":", F.lit("o"), F.hex("main"), F.least("_t", "_u"), F.greatest("_t", "_u"))).withColumn("out", F.lit(1))
+    cols = ["_k", "out", "class", "component"]
+    rows = one.select(*cols).unionByName(with_main.select(*cols)).unionByName(other.select(*cols))
+    rows = rows.join(slim, "class").join(sets, "class")
     floor = least_matches()
-    counted = members.withColumn("_t", F.pmod(F.xxhash64("class"), F.ceil(F.col("m") / TILE))).withColumn("_of", F.ceil(F.col("m") / TILE))
-    met = F.expr("transform(sequence(0, _of - 1), k -> struct(least(k, _t) AS i, greatest(k, _t) AS j))")
-    rows = counted.withColumn("_p", F.explode(met)).withColumn("_k", F.concat_ws(":", "band", "_p.i", "_p.j"))
 
     def work(group: pa.Table) -> list[tuple]:
-        name = group.column("class").to_pylist()
+        name, out = group.column("class").to_pylist(), group.column("out").to_numpy()
         part = np.unique(np.array(group.column("component").to_pylist(), object), return_inverse=True)[1]
         n = group.column("n_shingles").to_numpy()
         s = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u2").reshape(-1, HASHES)
-        out = []
-        for i in range(len(name) - 1):
-            j = np.arange(i + 1, len(name))
-            j = j[(part[j] != part[i]) & _sizes_fit(n[j], n[i])]
+        full, found = None, []
+        for i in np.flatnonzero(out):
+            j = np.flatnonzero((part != part[i]) & _sizes_fit(n, n[i]))
+            if len(j):
+                j = j[_alive(s[j], np.broadcast_to(s[i], (len(j), HASHES)), floor)[0]]
             if len(j):
-                out += [tuple(sorted((name[i], name[k]))) for k in j[_alive(s[j], np.broadcast_to(s[i], (len(j), HASHES)), floor)]]
-        return out
+                full = full or _Sets(group.column("set").to_pylist())
+                for k in full.linked(i, j):
+                    if part[k] != part[i]:
+                        found.append((max(name[i], name[k]), min(name[i], name[k])))
+                        part[part == part[k]] = part[i]
+        return found
 
-    return by_group(rows.select("_k", "class", "component", "n_shingles", "signature"), "_k", work, "a binary, b binary").distinct()
+    return by_group(rows.select("_k", "out", "class", "component", "n_shingles", "signature", "set"), "_k", work, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -252,10 +294,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents with one and the same set are one class, and everything runs on classes. Signatures are cut into bands;
     classes that share a band are candidates. Small buckets give all their pairs (equal member lists once); of a large
     bucket each member is first held against one of them. Candidates' signatures are compared a batch at a time and
-    dropped when the posterior allows; survivors are verified on their full sets: first one pair for each class, then
-    those that would still join two components. Large buckets that are not one component after that are compared whole,
-    tile by tile, components apart. So no link between different components is left out, and copies or near copies by
-    the thousand cost a star.
+    dropped when the posterior allows; survivors are verified on their full sets: first the likeliest pair of each
+    class, then those that would still join two components. What large buckets still hide is found among their outliers
+    (:func:`outlier_links`). So no link between different components is left out, and copies or near copies by the
+    thousand cost a star for each band.
 
     component_id is the smallest doc_id of all rows of the linked classes (null ones last). Null and empty texts or texts
     without words: n_shingles 0, a component of their own, kept. Repeated rows: the same class; rows that repeat a kept
@@ -266,30 +308,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = sigs.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
     banded = classes.select("class", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("m"), F.min("class").alias("pivot")).filter("m > 1")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("band", "class"), F.col("class"))).alias("p")).filter("m > 1").select("band", "m", F.col("p.class").alias("pivot"))
     members = written(banded.join(buckets, "band"), "members")
     lists = members.filter(F.col("m") <= SMALL).groupBy("band").agg(F.sort_array(F.collect_list("class")).alias("l")).select("l").distinct()
     some = F.expr("flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(x AS a, y AS b))))")
     small = lists.select(F.explode(some).alias("p")).select("p.a", "p.b")
-    star = members.filter((F.col("m") > SMALL) & (F.col("class") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("class").alias("b"))
+    star = members.filter((F.col("m") > SMALL) & (F.col("class") != F.col("pivot"))).select(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b"))
     slim = classes.select("class", "n_shingles", "signature")
     pairs = written(prune(small.unionByName(star).distinct(), slim), "pairs")
 
     large = members.filter(F.col("m") > SMALL)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(large.select("class")).distinct()
     sets = written(sets_of(docs, classes.join(nodes, "class", "left_semi")), "sets")
-    links = written(exact(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets), "links")
+    likeliest = lambda c: pairs.groupBy(c).agg(F.max(F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b")
+    links = written(exact(likeliest("a").unionByName(likeliest("b")).distinct(), sets), "links")
     part = written(components(links), "parts")
 
     def placed(df: DataFrame, c: str) -> DataFrame:
         return df.join(part.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
 
     apart = placed(placed(pairs, "a"), "b").filter("_a <> _b").select("a", "b")
-    whole = placed(large, "class").withColumnRenamed("_class", "component")
-    split = whole.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
-    tiles = _tiles(whole.join(split, "band", "left_semi").join(slim, "class"))
-    more = exact(apart.unionByName(tiles).distinct(), sets)
-    part = written(components(links.unionByName(more)), "parts")
+    links = links.unionByName(written(exact(apart, sets), "links"))
+    part = written(components(links), "parts")
+    hidden = outlier_links(placed(large, "class").withColumnRenamed("_class", "component"), part, slim, sets)
+    part = written(components(links.unionByName(hidden)), "parts")
 
     first = part.join(classes.select(F.col("class").alias("node"), "first_doc"), "node").groupBy("component").agg(F.min("first_doc").alias("linked"))
     found = classes.select("class", "first_doc").join(part.join(first, "component").select(F.col("node").alias("class"), "linked"), "class", "left")
