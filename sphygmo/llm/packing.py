@@ -127,13 +127,13 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, steps: int = 4000) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, steps: int = 1000) -> list[list[int]]:
     """Empties bins: the emptiest bin gives an item away, or swaps one of its items for a shorter one or for two that
     are shorter together, or two of its items for one, whenever the other underfull bin has room for the difference.
 
-    Each step moves length from the emptiest bin to a fuller one, so the sum of squared fills rises and the search
-    ends; it also ends at the least number of bins that the total length allows. A bin that cannot be emptied is left
-    as it is and the next emptiest is tried.
+    Each step must raise the sum of squared fills, so the search ends; it also ends at the least number of bins that
+    the total length allows, or after ``steps``. A bin that cannot be emptied is left as it is and the next emptiest is
+    tried; when that changed something, the former ones are tried again.
     """
     bins = [list(b) for b in bins]
     fill = [sum(lengths[k] for k in b) for b in bins]
@@ -158,7 +158,7 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, steps
             for given in mine:
                 x = sum(lengths[k] for k in given)
                 gain = x - size
-                ok = alive & (gain > 0) & (gain <= room[home])
+                ok = alive & (gain > 0) & (gain <= room[home]) & (capacity - room[home] + gain > fill[low])
                 if len(given) == 2:
                     ok &= np.arange(len(sets)) < len(others) + len(single)
                 if ok.any():
@@ -168,6 +168,7 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, steps
             if best[1] is None:
                 break
             gain, given, at = best
+            stuck.clear()
             b, taken = int(home[at]), sets[at][2]
             bins[low] = [k for k in bins[low] if k not in given] + list(taken)
             bins[b] = [k for k in bins[b] if k not in taken] + list(given)
