@@ -1,6 +1,452 @@
-"""The core queries and their SQL."""
+"""The core queries, bound to the event and text tables, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sphygmo.operators import files, kernels, peaks, quality, samples
+from sphygmo.operators.samples import rounded
+from sphygmo.sources.signals import packed, sig_type, sig_user, table
+
+#: Nominal samples a second of the two signal views.
+USER_FS, TYPE_FS = 10.0, 30.0
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+_SIG = """sig AS (SELECT {key} AS recording_id, CAST(row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) - 1 AS BIGINT) AS idx, value AS v FROM events)"""
+_USER, _TYPE = _SIG.format(key="user_id"), _SIG.format(key="event_type")
+_R = "round({0}, 6) + 0.0".format
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _v(df: DataFrame, *cols: str) -> DataFrame:
+    """Signal rows with values rounded."""
+    return df.select("recording_id", "idx", *[rounded(F.col(c)).alias(c) for c in cols or ("v",)])
+
+
+# --- sample-wise -----------------------------------------------------------------------------------------------
+
+_W = "OVER (PARTITION BY recording_id ORDER BY idx)"
+_P = "OVER (PARTITION BY recording_id)"
+
+
+@query("trim", f"""WITH {_USER}, n AS (SELECT *, count(*) {_P} AS n FROM sig), b AS (SELECT *, greatest(0, least(15, n - 1)) AS a FROM n)
+SELECT recording_id, idx, v FROM b WHERE idx >= a AND idx < greatest(a + 1, least(n - 5, n))""")
+def trim(s, d):
+    return samples.trim(sig_user(s, d), USER_FS, 1.5, 0.5)
+
+
+@query("reverse", f"WITH {_USER} SELECT recording_id, idx, {_R('-v')} AS v FROM sig")
+def reverse(s, d):
+    return _v(samples.reverse(sig_user(s, d)))
+
+
+@query("center_mean", f"WITH {_USER} SELECT recording_id, idx, round(v - avg(v) {_P}, 9) + 0.0 AS v FROM sig")
+def center_mean(s, d):
+    x = samples.center(sig_user(s, d), "mean")
+    return x.select("recording_id", "idx", rounded(F.col("v"), 9).alias("v"))
+
+
+@query("center_median", f"WITH {_USER} SELECT recording_id, idx, {_R(f'v - median(v) {_P}')} AS v FROM sig")
+def center_median(s, d):
+    return _v(samples.center(sig_user(s, d), "median"))
+
+
+_DETREND = f"fit AS (SELECT *, coalesce(regr_slope(v, idx) {_P}, 0) AS slope, avg(idx) {_P} AS mid, avg(v) {_P} AS mean FROM sig), flat AS (SELECT recording_id, idx, v AS raw, v - mean - slope * (idx - mid) AS v FROM fit)"
+
+
+@query("detrend", f"WITH {_USER}, {_DETREND} SELECT recording_id, idx, {_R('v')} AS v FROM flat")
+def detrend(s, d):
+    return _v(samples.detrend(sig_user(s, d)))
+
+
+@query("chunk_stats", f"""WITH {_USER}, n AS (SELECT *, count(*) {_P} AS n, idx // 30 AS raw FROM sig),
+c AS (SELECT recording_id, v, CASE WHEN n < 30 THEN 0 WHEN n % 30 > 0 AND n % 30 < 10 AND raw = n // 30 AND raw > 0 THEN raw - 1 ELSE raw END AS chunk FROM n)
+SELECT recording_id, chunk, count(*) AS samples, {_R('avg(v)')} AS mean FROM c GROUP BY ALL""")
+def chunk_stats(s, d):
+    c = samples.chunks(sig_user(s, d), USER_FS, 3.0)
+    return c.groupBy("recording_id", "chunk").agg(F.count("*").alias("samples"), rounded(F.avg("v")).alias("mean"))
+
+
+@query("overrides", f"""WITH {_USER}, r AS (SELECT recording_id, count(*) AS n FROM sig GROUP BY 1)
+SELECT recording_id, CAST(CASE WHEN recording_id % 5 = 0 THEN 25.0 ELSE 10.0 END AS DOUBLE) AS fs, {_R('n / CASE WHEN recording_id % 5 = 0 THEN 25.0 ELSE 10.0 END')} AS seconds,
+CASE WHEN recording_id % 5 = 0 THEN 'Overridden' ELSE 'PASS' END AS fs_status FROM r""")
+def overrides(s, d):
+    r = sig_user(s, d).groupBy("recording_id").agg(F.count("*").alias("n"))
+    wish = F.when(F.col("recording_id") % 5 == 0, 25.0)
+    fs = F.when(wish > 0, wish).otherwise(USER_FS)
+    return r.select("recording_id", fs.alias("fs"), rounded(F.col("n") / fs).alias("seconds"), F.when(wish > 0, "Overridden").otherwise("PASS").alias("fs_status"))
+
+
+@query("interpolate_gaps", f"""WITH {_USER}, g AS (SELECT recording_id, idx, CASE WHEN idx % 7 = 0 THEN NULL ELSE v END AS v FROM sig),
+f AS (SELECT *, last_value(v IGNORE NULLS) OVER p AS a, first_value(v IGNORE NULLS) OVER q AS b, last_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER p AS i, first_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER q AS j FROM g
+WINDOW p AS (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT recording_id, idx, {_R('coalesce(v, a + (b - a) * ((idx - i) / nullif(j - i, 0)), a, b, 0.0)')} AS v FROM f""")
+def interpolate_gaps(s, d):
+    gaps = sig_user(s, d).withColumn("v", F.when(F.col("idx") % 7 != 0, F.col("v")))
+    return _v(samples.fill_gaps(gaps))
+
+
+_CLIP = f"q AS (SELECT recording_id, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) AS b FROM sig GROUP BY 1), clipped AS (SELECT recording_id, idx, CASE WHEN b - a > 1e-9 THEN least(greatest(v, m - 3.5 * (b - a)), m + 3.5 * (b - a)) ELSE v END AS v FROM sig JOIN q USING (recording_id))"
+
+
+@query("iqr_clip", f"WITH {_USER}, {_CLIP} SELECT recording_id, idx, {_R('v')} AS v FROM clipped")
+def iqr_clip(s, d):
+    return _v(samples.iqr_clip(sig_user(s, d)))
+
+
+def _grad(x: str, w: str = _W) -> str:
+    return f"CASE WHEN lag({x}) {w} IS NULL THEN (lead({x}) {w} - {x}) * 10 WHEN lead({x}) {w} IS NULL THEN ({x} - lag({x}) {w}) * 10 ELSE (lead({x}) {w} - lag({x}) {w}) * 10 / 2 END"
+
+
+_DERIV = f"g1 AS (SELECT *, {_grad('v')} AS vpg FROM sig), g2 AS (SELECT *, {_grad('vpg')} AS apg FROM g1)"
+
+
+@query("derivatives", f"WITH {_USER}, {_DERIV} SELECT recording_id, idx, {_R('idx / 10.0')} AS time_sec, {_R('v')} AS preprocessed_signal, {_R('vpg')} AS vpg_1st_derivative, {_R('apg')} AS apg_2nd_derivative FROM g2")
+def derivatives(s, d):
+    x = samples.derivatives(sig_user(s, d), USER_FS)
+    return x.select("recording_id", "idx", rounded(F.col("idx") / USER_FS).alias("time_sec"), rounded(F.col("v")).alias("preprocessed_signal"), rounded(F.col("vpg")).alias("vpg_1st_derivative"), rounded(F.col("apg")).alias("apg_2nd_derivative"))
+
+
+@query("first_diff", f"WITH {_USER}, x AS (SELECT recording_id, idx, v - lag(v) {_W} AS d FROM sig) SELECT recording_id, idx, {_R('d')} AS d FROM x WHERE d IS NOT NULL")
+def first_diff(s, d):
+    return _v(samples.differences(sig_user(s, d)), "d")
+
+
+@query("normalize_overlay", f"WITH {_USER} SELECT recording_id, idx, {_R(f'(v - min(v) {_P}) / (max(v) {_P} - min(v) {_P} + 1e-9)')} AS v FROM sig")
+def normalize_overlay(s, d):
+    return _v(samples.normalized(sig_user(s, d)))
+
+
+@query("validate_signal", f"WITH {_USER} SELECT recording_id, count(*) AS samples, count(*) FILTER (v IS NOT NULL) > 0 AS usable, 10.0 > 0 AND 10.0 <= 10000 AS rate_ok FROM sig GROUP BY 1")
+def validate_signal(s, d):
+    fine = F.count(F.when(F.col("v").isNotNull() & ~F.isnan("v"), 1)) > 0
+    return sig_user(s, d).groupBy("recording_id").agg(F.count("*").alias("samples"), fine.alias("usable")).withColumn("rate_ok", F.lit(USER_FS).between(1e-300, 10000))
+
+
+@query("preview", f"WITH {_TYPE} SELECT recording_id, idx, v FROM sig WHERE idx < 300")
+def preview(s, d):
+    return sig_type(s, d).filter(F.col("idx") < int(10 * TYPE_FS))
+
+
+# --- aggregates ------------------------------------------------------------------------------------------------
+
+_SKEW = "CASE WHEN var_pop(v) = 0 THEN NULL ELSE (avg(v*v*v) - 3*avg(v)*avg(v*v) + 2*avg(v)*avg(v)*avg(v)) / power(var_pop(v), 1.5) END"
+
+
+@query("signal_stats", f"WITH {_TYPE} SELECT recording_id, count(*) AS n, {_R('avg(v)')} AS mean, {_R('stddev_pop(v)')} AS std, min(v) AS low, max(v) AS high, {_R('median(v)')} AS median, round({_SKEW}, 5) + 0.0 AS skewness, round(kurtosis_pop(v), 5) + 0.0 AS kurtosis FROM sig GROUP BY 1")
+def signal_stats(s, d):
+    x = quality.stats(sig_type(s, d))
+    return x.select("recording_id", "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("std")).alias("std"), "low", "high", rounded(F.col("median")).alias("median"), rounded(F.col("skewness"), 5).alias("skewness"), rounded(F.col("kurtosis"), 5).alias("kurtosis"))
+
+
+_ENTROPY = f"r AS (SELECT *, min(v) {_P} AS lo, max(v) {_P} AS hi FROM sig), h AS (SELECT recording_id, CASE WHEN hi - lo < 1e-9 THEN 0 ELSE least(floor((v - lo) * 50 / (hi - lo)), 49) END AS bin, count(*) AS c FROM r GROUP BY ALL), pr AS (SELECT recording_id, c / sum(c) OVER (PARTITION BY recording_id) AS p FROM h), ent AS (SELECT recording_id, -sum(p * log2(p)) + 0.0 AS entropy FROM pr GROUP BY 1)"
+
+
+@query("entropy50", f"WITH {_USER}, {_ENTROPY} SELECT recording_id, {_R('entropy')} AS entropy FROM ent")
+def entropy50(s, d):
+    return quality.entropy(sig_user(s, d)).select("recording_id", rounded(F.col("entropy")).alias("entropy"))
+
+
+@query("energy", f"WITH {_USER}, {_DETREND} SELECT recording_id, round(sum(v * v) / count(*), 4) + 0.0 AS energy FROM flat GROUP BY 1")
+def energy(s, d):
+    return quality.energy(sig_user(s, d)).select("recording_id", rounded(F.col("energy"), 4).alias("energy"))
+
+
+@query("derivative_ranges", f"WITH {_USER}, {_DERIV} SELECT recording_id, round(max(vpg) - min(vpg), 5) + 0.0 AS vpg_range, round(max(apg) - min(apg), 4) + 0.0 AS apg_range FROM g2 GROUP BY 1")
+def derivative_ranges(s, d):
+    x = samples.derivatives(sig_user(s, d), USER_FS)
+    return x.groupBy("recording_id").agg(rounded(F.max("vpg") - F.min("vpg"), 5).alias("vpg_range"), rounded(F.max("apg") - F.min("apg"), 4).alias("apg_range"))
+
+
+_MOTION = f"dd AS (SELECT *, v - lag(v) {_W} AS d FROM sig), ds AS (SELECT *, stddev_pop(d) {_P} AS s FROM dd), motion AS (SELECT recording_id, avg(CASE WHEN v IS NULL THEN 100.0 ELSE 0.0 END) AS missing_pct, coalesce(avg(CASE WHEN d IS NULL THEN NULL WHEN abs(d) < 1e-7 THEN 100.0 ELSE 0.0 END), 0) AS flat_pct, coalesce(avg(CASE WHEN d IS NULL THEN NULL WHEN s > 1e-9 AND abs(d) > 5 * s THEN 100.0 ELSE 0.0 END), 0) AS motion_pct FROM ds GROUP BY 1)"
+
+
+@query("missing_flat_motion", f"WITH {_USER}, {_MOTION} SELECT recording_id, {_R('missing_pct')} AS missing_pct, {_R('flat_pct')} AS flat_pct, {_R('motion_pct')} AS motion_pct FROM motion")
+def missing_flat_motion(s, d):
+    x = quality.gaps_flats_motion(sig_user(s, d))
+    return x.select("recording_id", *[rounded(F.col(c)).alias(c) for c in ("missing_pct", "flat_pct", "motion_pct")])
+
+
+_MEDIAN = f"med AS (SELECT recording_id, idx, v AS raw, list_sort(list_concat([coalesce(lag(v) {_W}, 0.0), v], [coalesce(lead(v) {_W}, 0.0)]))[2] AS v FROM sig)"
+
+
+@query("median_filter", f"WITH {_TYPE}, {_MEDIAN} SELECT recording_id, idx, {_R('v')} AS v FROM med")
+def median_filter(s, d):
+    return _v(samples.median_filter(sig_type(s, d), TYPE_FS))
+
+
+@query("morph_corr", f"WITH {_TYPE}, {_MEDIAN} SELECT recording_id, round(CASE WHEN stddev_pop(raw) < 1e-9 OR stddev_pop(v) < 1e-9 THEN 0 ELSE greatest(0, covar_pop(raw, v) / (stddev_pop(raw) * stddev_pop(v))) * 100 END, 5) + 0.0 AS morphology FROM med GROUP BY 1")
+def morph_corr(s, d):
+    raw = sig_type(s, d).withColumn("raw", F.col("v"))
+    return quality.correlation_score(samples.median_filter(raw, TYPE_FS), "raw", "v").select("recording_id", rounded(F.col("morphology"), 5).alias("morphology"))
+
+
+@query("artifact_heatmap", f"""WITH {_TYPE}, z AS (SELECT *, count(*) {_P} // 10 AS size FROM sig), c AS (SELECT *, idx // size AS chunk FROM z WHERE size >= 10 AND idx < size * 10),
+x AS (SELECT *, v - lag(v) OVER (PARTITION BY recording_id, chunk ORDER BY idx) AS d, v - coalesce(regr_slope(v, idx) OVER (PARTITION BY recording_id, chunk), 0) * idx AS r FROM c),
+y AS (SELECT *, stddev_pop(d) OVER (PARTITION BY recording_id, chunk) AS s FROM x)
+SELECT recording_id, chunk, {_R('avg(CASE WHEN d IS NULL THEN NULL WHEN s > 1e-9 AND abs(d) > 4 * s THEN 100.0 ELSE 0.0 END)')} AS motion, round(greatest(0.0, (stddev_pop(v) - stddev_pop(r)) / (stddev_pop(v) + 1e-9) * 100), 5) + 0.0 AS drift, {_R('avg(CASE WHEN d IS NULL THEN NULL WHEN abs(d) < 1e-7 THEN 100.0 ELSE 0.0 END)')} AS flat FROM y GROUP BY ALL""")
+def artifact_heatmap(s, d):
+    x = quality.heatmap(sig_type(s, d))
+    return x.select("recording_id", "chunk", rounded(F.col("motion")).alias("motion"), rounded(F.col("drift"), 5).alias("drift"), rounded(F.col("flat")).alias("flat"))
+
+
+@query("total_duration", "SELECT count(DISTINCT user_id) AS files, round(count(*) / 10.0, 6) AS seconds FROM events")
+def total_duration(s, d):
+    return table(s, d, "events").agg(F.countDistinct("user_id").alias("files"), F.round(F.count("*") / USER_FS, 6).alias("seconds"))
+
+
+# --- quality and decisions -------------------------------------------------------------------------------------
+
+#: One row a recording: what the decisions below need, from samples alone.
+_METRICS = f"""{_USER}, {_MOTION}, {_ENTROPY}, st AS (SELECT recording_id, count(*) AS n, avg(v) AS mean, stddev_pop(v) AS std, max(v) - min(v) AS span FROM sig GROUP BY 1),
+met AS (SELECT recording_id, n, std, span, missing_pct, flat_pct, motion_pct, entropy, CASE WHEN std > 0 THEN 20 * log10(abs(mean) / std) ELSE 30.0 END AS snr, n / 10.0 AS seconds FROM st JOIN motion USING (recording_id) JOIN ent USING (recording_id))"""
+_SCORE = "greatest(0.0, least(100.0, 100 - (3 * missing_pct + CASE WHEN flat_pct > 1 THEN 2 * (flat_pct - 1) ELSE 0 END + CASE WHEN snr < 15 THEN 2 * (15 - snr) ELSE 0 END + CASE WHEN snr < 0 THEN 10.0 ELSE 0 END + 15 * motion_pct)))"
+_BAND = "CASE WHEN {0} >= 95 THEN 'Excellent' WHEN {0} >= 85 THEN 'Very Good' WHEN {0} >= 70 THEN 'Good' WHEN {0} >= 50 THEN 'Acceptable' ELSE 'Poor' END".format
+
+
+def _metrics(s: SparkSession, d: str) -> DataFrame:
+    sig = sig_user(s, d)
+    st = sig.groupBy("recording_id").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), (F.max("v") - F.min("v")).alias("span"))
+    out = st.join(quality.gaps_flats_motion(sig), "recording_id").join(quality.entropy(sig), "recording_id")
+    snr = F.when(F.col("std") > 0, 20 * F.log10(F.abs("mean") / F.nullif("std", F.lit(0.0)))).otherwise(30.0)
+    return out.withColumn("snr", snr).withColumn("seconds", F.col("n") / USER_FS).drop("mean")
+
+
+def _score(df: DataFrame) -> Column:
+    return quality.quality_score(df["snr"], F.lit(0.0), df["missing_pct"], df["flat_pct"], df["motion_pct"], F.lit(0.0), F.lit(0.85))
+
+
+@query("signal_quality", f"WITH {_METRICS} SELECT recording_id, n, {_R('snr')} AS snr_db, {_R('entropy')} AS entropy, {_R('motion_pct')} AS motion_artifact_pct, round({_SCORE}, 5) + 0.0 AS quality_score, {_BAND(f'round({_SCORE}, 5)')} AS quality_band FROM met")
+def signal_quality(s, d):
+    m = _metrics(s, d)
+    score = F.round(_score(m), 5)
+    return m.select("recording_id", "n", rounded(F.col("snr")).alias("snr_db"), rounded(F.col("entropy")).alias("entropy"), rounded(F.col("motion_pct")).alias("motion_artifact_pct"), (score + 0.0).alias("quality_score"), quality.band(score).alias("quality_band"))
+
+
+@query("duration_source", f"""WITH {_METRICS}, named AS (SELECT *, CASE recording_id % 5 WHEN 0 THEN 'phone_' WHEN 1 THEN 'clg_' WHEN 2 THEN 'trial_' ELSE 'rec_' END || recording_id AS file_name, CASE recording_id % 3 WHEN 0 THEN 30.0 WHEN 1 THEN 125.0 ELSE 250.0 END AS fs FROM met)
+SELECT recording_id, CASE WHEN n / fs < 20 THEN '<20s Short' WHEN n / fs <= 120 THEN '20-120s Standard' WHEN n / fs <= 300 THEN '120-300s Long' ELSE '>300s Extended' END AS bucket,
+CASE WHEN regexp_matches(file_name, 'mobile|phone|camera|app|sensor|smartwatch') THEN 'Mobile' WHEN regexp_matches(file_name, 'clg|aiims|clinical|patient|hosp|subject') THEN CASE WHEN span > 10 THEN 'Mobile' ELSE 'Clinical' END
+WHEN regexp_matches(file_name, 'sub|research|lab|trial') THEN 'Research' WHEN fs <= 60 THEN 'Mobile' WHEN fs >= 200 AND span < 5 THEN 'Clinical' WHEN fs >= 100 AND span > 10 THEN 'Research' ELSE 'Unknown' END AS source FROM named""")
+def duration_source(s, d):
+    r = F.col("recording_id")
+    name = F.concat(F.when(r % 5 == 0, "phone_").when(r % 5 == 1, "clg_").when(r % 5 == 2, "trial_").otherwise("rec_"), r.cast("string"))
+    fs = F.when(r % 3 == 0, 30.0).when(r % 3 == 1, 125.0).otherwise(250.0)
+    return _metrics(s, d).select("recording_id", quality.duration_bucket(F.col("n") / fs).alias("bucket"), quality.source_kind(name, F.lit(""), fs, F.col("span")).alias("source"))
+
+
+_FEATURES = f"""{_METRICS}, feat AS (SELECT recording_id, 40 + snr * 2 AS heart_rate_bpm, 60 / (40 + snr * 2) AS rr_mean_sec, 0.3 AS pulse_width_sec, motion_pct / 10 AS rise_time_sec, 0.5 AS decay_time_sec, std AS amplitude, entropy, std / 1000 AS sd1_sec, std / 500 AS sd2_sec, span AS vpg_range, span * 2 AS apg_range,
+CASE WHEN recording_id % 4 = 0 THEN 'FS_UNRESOLVED' ELSE 'PASS' END AS fs_status FROM met),
+sc AS (SELECT *, 10 * (CAST(heart_rate_bpm BETWEEN 40 AND 160 AS INT) + CAST(rr_mean_sec BETWEEN 0.375 AND 1.5 AS INT) + CAST(pulse_width_sec BETWEEN 0.1 AND 0.6 AS INT) + CAST(rise_time_sec BETWEEN 0.05 AND 0.45 AS INT) + CAST(decay_time_sec BETWEEN 0.1 AND 1.2 AS INT) + CAST(entropy BETWEEN 1.5 AND 7.5 AS INT) + CAST(sd1_sec BETWEEN 0.001 AND 0.2 AS INT) + CAST(sd2_sec BETWEEN 0.005 AND 0.4 AS INT) + CAST(amplitude > 1e-6 AS INT) + CAST(vpg_range > 1e-6 AND apg_range > 1e-6 AS INT)) AS raw FROM feat),
+ready AS (SELECT recording_id, fs_status, CAST(CASE WHEN fs_status = 'FS_UNRESOLVED' THEN least(raw, 85) ELSE raw END AS INTEGER) AS readiness_score, CASE WHEN raw >= 90 THEN CASE WHEN fs_status = 'FS_UNRESOLVED' THEN 'B' ELSE 'A' END WHEN raw >= 75 THEN 'B' WHEN raw >= 50 THEN 'C' ELSE 'D' END AS readiness_category FROM sc)"""
+
+
+def _ready(s: SparkSession, d: str) -> DataFrame:
+    rate = 40 + F.col("snr") * 2
+    m = _metrics(s, d).select(
+        "recording_id", rate.alias("heart_rate_bpm"), F.try_divide(F.lit(60.0), rate).alias("rr_mean_sec"), F.lit(0.3).alias("pulse_width_sec"), (F.col("motion_pct") / 10).alias("rise_time_sec"), F.lit(0.5).alias("decay_time_sec"), F.col("std").alias("amplitude"), "entropy",
+        (F.col("std") / 1000).alias("sd1_sec"), (F.col("std") / 500).alias("sd2_sec"), F.col("span").alias("vpg_range"), (F.col("span") * 2).alias("apg_range"), F.when(F.col("recording_id") % 4 == 0, "FS_UNRESOLVED").otherwise("PASS").alias("fs_status"),
+    )
+    return quality.readiness(m)
+
+
+@query("readiness", f"WITH {_FEATURES} SELECT * FROM ready")
+def readiness(s, d):
+    return _ready(s, d).select("recording_id", "fs_status", "readiness_score", "readiness_category")
+
+
+@query("verdict", f"""WITH {_FEATURES}, g AS (SELECT *, recording_id % 11 <> 0 AS loader_ok, recording_id % 13 <> 0 AS preprocess_ok, CASE WHEN recording_id % 7 = 0 THEN 'DEGRADED_FALLBACK' ELSE 'PASSED' END AS guard_status FROM ready),
+m AS (SELECT recording_id, list_filter([CASE WHEN NOT loader_ok THEN 'File loading failed.' END, CASE WHEN fs_status = 'FS_UNRESOLVED' THEN 'Sampling rate is unresolved.' END, CASE WHEN NOT preprocess_ok THEN 'Preprocessing failed.' END, CASE WHEN guard_status = 'DEGRADED_FALLBACK' THEN 'No filter kept the morphology.' END,
+CASE WHEN readiness_category = 'D' OR readiness_score < 50 THEN 'Readiness is too low: category ' || readiness_category || ', score ' || printf('%.1f', CAST(readiness_score AS DOUBLE)) END], lambda x: x IS NOT NULL) AS r FROM g)
+SELECT recording_id, CASE WHEN len(r) > 0 THEN 'FAIL' ELSE 'PASS' END AS overall_verdict, CASE WHEN len(r) > 0 THEN 'Not ready for biomedical research' ELSE 'Ready for biomedical research' END AS wording, CASE WHEN len(r) > 0 THEN array_to_string(r, '; ') ELSE 'None' END AS failure_reasons FROM m""")
+def verdict(s, d):
+    r = F.col("recording_id")
+    rows = _ready(s, d).withColumn("loader_ok", r % 11 != 0).withColumn("preprocess_ok", r % 13 != 0).withColumn("guard_status", F.when(r % 7 == 0, "DEGRADED_FALLBACK").otherwise("PASSED"))
+    v = quality.verdict(rows)
+    return v.select("recording_id", "overall_verdict", "wording", F.when(F.size("failure_reasons") > 0, F.array_join("failure_reasons", "; ")).otherwise("None").alias("failure_reasons"))
+
+
+@query("quality_radar", f"WITH {_METRICS} SELECT recording_id, {_R('greatest(0.0, least(100.0, snr / 30 * 100))')} AS snr, {_R('greatest(0.0, least(100.0, 100 - flat_pct))')} AS continuity, {_R('greatest(0.0, least(100.0, 100 - motion_pct))')} AS steadiness FROM met")
+def quality_radar(s, d):
+    m = _metrics(s, d)
+    return m.select("recording_id", *[rounded(quality.clip(e)).alias(n) for n, e in (("snr", m["snr"] / 30 * 100), ("continuity", 100 - m["flat_pct"]), ("steadiness", 100 - m["motion_pct"]))])
+
+
+@query("morphology_radar", f"WITH {_FEATURES} SELECT recording_id, {_R('greatest(0.0, least(100.0, 100 - abs(heart_rate_bpm - 72) / 72 * 100))')} AS heart_rate, {_R('greatest(0.0, least(100.0, 100 - abs(pulse_width_sec - 0.3) / 0.3 * 100))')} AS pulse_width, {_R('greatest(0.0, least(100.0, 100 - abs(rise_time_sec - 0.2) / 0.2 * 100))')} AS rise_time, {_R('greatest(0.0, least(100.0, 100 - abs(decay_time_sec - 0.5) / 0.5 * 100))')} AS decay_time FROM feat")
+def morphology_radar(s, d):
+    near = lambda c, mid: rounded(quality.clip(100 - F.abs(F.col(c) - mid) / mid * 100))
+    return _ready(s, d).select("recording_id", near("heart_rate_bpm", 72).alias("heart_rate"), near("pulse_width_sec", 0.3).alias("pulse_width"), near("rise_time_sec", 0.2).alias("rise_time"), near("decay_time_sec", 0.5).alias("decay_time"))
+
+
+@query("submetric_status", f"""WITH {_METRICS} SELECT recording_id, u.metric AS metric, CASE WHEN u.ok THEN 'PASS' ELSE 'FAIL' END AS status FROM met, LATERAL (VALUES ('snr', snr >= 15), ('motion', motion_pct < 1), ('entropy', entropy > 2 AND entropy < 7), ('flat', flat_pct < 0.1), ('missing', missing_pct = 0)) AS u(metric, ok)""")
+def submetric_status(s, d):
+    ok = F.expr("stack(5, 'snr', snr >= 15, 'motion', motion_pct < 1, 'entropy', entropy > 2 AND entropy < 7, 'flat', flat_pct < 0.1, 'missing', missing_pct = 0) AS (metric, ok)")
+    return _metrics(s, d).select("recording_id", ok).select("recording_id", "metric", F.when(F.col("ok"), "PASS").otherwise("FAIL").alias("status"))
+
+
+# --- text ------------------------------------------------------------------------------------------------------
+
+@query("delimiter_detect", r"""WITH h AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10))[1:20], lambda x: trim(x, ' ') <> ''), chr(10)) AS h FROM documents),
+c AS (SELECT doc_id, length(h) - length(replace(h, ',', '')) AS a, length(h) - length(replace(h, ';', '')) AS b, length(h) - length(replace(h, chr(9), '')) AS t, length(h) - length(replace(h, ' ', '')) AS p FROM h)
+SELECT doc_id, CASE WHEN t > 0 THEN chr(9) WHEN greatest(a, b, t, p) = 0 OR greatest(a, b, t, p) = a THEN ',' WHEN greatest(a, b, t, p) = b THEN ';' ELSE ' ' END AS delimiter FROM c""")
+def delimiter_detect(s, d):
+    return table(s, d, "documents").select("doc_id", files.delimiter(F.col("text")).alias("delimiter"))
+
+
+_NUMBER_SQL = r"regexp_full_match(x, '\s*[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\s*|\s*[+-]?([nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*')"
+
+
+@query("float_tokens", f"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[\\s,;|]+'), lambda x: {_NUMBER_SQL})) AS INTEGER) AS numbers FROM documents")
+def float_tokens(s, d):
+    return table(s, d, "documents").select("doc_id", F.size(F.filter(F.split("text", r"[\s,;|]+"), files.is_number)).alias("numbers"))
+
+
+@query("modal_columns", r"""WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+t AS (SELECT file, no, string_split(trim(line, ' '), ',') AS k FROM l WHERE trim(line, ' ') <> ''), n AS (SELECT file, no, CASE WHEN len(k) > 1 AND k[len(k)] = '' THEN len(k) - 1 ELSE len(k) END AS columns FROM t),
+g AS (SELECT file, columns, count(*) AS c, min(no) AS f FROM n GROUP BY ALL)
+SELECT file, CAST(columns AS INTEGER) AS columns FROM g QUALIFY row_number() OVER (PARTITION BY file ORDER BY c DESC, f) = 1""")
+def modal_columns(s, d):
+    return files.modal_columns(files.lines_of(table(s, d, "documents").select(F.col("doc_id").alias("file"), "text")))
+
+
+@query("data_start")
+def data_start(s, d):
+    return files.data_start(files.lines_of(table(s, d, "documents").select(F.col("doc_id").alias("file"), "text")))
+
+
+@query("file_class")
+def file_class(s, d):
+    ext = F.when(F.col("doc_id") % 3 == 0, ".csv").when(F.col("doc_id") % 3 == 1, ".txt").otherwise(".tsv")
+    docs = table(s, d, "documents")
+    return docs.select("doc_id", files.classify(F.concat(F.col("doc_id").cast("string"), ext), F.octet_length("text"), F.col("text")).alias("status"))
+
+
+@query("metadata_kv", "SELECT event_id, 'k' AS key, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS value FROM events")
+def metadata_kv(s, d):
+    kv = F.from_json("props", "map<string,string>")
+    return table(s, d, "events").select("event_id", F.explode(kv).alias("key", "value"))
+
+
+# --- peaks -----------------------------------------------------------------------------------------------------
+
+_MAX = """runs AS (SELECT recording_id, idx, v, sum(fresh) OVER (PARTITION BY recording_id ORDER BY idx) AS run FROM (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY recording_id ORDER BY idx) THEN 0 ELSE 1 END AS fresh FROM sig)),
+plat AS (SELECT recording_id, run, min(idx) AS a, max(idx) AS b, any_value(v) AS v FROM runs GROUP BY recording_id, run),
+maxima AS (SELECT recording_id, (a + b) // 2 AS idx, v FROM (SELECT *, lag(v) OVER (PARTITION BY recording_id ORDER BY a) AS l, lead(v) OVER (PARTITION BY recording_id ORDER BY a) AS r FROM plat) WHERE v > l AND v > r)"""
+_FAR = """tops AS (SELECT recording_id, list({'v': v, 'idx': idx} ORDER BY v DESC, idx DESC) AS t FROM maxima GROUP BY 1),
+pk AS (SELECT recording_id, unnest(list_reduce(list_transform(t, lambda x: [x.idx]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: abs(k - x[1]) < 12)) > 0 THEN acc ELSE list_concat(acc, x) END, CAST([] AS BIGINT[]))) AS idx FROM tops)"""
+
+
+@query("local_maxima", f"WITH {_TYPE}, {_MAX} SELECT recording_id, idx, v FROM maxima")
+def local_maxima(s, d):
+    return peaks.local_maxima(sig_type(s, d))
+
+
+def _peaks(s: SparkSession, d: str) -> DataFrame:
+    return peaks.apart(peaks.local_maxima(sig_type(s, d)), max(5, int(0.4 * TYPE_FS)))
+
+
+@query("peaks_distance", f"WITH {_TYPE}, {_MAX}, {_FAR} SELECT recording_id, idx FROM pk")
+def peaks_distance(s, d):
+    return _peaks(s, d).select("recording_id", "idx")
+
+
+@query("rr_trend", f"WITH {_TYPE}, {_MAX}, {_FAR}, x AS (SELECT recording_id, idx, (idx - lag(idx) {_W}) / 30.0 AS rr FROM pk) SELECT recording_id, {_R('idx / 30.0')} AS time, {_R('rr')} AS rr, {_R('60.0 / rr')} AS hr FROM x WHERE rr IS NOT NULL")
+def rr_trend(s, d):
+    return peaks.intervals(_peaks(s, d), TYPE_FS).select("recording_id", *[rounded(F.col(c)).alias(c) for c in ("time", "rr", "hr")])
+
+
+@query("poincare", f"""WITH {_TYPE}, {_MAX}, {_FAR}, x AS (SELECT recording_id, idx, (idx - lag(idx) {_W}) / 30.0 AS rr FROM pk), y AS (SELECT *, lead(rr) {_W} AS nx FROM x), z AS (SELECT recording_id, coalesce(sqrt(0.5 * var_pop(rr - nx)), 0) AS sd1, coalesce(sqrt(0.5 * var_pop(CASE WHEN nx IS NOT NULL THEN rr + nx END)), 0) AS sd2 FROM y GROUP BY 1)
+SELECT recording_id, {_R('sd1')} AS sd1, {_R('sd2')} AS sd2, {_R('CASE WHEN sd2 > 1e-9 THEN sd1 / sd2 ELSE 1.0 END')} AS ratio FROM z""")
+def poincare(s, d):
+    return peaks.poincare(_peaks(s, d), TYPE_FS).select("recording_id", *[rounded(F.col(c)).alias(c) for c in ("sd1", "sd2", "ratio")])
+
+
+@query("peak_prominence", f"""WITH {_TYPE}, {_MAX}, {_FAR}, h AS (SELECT pk.recording_id, pk.idx, sig.v FROM pk JOIN sig USING (recording_id, idx)),
+e AS (SELECT h.recording_id, h.idx, h.v, max(s.idx) FILTER (s.idx < h.idx AND s.v > h.v) AS l, min(s.idx) FILTER (s.idx > h.idx AND s.v > h.v) AS r FROM h JOIN sig s USING (recording_id) GROUP BY ALL)
+SELECT e.recording_id, e.idx, round(e.v - greatest(min(s.v) FILTER (s.idx <= e.idx AND s.idx > coalesce(l, -1)), min(s.v) FILTER (s.idx >= e.idx AND s.idx < coalesce(r, 1000000000))), 6) + 0.0 AS prominence FROM e JOIN sig s USING (recording_id) GROUP BY e.recording_id, e.idx, e.v""")
+def peak_prominence(s, d):
+    return peaks.prominences(_peaks(s, d), sig_type(s, d)).select("recording_id", "idx", rounded(F.col("prominence")).alias("prominence"))
+
+
+@query("peak_stability")
+def peak_stability(s, d):
+    return peaks.stability(peaks.prominences(_peaks(s, d), sig_type(s, d)))
+
+
+@query("trough_asof")
+def trough_asof(s, d):
+    low = peaks.apart(peaks.local_maxima(samples.reverse(sig_type(s, d))), max(5, int(0.4 * TYPE_FS)))
+    return peaks.troughs_around(_peaks(s, d), low)
+
+
+# --- filters, spectra, kernels ---------------------------------------------------------------------------------
+
+@query("gauss_filter")
+def gauss_filter(s, d):
+    return _v(samples.gaussian(sig_type(s, d), TYPE_FS))
+
+
+@query("autocorr", f"""WITH {_USER}, m AS (SELECT recording_id, idx, v - avg(v) {_P} AS v FROM sig), z AS (SELECT recording_id, sum(v * v) AS z FROM m GROUP BY 1), l AS (SELECT a.recording_id, b.idx - a.idx AS lag, sum(a.v * b.v) AS s FROM m a JOIN m b ON a.recording_id = b.recording_id AND b.idx - a.idx BETWEEN 0 AND 20 GROUP BY ALL)
+SELECT recording_id, lag, {_R('CASE WHEN z > 0 THEN s / z ELSE s END')} AS r FROM l JOIN z USING (recording_id)""")
+def autocorr(s, d):
+    """Lags 0 to 20: each sample goes to the lags it takes part in; an equi-join, no pairs of samples beyond those."""
+    m = samples.center(sig_user(s, d), "mean")
+    later = m.select("recording_id", F.col("v").alias("b"), F.col("idx").alias("j"))
+    lagged = m.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(20)))).withColumn("lag", F.col("lag").cast("long")).withColumn("j", F.col("idx") + F.col("lag"))
+    sums = lagged.join(later, ["recording_id", "j"]).groupBy("recording_id", "lag").agg(F.sum(F.col("v") * F.col("b")).alias("s"))
+    zero = m.groupBy("recording_id").agg(F.sum(F.col("v") * F.col("v")).alias("z"))
+    r = F.when(F.col("z") > 0, F.col("s") / F.nullif("z", F.lit(0.0))).otherwise(F.col("s"))
+    return sums.join(zero, "recording_id").select("recording_id", "lag", rounded(r).alias("r"))
+
+
+@query("filter_scoreboard")
+def filter_scoreboard(s, d):
+    """None, Median and Gaussian by correlation with the raw signal; not the full ranking, which needs the kernels."""
+    raw = sig_type(s, d)
+    rows = None
+    for k, (name, df) in enumerate((("None", raw), ("Gaussian", samples.gaussian(raw, TYPE_FS)), ("Median", samples.median_filter(raw, TYPE_FS)))):
+        both = raw.withColumnRenamed("v", "raw").join(df.select("recording_id", "idx", "v"), ["recording_id", "idx"])
+        part = quality.correlation_score(both, "raw", "v").select("recording_id", F.lit(name).alias("filter"), F.lit(k).alias("ord"), rounded(F.col("morphology"), 5).alias("morphology"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+@query("top3_filters")
+def top3_filters(s, d):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("recording_id").orderBy(F.desc("morphology"), "ord")
+    return filter_scoreboard(s, d).withColumn("place", F.row_number().over(w)).filter("place <= 3")
+
+
+def _kernel(name: str):
+    @query(name.replace("-", "_"))
+    def run(s, d):
+        return _v(kernels.filtered(sig_type(s, d), name, TYPE_FS))
+
+
+for _name in ("butterworth", "chebyshev", "savitzky-golay", "wavelet"):
+    _kernel(_name)
+
+
+@query("morphology_guard")
+def morphology_guard(s, d):
+    return kernels.guarded(sig_type(s, d), "Butterworth", TYPE_FS)
+
+
+@query("packed_signals")
+def packed_signals(s, d):
+    return packed(sig_type(s, d)).select("recording_id", F.size("v").alias("n"))
