@@ -29,10 +29,14 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def header_lines(text: str) -> Column:
+    """The distinct header lines of a text; every line is looked at."""
+    return F.array_distinct(F.filter(F.split(text, r"[\r\n]+"), lambda x: x.rlike(HINT)))
+
+
 def headers(files: DataFrame) -> DataFrame:
-    """(path, line) of each distinct header line of each file; every line of every text is looked at."""
-    lines = F.array_distinct(F.filter(F.split("text", r"[\r\n]+"), lambda x: x.rlike(HINT)))
-    return files.select("path", F.explode(lines).alias("line"))
+    """(path, line) of each distinct header line of each file."""
+    return files.select("path", F.explode(header_lines("text")).alias("line"))
 
 
 def matched_lines(found: DataFrame) -> DataFrame:
@@ -93,11 +97,13 @@ def scan_licenses(files: DataFrame) -> DataFrame:
 
 def as_files(docs: DataFrame) -> DataFrame:
     """``documents`` as a tree of files: source/lang/hundred of doc_id/doc_id.txt; null parts are ``_``. In each directory
-    the first file stands for its licence file, and so does the first file of each source, one level up."""
+    the first file stands for its licence file, and so does the first file of each source, one level up. ``text`` comes down
+    to its header lines where it is read, which are all that the scan uses, so that the join moves no whole texts."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
     top, deep = F.concat_ws("/", part("source"), part("lang")), F.coalesce(F.floor(F.col("doc_id") / 100).cast("string"), F.lit("_"))
     firsts = docs.groupBy("source", "lang").agg(F.min("doc_id").alias("first_doc"))
-    marked = docs.select("doc_id", "source", "lang", "text").join(firsts.select(F.col("source").alias("s"), F.col("lang").alias("l"), "first_doc"), F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l")))
+    slim = docs.select("doc_id", "source", "lang", F.array_join(header_lines("text"), "\n").alias("text"))
+    marked = slim.join(firsts.select(F.col("source").alias("s"), F.col("lang").alias("l"), "first_doc"), F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l")))
     up = F.col("doc_id") == F.col("first_doc")
     path = F.when(up, F.concat_ws("/", top, F.concat(part("doc_id"), F.lit(".txt")))).otherwise(F.concat_ws("/", top, deep, F.concat(part("doc_id"), F.lit(".txt"))))
     return marked.select("doc_id", path.alias("path"), "text", (up | (F.col("doc_id") % 100 == 0)).alias("is_notice"))
