@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 from sphygmo.operators.samples import W
 
 
-
 def local_maxima(sig: DataFrame) -> DataFrame:
     """Samples above both neighbours; a plateau counts once, at its middle (rounded down); ends never."""
     step = sig.withColumn("_new", F.when(F.col("v") == F.lag("v").over(W()), 0).otherwise(1))
@@ -63,3 +62,34 @@ def stability(peaks: DataFrame) -> DataFrame:
     """(recording_id, peak_stability): spread of the prominences over their mean; 0 for one peak or none."""
     out = peaks.groupBy("recording_id").agg(F.count("*").alias("n"), F.avg("prominence").alias("m"), F.stddev_pop("prominence").alias("s"))
     return out.select("recording_id", F.when((F.col("n") > 1) & (F.col("m") > 1e-9), F.col("s") / F.col("m")).otherwise(0.0).alias("peak_stability"))
+
+
+def beats(sig: DataFrame, peaks: DataFrame) -> DataFrame:
+    """(recording_id, start, beat): the samples from each peak up to the next, in order; more than five of them."""
+    tops = peaks.select("recording_id", "idx", F.lit(1).alias("_top"))
+    run = sig.join(tops, ["recording_id", "idx"], "left").withColumn("_beat", F.count("_top").over(W().rowsBetween(Window.unboundedPreceding, 0)))
+    run = run.withColumn("_last", F.max("_beat").over(Window.partitionBy("recording_id"))).filter("_beat > 0 AND _beat < _last")
+    out = run.groupBy("recording_id", "_beat").agg(F.min("idx").alias("start"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda x: x["v"]).alias("beat"))
+    return out.filter(F.size("beat") > 5).select("recording_id", "start", "beat")
+
+
+def resampled(of: DataFrame, points: int = 100) -> DataFrame:
+    """(recording_id, start, k, z): each beat at ``points`` even places, linear between samples, as z-scores; flat beats are left out."""
+    place = of.select("recording_id", "start", "beat", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")).withColumn("_at", F.col("k") * (F.size("beat") - 1))
+    low = F.floor(F.col("_at") / (points - 1)).cast("int")
+    a, b = F.get("beat", low), F.get("beat", F.least(low + 1, F.size("beat") - 1))
+    y = place.select("recording_id", "start", "k", (a + (b - a) * (F.col("_at") % (points - 1)) / F.lit(float(points - 1))).alias("y"))
+    w = Window.partitionBy("recording_id", "start")
+    scored = y.withColumn("_m", F.avg("y").over(w)).withColumn("_s", F.stddev_pop("y").over(w)).filter("_s > 1e-9")
+    return scored.select("recording_id", "start", "k", ((F.col("y") - F.col("_m")) / F.col("_s")).alias("z"))
+
+
+def consistency(sig: DataFrame, peaks: DataFrame, points: int = 100) -> DataFrame:
+    """(recording_id, beat_consistency): mean correlation of all pairs of beats; 0.5 under three usable beats.
+
+    Of z-scores the pairs' correlations add up to (|sum z|^2 - sum |z|^2) / (2 points), so no pairs are made.
+    """
+    at = resampled(beats(sig, peaks), points).groupBy("recording_id", "k").agg(F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("q"), F.count("*").alias("m"))
+    mean = at.groupBy("recording_id").agg(F.sum(F.col("s") * F.col("s") - F.col("q")).alias("t"), F.max("m").alias("m"))
+    mean = mean.filter("m >= 3").select("recording_id", (F.col("t") / (points * F.col("m") * (F.col("m") - 1))).alias("c"))
+    return sig.select("recording_id").distinct().join(mean, "recording_id", "left").select("recording_id", F.coalesce("c", F.lit(0.5)).alias("beat_consistency"))

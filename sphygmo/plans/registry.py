@@ -386,6 +386,25 @@ def peak_stability(s, d):
     return peaks.stability(peaks.prominences(_peaks(s, d), sig_type(s, d)))
 
 
+_BEATS = f"""bt AS (SELECT recording_id, idx AS start, lead(idx) {_W} AS stop FROM pk),
+beats AS (SELECT bt.recording_id, start, list(v ORDER BY s.idx) AS l, count(*) AS n FROM bt JOIN sig s ON s.recording_id = bt.recording_id AND s.idx >= start AND s.idx < stop GROUP BY 1, 2 HAVING count(*) > 5),
+pts AS (SELECT recording_id, start, l, n, k, k * (n - 1) // 99 AS low, k * (n - 1) % 99 / 99.0 AS f FROM beats, (SELECT unnest(range(100)) AS k)),
+y AS (SELECT recording_id, start, k, l[low + 1] + (l[least(low + 2, n)] - l[low + 1]) * f AS y FROM pts),
+z AS (SELECT recording_id, start, CAST(k AS INTEGER) AS k, (y - avg(y) OVER b) / stddev_pop(y) OVER b AS z FROM y WINDOW b AS (PARTITION BY recording_id, start) QUALIFY stddev_pop(y) OVER b > 1e-9)"""
+
+
+@query("beat_resample", f"WITH {_TYPE}, {_MAX}, {_FAR}, {_BEATS} SELECT recording_id, start, k, {_R('z')} AS z FROM z")
+def beat_resample(s, d):
+    return peaks.resampled(peaks.beats(sig_type(s, d), _peaks(s, d))).select("recording_id", "start", "k", rounded(F.col("z")).alias("z"))
+
+
+@query("beat_consistency", f"""WITH {_TYPE}, {_MAX}, {_FAR}, {_BEATS}, pairs AS (SELECT a.recording_id, a.start AS i, b.start AS j, sum(a.z * b.z) / 100 AS r FROM z a JOIN z b ON a.recording_id = b.recording_id AND a.k = b.k AND a.start < b.start GROUP BY 1, 2, 3),
+c AS (SELECT recording_id, CASE WHEN count(*) >= 3 THEN avg(r) END AS c FROM pairs GROUP BY 1)
+SELECT recording_id, {_R('coalesce(c, 0.5)')} AS beat_consistency FROM (SELECT DISTINCT recording_id FROM sig) LEFT JOIN c USING (recording_id)""")
+def beat_consistency(s, d):
+    return peaks.consistency(sig_type(s, d), _peaks(s, d)).select("recording_id", rounded(F.col("beat_consistency")).alias("beat_consistency"))
+
+
 @query("trough_asof")
 def trough_asof(s, d):
     low = peaks.apart(peaks.local_maxima(samples.reverse(sig_type(s, d))), max(5, int(0.4 * TYPE_FS)))

@@ -17,7 +17,7 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["trim", "chunk_stats", "interpolate_gaps", "signal_quality", "verdict", "peaks_distance", "poincare", "modal_columns"])
+@pytest.mark.parametrize("name", ["trim", "chunk_stats", "interpolate_gaps", "signal_quality", "verdict", "peaks_distance", "poincare", "beat_resample", "beat_consistency", "modal_columns"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in NAMES:
