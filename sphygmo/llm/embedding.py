@@ -19,8 +19,10 @@ THRESHOLD = 0.9
 #: Neighbours kept for each vector, random-projection orders that start the graph, hyperplanes of an order, and
 #: neighbouring vectors of an order compared with each other.
 LISTS, ORDERS, PLANES, BLOCK = 10, 6, 20, 96
-#: Refinement rounds at most; they end earlier when a round joins no two components and the audit's recall is reached.
-ROUNDS, RECALL = 10, 0.95
+#: Rounds go on while they join components; then an audit must find this recall, in one of so many audits.
+AUDITS, RECALL = 10, 0.95
+#: Links that make components are taken this far below the threshold; all counts are by the threshold itself.
+SLACK = 1e-9
 #: Vectors that the audit compares with all others, and members of a component that one task compares.
 AUDITED, TILE = 256, 1024
 
@@ -60,7 +62,7 @@ def sound() -> Column:
 
 
 def starting_graph(nodes: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """(u, v, s): each node's nearest among its neighbours in several random-projection orders.
+    """(u, v, s): what :func:`_kept` keeps of each node's neighbours in several random-projection orders.
 
     An order sorts the nodes by the signs of random projections, equal signs by a hash, and compares runs of BLOCK; so a
     dense group of any size spreads over many runs, others in each order.
@@ -74,65 +76,118 @@ def starting_graph(nodes: DataFrame, orders: int = ORDERS) -> DataFrame:
             for t in range(orders):
                 yield pa.record_batch([pa.array(np.full(len(x), t, np.int32)), pa.array(codes[:, t]), b.column(0), b.column(1)], ["order", "code", "id", "embedding"])
 
+    def found(run: pa.Table) -> pa.RecordBatch:
+        name = run.column("id").to_numpy()
+        return pa.record_batch([*map(pa.array, _kept(name, name, _cosines(run.column("embedding"))))], ["u", "v", "s"])
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
             held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
             while held.num_rows >= 2 * BLOCK:
-                yield _nearest(held.slice(0, BLOCK).column("id"), held.slice(0, BLOCK).column("embedding"))
+                yield found(held.slice(0, BLOCK))
                 held = held.slice(BLOCK)
         if held is not None and held.num_rows > 1:
-            yield _nearest(held.column("id"), held.column("embedding"))
+            yield found(held)
 
     coded = nodes.select("id", "embedding").mapInArrow(code, "order int, code long, id long, embedding array<float>")
     dealt = coded.withColumn("tie", F.xxhash64("order", "id")).repartitionByRange("order", "code", "tie").sortWithinPartitions("order", "code", "tie")
-    return nearest(dealt.select("id", "embedding").mapInArrow(runs, "u long, v long, s double"))
+    return dealt.select("id", "embedding").mapInArrow(runs, "u long, v long, s double")
+
+
+def _forest(label: np.ndarray, linked: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Of the links, as few as join all the labels that they join; and the labels joined."""
+    label, edges = label.copy(), []
+    for i in np.nonzero((linked & (label[:, None] != label[None, :])).any(axis=1))[0]:
+        at = np.nonzero(linked[i] & (label != label[i]))[0]
+        if len(at):
+            others, first = np.unique(label[at], return_index=True)
+            edges += [(i, j) for j in at[first]]
+            label[np.isin(label, others)] = label[i]
+    return edges, label
 
 
-def _nearest(ids: pa.ChunkedArray, vectors: pa.ChunkedArray) -> pa.RecordBatch:
-    name, s = ids.to_numpy(), _cosines(vectors)
-    s[name[:, None] == name[None, :]] = -2
+def _kept(name: np.ndarray, label: np.ndarray, s: np.ndarray, floor: np.ndarray | None = None, far_floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, s) that stay of all cosines of some nodes with components ``label``: no link that joins components is lost.
+
+    These are a forest of the links between components; each node's LISTS nearest above its floor; and, as links fill
+    the list of a node in a dense group, its LISTS nearest outside its component above its other floor.
+    """
+    s = np.where(name[:, None] == name[None, :], -2.0, s)
+    edges, label = _forest(label, s >= THRESHOLD - SLACK)
+    low = np.full(len(name), -2.0)
     k = min(LISTS, len(name) - 1)
-    at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    u, v, c = np.repeat(name, k), name[at].ravel(), np.take_along_axis(s, at, 1).ravel()
-    ok = c > -2
-    return pa.record_batch([pa.array(u[ok]), pa.array(v[ok]), pa.array(c[ok])], ["u", "v", "s"])
 
+    def above(s: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        i, c = np.nonzero(np.take_along_axis(s, at, 1) > low[:, None])
+        return i, at[i, c]
+
+    i, j = above(s, low if floor is None else floor)
+    far = np.where(label[:, None] == label[None, :], -2.0, s)
+    if far_floor is None:
+        far_floor = np.where((s >= THRESHOLD - SLACK).sum(axis=1) >= LISTS, -2.0, 2.0)
+    a, b = above(far, far_floor)
+    x, y = np.array(edges, int).reshape(-1, 2).T
+    pairs = np.unique(np.stack([np.concatenate([i, a, x, y]), np.concatenate([j, b, y, x])]), axis=1)
+    return name[pairs[0]], name[pairs[1]], s[pairs[0], pairs[1]]
 
-def nearest(edges: DataFrame, k: int = LISTS) -> DataFrame:
-    """The ``k`` nearest of each node's edges, each neighbour once."""
+
+def sided(edges: DataFrame, part: DataFrame) -> DataFrame:
+    """Adds ``far``: whether an edge joins different components."""
+    side = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    return edges.join(side("u"), "u", "left").join(side("v"), "v", "left").withColumn("far", F.coalesce("_u", "u") != F.coalesce("_v", "v")).drop("_u", "_v")
+
+
+def nearest(edges: DataFrame, part: DataFrame, k: int = LISTS) -> DataFrame:
+    """(u, v, s, far): the ``k`` nearest of each node's edges; where those are links all, its ``k`` nearest outside its
+    component too; and each link between components. Each neighbour once."""
     w = Window.partitionBy("u").orderBy(F.desc("s"), "v")
-    return edges.groupBy("u", "v").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
+    beyond = Window.partitionBy("u").orderBy(F.desc("far"), F.desc("s"), "v")
+    link = F.col("s") >= THRESHOLD - SLACK
+    once = sided(edges.groupBy("u", "v").agg(F.max("s").alias("s")), part)
+    ranked = once.withColumn("r", F.row_number().over(w)).withColumn("q", F.row_number().over(beyond))
+    full = F.count(F.when(link, 1)).over(Window.partitionBy("u")) >= k
+    return ranked.withColumn("full", full).filter((F.col("r") <= k) | F.col("far") & (link | F.col("full") & (F.col("q") <= k))).drop("r", "q", "full")
 
 
-def refine(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One round: neighbours of a node become neighbours of each other where that betters their lists.
+def refine(graph: DataFrame, nodes: DataFrame, part: DataFrame) -> DataFrame:
+    """One round: neighbours of a node become neighbours of each other where that betters their lists or joins components.
 
     A node brings together its list and as many of those that list it, nearest first; who is left out there meets the
     node's neighbours through its own list, and dense groups are completed afterwards.
     """
-    back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")
-    around = graph.unionByName(nearest(back))
-    floor = graph.groupBy("u").agg(F.when(F.count("*") >= LISTS, F.min("s")).otherwise(F.lit(-2.0)).alias("floor"))
-    known = nodes.select(F.col("id").alias("v"), "embedding").join(floor.withColumnRenamed("u", "v"), "v", "left")
-    met = around.select("u", "v").distinct().join(known, "v").select("u", "v", F.coalesce("floor", F.lit(-2.0)).alias("floor"), "embedding")
+    now = written(sided(graph.select("u", "v", "s"), part), "sides")
+    back = now.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")
+    around = now.select("u", "v", "s").unionByName(nearest(back, part).drop("far"))
+    top = now.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v")))
+    lowest = lambda m, n: F.when(n >= LISTS, m).otherwise(F.lit(-2.0))
+    floor = top.groupBy("u").agg(
+        lowest(F.min(F.when(F.col("r") <= LISTS, F.col("s"))), F.count("*")).alias("floor"),
+        lowest(F.min(F.when(F.col("far"), F.col("s"))), F.count(F.when(F.col("far"), 1))).alias("beyond"),
+    )
+    # only links fill a list: else whatever is outside the component comes by the first floor
+    floor = floor.withColumn("beyond", F.when(F.col("floor") >= THRESHOLD - SLACK, F.col("beyond")).otherwise(F.lit(2.0)))
+    own = part.withColumnRenamed("node", "v").withColumnRenamed("component", "part")
+    known = nodes.select(F.col("id").alias("v"), "embedding").join(floor.withColumnRenamed("u", "v"), "v", "left").join(own, "v", "left")
+    met = around.select("u", "v").distinct().join(known, "v")
+    met = met.select("u", "v", F.coalesce("part", "v").alias("part"), F.coalesce("floor", F.lit(-2.0)).alias("floor"), F.coalesce("beyond", F.lit(2.0)).alias("beyond"), "embedding")
 
     def work(group: pa.Table) -> list[tuple]:
         if group.num_rows < 2:
             return []
-        name, floor_, s = group.column("v").to_numpy(), group.column("floor").to_numpy(), _cosines(group.column("embedding"))
-        i, j = np.nonzero((s > floor_[:, None]) & (name[:, None] != name[None, :]))
-        return list(zip(name[i].tolist(), name[j].tolist(), s[i, j].tolist(), strict=True))
+        name, label, floor_, beyond = (group.column(c).to_numpy() for c in ("v", "part", "floor", "beyond"))
+        return list(zip(*(x.tolist() for x in _kept(name, label, _cosines(group.column("embedding")), floor_, beyond)), strict=True))
 
-    return by_group(met, "u", work, "u long, v long, s double").groupBy("u", "v").agg(F.max("s").alias("s"))
+    return by_group(met, "u", work, "u long, v long, s double")
 
 
-def audit(nodes: DataFrame, part: DataFrame) -> tuple[int, int]:
-    """Of AUDITED nodes picked by hash: how many links they have, by comparison with all nodes, and how many of those
-    stay inside the components found. The queries are a fixed number, so they can be broadcast."""
-    queries = nodes.orderBy(F.xxhash64(F.lit("audit"), "id")).limit(AUDITED).select("id", "embedding").toArrow()
+def audit(nodes: DataFrame, part: DataFrame, turn: int) -> tuple[int, DataFrame | None, int]:
+    """Of AUDITED nodes picked by hash, others in each turn: how many links they have, by comparison with all nodes,
+    which of those join components, and how many these are. The queries are a fixed number, so they can be broadcast."""
+    queries = nodes.orderBy(F.xxhash64(F.lit("audit"), F.lit(turn), "id")).limit(AUDITED).select("id", "embedding").toArrow()
     if not queries.num_rows:
-        return 0, 0
+        return 0, None, 0
     name, width = queries.column("id").to_numpy(), queries.column("embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,22 +197,20 @@ def audit(nodes: DataFrame, part: DataFrame) -> tuple[int, int]:
             i, j = np.nonzero((s >= THRESHOLD) & (name[:, None] != b.column(0).to_numpy()[None, :]))
             yield pa.record_batch([pa.array(name[i]), b.column(0).take(pa.array(j))], ["u", "v"])
 
-    links = nodes.select("id", "embedding").mapInArrow(run, "u long, v long")
-    side = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
-    return tuple(links.join(side("u"), "u", "left").join(side("v"), "v", "left").agg(F.count("*"), F.count(F.when(F.col("_u") == F.col("_v"), 1))).first())
+    links = sided(nodes.select("id", "embedding").mapInArrow(run, "u long, v long"), part)
+    true, missed = links.agg(F.count("*"), F.count(F.when(F.col("far"), 1))).first()
+    return true, links.filter("far").select("u", "v"), missed
 
 
-def linked_parts(graph: DataFrame) -> DataFrame:
-    """(node, component) of the graph's edges at the threshold."""
-    return written(components(graph.filter(F.col("s") >= THRESHOLD - 1e-9).select(F.col("u").alias("a"), F.col("v").alias("b"))), "parts")
+def linking(graph: DataFrame) -> DataFrame:
+    """The links of the graph that join components."""
+    return graph.filter(F.col("far") & (F.col("s") >= THRESHOLD - SLACK))
 
 
-def joins(graph: DataFrame, part: DataFrame) -> int:
-    """How many edges at the threshold join different components of ``part``. Further edges within a component change
-    nothing: its members are all compared afterwards."""
-    side = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
-    links = graph.filter(F.col("s") >= THRESHOLD - 1e-9).join(side("u"), "u", "left").join(side("v"), "v", "left")
-    return links.filter(F.coalesce("_u", "u") != F.coalesce("_v", "v")).count()
+def joined(part: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after the links (u, v) too."""
+    known = part.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return written(components(known.unionByName(links.select(F.col("u").alias("a"), F.col("v").alias("b")))), "parts")
 
 
 def _cosines_between(column: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -195,8 +248,9 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
 
     Equal vectors become one node that counts for all of them. Random-projection orders start a neighbour graph; rounds
     of neighbours-of-neighbours joins refine it until a round joins no components and an audit against all vectors
-    finds the recall; its edges at the threshold make components, in which saturated lists are enlarged to the whole component
-    and every pair is confirmed in double precision.
+    finds the recall. Each link met between components joins them; a list filled by links is enlarged beyond its
+    component, and to the whole of it in the end, where every pair is confirmed in double precision. Links that an audit
+    misses are added; RuntimeError if AUDITS audits do not find the recall.
 
     Null, empty or zero vectors, null or non-finite components: no links, a component of their own, kept. Vectors of
     different lengths do not link. Repeated rows link like any equal vectors; equal vec_ids are not told apart in
@@ -209,16 +263,22 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     keyed = written(own.filter(sound()).withColumn("class", digest), "vectors")
     nodes = keyed.groupBy("class").agg(F.min("vec_id").alias("first_vec"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    graph = written(starting_graph(nodes), "graph")
-    part = linked_parts(graph)
-    for _ in range(ROUNDS):
-        graph = written(nearest(graph.unionByName(refine(graph, nodes))), "graph")
-        if joins(graph, part):
-            part = linked_parts(graph)
+    part = nodes.sparkSession.createDataFrame([], "node long, component long")
+    graph = written(nearest(starting_graph(nodes), part), "graph")
+    part, turn = joined(part, linking(graph)), 0
+    while True:
+        graph = written(nearest(graph.select("u", "v", "s").unionByName(refine(graph, nodes, part)), part), "graph")
+        if not linking(graph).isEmpty():
+            part = joined(part, linking(graph))
             continue
-        true, held = audit(nodes, part)
-        if held >= RECALL * true:
+        true, missed, lost = audit(nodes, part, turn)
+        if lost:
+            part = joined(part, missed)
+        if true - lost >= RECALL * true:
             break
+        turn += 1
+        if turn == AUDITS:
+            raise RuntimeError(f"{true - lost} of {true} audited links found, fewer than {RECALL:.0%}")
     counts = complete(nodes, part)
     first = part.join(nodes.select(F.col("id").alias("node"), "first_vec"), "node").groupBy("component").agg(F.min("first_vec").alias("linked"))
     linked = part.join(first, "component").select(F.col("node").alias("id"), "linked")

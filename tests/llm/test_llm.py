@@ -107,6 +107,34 @@ def test_embedding(spark):
     assert embedding.near_vectors(made.limit(0)).count() == 0
 
 
+def test_embedding_links_between_full_lists(spark):
+    rng = np.random.default_rng(9)
+    noise = rng.normal(size=(160, 32))
+    noise[:, :2] = 0
+    centre = np.zeros((160, 32))
+    centre[:, 0] = 1
+    centre[80:, :2] = 0.95, np.sqrt(1 - 0.95**2)
+    x = np.sqrt(0.97) * centre + np.sqrt(0.03) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    y = x.astype(np.float32).astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    s = y @ y.T
+    assert s[:80, :80].min() > s[:80, 80:].max() > 0.9  # ten nearest: all of the own group
+    made = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embedding.near_vectors(made).collect()}
+    assert [got[k].n_links for k in range(160)] == ((s >= 0.9).sum(axis=1) - 1).tolist()
+    assert {r.component_id for r in got.values()} == {0}
+
+
+def test_embedding_raises_below_recall(spark, monkeypatch):
+    x = np.eye(40, 64)
+    x[20:] = x[:20] + 0.01 * np.eye(64)[40:60]
+    made = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(embedding, "AUDITS", 1)
+    monkeypatch.setattr(embedding, "linking", lambda graph: graph.limit(0))
+    with pytest.raises(RuntimeError, match="0 of 40 audited links"):
+        embedding.near_vectors(made)
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 1, "assistant", "b # </turn> \\"), (1, 0, "user", None), (2, 0, "tool: x", "### User: \n"), (None, 0, None, "z"), (1, 1, "assistant", "b # </turn> \\")]
     rows += [(3, k, "user" if k % 2 else "assistant", f"t{k} " * 3) for k in range(80)]
