@@ -16,9 +16,7 @@ from sphygmo.llm.common import WORD, table, written
 
 #: Characters of a gram: the models predict a character of a word from the ORDER - 1 before it.
 ORDER = 6
-#: The models keep this many grams at most: those of the highest counts (a count cut-off, found from a histogram).
-GRAMS = 1_500_000
-#: Labelled documents on which the score is fitted at most; the models' counts take all labelled documents.
+#: Labelled documents on which the score is fitted at most; the models' counts take all others that are not held out.
 FITTED = 20_000
 #: A document is predicted toxic from this score on; words whose ratios a worker keeps.
 CUT, KEPT_WORDS = 0.3, 400_000
@@ -184,32 +182,29 @@ def _fold():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
 
 
-def train(docs: DataFrame, labels: DataFrame, grams: int = GRAMS, fitted: int = FITTED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fitted: int = FITTED) -> Model:
     """Models and score from the labelled documents whose crc32(doc_id as text) mod 4 is not 2.
 
-    Remainders 0 and 1 give the counts, all of them; 3 the weights of the score, from ``fitted`` documents at most, so
-    that the score is fitted on words which the counts have not seen. Labels other than 0 and 1, and documents without
-    doc_id, are not used; of several labels of a doc_id the highest holds. The driver gets the grams above the count
-    cut-off, ``grams`` at most, and broadcasts the ratios made of them.
+    Of remainder 3, ``fitted`` documents at most give the weights of the score, so that it is fitted on words which the
+    counts have not seen; its other documents and remainders 0 and 1 give the counts, all of them. Labels other than 0
+    and 1, and documents without doc_id, are not used; of several labels of a doc_id the highest holds. The driver gets
+    all distinct grams, 40 bytes each, and broadcasts the ratios made of them: its memory bounds the distinct grams, and
+    beyond it the query fails.
     """
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("fold", _fold()).filter("fold <> 2")
     texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").filter(_fold() != 2)
-    labelled = texts.filter(_fold() < 2).join(known, "doc_id")
-    words = written(word_counts(labelled), "words")
-    counts = written(gram_counts(words), "grams")
-    by_count = counts.groupBy(F.least(F.col("toxic") + F.col("ordinary"), F.lit(1000)).alias("c")).count().orderBy(F.desc("c")).collect()  # 1000 rows at most
-    least, seen = 1001, 0
-    for c, n in by_count:
-        if seen + n > grams and seen:
-            break
-        least, seen = c, seen + n
-    kept = counts.filter(F.col("toxic") + F.col("ordinary") >= least).toArrow()
-    chars = np.frombuffer(b"".join(kept.column("gram").to_pylist()), "<u4").reshape(-1, ORDER)
-    model = Model(*kneser_ney(chars, kept.column("toxic").to_numpy(), kept.column("ordinary").to_numpy()), np.zeros(5))
+    chosen = written(known.filter("fold = 3").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fitted).select("doc_id", "toxic"), "fitted")
+    if chosen.count() < fitted:  # none of remainder 3 is over: its texts stay out of the join
+        counted = texts.filter(_fold() < 2).join(known, "doc_id")
+    else:
+        counted = texts.join(known.join(F.broadcast(chosen), "doc_id", "left_anti"), "doc_id")
+    words = written(word_counts(counted), "words")
+    counts = written(gram_counts(words), "grams").toArrow()
+    chars = np.frombuffer(b"".join(counts.column("gram").to_pylist()), "<u4").reshape(-1, ORDER)
+    model = Model(*kneser_ney(chars, counts.column("toxic").to_numpy(), counts.column("ordinary").to_numpy()), np.zeros(5))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = known.filter("fold = 3").orderBy(F.xxhash64("doc_id")).limit(fitted).select("doc_id", "toxic")  # bounded: broadcast
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # bounded: broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, float] = {}

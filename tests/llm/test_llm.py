@@ -217,6 +217,17 @@ def test_toxicity_held_out(spark):
     assert sum(got) > 0.97 * len(got)
 
 
+def test_toxicity_counts_all_grams_and_documents(spark):
+    fold = {r: [k for k in range(40) if zlib.crc32(str(k).encode()) % 4 == r] for r in (0, 3)}
+    letters = np.random.default_rng(8).integers(97, 123, (260_000, 9), np.uint8)
+    many = " ".join(r.tobytes().decode() for r in letters)  # over 1.5 million grams that stand once
+    rows = [(fold[0][0], "common zzgrumf " + many), (fold[0][1], "common plain"), *((k, "common blarghx") for k in fold[3])]
+    labels = spark.createDataFrame([(k, int(k != fold[0][1])) for k, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, fitted=1)
+    chars, _ = toxicity._grams(["zzgrumf", "blarghx"])
+    assert len(model.gram) > 1_500_000 and np.isin(toxicity._code(chars), model.gram).all()
+
+
 def test_mixing(spark, edge, docs):
     got = mixing.mix(docs).collect()
     by = {}
