@@ -192,15 +192,6 @@ def test_licenses(spark, edge):
     assert licenses.scan_licenses(files).count() == len(EDGE) and licenses.scan_licenses(files.limit(0)).count() == 0
 
 
-def test_toxicity_edges(spark, edge, docs):
-    labels = table(spark, SF, "labels")
-    model = toxicity.train(docs, labels)
-    scored = toxicity.score(edge, model).collect()
-    assert all(0 <= r.toxic_score <= 1 for r in scored) and len(scored) == len(EDGE)
-    none = toxicity.train(docs, labels.limit(0))
-    assert toxicity.score(edge, none).filter("toxic_score >= 0.51").count() == 0
-
-
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(2)
     words = ["".join(rng.choice(list("aeioukstr"), 5)) for _ in range(400)]
@@ -213,21 +204,13 @@ def test_toxicity_held_out(spark):
         marks.append((k, int(k % 6 == 0)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert (model.weights[1:] >= 0).all() and model.weights[1:].sum() > 0
+    plain = " ".join(words[:40])
+    assert model.score([plain + " zzgrumf blarghx"])[0] > model.score([plain])[0]
     got = [(r.toxic_score >= toxicity.CUT) == (r.doc_id % 6 == 0) for r in toxicity.score(docs, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert sum(got) > 0.97 * len(got)
 
 
-def test_toxicity_counts_all_grams_and_documents(spark):
-    fold = {r: [k for k in range(40) if zlib.crc32(str(k).encode()) % 4 == r] for r in (0, 3)}
-    letters = np.random.default_rng(8).integers(97, 123, (260_000, 9), np.uint8)
-    many = " ".join(r.tobytes().decode() for r in letters)  # over 1.5 million grams that stand once
-    rows = [(fold[0][0], "common zzgrumf " + many), (fold[0][1], "common plain"), *((k, "common blarghx") for k in fold[3])]
-    labels = spark.createDataFrame([(k, int(k != fold[0][1])) for k, _ in rows], "doc_id long, toxic int")
-    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, fitted=1)
-    chars, _ = toxicity._grams(["zzgrumf", "blarghx"])
-    assert len(model.gram) > 1_500_000 and np.isin(toxicity._code(chars), model.gram).all()
-
-
 def test_mixing(spark, edge, docs):
     got = mixing.mix(docs).collect()
     by = {}
