@@ -17,8 +17,6 @@ Template = Callable[[list[tuple[str, str]]], str]
 
 _NAMES = {"system": "System", "user": "User", "assistant": "Assistant"}
 _ROLES = {v: k for k, v in _NAMES.items()}
-#: Turns rendered together; longer conversations are rendered in windows and checked against one whole rendering.
-WINDOW = 32
 
 
 def escape(text: str) -> str:
@@ -62,45 +60,24 @@ def _probe(template: Template, before: list[tuple[str, str]], role: str) -> tupl
     return ahead, _common(a[::-1], b[::-1])
 
 
-def _window(template: Template, turns: list[tuple[str, str]], start: int, stop: int) -> tuple[list[tuple], list[int], str]:
-    """Spans of turns start to stop in the rendering of turns[start - 1 : stop], relative to where turn ``start`` begins;
-    the turns whose rendering rewrote what stood before; and the text from there."""
-    first = max(0, start - 1)
-    before = template(turns[first:start]) if start > first else ""
-    base, spans, rewritten = len(before), [], []
-    for k in range(start, stop):
-        now = template(turns[first : k + 1])
-        same = _common(before, now)
-        if same < len(before):  # a closing part may have moved behind the new turn; anything else rewrites history
-            tail = before[same:]
-            if not now.endswith(tail):
-                rewritten.append(k)
-        ahead, behind = _probe(template, turns[first:k], turns[k][0])
-        spans.append((same - base, len(now) - base, ahead - base, len(now) - behind - base))
-        before = now
-    return spans, rewritten, before[base:]
-
-
 def locate(template: Template, turns: list[tuple[str, str]]) -> tuple[str, list[tuple], list[int]]:
     """The formatted conversation, (start, end, text start, text end) of each turn, and the turns that rewrote history.
 
-    Successive turn prefixes are rendered and consecutive outputs compared. Up to WINDOW turns this covers the whole
-    prefix each time. Longer conversations are rendered in windows that begin with the turn before; their parts must
-    add up to one whole rendering, or all prefixes are rendered whole after all.
+    Every prefix of the turns is rendered whole and compared with the one before, however long the conversation, so that
+    a rewrite which a later turn undoes is seen too. What is new since the last prefix is the turn's span; a closing part
+    may have moved behind it, anything else that changed has rewritten history. Two one-letter texts in the turn's place
+    tell how much of the span is the template's. The work grows with the square of a conversation's length.
     """
-    whole = template(turns)
-    if len(turns) > WINDOW:
-        out, parts, at, rewrote = [], [], 0, []
-        for start in range(0, len(turns), WINDOW):
-            spans, rewritten, part = _window(template, turns, start, min(len(turns), start + WINDOW))
-            out += [tuple(at + v for v in s) for s in spans]
-            parts.append(part)
-            rewrote += rewritten
-            at += len(part)
-        if not rewrote and "".join(parts) == whole:
-            return whole, out, []
-    spans, rewritten, _ = _window(template, turns, 0, len(turns))
-    return whole, spans, rewritten
+    before, spans, rewritten = template([]), [], []
+    for k, (role, _) in enumerate(turns):
+        now = template(turns[: k + 1])
+        same = _common(before, now)
+        if not now.endswith(before[same:]):
+            rewritten.append(k)
+        ahead, behind = _probe(template, turns[:k], role)
+        spans.append((same, len(now), ahead, len(now) - behind))
+        before = now
+    return before, spans, rewritten
 
 
 _SPANS = "array<struct<role:string,start:int,end:int,text_start:int,text_end:int>>"
@@ -171,6 +148,7 @@ EXTRA = (-7, r"\### Assistant: </turn> ok")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the one that tests escapes, formatted and read back: one row each."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     conv, text = EXTRA
     extra = spark.createDataFrame([(conv, 0, "user", text), (conv, 1, "assistant", text)], rows.schema)

@@ -21,8 +21,8 @@ THRESHOLD = 0.9
 LISTS, ORDERS, PLANES, BLOCK = 10, 6, 20, 96
 #: Rounds go on while they join components; then an audit must find this recall, in one of so many audits.
 AUDITS, RECALL = 10, 0.95
-#: Links that make components are taken this far below the threshold; all counts are by the threshold itself.
-SLACK = 1e-9
+#: Cosines this near the threshold are computed again, in one fixed order of sums, so that every stage decides alike.
+NEAR = 1e-12
 #: Vectors that the audit compares with all others, and members of a component that one task compares.
 AUDITED, TILE = 256, 1024
 
@@ -46,11 +46,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of unit vectors; those near the threshold do not depend on how the product is cut into blocks."""
+    s = x @ y.T
+    i, j = np.nonzero(np.abs(s - THRESHOLD) <= NEAR)
+    for k in range(0, len(i), 4096):
+        a, b = i[k : k + 4096], j[k : k + 4096]
+        s[a, b] = (x[a] * y[b]).sum(axis=1)
+    return s
+
+
 def _cosines(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Cosines of all rows with each other in double precision; -1 where dimensions differ."""
     x = _unit(_matrix(column))
     n = pa.compute.list_value_length(column).to_numpy()
-    s = x @ x.T
+    s = _products(x, x)
     return s if (n == n[0]).all() else np.where(n[:, None] == n[None, :], s, -1.0)
 
 
@@ -70,7 +80,7 @@ def starting_graph(nodes: DataFrame, orders: int = ORDERS) -> DataFrame:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(1))
-            planes = np.random.Generator(np.random.PCG64(7)).standard_normal((1 << 14, orders * PLANES))[: x.shape[1]]
+            planes = np.random.Generator(np.random.PCG64(7)).standard_normal((x.shape[1], orders * PLANES))
             bits = (x @ planes > 0).reshape(len(x), orders, PLANES)
             codes = bits @ (1 << np.arange(PLANES, dtype=np.int64))
             for t in range(orders):
@@ -90,7 +100,8 @@ def starting_graph(nodes: DataFrame, orders: int = ORDERS) -> DataFrame:
         if held is not None and held.num_rows > 1:
             yield found(held)
 
-    coded = nodes.select("id", "embedding").mapInArrow(code, "order int, code long, id long, embedding array<float>")
+    kind = nodes.schema["embedding"].dataType.simpleString()
+    coded = nodes.select("id", "embedding").mapInArrow(code, f"order int, code long, id long, embedding {kind}")
     dealt = coded.withColumn("tie", F.xxhash64("order", "id")).repartitionByRange("order", "code", "tie").sortWithinPartitions("order", "code", "tie")
     return dealt.select("id", "embedding").mapInArrow(runs, "u long, v long, s double")
 
@@ -114,7 +125,7 @@ def _kept(name: np.ndarray, label: np.ndarray, s: np.ndarray, floor: np.ndarray
     the list of a node in a dense group, its LISTS nearest outside its component above its other floor.
     """
     s = np.where(name[:, None] == name[None, :], -2.0, s)
-    edges, label = _forest(label, s >= THRESHOLD - SLACK)
+    edges, label = _forest(label, s >= THRESHOLD)
     low = np.full(len(name), -2.0)
     k = min(LISTS, len(name) - 1)
 
@@ -126,7 +137,7 @@ def _kept(name: np.ndarray, label: np.ndarray, s: np.ndarray, floor: np.ndarray
     i, j = above(s, low if floor is None else floor)
     far = np.where(label[:, None] == label[None, :], -2.0, s)
     if far_floor is None:
-        far_floor = np.where((s >= THRESHOLD - SLACK).sum(axis=1) >= LISTS, -2.0, 2.0)
+        far_floor = np.where((s >= THRESHOLD).sum(axis=1) >= LISTS, -2.0, 2.0)
     a, b = above(far, far_floor)
     x, y = np.array(edges, int).reshape(-1, 2).T
     pairs = np.unique(np.stack([np.concatenate([i, a, x, y]), np.concatenate([j, b, y, x])]), axis=1)
@@ -144,7 +155,7 @@ def nearest(edges: DataFrame, part: DataFrame, k: int = LISTS) -> DataFrame:
     component too; and each link between components. Each neighbour once."""
     w = Window.partitionBy("u").orderBy(F.desc("s"), "v")
     beyond = Window.partitionBy("u").orderBy(F.desc("far"), F.desc("s"), "v")
-    link = F.col("s") >= THRESHOLD - SLACK
+    link = F.col("s") >= THRESHOLD
     once = sided(edges.groupBy("u", "v").agg(F.max("s").alias("s")), part)
     ranked = once.withColumn("r", F.row_number().over(w)).withColumn("q", F.row_number().over(beyond))
     full = F.count(F.when(link, 1)).over(Window.partitionBy("u")) >= k
@@ -167,7 +178,7 @@ def refine(graph: DataFrame, nodes: DataFrame, part: DataFrame) -> DataFrame:
         lowest(F.min(F.when(F.col("far"), F.col("s"))), F.count(F.when(F.col("far"), 1))).alias("beyond"),
     )
     # only links fill a list: else whatever is outside the component comes by the first floor
-    floor = floor.withColumn("beyond", F.when(F.col("floor") >= THRESHOLD - SLACK, F.col("beyond")).otherwise(F.lit(2.0)))
+    floor = floor.withColumn("beyond", F.when(F.col("floor") >= THRESHOLD, F.col("beyond")).otherwise(F.lit(2.0)))
     own = part.withColumnRenamed("node", "v").withColumnRenamed("component", "part")
     known = nodes.select(F.col("id").alias("v"), "embedding").join(floor.withColumnRenamed("u", "v"), "v", "left").join(own, "v", "left")
     met = around.select("u", "v").distinct().join(known, "v")
@@ -204,7 +215,7 @@ def audit(nodes: DataFrame, part: DataFrame, turn: int) -> tuple[int, DataFrame
 
 def linking(graph: DataFrame) -> DataFrame:
     """The links of the graph that join components."""
-    return graph.filter(F.col("far") & (F.col("s") >= THRESHOLD - SLACK))
+    return graph.filter(F.col("far") & (F.col("s") >= THRESHOLD))
 
 
 def joined(part: DataFrame, links: DataFrame) -> DataFrame:
@@ -216,7 +227,7 @@ def joined(part: DataFrame, links: DataFrame) -> DataFrame:
 def _cosines_between(column: pa.ChunkedArray, n: int) -> np.ndarray:
     x = _unit(_matrix(column))
     d = pa.compute.list_value_length(column).to_numpy()
-    return np.where(d[:n, None] == d[None, n:], x[:n] @ x[n:].T, -1.0)
+    return np.where(d[:n, None] == d[None, n:], _products(x[:n], x[n:]), -1.0)
 
 
 def complete(nodes: DataFrame, part: DataFrame) -> DataFrame:
@@ -252,14 +263,17 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     component, and to the whole of it in the end, where every pair is confirmed in double precision. Links that an audit
     misses are added; RuntimeError if AUDITS audits do not find the recall.
 
+    Vectors of floats stay floats until they are compared; any other numbers are taken as doubles.
+
     Null, empty or zero vectors, null or non-finite components: no links, a component of their own, kept. Vectors of
     different lengths do not link. Repeated rows link like any equal vectors; equal vec_ids are not told apart in
     component_id. Null vec_id: component_id the smallest of the others, null if alone. No rows: no rows. Other columns
     are ignored.
     """
-    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     # equal vectors by a digest of their values; -0.0 counts as 0.0
-    digest = F.md5(F.to_json(F.transform("embedding", lambda v: v + F.lit(0.0).cast("float"))))
+    digest = F.md5(F.to_json(F.transform("embedding", lambda v: v + F.lit(0.0).cast(kind))))
     keyed = written(own.filter(sound()).withColumn("class", digest), "vectors")
     nodes = keyed.groupBy("class").agg(F.min("vec_id").alias("first_vec"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
@@ -290,4 +304,22 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def op1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of ``embeddings``, whatever their labels: links, component and whether the vector is kept."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = f"""
+WITH RECURSIVE sound AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.n AS i, b.n AS j FROM sound a JOIN sound b ON a.n <> b.n AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}
+), reach(i, j) AS (SELECT n, n FROM sound UNION SELECT r.i, l.j FROM reach r JOIN links l ON r.j = l.i),
+least AS (SELECT r.i AS n, min(s.vec_id) AS component_id FROM reach r JOIN sound s ON s.n = r.j GROUP BY r.i),
+counts AS (SELECT i AS n, count(*) AS n_links FROM links GROUP BY i),
+found AS (
+  SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id FROM sound JOIN least USING (n) LEFT JOIN counts USING (n)
+  UNION ALL SELECT vec_id, 0, vec_id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM sound)
+)
+SELECT vec_id, CAST(n_links AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM found
+"""

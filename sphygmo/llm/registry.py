@@ -18,4 +18,4 @@ QUERIES = {
 }
 
 #: The others are not SQL: their tests hold them against brute force or an exact round trip.
-SQL = {"op2_chat": chat.OP2_SQL, "op4_licenses": licenses.OP4_SQL, "op7_mixing": mixing.OP7_SQL}
+SQL = {"op1_embedding": embedding.OP1_SQL, "op2_chat": chat.OP2_SQL, "op4_licenses": licenses.OP4_SQL, "op7_mixing": mixing.OP7_SQL}

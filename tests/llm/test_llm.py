@@ -102,7 +102,7 @@ def test_embedding(spark):
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     links = (y @ y.T >= 0.9).sum(axis=1) - 1
     assert [got[k].n_links for k in range(400)] == links.tolist()
-    assert got[130].component_id == 100 and got[301].component_id == 300
+    assert [got[k].component_id for k in range(400)] == [min([j for j in range(400) if y[k] @ y[j] >= 0.9]) for k in range(400)]
     assert all(got[k].n_links == 0 and got[k].kept for k in range(900, 905))
     assert embedding.near_vectors(made.limit(0)).count() == 0
 
@@ -125,6 +125,32 @@ def test_embedding_links_between_full_lists(spark):
     assert {r.component_id for r in got.values()} == {0}
 
 
+def test_embedding_at_the_threshold(spark):
+    def pair(cosine, dims, at):
+        x, y = np.zeros(dims), np.zeros(dims)
+        x[at], y[at], y[at + 1] = 1, cosine, np.sqrt(1 - cosine**2)
+        return x, y
+
+    rows, want = [], {}
+    for k, c in enumerate((0.9 - 1e-9, 0.9 + 1e-9, 0.9 - 6e-10, 0.9 - 1e-13, 0.9 + 1e-13)):
+        for j, v in enumerate(pair(c, 16, 2 * k)):
+            rows.append((10 * k + j, v.tolist()))
+            want[10 * k + j] = (int(c > 0.9), 10 * k if c > 0.9 else 10 * k + j)
+    rows += [(None, [1e-200] + [0.0] * 15), (70, [-1e200] + [0.0] * 14 + [1e-30]), (71, [-1.0] + [0.0] * 15)]
+    got = {r.vec_id: r for r in embedding.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {k: (got[k].n_links, got[k].component_id) for k in want if k > 1} == {k: v for k, v in want.items() if k > 1}
+    assert got[None].n_links == got[0].n_links == 1 and got[None].component_id == 0  # a null id is never the smallest
+    assert (got[70].n_links, got[70].component_id, got[71].kept) == (1, 70, False)
+
+
+def test_embedding_of_many_dimensions(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6, 20_000))
+    x[3] = x[2] + 0.01 * rng.normal(size=20_000)
+    made = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    assert [(r.n_links, r.component_id) for r in sorted(embedding.near_vectors(made).collect())] == [(0, 0), (0, 1), (1, 2), (1, 2), (0, 4), (0, 5)]
+
+
 def test_embedding_raises_below_recall(spark, monkeypatch):
     x = np.eye(40, 64)
     x[20:] = x[:20] + 0.01 * np.eye(64)[40:60]
@@ -155,6 +181,10 @@ def test_chat_finds_rewrites():
     def closing(turns):
         return "".join(f"<{r}>{t}\n" for r, t in turns) + "<end>"
 
+    def undoing(turns):  # hides the first text while exactly 40 turns are there
+        return "".join(f"<{r}>{'...' if k == 0 and len(turns) == 40 else t}\n" for k, (r, t) in enumerate(turns))
+
+    assert chat.locate(undoing, [("user", f"t{k}") for k in range(90)])[2] == [39, 40]
     turns = [("user", "a"), ("assistant", "long answer"), ("user", "b"), ("assistant", "c")]
     assert chat.locate(forgetful, turns)[2] == [3]
     text, spans, rewritten = chat.locate(closing, turns)
@@ -290,9 +320,32 @@ def test_sharding(spark, docs, edge, tmp_path):
     for k in range(8):
         assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
     assert sharding.shard_documents(edge).count() == len(EDGE) and sharding.shard_documents(edge.limit(0)).count() == 0
+
+
+def test_resharding_moves_little(spark, docs):
     placed = sharding.shard_documents(docs)
-    sharding.rewrite(docs, placed, str(tmp_path / "shards"))
-    assert spark.read.parquet(str(tmp_path / "shards")).count() == docs.count()
+    sizes = [r[1] for r in sorted(placed.groupBy("old_shard").agg(F.sum("size")).collect())]
+    least = sum(max(0, s - c) for s, c in zip(sizes, sharding.even(sum(sizes), sharding.NEW)))
+    # each cut between two targets of an old shard falls within one text
+    slack = sharding.OLD * sharding.NEW * docs.agg(F.max(F.octet_length("text"))).first()[0]
+    assert abs(sharding.moved_bytes(placed) - least) <= slack
+
+
+def test_rewrite_of_a_layout(spark, docs, edge, tmp_path):
+    made = docs.drop("n_chars").withColumn("shard", F.lit("s")).withColumn("slot", F.lit(None).cast("string")).withColumn("size", F.lit(1))
+    more = edge.filter("doc_id is null or doc_id <> 5").select("doc_id", "text", "lang", "source", F.lit("t").alias("shard"), F.lit("u").alias("slot"), F.lit(2).alias("size"))
+    made = made.unionByName(more).unionByName(made.filter("doc_id < 7"))  # null and repeated doc_ids, clashing names
+    first = sharding.store(made, str(tmp_path / "v1"))
+    same = lambda m: sorted(map(str, sharding.read_layout(m).select("row.*").collect())) == sorted(map(str, made.collect()))
+    assert same(first) and first.count() == sharding.OLD
+    second = sharding.rewrite(first, str(tmp_path / "v2"))
+    assert same(second) and same(first) and second.count() == sharding.NEW
+    size = {r[0]: r[1] for r in sharding.read_layout(second).groupBy("shard").agg(F.sum(F.octet_length("row.text"))).collect()}
+    assert max(size.values()) < 1.2 * min(size.values())
+    for shard, rows in sharding.read_layout(second).groupBy("shard").agg(F.sort_array(F.collect_list("slot"))).collect():
+        assert rows == list(range(len(rows))), shard
+    third = sharding.rewrite(second, str(tmp_path / "v3"), sharding.NEW)  # as good as even: little or nothing to write
+    assert same(third) and sharding.rewrite(third.limit(0), str(tmp_path / "v4")).count() == 0
 
 
 def test_media(spark, edge):
