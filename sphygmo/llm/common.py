@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,32 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def segments(texts: list[str], rows: int, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of segments of at most ``rows`` texts and, unless one text alone has more, ``chars`` characters."""
+    start, size = 0, 0
+    for k, t in enumerate(texts):
+        if k > start and (k - start == rows or size + len(t) > chars):
+            yield start, k
+            start, size = k, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def id_filter(rows: DataFrame, ids: DataFrame, key: str, words: int = 1 << 18) -> DataFrame:
+    """``rows`` and ``_perhaps``: whether their long ``key`` may be among ``ids``; false for none that is.
+
+    One hash of 64 * ``words`` bits, so of a size that does not grow with ``ids`` and can be broadcast. With more ids
+    than bits it says yes to all. Null keys: false.
+    """
+    hashed = F.xxhash64(F.col(key).cast("long"))
+    word, bit = F.pmod(F.shiftright(hashed, 6), F.lit(words)), F.pmod(hashed, F.lit(64)).cast("int")
+    bits = ids.filter(F.col(key).isNotNull()).select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    marked = rows.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(bits), "_word", "left")
+    hit = F.coalesce(F.getbit("_bits", F.col("_bit")) == 1, F.lit(False)) & F.col(key).isNotNull()
+    return marked.withColumn("_perhaps", hit).drop("_word", "_bit", "_bits")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one of this
     machine if Spark runs on it alone; RuntimeError on a cluster, where the executors would not see such a folder."""

@@ -110,6 +110,7 @@ def as_files(docs: DataFrame) -> DataFrame:
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of each document, its own or that of the nearest directory above it."""
     found = scan_licenses(as_files(table(spark, sf_dir, "documents")))
     return found.select(F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long").alias("doc_id"), "path", "license", "similarity", "licensed_by")
 

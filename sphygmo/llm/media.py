@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sphygmo.llm.common import table
+from sphygmo.llm.common import segments, table
 
 #: Samples (8 bit, one channel) a second, and samples in a packet of a stored payload.
 RATE, PACKET = 8000, 4000
@@ -157,9 +157,9 @@ def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
-                raw = [(t.as_py() or "").encode() for t in part.column(1)]
+            whole = [t.as_py() or "" for t in batch.column(1)]
+            for k, end in segments(whole, 128):
+                part, raw = batch.slice(k, end - k), [t.encode() for t in whole[k:end]]
                 media = [write_media(r + bytes(max(UNIT, -(-len(r) // UNIT) * UNIT) - len(r))) for r in raw]
                 yield pa.record_batch([part.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -186,4 +186,5 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as an Ogg stream of 8-bit samples, read back: digests and features."""
     return media_features(with_media(table(spark, sf_dir, "documents")))

@@ -78,17 +78,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     The plan goes back to the documents by (doc_id, source, size); rows that agree in all three share their copies
     evenly. Documents without words add nothing to a mix and are kept or left out like all others.
     """
-    key = ["doc_id", "source", "size"]
-    plan = mix(docs, **options).groupBy(F.struct(*key).alias("_key")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    plan = mix(docs, **options).groupBy(F.struct("doc_id", "source", "size").alias("key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    keyed = docs.withColumn("_key", F.struct("doc_id", "source", size.alias("size"))).join(plan.filter("_copies > 0"), "_key")
-    place = F.row_number().over(Window.partitionBy("_key").orderBy("_key")) - 1
-    own = F.floor((place + 1) * F.col("_copies") / F.col("_rows")) - F.floor(place * F.col("_copies") / F.col("_rows"))
-    copies = keyed.withColumn("_own", own.cast("int")).filter("_own > 0")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*docs.columns)
+    # a document is one struct here, so its columns may have any names
+    keyed = docs.select(F.struct("*").alias("row"), F.struct("doc_id", "source", size.alias("size")).alias("key")).join(plan.filter("copies > 0"), "key")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("key")) - 1
+    own = F.floor((place + 1) * F.col("copies") / F.col("n")) - F.floor(place * F.col("copies") / F.col("n"))
+    taken = keyed.withColumn("own", own.cast("int")).filter("own > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("own")))).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all ``documents`` takes of each."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 

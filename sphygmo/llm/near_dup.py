@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sphygmo.llm.common import table, written
+from sphygmo.llm.common import WORD, id_filter, segments, table, written
 from sphygmo.llm.graph import by_group, components
 
 #: Words in a shingle; links at or above this Jaccard similarity, in hundredths.
@@ -116,11 +116,12 @@ def _minima(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class, signature, bands): the set's size, its 128-bit digest, 16 bits of each hash, band keys."""
+    """(doc_id, n_shingles, class, signature, bands, digest): the set's size, its 128-bit digest, 16 bits of each hash, band
+    keys, and the digest of the text itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_of = HASHES // BANDS
-        names = ["doc_id", "n_shingles", "class", "signature", "bands"]
+        names = ["doc_id", "n_shingles", "class", "signature", "bands", "digest"]
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part, out = batch.slice(k, 512), []
@@ -132,9 +133,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                     keys = _mix((low.reshape(BANDS, rows_of) * _PLACE[None, :rows_of]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
                     out.append((len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest(), (_mix(low) >> _U(48)).astype("<u2").tobytes(), keys.view(np.int64)))
                 n, name, sig, bands = zip(*out, strict=True)
-                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(name, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names)
+                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(name, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64())), part.column(2)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, class binary, signature binary, bands array<long>")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, F.md5(text)).mapInArrow(run, "doc_id long, n_shingles long, class binary, signature binary, bands array<long>, digest string")
 
 
 def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
@@ -211,8 +213,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                found = [x.tobytes() for x in shingle_sets([t.as_py() for t in batch.column(0).slice(k, 256)]) if len(x)]
+            texts = [t.as_py() or "" for t in batch.column(0)]
+            for k, end in segments(texts, 256):
+                found = [x.tobytes() for x in shingle_sets(texts[k:end]) if len(x)]
                 yield pa.record_batch([pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in found], pa.binary()), pa.array(found, pa.binary())], ["class", "set"])
 
     ids = wanted.select(F.col("first_doc").alias("doc_id")).distinct()
@@ -288,22 +291,8 @@ def outlier_links(large: DataFrame, part: DataFrame, slim: DataFrame, sets: Data
     return by_group(rows.select("_k", "out", "class", "component", "n_shingles", "signature", "set"), "_k", work, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
-
-    Documents with one and the same set are one class, and everything runs on classes. Signatures are cut into bands;
-    classes that share a band are candidates. Small buckets give all their pairs (equal member lists once); of a large
-    bucket each member is first held against one of them. Candidates' signatures are compared a batch at a time and
-    dropped when the posterior allows; survivors are verified on their full sets: first the likeliest pair of each
-    class, then those that would still join two components. What large buckets still hide is found among their outliers
-    (:func:`outlier_links`). So no link between different components is left out, and copies or near copies by the
-    thousand cost a star for each band.
-
-    component_id is the smallest doc_id of all rows of the linked classes (null ones last). Null and empty texts or texts
-    without words: n_shingles 0, a component of their own, kept. Repeated rows: the same class; rows that repeat a kept
-    doc_id are kept too. Null doc_id: kept only if nothing else is in its component. No rows: no rows. Other columns
-    are ignored.
-    """
+def _found(docs: DataFrame) -> DataFrame:
+    """:func:`near_duplicates`, and of each row the digest of its text and the class that stands for its component."""
     sigs = written(signatures(docs), "signatures")
     classes = sigs.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
@@ -334,11 +323,55 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     part = written(components(links.unionByName(hidden)), "parts")
 
     first = part.join(classes.select(F.col("class").alias("node"), "first_doc"), "node").groupBy("component").agg(F.min("first_doc").alias("linked"))
-    found = classes.select("class", "first_doc").join(part.join(first, "component").select(F.col("node").alias("class"), "linked"), "class", "left")
-    found = found.select("class", F.coalesce("linked", "first_doc").alias("_id"))
-    out = sigs.select("doc_id", "n_shingles", "class").join(found, "class", "left").withColumn("component_id", F.coalesce("_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    found = classes.select("class", "first_doc").join(part.join(first, "component").select(F.col("node").alias("class"), "component", "linked"), "class", "left")
+    found = found.select("class", F.coalesce("linked", "first_doc").alias("_id"), F.coalesce("component", "class").alias("_group"))
+    out = sigs.select("doc_id", "n_shingles", "class", "digest").join(found, "class", "left").withColumn("component_id", F.coalesce("_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "digest", F.col("_group").alias("group"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
+
+    Documents with one and the same set are one class, and everything runs on classes. Signatures are cut into bands;
+    classes that share a band are candidates. Small buckets give all their pairs (equal member lists once); of a large
+    bucket each member is first held against one of them. Candidates' signatures are compared a batch at a time and
+    dropped when the posterior allows; survivors are verified on their full sets: first the likeliest pair of each
+    class, then those that would still join two components. What large buckets still hide is found among their outliers
+    (:func:`outlier_links`). So no link between different components is left out, and copies or near copies by the
+    thousand cost a star for each band.
+
+    component_id is the smallest doc_id of all rows of the linked classes (null ones last). Null and empty texts or texts
+    without words: n_shingles 0, a component of their own, kept. Repeated rows: the same class; rows that repeat a kept
+    doc_id are kept too. Null doc_id: kept only if nothing else is in its component. No rows: no rows. Other columns
+    are ignored.
+    """
+    return _found(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one of each group of near duplicates, that with the smallest doc_id
+    (null ones last; of several with that doc_id the one with the smallest digest of its text; of rows equal in both, the
+    one with the smallest hash of all its columns). Rows without words are in no group and all stay. No rows: no rows.
+
+    Most rows are settled where they are read: a bit filter tells that their doc_id neither goes nor repeats. Only the
+    others, with their texts, meet the list of what stays in a join.
+    """
+    found = written(_found(docs).filter("n_shingles > 0").select("doc_id", "digest", "group"), "found")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    stay = found.groupBy("group").agg(F.min(row).alias("s")).select("s.none", "s.doc_id", "s.digest")
+    stay = written(stay, "stay")
+    once = found.groupBy("doc_id").agg(F.count("*").alias("n"))
+    settled = stay.filter("not none").select("doc_id").join(once.filter("n = 1"), "doc_id").select("doc_id")
+    doubt = once.select("doc_id").filter("doc_id is not null").join(settled, "doc_id", "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False)).alias("words"))
+    marked = id_filter(rows, doubt.withColumnRenamed("doc_id", "id"), "id").withColumn("open", F.col("words") & (F.col("_perhaps") | F.col("id").isNull()))
+    rest = marked.filter("open").withColumn("digest", F.md5(F.col("row.text").cast("string"))).withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0)))
+    stay = stay.select("none", F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")
+    # repeated rows: partial minima before the shuffle, so a row in a third of the table is no hot group
+    rest = rest.join(stay.hint("merge"), ["none", "id", "digest"]).groupBy("none", "id", "digest").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return marked.filter("not open").select("row.*").unionByName(rest.select("row.*"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and whether it is kept, for every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -256,4 +256,5 @@ def default_tokenizer() -> str:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in sequences of at most CAPACITY tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), default_tokenizer()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

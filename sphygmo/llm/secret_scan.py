@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sphygmo.llm.common import table
+from sphygmo.llm.common import free_name, segments, table
 
 
 @dataclass(frozen=True)
@@ -166,20 +166,21 @@ def _matcher(rule: Rule) -> re.Pattern[str]:
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = 256) -> DataFrame:
-    """The rows of ``docs``, all columns, and ``spans``: array of (kind, start, end), by start, then rule order.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = 256, into: str = "spans") -> DataFrame:
+    """The rows of ``docs``, all columns, and the spans: array of (kind, start, end), by start, then rule order.
 
-    Each task indexes its texts in segments of ``rows``: the postings of the rules' trigrams are intersected as each
+    Each task indexes its texts in segments of at most ``rows`` texts and a million characters: the postings of the rules' trigrams are intersected as each
     rule's query asks, and the rule's regex then runs on the candidates alone, over their whole texts; rules without a
     mandatory trigram run on every text. Spans are in code points, ends exclusive. The index lives where the texts are
-    read, so no text is shuffled. Null text: no spans. Repeated rows: rows of their own. A column named ``spans`` in
-    ``docs`` is replaced.
+    read, so no text is shuffled. Null or empty text: no spans. Repeated rows: rows of their own. No rows: no rows.
+    ``into`` must not be a column of ``docs`` (ValueError).
     """
-    docs = docs.drop("spans")
+    if into in docs.columns:
+        raise ValueError(f"documents have a column {into}")
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted({g for q in queries for clause in q for g in clause}, key=lambda g: g.encode())
     at = docs.columns.index("text")
-    names = [*docs.columns, "spans"]
+    names = [*docs.columns, into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = np.array([int.from_bytes(g.encode(), "big") for g in grams], np.uint32)
@@ -189,9 +190,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = 256) -> D
         clauses = [[sorted(number[g] for g in c) for c in q] for q in queries]
         regexes = [_matcher(r) for r in rules]
         for batch in batches:
-            for k in range(0, batch.num_rows, rows):
-                part = batch.slice(k, rows)
-                texts = [t.as_py() or "" for t in part.column(at)]
+            whole = [t.as_py() or "" for t in batch.column(at)]
+            for k, end in segments(whole, rows):
+                part, texts = batch.slice(k, end - k), whole[k:end]
                 found: list[list[tuple]] = [[] for _ in texts]
                 segment = Segment(texts, codes, flags)
                 for order, (rule, regex) in enumerate(zip(rules, regexes, strict=True)):
@@ -202,7 +203,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = 256) -> D
                 spans = [[{"kind": x[3], "start": x[0], "end": x[2]} for x in sorted(f)] for f in found]
                 yield pa.record_batch([*part.columns, pa.array(spans, _SPANS)], names)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("spans", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
     return docs.mapInArrow(run, schema)
 
 
@@ -211,15 +212,18 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Overlapping spans are replaced as one, named by the first. Null texts stay null; texts without secrets stay as they are.
     """
+    into = free_name(docs, "spans")
+    text, spans = F.col("row.text"), F.col("spans")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    fresh = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"))
+    fresh = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"))
     within = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-    text = F.aggregate("spans", start, lambda acc, s: F.when(s["start"] >= acc["at"], fresh(acc, s)).otherwise(within(acc, s)), lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    hit = F.size("spans") > 0
-    out = scan(docs, rules).withColumn("_text", F.when(hit, text).otherwise(F.col("text")))
-    cols = {c: F.col(c) for c in docs.columns} | {"text": F.col("_text")}
+    clean = F.aggregate(spans, start, lambda acc, s: F.when(s["start"] >= acc["at"], fresh(acc, s)).otherwise(within(acc, s)), lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    hit = F.size(spans) > 0
+    out = scan(docs, rules, into=into).select(F.struct(*docs.columns).alias("row"), F.col(into).alias("spans"))
+    out = out.withColumn("text", F.when(hit, clean).otherwise(text))
+    cols = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in cols:
-        cols["n_chars"] = F.when(hit, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        cols["n_chars"] = F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(cols["n_chars"])
     return out.select(*[cols[c].alias(c) for c in docs.columns])
 
 
@@ -229,6 +233,7 @@ def joined(spans, kinds: list[str] | None = None):
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of the secrets in every whole text of ``documents``."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = [r.kind for r in BASE]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sphygmo.llm.common import free_name, table, written
+from sphygmo.llm.common import free_name, id_filter, table, written
 
 #: The models predict a symbol from the ORDER - 1 before it, across words. A symbol has BITS bits, so there are never
 #: more than 2 ** (ORDER * BITS) grams (16.8 million), nor more ratios to broadcast (8 bytes each), whatever the corpus.
@@ -22,8 +22,6 @@ SYMBOLS = 1 << BITS
 FITTED = 20_000
 #: Symbols of a passage; a document is predicted toxic from this score on.
 PASSAGE, CUT = 16, 0.3
-#: Words of 64 bits in the filter that keeps texts without labels out of the join with them.
-FILTER = 1 << 18
 #: Symbols handled at once in a long text.
 CHUNK = 1 << 20
 
@@ -201,15 +199,6 @@ def _fold() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
 
 
-def _perhaps_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id may be among ``ids``, all that are and few others: one hash of 64 * FILTER bits, so of a
-    size that does not grow. With more ids than bits it lets all pass, and the join that follows does the work alone."""
-    word, bit = F.pmod(F.shiftright(F.xxhash64("doc_id"), 6), F.lit(FILTER)), F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")
-    bits = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
-    marked = rows.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(bits), "_word")
-    return marked.filter(F.getbit("_bits", F.col("_bit")) == 1).select(*rows.columns)
-
-
 def train(docs: DataFrame, labels: DataFrame, fitted: int = FITTED) -> Model:
     """Models and score from the labelled documents whose crc32(doc_id as text) mod 4 is not 2.
 
@@ -224,7 +213,9 @@ def train(docs: DataFrame, labels: DataFrame, fitted: int = FITTED) -> Model:
     texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").filter(_fold() != 2)
     chosen = written(known.filter(_fold() == 3).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fitted).select("doc_id", "toxic"), "fitted")
     counted = known.join(F.broadcast(chosen), "doc_id", "left_anti")  # bounded by ``fitted``: broadcast
-    counts = written(gram_counts(_perhaps_in(texts, counted).hint("merge").join(counted, "doc_id")), "grams")
+    # texts without labels stay out of the shuffle, but for the few that the filter mistakes
+    likely = id_filter(texts, counted, "doc_id").filter("_perhaps").drop("_perhaps")
+    counts = written(gram_counts(likely.hint("merge").join(counted, "doc_id")), "grams")
     # at most 2 ** (ORDER * BITS) ratios of 8 bytes pass through the driver
     (gram, gram_ratio), (context, context_ratio) = ([c.to_numpy() for c in df.toArrow().columns] for df in kneser_ney(counts))
     model = Model(gram, gram_ratio, context, context_ratio, np.zeros(4))

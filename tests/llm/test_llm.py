@@ -78,6 +78,23 @@ def test_near_duplicates_brute_force(spark, docs):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_one_of_each(spark, docs):
+    made = docs.select("doc_id", "text", F.lit("x").alias("n"), F.lit("y").alias("group"), F.col("source").alias("digest"))
+    long_, other = " ".join(f"w{k}" for k in range(30)), " ".join(f"v{k}" for k in range(30))
+    rows = [(5001, long_), (5001, other), (5001, other), (5002, long_ + " z"), (None, other + " z"), (None, "alone here"), (None, "alone here"), (5003, None), (5003, ""), (5003, "")]
+    rows += [(None, "beside a null"), (5004, "beside a null")]
+    made = made.unionByName(spark.createDataFrame([(*r, "x", "y", "s") for r in rows], made.schema))
+    all_ = [(r.doc_id, r.text) for r in made.collect()]
+    sets = [shingles(t) for _, t in all_]
+    part = brute_components(sets, list(range(len(all_))))
+    want = [all_[k] for k in range(len(all_)) if not sets[k]]
+    for c in {c for k, c in enumerate(part) if sets[k]}:
+        want.append(min((all_[k] for k in range(len(all_)) if part[k] == c), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest())))
+    got = near_dup.one_of_each(made)
+    assert got.columns == made.columns and got.filter("n = 'x' and group = 'y'").count() == len(want)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+
+
 def test_near_duplicates_edges(spark, edge):
     got = sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(edge).collect())
     assert (False, 1, 0, 1, True) in got and (False, 6, 0, 6, True) in got
@@ -208,8 +225,12 @@ def test_secrets_brute_force(spark, docs):
 
 def test_secrets_edges(spark, edge):
     got = secret_scan.redacted(edge)
-    assert got.columns == edge.drop("spans").columns or got.columns == edge.columns
+    assert got.columns == edge.columns
+    assert sorted(str(r.spans) for r in got.collect()) == sorted(str(x[5]) for x in EDGE)
     texts = [r.text for r in got.collect()]
+    with pytest.raises(ValueError, match="spans"):
+        secret_scan.scan(edge)
+    edge = edge.drop("spans")
     assert "[assign] and\nLicensed under CC BY-NC 4.0." in texts and None in texts and LONG in texts
     assert secret_scan.scan(edge.limit(0)).count() == 0
 
@@ -254,7 +275,9 @@ def test_mixing(spark, edge, docs):
     assert sorted(mixing.mix(docs).collect()) == sorted(got)
     assert mixing.mix(edge).count() == len(EDGE) and mixing.mix(edge.limit(0)).count() == 0
     copies = mixing.mix(edge).agg(F.sum("copies")).first()[0]
-    assert mixing.mixed_documents(edge).count() == copies
+    odd = edge.select("*", F.lit("k").alias("key"), F.lit("o").alias("own"), F.lit(3).alias("copies"), F.lit("c").alias("_copies"))
+    mixed = mixing.mixed_documents(odd)
+    assert mixed.columns == odd.columns and mixed.filter("key = 'k' and own = 'o' and copies = 3 and _copies = 'c'").count() == copies
 
 
 def test_packing(spark, edge):
@@ -395,7 +418,7 @@ def test_pipeline_edges(spark, edge, tmp_path):
         out = stage(spark, edge, SF)
         assert out.count() >= 0 and stage(spark, edge.limit(0), SF).count() == 0
         if name == "near_duplicates":
-            assert sorted(r.doc_id for r in out.collect() if r.doc_id) == [1, 2, 3, 5, 6, 7]
+            assert sorted(r.doc_id for r in out.collect() if r.doc_id) == [1, 2, 3, 5, 6, 7] and out.columns == edge.columns
 
 
 def test_digests(spark):
