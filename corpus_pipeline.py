@@ -3,44 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sphygmo.llm import mixing, near_dup, packing, secret_scan, toxicity
 from sphygmo.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not predicted toxic; the models learn from the labels of the documents at hand."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("toxic_score") < toxicity.CUT).select(*docs.columns)
+    """The documents that are not predicted toxic; the models learn from the labels of the documents at hand.
+
+    Null and empty texts are judged by the score of no evidence; no labels: all stay. Repeated rows share their fate, rows
+    that repeat a doc_id with another text are judged by their own text. No rows: no rows. Columns may have any names.
+    """
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest doc_id; of rows that repeat it, one.
+    """One document of each group of near duplicates: that with the smallest doc_id; of rows that repeat it, one.
 
-    Documents without words are in no group and all stay.
+    Documents without words are in no group and all stay. Rows that repeat a doc_id with texts that are no near duplicates
+    are in groups of their own, and each group keeps one. No rows: no rows. Columns may have any names.
     """
-    found = near_dup.near_duplicates(docs)
-    keep = found.filter("kept or component_id is null").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-    same = docs["doc_id"].eqNullSafe(keep["doc_id"])
-    held = docs.join(keep.select("doc_id", "n"), same).drop(keep["doc_id"])
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), F.length("text").desc(), "text"))
-    return held.withColumn("_r", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), first).otherwise(F.lit(1))).filter("_r = 1").select(*docs.columns)
+    return near_dup.one_of_each(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced by their kinds."""
+    """All documents, with secrets in their texts replaced by their kinds; null and empty texts stay as they are.
+
+    Repeated rows: each. No rows: no rows. Columns may have any names.
+    """
     return secret_scan.redacted(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: each document as often as systematic sampling takes it."""
+    """The mix of the sources: each document as often as systematic sampling takes it.
+
+    Null sources are a source; documents without words are sampled like others; rows that agree in doc_id, source and size
+    share their copies evenly. No rows: no rows. Columns may have any names.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document of the mix stands in the training sequences."""
+    """Where each piece of each document of the mix stands in the training sequences.
+
+    Null and empty texts are one closing id; repeated rows are packed each; no rows: no rows. Other columns are left out.
+    """
     return packing.pack_documents(docs, packing.default_tokenizer())
 
 
