@@ -24,31 +24,70 @@ def delimiter(text: Column) -> Column:
     return F.when(count["tab"] > 0, "\t").when((most == 0) | (count["comma"] == most), ",").when(count["semicolon"] == most, ";").otherwise(" ")
 
 
-def numeric_share(text: Column) -> Column:
-    """Share of tokens that are numbers in the first ten lines, blanks left out, of the first 2048 characters."""
+def tokens_of(line: Column, delimiter_: Column) -> Column:
+    """A line's tokens; runs of white space part them if the delimiter is a space."""
+    return F.split(line, F.when(delimiter_ == " ", r"\s+").when(delimiter_ == "\t", "\t").otherwise(delimiter_))
+
+
+def numeric_share(text: Column, delimiter_: Column) -> Column:
+    """Share of tokens that are numbers in the first ten lines, blanks left out, of the first 2048 characters; without
+    tokens 1, as nothing speaks against numbers."""
     lines = F.slice(F.filter(F.split(F.substring(text, 1, 2048), "\n"), lambda x: F.trim(x) != ""), 1, 10)
-    tokens = F.filter(F.flatten(F.transform(lines, lambda x: F.split(x, "[,;\t ]+"))), lambda x: F.trim(x) != "")
-    return F.coalesce(F.try_divide(F.size(F.filter(tokens, is_number)).cast("double"), F.size(tokens).cast("double")), F.lit(0.0))
+    tokens = F.flatten(F.transform(lines, lambda x: tokens_of(F.trim(x), delimiter_)))
+    plain = F.transform(tokens, lambda x: F.translate(x, "\"'", ""))
+    return F.coalesce(F.try_divide(F.size(F.filter(plain, is_number)).cast("double"), F.size(tokens).cast("double")), F.lit(1.0))
+
+
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+
+
+#: What a classification says.
+WHY = {
+    "missing": "File does not exist or is not a file.", "empty": "File is empty (0 bytes).", "unreadable": "File unreadable: Unicode decoding failed.", "binary": "Binary data detected (null bytes present).",
+    "unknown": "Unrecognized file extension '%s'. Will attempt custom parsing.", "prose": "Low density of numeric data in preview. Possible high-text metadata file.", "csv": "Standard CSV with comma delimiter.",
+    "txt": "Standard delimited TXT file.", "odd": "Delimited data found with non-standard separator '%s' or format.", "path": "Input path does not exist.", "zip": "Failed to extract ZIP.",
+}
+
+
+def classified(rows: DataFrame) -> DataFrame:
+    """Adds status and reason to rows (file_path, size, text): Ready, Partially Ready, Research Only or Unsafe, by the first
+    rule that holds. Null text: not decodable."""
+    rows = rows.withColumn("_by", delimiter(F.col("text")))
+    rows = rows.withColumn("_share", numeric_share(F.col("text"), F.col("_by")))
+    return rows.withColumn("_c", _classify(F.col("file_path"), F.col("size"), F.col("text"), F.col("_by"), F.col("_share"))).withColumn("status", F.col("_c.status")).withColumn("reason", F.col("_c.reason")).drop("_by", "_share", "_c")
+
+
+def _classify(path: Column, size: Column, text: Column, by: Column, share: Column) -> Column:
+    ext = extension(path)
+    rules = [
+        (size == 0, "Unsafe", F.lit(WHY["empty"])), (text.isNull(), "Unsafe", F.lit(WHY["unreadable"])), (F.substring(text, 1, 2048).contains("\x00"), "Unsafe", F.lit(WHY["binary"])),
+        (~ext.isin(".csv", ".txt", ".tsv"), "Research Only", F.format_string(WHY["unknown"], ext)), (share < 0.1, "Research Only", F.lit(WHY["prose"])),
+        ((ext == ".csv") & (by == ","), "Ready", F.lit(WHY["csv"])), ((ext == ".txt") & by.isin("\t", " ", ","), "Ready", F.lit(WHY["txt"])), (F.lit(True), "Partially Ready", F.format_string(WHY["odd"], by)),
+    ]
+    made = [(c, F.struct(F.lit(status).alias("status"), reason.alias("reason"))) for c, status, reason in rules]
+    out = F.when(*made[0])
+    for rule in made[1:]:
+        out = out.when(*rule)
+    return out
 
 
-def classify(path: Column, size: Column, text: Column) -> Column:
-    """Ready, Partially Ready, Research Only or Unsafe; the first rule that holds. Null text: not decodable."""
-    ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
-    head = F.substring(text, 1, 2048)
-    return (
-        F.when((size == 0) | text.isNull() | head.contains("\x00"), "Unsafe")
-        .when(~ext.isin(".csv", ".txt", ".tsv"), "Research Only")
-        .when(numeric_share(text) < 0.1, "Research Only")
-        .when(((ext == ".csv") & head.contains(",")) | ((ext == ".txt") & head.rlike("[\t ,]")), "Ready")
-        .otherwise("Partially Ready")
-    )
+def decoded(content: Column) -> Column:
+    """(encoding, text): UTF-8 if the bytes are, UTF-16 if they begin with its mark, else Latin-1, which any bytes are."""
+    marked = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
+    utf8 = F.is_valid_utf8(content.cast("string"))
+    text = F.when(utf8, content.cast("string")).when(marked, F.decode(F.when(marked & ~utf8, content), "UTF-16")).otherwise(F.decode(content, "ISO-8859-1"))
+    return F.struct(F.when(utf8, "utf-8").when(marked, "utf-16").otherwise("latin-1").alias("encoding"), text.alias("text"))
 
 
 def lines_of(texts: DataFrame, delimiter_: str = ",") -> DataFrame:
-    """(file, line_no, line, tokens) of the lines that are not blank; one empty token at the end is dropped."""
-    lines = texts.select("file", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
-    tokens = F.split("line", f"[{delimiter_}]")
-    return lines.withColumn("tokens", F.when((F.size(tokens) > 1) & (F.element_at(tokens, -1) == ""), F.slice(tokens, 1, F.size(tokens) - 1)).otherwise(tokens))
+    """(file, line_no, line, tokens) of the lines that are not blank, by ``delimiter_`` or a column ``delimiter``; one empty
+    token at the end is dropped."""
+    by = F.col("delimiter") if "delimiter" in texts.columns else F.lit(delimiter_)
+    lines = texts.select("file", by.alias("by"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.trim(F.translate("line", "\r", ""))).filter("line <> ''")
+    tokens = tokens_of(F.col("line"), F.col("by"))
+    lines = lines.withColumn("tokens", F.when((F.size(tokens) > 1) & (F.element_at(tokens, -1) == ""), F.slice(tokens, 1, F.size(tokens) - 1)).otherwise(tokens))
+    return lines.select("file", "line_no", "line", "tokens")
 
 
 def modal_columns(lines: DataFrame) -> DataFrame:
@@ -66,7 +105,49 @@ def data_start(lines: DataFrame) -> DataFrame:
     return run.groupBy("file").agg(F.coalesce(F.min(F.when(F.col("run") == 1, F.col("line_no"))), F.lit(0)).alias("start"))
 
 
-def rate_from_metadata(value: Column) -> Column:
-    """Samples a second from ``x msec/sample`` (or ``x sec/sample``, read as ms); null if there is none."""
-    found = F.regexp_extract(F.lower(value), r"([0-9]+([.][0-9]+)?)\s*m?sec/sample", 1)
-    return F.try_divide(F.lit(1000.0), F.nullif(found, F.lit("")).try_cast("double"))
+def headers(lines: DataFrame) -> DataFrame:
+    """(file, columns, start, header_no, header, meta_end): of the three lines above the data, the nearest that is as wide
+    and mostly no numbers is the header, unless its first token is empty or one speaks of samples or counts. Metadata end
+    at the header, else at the first line so passed over, else at the data."""
+    known = modal_columns(lines).join(data_start(lines), "file")
+    near = lines.join(known, "file").filter((F.col("line_no") < F.col("start")) & (F.col("line_no") >= F.col("start") - 3))
+    words = F.size("tokens") - F.size(F.filter("tokens", is_number))
+    fits = (F.size("tokens") == F.col("columns")) & ((words >= F.floor(F.col("columns") / 2)) | (F.col("columns") == 1))
+    odd = (F.col("tokens")[0] == "") | F.exists("tokens", lambda t: F.lower(t).rlike("sample|count"))
+    found = near.filter(fits).groupBy("file").agg(F.max(F.when(~odd, F.struct("line_no", "tokens"))).alias("h"), F.collect_list(F.when(odd, F.col("line_no"))).alias("odd"))
+    below = F.array_min(F.filter("odd", lambda k: F.col("h").isNull() | (k > F.col("h.line_no"))))
+    out = known.join(found, "file", "left").withColumn("below", below)
+    return out.select("file", "columns", "start", F.col("h.line_no").alias("header_no"), F.transform("h.tokens", lambda t: F.trim(F.translate(t, "\"'", ""))).alias("header"), F.coalesce("h.line_no", "below", "start").alias("meta_end"))
+
+
+def metadata(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """(file, ord, key, value) of the lines before the data: parted at the first colon, or the line under a running name."""
+    before = lines.join(heads.select("file", "meta_end"), "file").filter("line_no < meta_end")
+    parts = F.split("line", ":", 2)
+    named = F.size(parts) == 2
+    return before.select("file", F.col("line_no").alias("ord"), F.when(named, F.trim(parts[0])).otherwise(F.concat(F.lit("meta_line_"), "line_no")).alias("key"), F.when(named, F.trim(F.get(parts, 1))).otherwise(F.col("line")).alias("value"))
+
+
+def cells(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """(file, idx, pos, name, v) of the data; tokens that are no numbers are null, columns without a name are left out."""
+    w = Window.partitionBy("file").orderBy("line_no")
+    rows = lines.join(heads.select("file", "start", "columns", "header"), "file").filter(F.col("line_no") >= F.col("start")).withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
+    each = rows.select("file", "idx", "columns", "header", F.posexplode("tokens").alias("pos", "token")).filter("pos < columns")
+    name = F.when(F.col("header").isNull(), F.concat(F.lit("col_"), "pos")).otherwise(F.get("header", F.col("pos")))
+    number = F.when(is_number(F.col("token")), F.translate(F.trim("token"), "_", "").try_cast("double"))
+    return each.select("file", "idx", "pos", name.alias("name"), number.alias("v")).filter("name <> ''")
+
+
+#: What the names of columns say.
+ID, TIME, SIGNAL = "id|subject|name", "time|timestamp|min|sec|ms|t", "ppg|pulse|pleth|ir|red|ch3|channel 3|signal"
+
+
+def roles(names: Column, rising: Column) -> Column:
+    """(id_col, timestamp_col, signal_col) of an array of column names, by what they contain; without a time column the
+    first of ``rising`` that is not the id; without a signal the last other column, or the last."""
+    like = lambda pattern: lambda c: F.lower(c).rlike(pattern)
+    id_ = F.get(F.filter(names, like(ID)), 0)
+    time = F.coalesce(F.get(F.filter(names, like(TIME)), 0), F.get(F.filter(rising, lambda c: ~c.eqNullSafe(id_)), 0))
+    others = F.filter(names, lambda c: ~c.eqNullSafe(id_) & ~c.eqNullSafe(time))
+    signal = F.coalesce(F.get(F.filter(others, like(SIGNAL)), 0), F.get(others, F.size(others) - 1), F.get(names, F.size(names) - 1))
+    return F.struct(id_.alias("id_col"), time.alias("timestamp_col"), signal.alias("signal_col"))

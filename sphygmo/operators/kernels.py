@@ -1,54 +1,93 @@
-"""Kernels over recordings: each recording is one group, brought together once."""
+"""Kernels over recordings (recording_id, idx, v, fs): each recording is one group, brought together once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from sphygmo.functions import kernels as K
 
+#: Between a recording's name and the name of a variant of it.
+MARK = "\x1f"
+
+
+def variant(sig: DataFrame, name: str | Column) -> DataFrame:
+    """The signal under its own name and that of a variant, so that variants go through one and the same job."""
+    return sig.withColumn("recording_id", F.concat_ws(MARK, F.col("recording_id").cast("string"), F.lit(name) if isinstance(name, str) else name))
+
+
+def by_variant(rows: DataFrame, into: str = "variant") -> DataFrame:
+    """Recording (as a string) and variant apart again."""
+    parts = F.split("recording_id", MARK)
+    return rows.withColumn(into, F.element_at(parts, -1)).withColumn("recording_id", parts[0])
 
-def filtered(sig: DataFrame, name: str, fs: float, level: int = 0) -> DataFrame:
-    """(recording_id, idx, v) after a filter; a recording too short for it stays as it is."""
+
+def _each(sig: DataFrame, run: Callable[..., dict[str, np.ndarray]], schema: str, *carry: str, told: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``run`` for the samples of each recording in order, its rate and what its ``told`` columns say; ``carry``
+    columns stand beside samples."""
     kind = dict(sig.dtypes)["recording_id"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
+        found = run(pdf["v"].to_numpy(float), float(pdf["fs"].iloc[0]), *[pdf[c].iloc[0] for c in told])
+        out = pd.DataFrame(found)
+        out.insert(0, "recording_id", np.full(len(out), pdf["recording_id"].iloc[0], object if kind == "string" else None))
+        for c in carry:
+            out[c] = pdf[c].to_numpy()
+        return out
+
+    more = "".join(f", {c} {dict(sig.dtypes)[c]}" for c in carry)
+    return sig.select("recording_id", "idx", "v", "fs", *told).groupBy("recording_id").applyInPandas(work, f"recording_id {kind}, {schema}{more}")
+
+
+def filtered(sig: DataFrame, name: str | None = None, level: int = 0) -> DataFrame:
+    """(recording_id, v, applied, idx, fs) after a filter, without a name after the one in each recording's column
+    ``filter``; a recording too short for it stays as it is, not ``applied``."""
+
+    def run(x: np.ndarray, fs: float, own: str | None = name) -> dict:
         try:
-            pdf["v"] = K.apply(name, pdf["v"].to_numpy(float), fs, level)
+            return {"v": K.apply(own, x, fs, level), "applied": True}
         except ValueError:
-            pass
-        return pdf
+            return {"v": x, "applied": False}
 
-    return sig.select("recording_id", "idx", "v").groupBy("recording_id").applyInPandas(run, f"recording_id {kind}, idx long, v double")
+    return _each(sig, run, "v double, applied boolean", "idx", "fs", told=() if name else ("filter",))
 
 
-def guarded(sig: DataFrame, name: str, fs: float) -> DataFrame:
-    """(recording_id, attempt, status, heart_rate, amplitude): the first strength of a filter that keeps rate, count and
-    amplitude of the beats within 3, 5 and 10 percent; strength 3 is the signal itself."""
-    kind = dict(sig.dtypes)["recording_id"]
+def found_peaks(sig: DataFrame, seconds: float = 0.4, share: float = 0.1) -> DataFrame:
+    """(recording_id, side, idx, v, prominence, width, fs): peaks and troughs at least max(5, int(seconds * fs)) samples
+    apart, the higher first, and ``share`` of the signal's deviation high; width at half prominence, in samples."""
+
+    def run(x: np.ndarray, fs: float) -> dict:
+        spread = float(x.std()) if len(x) else 0.0
+        least, parts = share * (spread if spread > 1e-9 else 1.0), []
+        for side, sign in (("peak", 1.0), ("trough", -1.0)):
+            top, prom, width = K.measured(sign * x, max(5, int(seconds * fs)), least)
+            parts.append((np.full(len(top), side, object), top, x[top], prom, width))
+        names = ("side", "idx", "v", "prominence", "width")
+        return {n: np.concatenate(c) for n, c in zip(names, zip(*parts, strict=True), strict=True)} | {"fs": fs}
+
+    return _each(sig, run, "side string, idx long, v double, prominence double, width double, fs double")
+
+
+def spectrum(sig: DataFrame) -> DataFrame:
+    """(recording_id, bin, hertz, power): the one-sided power density of each recording; none under two samples."""
+
+    def run(x: np.ndarray, fs: float) -> dict:
+        hertz, power = K.spectrum(x, fs) if len(x) > 1 else (np.zeros(0), np.zeros(0))
+        return {"bin": np.arange(len(hertz)), "hertz": hertz, "power": power}
+
+    return _each(sig, run, "bin long, hertz double, power double")
+
+
+def periods(sig: DataFrame) -> DataFrame:
+    """(recording_id, method, period): samples a beat by acf, fft and psd, where each finds one."""
+
+    def run(x: np.ndarray, fs: float) -> dict:
+        found = K.periods(x)
+        return {"method": np.array(list(found), object), "period": np.array(list(found.values()), float)}
 
-    def shape(x: np.ndarray) -> tuple[float, int, float]:
-        t = np.arange(len(x))
-        r = x - np.polyval(np.polyfit(t, x, 1), t) if len(x) > 1 else x * 0
-        top = K.peaks(r, max(5, int(0.4 * fs)), 0.1 * float(r.std()))
-        rr = np.diff(top).mean() / fs if len(top) > 1 else 60 / 72
-        return 60 / rr, len(top), float(r[top].mean() - np.median(r)) if len(top) else 2 * float(r.std())
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("idx")["v"].to_numpy(float)
-        rate, count, amplitude = shape(x)
-        for attempt in range(4):
-            try:
-                r, c, a = shape(K.apply(name, x, fs, attempt))
-            except ValueError:
-                continue
-            if abs(r - rate) / max(rate, 1) < 0.03 and abs(c - count) / max(count, 1) < 0.05 and abs(a - amplitude) / max(abs(amplitude), 1e-9) < 0.10:
-                break
-        else:
-            attempt, r, a = 4, rate, amplitude
-        status = "DEGRADED_FALLBACK" if attempt == 4 else "PASSED" if attempt == 0 else "DEGRADED"
-        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[:1], "attempt": [attempt], "status": [status], "heart_rate": [r], "amplitude": [a]})
-
-    return sig.select("recording_id", "idx", "v").groupBy("recording_id").applyInPandas(run, f"recording_id {kind}, attempt int, status string, heart_rate double, amplitude double")
+    return _each(sig, run, "method string, period double")

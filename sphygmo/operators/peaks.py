@@ -18,21 +18,6 @@ def local_maxima(sig: DataFrame) -> DataFrame:
     return tops.select("recording_id", F.floor((F.col("a") + F.col("b")) / 2).alias("idx"), "v")
 
 
-def apart(maxima: DataFrame, distance: int) -> DataFrame:
-    """Maxima at least ``distance`` apart, the higher first (ties: the later); one array of maxima a recording."""
-    tops = maxima.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("v", "idx")), False).alias("t"))
-    keep = F.expr(f"aggregate(t, cast(array() as array<struct<v:double,idx:bigint>>), (acc, x) -> if(exists(acc, k -> abs(k.idx - x.idx) < {distance}), acc, concat(acc, array(x))))")
-    return tops.select("recording_id", F.explode(keep).alias("p")).select("recording_id", "p.idx", "p.v")
-
-
-def prominences(peaks: DataFrame, sig: DataFrame) -> DataFrame:
-    """Adds ``prominence``: height over the higher of the two lowest points before a higher sample on either side."""
-    packed = sig.groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda x: x["v"]).alias("s"))
-    low = lambda part: f"aggregate({part}, named_struct('m', v, 'on', true), (a, x) -> if(a.on and x <= v, named_struct('m', least(a.m, x), 'on', true), named_struct('m', a.m, 'on', false)), a -> a.m)"
-    left, right = low("reverse(slice(s, 1, cast(idx as int)))"), low("slice(s, cast(idx as int) + 2, size(s))")
-    return peaks.join(packed, "recording_id").withColumn("prominence", F.col("v") - F.greatest(F.expr(left), F.expr(right))).drop("s")
-
-
 def intervals(peaks: DataFrame, fs: float) -> DataFrame:
     """(recording_id, time, rr, hr) from each peak to the one before."""
     rr = (F.col("idx") - F.lag("idx").over(W())) / F.lit(fs)

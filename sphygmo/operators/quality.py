@@ -68,7 +68,7 @@ def correlation_score(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def quality_score(snr: Column, drift: Column, missing: Column, flat: Column, motion: Column, stability: Column, consistency: Column) -> Column:
-    """100 less the penalties, within 0 and 100."""
+    """100 less the penalties, within 0 and 100. The weights and where they begin."""
     over = lambda c, x: F.when(c, x).otherwise(F.lit(0.0))
     lost = 3 * missing + over(flat > 1, 2 * (flat - 1)) + over(snr < 15, 2 * (15 - snr)) + over(snr < 0, F.lit(10.0)) + over(drift > 0.1, 40 * (drift - 0.1)) + 15 * motion + 25 * stability + over(consistency < 0.85, 60 * (0.85 - consistency))
     return clip(100 - lost)
@@ -83,8 +83,6 @@ RANGES = {
     "heart_rate_bpm": (40.0, 160.0), "rr_mean_sec": (0.375, 1.5), "pulse_width_sec": (0.10, 0.60), "rise_time_sec": (0.05, 0.45), "decay_time_sec": (0.10, 1.20),
     "entropy": (1.5, 7.5), "sd1_sec": (0.001, 0.200), "sd2_sec": (0.005, 0.400),
 }
-#: Features that only have to be above 1e-6.
-POSITIVE = ("amplitude", "vpg_range", "apg_range")
 
 
 def readiness(features: DataFrame) -> DataFrame:
@@ -97,19 +95,29 @@ def readiness(features: DataFrame) -> DataFrame:
     return features.withColumn("readiness_score", capped.cast("int")).withColumn("readiness_category", F.when(lost & (grade == "A"), "B").otherwise(grade))
 
 
+#: Why a recording fails.
+REASONS = {
+    "loader": "File Loader: Failed to decode, parse, or load signal data.",
+    "rate": "FS Detector: Sampling frequency is unresolved (cannot compute frequency features).",
+    "preprocess": "Preprocessor: Preprocessing failed (NaNs or empty array returned).",
+    "guard": "Morphology Guard: Filtering severely distorted physiological waves, fell back to raw.",
+    "features": "Feature Validator: Signal features failed physiological plausibility (readiness: %.1f%%).",
+}
+
+
 def verdict(rows: DataFrame) -> DataFrame:
     """Adds overall_verdict, wording and failure_reasons to rows (loader_ok, fs_status, preprocess_ok, guard_status,
     readiness_category, readiness_score)."""
     rules = [
-        (~F.col("loader_ok"), F.lit("File loading failed.")),
-        (F.col("fs_status") == "FS_UNRESOLVED", F.lit("Sampling rate is unresolved.")),
-        (~F.col("preprocess_ok"), F.lit("Preprocessing failed.")),
-        (F.col("guard_status") == "DEGRADED_FALLBACK", F.lit("No filter kept the morphology.")),
-        ((F.col("readiness_category") == "D") | (F.col("readiness_score") < 50), F.concat(F.lit("Readiness is too low: category "), "readiness_category", F.lit(", score "), F.format_string("%.1f", F.col("readiness_score").cast("double")))),
+        (~F.col("loader_ok"), F.lit(REASONS["loader"])),
+        (F.col("fs_status") == "FS_UNRESOLVED", F.lit(REASONS["rate"])),
+        (~F.col("preprocess_ok"), F.lit(REASONS["preprocess"])),
+        (F.col("guard_status") == "DEGRADED_FALLBACK", F.lit(REASONS["guard"])),
+        ((F.col("readiness_category") == "D") | (F.col("readiness_score") < 50), F.format_string(REASONS["features"], F.col("readiness_score").cast("double"))),
     ]
     reasons = F.array_compact(F.array(*[F.when(c, m) for c, m in rules]))
-    out = rows.withColumn("failure_reasons", reasons).withColumn("overall_verdict", F.when(F.size("failure_reasons") > 0, "FAIL").otherwise("PASS"))
-    return out.withColumn("wording", F.when(F.col("overall_verdict") == "PASS", "Ready for biomedical research").otherwise("Not ready for biomedical research"))
+    out = rows.withColumn("failure_reasons", reasons).withColumn("overall_verdict", F.when(F.size("failure_reasons") > 0, "Verification FAIL").otherwise("Verification PASS"))
+    return out.withColumn("wording", F.when(F.size("failure_reasons") == 0, "Ready for biomedical research").otherwise("Not ready for biomedical research"))
 
 
 def duration_bucket(seconds: Column) -> Column:
@@ -119,6 +127,7 @@ def duration_bucket(seconds: Column) -> Column:
 def source_kind(name: Column, metadata: Column, fs: Column, span: Column) -> Column:
     """Where a recording comes from, by file name, then metadata, then rate and value range."""
     n = F.lower(name)
+    # fixed values: the words, rates and ranges
     return (
         F.when(n.rlike("mobile|phone|camera|app|sensor|smartwatch"), "Mobile")
         .when(n.rlike("clg|aiims|clinical|patient|hosp|subject"), F.when(span > 10, "Mobile").otherwise("Clinical"))

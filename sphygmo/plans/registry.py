@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sphygmo.operators import files, kernels, peaks, quality, samples
+from sphygmo.operators import beats, files, kernels, peaks, quality, rates, samples
+from sphygmo.plans import batch
 from sphygmo.operators.samples import rounded
+from sphygmo.sources import recordings
 from sphygmo.sources.signals import packed, sig_type, sig_user, table
 
 #: Nominal samples a second of the two signal views.
@@ -269,9 +271,9 @@ def readiness(s, d):
 
 
 @query("verdict", f"""WITH {_FEATURES}, g AS (SELECT *, recording_id % 11 <> 0 AS loader_ok, recording_id % 13 <> 0 AS preprocess_ok, CASE WHEN recording_id % 7 = 0 THEN 'DEGRADED_FALLBACK' ELSE 'PASSED' END AS guard_status FROM ready),
-m AS (SELECT recording_id, list_filter([CASE WHEN NOT loader_ok THEN 'File loading failed.' END, CASE WHEN fs_status = 'FS_UNRESOLVED' THEN 'Sampling rate is unresolved.' END, CASE WHEN NOT preprocess_ok THEN 'Preprocessing failed.' END, CASE WHEN guard_status = 'DEGRADED_FALLBACK' THEN 'No filter kept the morphology.' END,
-CASE WHEN readiness_category = 'D' OR readiness_score < 50 THEN 'Readiness is too low: category ' || readiness_category || ', score ' || printf('%.1f', CAST(readiness_score AS DOUBLE)) END], lambda x: x IS NOT NULL) AS r FROM g)
-SELECT recording_id, CASE WHEN len(r) > 0 THEN 'FAIL' ELSE 'PASS' END AS overall_verdict, CASE WHEN len(r) > 0 THEN 'Not ready for biomedical research' ELSE 'Ready for biomedical research' END AS wording, CASE WHEN len(r) > 0 THEN array_to_string(r, '; ') ELSE 'None' END AS failure_reasons FROM m""")
+m AS (SELECT recording_id, list_filter([CASE WHEN NOT loader_ok THEN 'File Loader: Failed to decode, parse, or load signal data.' END, CASE WHEN fs_status = 'FS_UNRESOLVED' THEN 'FS Detector: Sampling frequency is unresolved (cannot compute frequency features).' END, CASE WHEN NOT preprocess_ok THEN 'Preprocessor: Preprocessing failed (NaNs or empty array returned).' END, CASE WHEN guard_status = 'DEGRADED_FALLBACK' THEN 'Morphology Guard: Filtering severely distorted physiological waves, fell back to raw.' END,
+CASE WHEN readiness_category = 'D' OR readiness_score < 50 THEN 'Feature Validator: Signal features failed physiological plausibility (readiness: ' || printf('%.1f', CAST(readiness_score AS DOUBLE)) || '%).' END], lambda x: x IS NOT NULL) AS r FROM g)
+SELECT recording_id, CASE WHEN len(r) > 0 THEN 'Verification FAIL' ELSE 'Verification PASS' END AS overall_verdict, CASE WHEN len(r) > 0 THEN 'Not ready for biomedical research' ELSE 'Ready for biomedical research' END AS wording, CASE WHEN len(r) > 0 THEN array_to_string(r, '; ') ELSE 'None' END AS failure_reasons FROM m""")
 def verdict(s, d):
     r = F.col("recording_id")
     rows = _ready(s, d).withColumn("loader_ok", r % 11 != 0).withColumn("preprocess_ok", r % 13 != 0).withColumn("guard_status", F.when(r % 7 == 0, "DEGRADED_FALLBACK").otherwise("PASSED"))
@@ -330,8 +332,8 @@ def data_start(s, d):
 @query("file_class")
 def file_class(s, d):
     ext = F.when(F.col("doc_id") % 3 == 0, ".csv").when(F.col("doc_id") % 3 == 1, ".txt").otherwise(".tsv")
-    docs = table(s, d, "documents")
-    return docs.select("doc_id", files.classify(F.concat(F.col("doc_id").cast("string"), ext), F.octet_length("text"), F.col("text")).alias("status"))
+    docs = files.classified(table(s, d, "documents").select(F.concat(F.col("doc_id").cast("string"), ext).alias("file_path"), F.octet_length("text").cast("long").alias("size"), "text", "doc_id"))
+    return docs.select("doc_id", "status")
 
 
 @query("metadata_kv", "SELECT event_id, 'k' AS key, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS value FROM events")
@@ -354,8 +356,16 @@ def local_maxima(s, d):
     return peaks.local_maxima(sig_type(s, d))
 
 
+def _typed(s: SparkSession, d: str) -> DataFrame:
+    return sig_type(s, d).withColumn("fs", F.lit(TYPE_FS))
+
+
+def _named(s: SparkSession, d: str) -> DataFrame:
+    return sig_user(s, d).withColumn("fs", F.lit(USER_FS))
+
+
 def _peaks(s: SparkSession, d: str) -> DataFrame:
-    return peaks.apart(peaks.local_maxima(sig_type(s, d)), max(5, int(0.4 * TYPE_FS)))
+    return kernels.found_peaks(_typed(s, d), 0.4, 0.0).filter("side = 'peak'")
 
 
 @query("peaks_distance", f"WITH {_TYPE}, {_MAX}, {_FAR} SELECT recording_id, idx FROM pk")
@@ -378,12 +388,31 @@ def poincare(s, d):
 e AS (SELECT h.recording_id, h.idx, h.v, max(s.idx) FILTER (s.idx < h.idx AND s.v > h.v) AS l, min(s.idx) FILTER (s.idx > h.idx AND s.v > h.v) AS r FROM h JOIN sig s USING (recording_id) GROUP BY ALL)
 SELECT e.recording_id, e.idx, round(e.v - greatest(min(s.v) FILTER (s.idx <= e.idx AND s.idx > coalesce(l, -1)), min(s.v) FILTER (s.idx >= e.idx AND s.idx < coalesce(r, 1000000000))), 6) + 0.0 AS prominence FROM e JOIN sig s USING (recording_id) GROUP BY e.recording_id, e.idx, e.v""")
 def peak_prominence(s, d):
-    return peaks.prominences(_peaks(s, d), sig_type(s, d)).select("recording_id", "idx", rounded(F.col("prominence")).alias("prominence"))
+    return _peaks(s, d).select("recording_id", "idx", rounded(F.col("prominence")).alias("prominence"))
 
 
-@query("peak_stability")
+def _prominent(of: str) -> str:
+    """SQL for (recording_id, idx, v, prominence) of the peaks pk of a table of samples."""
+    return f"""h AS (SELECT pk.recording_id, pk.idx, {of}.v FROM pk JOIN {of} USING (recording_id, idx)),
+e AS (SELECT h.recording_id, h.idx, h.v, max(s.idx) FILTER (s.idx < h.idx AND s.v > h.v) AS l, min(s.idx) FILTER (s.idx > h.idx AND s.v > h.v) AS r FROM h JOIN {of} s USING (recording_id) GROUP BY ALL),
+prom AS (SELECT e.recording_id, e.idx, e.v, e.v - greatest(min(s.v) FILTER (s.idx <= e.idx AND s.idx > coalesce(l, -1)), min(s.v) FILTER (s.idx >= e.idx AND s.idx < coalesce(r, 1000000000))) AS prominence FROM e JOIN {of} s USING (recording_id) GROUP BY e.recording_id, e.idx, e.v)"""
+
+
+@query("peak_stability", f"WITH {_TYPE}, {_MAX}, {_FAR}, {_prominent('sig')} SELECT recording_id, {_R('CASE WHEN count(*) > 1 AND avg(prominence) > 1e-9 THEN stddev_pop(prominence) / avg(prominence) ELSE 0 END')} AS peak_stability FROM prom GROUP BY 1")
 def peak_stability(s, d):
-    return peaks.stability(peaks.prominences(_peaks(s, d), sig_type(s, d)))
+    return peaks.stability(_peaks(s, d)).select("recording_id", rounded(F.col("peak_stability")).alias("peak_stability"))
+
+
+@query("peaks_standard", f"""WITH {_TYPE}, {_DETREND}, {_MAX.replace('FROM sig', 'FROM flat')}, {_FAR}, {_prominent('flat')}, sd AS (SELECT recording_id, stddev_pop(v) AS s FROM flat GROUP BY 1)
+SELECT recording_id, idx, round(prominence, 5) + 0.0 AS prominence FROM prom JOIN sd USING (recording_id) WHERE prominence >= 0.1 * CASE WHEN s > 1e-9 THEN s ELSE 1 END""")
+def peaks_standard(s, d):
+    """Peaks of the detrended signal, 0.4 seconds apart and a tenth of its deviation high."""
+    return kernels.found_peaks(beats.flat(_typed(s, d))).filter("side = 'peak'").select("recording_id", "idx", rounded(F.col("prominence"), 5).alias("prominence"))
+
+
+@query("peak_widths")
+def peak_widths(s, d):
+    return kernels.found_peaks(beats.flat(_typed(s, d))).filter("side = 'peak'").select("recording_id", "idx", rounded(F.col("width")).alias("width"))
 
 
 _BEATS = f"""bt AS (SELECT recording_id, idx AS start, lead(idx) {_W} AS stop FROM pk),
@@ -405,10 +434,22 @@ def beat_consistency(s, d):
     return peaks.consistency(sig_type(s, d), _peaks(s, d)).select("recording_id", rounded(F.col("beat_consistency")).alias("beat_consistency"))
 
 
-@query("trough_asof")
+_LOWS = f"""tops AS (SELECT recording_id, idx, true AS top FROM pk), neg AS (SELECT recording_id, idx, -v AS v FROM sig), {_MAX.replace('FROM sig', 'FROM neg').replace('runs AS', 'runs2 AS').replace('FROM runs ', 'FROM runs2 ').replace('plat AS', 'plat2 AS').replace('FROM plat)', 'FROM plat2)').replace('maxima AS', 'maxima2 AS')},
+{_FAR.replace('tops AS', 'tops2 AS').replace('FROM maxima', 'FROM maxima2').replace('pk AS', 'low AS').replace('FROM tops)', 'FROM tops2)')}"""
+
+
+@query("trough_asof", f"""WITH {_TYPE}, {_MAX}, {_FAR.replace('tops AS', 'tops0 AS').replace('FROM tops)', 'FROM tops0)')}, {_LOWS}, b AS (SELECT tops.*, low.idx AS before FROM tops ASOF LEFT JOIN low ON tops.recording_id = low.recording_id AND tops.idx > low.idx)
+SELECT b.recording_id, b.idx, before, low.idx AS after FROM b ASOF LEFT JOIN low ON b.recording_id = low.recording_id AND b.idx < low.idx""")
 def trough_asof(s, d):
-    low = peaks.apart(peaks.local_maxima(samples.reverse(sig_type(s, d))), max(5, int(0.4 * TYPE_FS)))
-    return peaks.troughs_around(_peaks(s, d), low)
+    found = kernels.found_peaks(_typed(s, d), 0.4, 0.0)
+    return peaks.troughs_around(found.filter("side = 'peak'"), found.filter("side = 'trough'"))
+
+
+@query("beat_overlay")
+def beat_overlay(s, d):
+    """Each beat on a scale of 0 to 100."""
+    of = peaks.beats(sig_type(s, d), kernels.found_peaks(beats.flat(_typed(s, d))).filter("side = 'peak'"))
+    return of.select("recording_id", "start", F.posexplode("beat").alias("k", "v"), F.size("beat").alias("n")).select("recording_id", "start", rounded(F.col("k") * 100 / (F.col("n") - 1)).alias("x"), rounded(F.col("v")).alias("v"))
 
 
 # --- filters, spectra, kernels ---------------------------------------------------------------------------------
@@ -454,18 +495,197 @@ def top3_filters(s, d):
 def _kernel(name: str):
     @query(name.replace("-", "_"))
     def run(s, d):
-        return _v(kernels.filtered(sig_type(s, d), name, TYPE_FS))
+        return _v(kernels.filtered(_typed(s, d), name))
 
 
 for _name in ("butterworth", "chebyshev", "savitzky-golay", "wavelet"):
     _kernel(_name)
 
 
+# --- spectra, rates ---------------------------------------------------------------------------------------------
+
+_DFT = f"""{_USER}, m AS (SELECT recording_id, idx, v - avg(v) {_P} AS v, count(*) {_P} AS n FROM sig), bins AS (SELECT recording_id, n, unnest(range(0, n // 2 + 1)) AS bin FROM (SELECT DISTINCT recording_id, n FROM m) WHERE n > 1),
+parts AS (SELECT b.recording_id, b.bin, b.n, sum(v * cos(2 * pi() * b.bin * idx / b.n)) AS re, sum(v * sin(2 * pi() * b.bin * idx / b.n)) AS im FROM bins b JOIN m ON b.recording_id = m.recording_id GROUP BY 1, 2, 3),
+dft AS (SELECT recording_id, bin, bin * 10.0 / n AS hertz, (re * re + im * im) / (10.0 * n) * CASE WHEN bin = 0 OR 2 * bin = n THEN 1 ELSE 2 END AS power FROM parts)"""
+
+
+@query("dft_power", f"WITH {_DFT} SELECT recording_id, bin, {_R('hertz')} AS hertz, round(power, 4) + 0.0 AS power FROM dft")
+def dft_power(s, d):
+    return kernels.spectrum(_named(s, d)).select("recording_id", "bin", rounded(F.col("hertz")).alias("hertz"), rounded(F.col("power"), 4).alias("power"))
+
+
+@query("strongest_bin", f"WITH {_DFT} SELECT recording_id, arg_max(bin, power) AS bin FROM dft WHERE bin > 0 GROUP BY 1")
+def strongest_bin(s, d):
+    """The bin with most power, the first of equals."""
+    x = kernels.spectrum(_named(s, d)).filter("bin > 0")
+    return x.groupBy("recording_id").agg(F.max_by("bin", F.struct("power", -F.col("bin"))).alias("bin"))
+
+
+@query("band_snr", f"WITH {_DFT}, x AS (SELECT recording_id, coalesce(sum(power) FILTER (hertz BETWEEN 0.5 AND 4.0), 0) AS s, coalesce(sum(power) FILTER (hertz > 4.0), 0) AS n FROM dft GROUP BY 1) SELECT recording_id, round(CASE WHEN n <= 0 THEN 30.0 ELSE 10 * log10(s / n) END, 5) + 0.0 AS snr_db FROM x")
+def band_snr(s, d):
+    return beats.band_snr(_named(s, d)).select("recording_id", rounded(F.col("snr_db"), 5).alias("snr_db"))
+
+
+@query("baseline_drift")
+def baseline_drift(s, d):
+    return beats.drift(_typed(s, d)).select("recording_id", rounded(F.col("drift_std")).alias("drift_std"), rounded(F.col("drift_ratio")).alias("drift_ratio"))
+
+
+@query("rate_votes")
+def rate_votes(s, d):
+    return rates.votes(kernels.periods(_typed(s, d)))
+
+
+@query("rate_detected")
+def rate_detected(s, d):
+    """The rate of each recording from its estimate and, for some, a rate that its name gives."""
+    known = rates.estimated(_typed(s, d)).withColumn("name_fs", rates.from_name(F.concat("recording_id", F.when(F.length("recording_id") % 2 == 0, "_30hz.csv").otherwise(".csv"))))
+    none = F.lit(None).cast("double")
+    return rates.detected(known.withColumn("user_fs", none).withColumn("meta_fs", none).withColumn("time_fs", none)).select("recording_id", "fs", "fs_source", rounded(F.col("fs_confidence")).alias("fs_confidence"), "fs_status")
+
+
+_VOTE = """c AS (SELECT period, rate, CASE WHEN 60 * rate / period BETWEEN 40 AND 180 THEN exp(-0.5 * power((60 * rate / period - 72) / 25, 2)) ELSE 0.0 END AS likelihood FROM (SELECT DISTINCT p_size AS period FROM part), (SELECT unnest([30.0, 60.0, 100.0, 125.0, 250.0, 500.0, 1000.0]) AS rate))"""
+
+
+@query("rate_scores", f"WITH {_VOTE} SELECT period, CAST(rate AS DOUBLE) AS rate, {_R('likelihood')} AS likelihood, row_number() OVER (PARTITION BY period ORDER BY likelihood DESC, rate) = 1 AS chosen FROM c")
+def rate_scores(s, d):
+    """How usual each rate is for periods of 1 to 50 samples, and the vote for each."""
+    every = table(s, d, "part").select(F.col("p_size").alias("period")).distinct()
+    tried = every.withColumn("rate", F.explode(F.array(*[F.lit(float(r)) for r in rates.RATES]))).withColumn("likelihood", rates.likelihood(F.col("rate"), F.col("period")))
+    vote = rates.votes(every.select(F.lit("x").alias("recording_id"), F.col("period").cast("string").alias("method"), F.col("period").cast("double").alias("period"))).select(F.col("method").cast("int").alias("period"), F.col("rate").alias("voted"))
+    return tried.join(vote, "period").select("period", "rate", rounded(F.col("likelihood")).alias("likelihood"), (F.col("rate") == F.col("voted")).alias("chosen"))
+
+
+@query("rate_entries", r"SELECT doc_id, CAST(coalesce(1000.0 / nullif(try_cast(nullif(regexp_extract(e, '([0-9]+([.][0-9]+)?)\s*m?sec/sample', 1), '') AS DOUBLE), 0), nullif(try_cast(nullif(regexp_extract(e, '(?:sample\s*rate|sampling\s*rate|sampling\s*freq|fs|frequency)\b.*?([0-9]+(?:[.][0-9]+)?)\s*(?:hz|samples/sec)?', 1), '') AS DOUBLE), 0)) AS DOUBLE) AS fs FROM (SELECT doc_id, lower(CASE doc_id % 4 WHEN 0 THEN doc_id % 9 || ' msec/sample' WHEN 1 THEN 'Sample rate: ' || doc_id % 7 * 50 || ' Hz' WHEN 2 THEN 'fs = 12.5' ELSE substr(text, 1, 200) END) AS e FROM documents)")
+def rate_entries(s, d):
+    i = F.col("doc_id")
+    entry = F.when(i % 4 == 0, F.concat((i % 9).cast("string"), F.lit(" msec/sample"))).when(i % 4 == 1, F.concat(F.lit("Sample rate: "), (i % 7 * 50).cast("string"), F.lit(" Hz"))).when(i % 4 == 2, "fs = 12.5").otherwise(F.substring("text", 1, 200))
+    return table(s, d, "documents").select("doc_id", rates.from_entry(entry).alias("fs"))
+
+
+# --- beats and decisions on what was measured --------------------------------------------------------------------
+
+@query("orientation")
+def orientation(s, d):
+    return beats.orientation(_typed(s, d)).select("recording_id", "orientation", "reverse", rounded(F.col("confidence")).alias("confidence"))
+
+
+@query("morphology")
+def morphology(s, d):
+    x = beats.morphology(_typed(s, d))
+    return x.select("recording_id", *[rounded(F.col(c)).alias(c) for c in x.columns if c != "recording_id"])
+
+
 @query("morphology_guard")
 def morphology_guard(s, d):
-    return kernels.guarded(sig_type(s, d), "Butterworth", TYPE_FS)
+    return beats.guarded(_typed(s, d), "Butterworth")
+
+
+@query("notch_preserved")
+def notch_preserved(s, d):
+    return beats.notch(_typed(s, d), "Butterworth")
+
+
+@query("features")
+def features(s, d):
+    return beats.features(_typed(s, d))
+
+
+@query("quality_metrics")
+def quality_metrics(s, d):
+    return beats.scored(beats.metrics(_typed(s, d), _typed(s, d)))
+
+
+@query("measured_verdict")
+def measured_verdict(s, d):
+    """Readiness and verdict of each recording from its measured features, its estimated rate and the guard."""
+    sig = _typed(s, d)
+    none = F.lit(None).cast("double")
+    rate = rates.detected(rates.estimated(sig).withColumn("user_fs", F.lit(TYPE_FS)).withColumn("meta_fs", none).withColumn("time_fs", none).withColumn("name_fs", none))
+    rows = beats.features(sig).join(rate.select("recording_id", "fs_status"), "recording_id").join(beats.guarded(sig, "Butterworth").select("recording_id", F.col("status").alias("guard_status")), "recording_id")
+    x = quality.verdict(quality.readiness(rows).withColumn("loader_ok", F.lit(True)).withColumn("preprocess_ok", F.lit(True)))
+    return x.select("recording_id", "fs_status", "guard_status", "readiness_score", "readiness_category", "overall_verdict", "wording", F.array_join("failure_reasons", "; ").alias("failure_reasons"))
 
 
-@query("packed_signals")
+@query("full_scoreboard")
+def full_scoreboard(s, d):
+    x = beats.scoreboard(_typed(s, d))
+    return x.select("recording_id", "filter", "ord", *[rounded(F.col(c), 4).alias(c) for c in ("morphology", "peak_retention", "beat_similarity", "snr_score", "total_score", "snr_db")])
+
+
+@query("best_filter")
+def best_filter(s, d):
+    return beats.best_filter(beats.scoreboard(_typed(s, d)))
+
+
+@query("penalties", f"WITH {_METRICS} SELECT recording_id, {_R('3 * missing_pct')} AS missing, {_R('CASE WHEN flat_pct > 1 THEN 2 * (flat_pct - 1) ELSE 0.0 END')} AS flat, {_R('15 * motion_pct')} AS motion FROM met")
+def penalties(s, d):
+    return _metrics(s, d).select("recording_id", rounded(3 * F.col("missing_pct")).alias("missing"), rounded(F.when(F.col("flat_pct") > 1, 2 * (F.col("flat_pct") - 1)).otherwise(0.0)).alias("flat"), rounded(15 * F.col("motion_pct")).alias("motion"))
+
+
+@query("checklist")
+def checklist(s, d):
+    """The display's six rules, with limits of their own: retained morphology 80, quality 50, category A or B."""
+    sig = _typed(s, d)
+    board = beats.scoreboard(sig)
+    best = board.join(beats.best_filter(board).withColumnRenamed("best", "filter"), ["recording_id", "filter"]).select("recording_id", "morphology")
+    ready = quality.readiness(beats.features(sig).withColumn("fs_status", F.lit("PASS"))).select("recording_id", "readiness_category")
+    rows = best.join(beats.scored(beats.metrics(sig, sig)).select("recording_id", "quality_score"), "recording_id").join(ready, "recording_id")
+    ok = F.expr("stack(6, 'File Loader', true, 'FS Detector', true, 'Conditioning Filtering', true, 'Morphology Guard', morphology >= 80, 'Quality Score', quality_score >= 50, 'Feature Category', readiness_category IN ('A', 'B')) AS (rule, ok)")
+    return rows.select("recording_id", ok).select("recording_id", "rule", F.when(F.col("ok"), "PASS").otherwise("FAIL").alias("status"))
+
+
+@query("view_data")
+def view_data(s, d):
+    """What a view of a recording shows, nested: samples, derivatives, peaks, trends and heat map."""
+    sig = _typed(s, d)
+    bent = samples.derivatives(sig, F.col("fs")).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct((F.col("idx") / F.col("fs")).alias("time"), F.col("v").alias("raw"), "vpg", "apg"))).alias("samples"))
+    tops = kernels.found_peaks(beats.flat(sig)).filter("side = 'peak'")
+    listed = tops.groupBy("recording_id").agg(F.sort_array(F.collect_list("idx")).alias("peaks"))
+    trends = peaks.intervals(tops, TYPE_FS).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("time", "rr", "hr"))).alias("trends"))
+    heat = quality.heatmap(sig).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "motion", "drift", "flat"))).alias("heatmap"))
+    return bent.join(listed, "recording_id", "left").join(trends, "recording_id", "left").join(heat, "recording_id", "left")
+
+
+@query("quality_table", f"WITH {_METRICS} SELECT recording_id, printf('%.2f dB', snr) AS snr, printf('%.2f%%', motion_pct) AS motion, printf('%.3f', entropy) AS entropy FROM met")
+def quality_table(s, d):
+    m = _metrics(s, d)
+    return m.select("recording_id", F.format_string("%.2f dB", "snr").alias("snr"), F.format_string("%.2f%%", "motion_pct").alias("motion"), F.format_string("%.3f", "entropy").alias("entropy"))
+
+
+# --- files -------------------------------------------------------------------------------------------------------
+
+def _as_files(s: SparkSession, d: str) -> DataFrame:
+    """The users' recordings as delimited files, as a scan gives them; every ninth file is damaged."""
+    sig = sig_user(s, d)
+    line = F.concat((F.col("idx") / USER_FS).cast("string"), F.lit(","), F.col("v").cast("string"))
+    text = F.concat(F.lit("device: pulse\ntime,ppg\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", line.alias("line")))), lambda x: x["line"]), "\n"))
+    made = sig.groupBy("recording_id").agg(text.alias("text")).withColumn("text", F.when(F.col("recording_id") % 9 == 0, "").otherwise(F.col("text")))
+    path = F.concat(F.lit("set/user_"), F.col("recording_id"), F.lit(".csv"))
+    size = F.octet_length("text").cast("long")
+    made = files.classified(made.withColumn("file_path", path).withColumn("size", size))
+    return made.select("file_path", "status", "reason", F.col("size").alias("file_size_bytes"), files.extension(F.col("file_path")).alias("file_extension"), F.lit("utf-8").alias("encoding"), "text")
+
+
+@query("file_columns")
+def file_columns(s, d):
+    """Roles of the columns of each file, its rate by its time column, and how many samples it has."""
+    keep = batch.staged(batch.scratch(s))
+    info, signal = recordings.loaded(keep(_as_files(s, d), "scan"), keep)
+    n = signal.groupBy(F.col("recording_id").alias("file")).agg(F.count("*").alias("n"))
+    return info.join(n, "file", "left").select("file", "columns", "id_col", "timestamp_col", "signal_col", "time_fs", "loader_ok", "n")
+
+
+@query("batch_summary")
+def batch_summary(s, d):
+    """The whole run over the users' recordings as files."""
+    keep = batch.staged(batch.scratch(s))
+    scan = keep(_as_files(s, d), "scan")
+    info, signal = recordings.loaded(scan, keep)
+    rows, _ = batch.analysed(keep(info, "info"), keep(signal, "samples"), None, keep)
+    return batch.summary(scan, rows)
+
+
+@query("packed_signals", f"WITH {_TYPE} SELECT recording_id, CAST(count(*) AS INTEGER) AS n FROM sig GROUP BY 1")
 def packed_signals(s, d):
     return packed(sig_type(s, d)).select("recording_id", F.size("v").alias("n"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sphygmo.functions import kernels as K
-from sphygmo.operators import files, peaks, quality, samples
+from sphygmo.operators import beats, files, quality, rates, samples
+from sphygmo.plans import batch
+from sphygmo.sources import recordings
 
 SF = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -17,7 +19,7 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["trim", "chunk_stats", "interpolate_gaps", "signal_quality", "verdict", "peaks_distance", "poincare", "beat_resample", "beat_consistency", "modal_columns"])
+@pytest.mark.parametrize("name", ["trim", "chunk_stats", "interpolate_gaps", "signal_quality", "verdict", "peaks_distance", "poincare", "beat_resample", "beat_consistency", "modal_columns", "peaks_standard", "trough_asof", "dft_power", "band_snr", "rate_scores", "rate_entries"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in NAMES:
@@ -61,13 +63,126 @@ def test_wavelet_without_shrinkage(n):
     assert np.allclose(K.wavelet(x, 0.0), x)
 
 
-def test_peaks_in_spark_equal_the_kernel(spark):
-    x = np.random.default_rng(1).integers(0, 9, 200).astype(float)
+def brute_peaks(x, distance, prominence):
+    n, top = len(x), []
+    for k in range(1, n - 1):
+        j = k
+        while j + 1 < n and x[j + 1] == x[k]:
+            j += 1
+        if x[k - 1] < x[k] and j + 1 < n and x[j + 1] < x[k]:
+            top.append((k + j) // 2)
+    keep = []
+    for p in sorted(set(top), key=lambda p: (-x[p], -p)):
+        if all(abs(p - q) >= distance for q in keep):
+            keep.append(p)
+    out = []
+    for p in sorted(keep):
+        left, right = np.flatnonzero(x[:p] > x[p]), np.flatnonzero(x[p + 1 :] > x[p])
+        a, b = (left[-1] + 1 if len(left) else 0), (p + 1 + right[0] if len(right) else n)
+        prom = x[p] - max(x[a : p + 1].min(), x[p:b].min())
+        if prom >= prominence:
+            out.append((p, prom))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_peaks_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    for n in (0, 1, 2, 3, 10, 300):
+        x = rng.integers(0, 9, n).astype(float) if seed % 2 else rng.normal(size=n)
+        for distance, prominence in ((1, 0.0), (4, 0.0), (7, 2.0)):
+            idx, prom, width = K.measured(x, distance, prominence)
+            want = brute_peaks(x, distance, prominence)
+            assert idx.tolist() == [k for k, _ in want] and np.allclose(prom, [v for _, v in want]) and len(width) == len(idx)
+
+
+def test_width_of_a_triangle():
+    x = np.r_[np.arange(11.0), np.arange(9.0, -1, -1)]
+    idx, prom, width = K.measured(x, 1, 0.0)
+    assert (idx.tolist(), prom.tolist(), width.tolist()) == ([10], [10.0], [10.0])
+
+
+def test_recursive_filter_in_blocks():
+    b, a = K.design("butterworth", 3, 0.05, 0.4)
+    x, state = np.random.default_rng(2).normal(size=301), np.arange(6.0)
+    want, s = [], state.copy()
+    for v in x:
+        want.append(b[0] * v + s[0])
+        s = np.r_[s[1:], 0] + b[1:] * v - a[1:] * want[-1]
+    assert np.allclose(K._run(b, a, x, state), want)
+    assert np.allclose(K._run(b, a, x[:5], state), want[:5])
+
+
+def test_spectrum_and_gaussian_kernels(spark):
+    x = np.random.default_rng(3).normal(size=77)
+    assert K.spectrum(x, 10.0)[1].sum() * 10 / 77 == pytest.approx(x.var())
     sig = spark.createDataFrame([("a", k, float(v)) for k, v in enumerate(x)], "recording_id string, idx long, v double")
-    got = peaks.apart(peaks.local_maxima(sig), 4)
-    assert sorted(r.idx for r in got.collect()) == K.peaks(x, 4, 0.0).tolist()
-    high = peaks.prominences(got, sig).filter("prominence >= 4")
-    assert sorted(r.idx for r in high.collect()) == K.peaks(x, 4, 4.0).tolist()
+    for f, g in ((samples.gaussian(sig, 30.0), K.gaussian(x, 30.0)), (samples.median_filter(sig, 30.0), K.median(x, 30.0))):
+        assert np.allclose([r.v for r in f.orderBy("idx").collect()], g)
+
+
+def pulse(fs, seconds, hertz=1.2, seed=0):
+    t = np.arange(int(fs * seconds)) / fs
+    phase = (t * hertz) % 1
+    wave = np.exp(-0.5 * ((phase - 0.3) / 0.09) ** 2) + 0.35 * np.exp(-0.5 * ((phase - 0.62) / 0.08) ** 2)
+    return wave + 0.004 * np.random.default_rng(seed).normal(size=len(t))
+
+
+def test_beats_of_a_pulse(spark):
+    made = {"up": pulse(30.0, 60), "down": -pulse(30.0, 60), "flat": np.full(300, 2.0)}
+    sig = spark.createDataFrame([(n, k, float(v), 30.0) for n, x in made.items() for k, v in enumerate(x)], "recording_id string, idx long, v double, fs double")
+    m = {r.recording_id: r for r in beats.morphology(sig).collect()}
+    assert m["up"].hr == pytest.approx(72, abs=1) and m["up"].peak_count == 72 and 0.1 < m["up"].pulse_width < 0.4 and m["flat"].hr == 72.0
+    o = {r.recording_id: (r.orientation, r.reverse) for r in beats.orientation(sig).collect()}
+    assert o == {"up": ("normal", False), "down": ("inverted", True), "flat": ("uncertain", False)}
+    f = quality.readiness(beats.features(sig).withColumn("fs_status", F.lit("FS_UNRESOLVED"))).collect()
+    assert all(r.readiness_score <= 85 and r.readiness_category != "A" for r in f)
+    q = {r.recording_id: r for r in beats.scored(beats.metrics(sig, sig)).collect()}
+    assert q["up"].snr_db > 10 and q["up"].beat_consistency > 0.9 and q["up"].quality_score > q["flat"].quality_score
+    board = beats.scoreboard(sig)
+    assert board.count() == 21 and {r.best for r in beats.best_filter(board).collect()} <= set(beats.FILTERS)
+    g = beats.guarded(sig, "Butterworth")
+    assert {r.status for r in g.collect()} == {"PASSED"} and beats.guard_output(sig, "Butterworth", g).count() == sig.count()
+    assert all(r.notch_preserved in (True, False) for r in beats.notch(sig, "Gaussian").collect())
+    e = {r.recording_id: r.estimated_fs for r in rates.estimated(sig).collect()}
+    assert e["up"] == 30.0 and e["flat"] == 100.0
+
+
+def test_batch_over_files(spark, tmp_path):
+    folder = tmp_path / "set"
+    (folder / "deep").mkdir(parents=True)
+    acq = "acq title\n1 msec/sample\n2 channels\nmin,CH1,CH3\n,5000 samples,5000 samples\n" + "\n".join(f"{k / 60000:.8f},{k % 7},{v:.6f}" for k, v in enumerate(pulse(1000.0, 5)))
+    (folder / "acq.csv").write_text(acq)
+    (folder / "plain_30hz.txt").write_text("\n".join(f"{v:.6f}" for v in pulse(30.0, 80)))
+    (folder / "deep" / "tabs.tsv").write_text("time\tppg\n" + "\n".join(f"{k / 30:.5f}\t{v:.6f}" for k, v in enumerate(pulse(30.0, 40))))
+    (folder / "utf16.csv").write_text("id,signal\n" + "\n".join(f"1,{v:.5f}" for v in pulse(30.0, 20)), encoding="utf-16")
+    (folder / "nul.txt").write_bytes(b"1,2\x00,3\n")
+    (folder / "prose.txt").write_text("nothing but words here\nand more of them\n")
+    (folder / "data.dat").write_text("1,2\n3,4\n5,6\n")
+    import zipfile
+
+    with zipfile.ZipFile(folder / "set.zip", "w") as z:
+        z.writestr("inner.csv", "ppg\n" + "\n".join(f"{v:.5f}" for v in pulse(30.0, 15)))
+        z.writestr(".hidden", "1")
+    (folder / "broken.zip").write_bytes(b"PK\x03\x04nonsense")
+    hand = spark.createDataFrame([("inner.csv", 30.0, "Force Normal", "Median", None)], batch.OVERRIDES)
+    batch.process(spark, str(folder), str(tmp_path / "out"), hand)
+    got = {r.file_name: r for r in spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / "summary")).collect()}
+    assert set(got) == {"acq.csv", "plain_30hz.txt", "tabs.tsv", "utf16.csv", "nul.txt", "prose.txt", "data.dat", "inner.csv", "broken.zip"}
+    assert {n: got[n].status for n in ("acq.csv", "plain_30hz.txt", "tabs.tsv", "nul.txt", "prose.txt", "data.dat", "broken.zip")} == {
+        "acq.csv": "Ready", "plain_30hz.txt": "Ready", "tabs.tsv": "Partially Ready", "nul.txt": "Unsafe", "prose.txt": "Research Only", "data.dat": "Research Only", "broken.zip": "Unsafe",
+    }
+    assert got["acq.csv"].sampling_rate_hz == 1000.0 and got["plain_30hz.txt"].sampling_rate_hz == 30.0 and got["inner.csv"].sampling_rate_hz == 30.0
+    assert got["plain_30hz.txt"].overall_verdict == "Verification PASS" and got["plain_30hz.txt"].duration_seconds == 80.0
+    empty = files.classified(spark.createDataFrame([("a.csv", 0, "")], "file_path string, size long, text string")).first()
+    assert (empty.status, empty.reason) == ("Unsafe", files.WHY["empty"]) and got["nul.txt"].failure_reasons == files.WHY["binary"] and got["prose.txt"].failure_reasons == quality.REASONS["loader"]
+    rows = spark.read.parquet(str(tmp_path / "out" / "steps" / "info")).collect()
+    role = {r.file.rsplit("/", 1)[-1]: (r.timestamp_col, r.signal_col) for r in rows}
+    assert role["acq.csv"] == ("min", "CH3") and role["tabs.tsv"] == ("time", "ppg") and role["utf16.csv"][1] == "signal"
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "preprocessed")).columns == ["time_sec", "preprocessed_signal", "vpg_1st_derivative", "apg_2nd_derivative", "file"]
+    assert spark.read.text(str(tmp_path / "out" / "reports")).count() == sum(r.loader_ok for r in rows)
+    gone = recordings.scanned(spark, str(tmp_path / "nowhere")).collect()
+    assert [(r.status, r.reason) for r in gone] == [("Unsafe", files.WHY["path"])]
 
 
 def test_gaps_and_short_chunks(spark):
@@ -87,11 +202,11 @@ def test_verdict_rules(spark):
         "k int, loader_ok boolean, fs_status string, preprocess_ok boolean, guard_status string, readiness_category string, readiness_score int",
     )
     got = {r.k: (r.overall_verdict, len(r.failure_reasons)) for r in quality.verdict(made).collect()}
-    assert got == {1: ("PASS", 0), 2: ("FAIL", 1), 3: ("FAIL", 5)}
+    assert got == {1: ("Verification PASS", 0), 2: ("Verification FAIL", 1), 3: ("Verification FAIL", 5)}
 
 
 def test_numbers_and_rates(spark):
     tokens = spark.createDataFrame([("1",), ("-2.5e3",), ("nan",), ("1_000",), ("1d",), ("",), ("abc",)], "t string")
     assert [r[0] for r in tokens.select(files.is_number(F.col("t"))).collect()] == [True, True, True, True, False, False, False]
-    rate = spark.createDataFrame([("4 msec/sample",), ("none",)], "t string").select(files.rate_from_metadata(F.col("t")))
+    rate = spark.createDataFrame([("4 msec/sample",), ("none",)], "t string").select(rates.from_entry(F.col("t")))
     assert [r[0] for r in rate.collect()] == [250.0, None]
