@@ -2,87 +2,175 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sphygmo.llm.common import table, written
 
-#: Notices by which public licences are announced, by SPDX name.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC0-1.0": "Released under CC0 1.0, no rights reserved, dedicated to the public domain.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-2.1": "Licensed under the GNU Lesser General Public License, version 2.1.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "Subject to the terms of the Mozilla Public License, v. 2.0.",
-}
-#: A line counts as a header if it has one of these words, and takes the licence of the most similar template from here on.
-HINT = r"(?i)licen[sc]e|copyright|public domain|rights reserved|redistribution|spdx"
+#: Public licences by SPDX name, as titles, notices, standard file headers, and short licences in full.
+TEMPLATES = [
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License, CC BY-SA 4.0."),
+    ("CC0-1.0", "Released under CC0 1.0, no rights reserved, dedicated to the public domain."),
+    ("CC0-1.0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of their rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."),
+    ("ISC", "ISC License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "MIT License"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MPL-2.0", "Subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+]
+#: A header takes the licence of the most similar template from here on.
 SIMILAR = 0.6
+#: Headers of several sentences are also compared in windows of so many sentences, half a window apart.
+WINDOWS = [2, 4, 8, 16, 32, 64]
 TOKEN = r"[a-z0-9]+"
+#: Function words, which have no weight.
+STOP_WORDS = (
+    "a all an and any are as at be been but by can could do does for from had has have he her his i if in into is it its may me "
+    "more my no nor not of on one or other our out she should so such than that the their them then there these they this those to "
+    "under up upon was we were what when where which who whom whose will with within without would you your"
+).split()
+#: Sentences end at line breaks and where a full stop precedes a capital.
+STOP, BREAK = r"([.!?])[ \t]+([A-Z])", r"[\r\n]+"
+
+
+def _weights() -> tuple[dict[str, float], list[dict[str, float]], float]:
+    """Inverse frequency of each template word, each template's weights, and the frequency weight of all other words.
+
+    Weights are (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), with n and df over the templates: whether a file is like a
+    template does not depend on the other files.
+    """
+    counts = [Counter(t for t in re.findall(TOKEN, text.lower()) if t not in STOP_WORDS) for _, text in TEMPLATES]
+    seen = Counter(t for c in counts for t in c)
+    idf = {t: math.log((1 + len(counts)) / (1 + d)) + 1 for t, d in seen.items()}
+    return idf, [{t: (1 + math.log(k)) * idf[t] for t, k in c.items()} for c in counts], math.log(1 + len(counts)) + 1
+
+
+def _anchors() -> list[str]:
+    """Words of which every text with cosine :data:`SIMILAR` to some template has at least one.
+
+    Without a template's anchors, the cosine is at most the norm of its other words' share: numbers and the
+    commonest words are left out while that stays below SIMILAR.
+    """
+    idf, templates, _ = _weights()
+    found = set()
+    for v in templates:
+        left = SIMILAR**2 * sum(w * w for w in v.values()) * (1 - 1e-9)
+        for t in sorted(v, key=lambda t: (not t.isdigit(), idf[t], len(t), t)):
+            left -= v[t] ** 2
+            if left <= 0:
+                found.add(t)
+    return sorted(found)
+
+
+ANCHORS = _anchors()
 
 
 def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def header_lines(text: str) -> Column:
-    """The distinct header lines of a text; every line is looked at."""
-    return F.array_distinct(F.filter(F.split(text, r"[\r\n]+"), lambda x: x.rlike(HINT)))
+def header_runs(text: str) -> Column:
+    """The distinct headers of a text: runs of sentences that each hold an anchor word, joined by line feeds. The whole text
+    is looked at; sentences without letters a-z and digits are passed over. A licence file is one run or a few."""
+    sentences = F.filter(F.split(F.regexp_replace(text, STOP, "$1\n$2"), BREAK), lambda s: F.lower(s).rlike(TOKEN))
+    marked = F.transform(sentences, lambda s: F.when(F.arrays_overlap(_tokens(s), F.lit(ANCHORS)), s).otherwise("\r"))
+    runs = F.split(F.array_join(marked, "\n"), "\n?\r[\r\n]*")
+    return F.filter(F.array_distinct(runs), lambda r: r != "")
 
 
-def headers(files: DataFrame) -> DataFrame:
-    """(path, line) of each distinct header line of each file."""
-    return files.select("path", F.explode(header_lines("text")).alias("line"))
+def units(found: DataFrame) -> DataFrame:
+    """(path, unit, text) of what is compared: each sentence of a header, windows of several, and the whole header.
+    ``unit`` is the text's digest."""
+    parts, size = F.split("run", "\n"), F.size(F.split("run", "\n"))
+    windows = [
+        F.when(size > w, F.transform(F.sequence(F.lit(1), size, F.lit(w // 2)), lambda s, w=w: F.array_join(F.slice(parts, s, w), "\n")))
+        for w in WINDOWS
+    ]
+    none = F.array().cast("array<string>")
+    every = F.flatten(F.array(parts, F.array("run"), *[F.coalesce(w, none) for w in windows]))
+    out = found.select("path", F.explode(F.array_distinct(every)).alias("text"))
+    return out.select("path", F.md5(F.col("text").cast("binary")).alias("unit"), "text")
 
 
-def matched_lines(found: DataFrame) -> DataFrame:
-    """(line, license, similarity) of each distinct header line that is like a template.
+def matched(compared: DataFrame) -> DataFrame:
+    """(unit, license, similarity) of each different unit that is like a template.
 
-    Token weights are tf * (ln((1 + n) / (1 + df)) + 1), with n and df over all header lines and the templates; a line's
-    vector has all its tokens. Lines are told apart first, so one line in a third of all files is one row here. The
-    templates' tokens are a fixed handful and are broadcast.
+    Units are told apart first, so one notice in a third of all files is one row here. A unit's vector has all its words.
+    The templates' words are a fixed handful and are broadcast; after units are dealt by digest nothing is shuffled.
     """
-    spark = found.sparkSession
-    lines = written(found.groupBy("line").agg(F.count("*").alias("files")), "lines")
-    notices = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(sorted(TEMPLATES.items()))], "ord int, license string, text string")
-    token = lambda df, text: df.withColumn("token", F.explode(_tokens(F.col(text))))
-    of_line = token(lines, "line").groupBy("line", "token").agg(F.count("*").alias("tf"), F.first("files").alias("files"))
-    of_notice = token(notices, "text").groupBy("ord", "license", "token").agg(F.count("*").alias("tf"))
-    total = lines.agg((F.coalesce(F.sum("files"), F.lit(0)) + len(TEMPLATES)).alias("n"))
-    df = of_line.select("token", F.col("files").alias("c")).unionByName(of_notice.select("token", F.lit(1).cast("long").alias("c"))).groupBy("token").agg(F.sum("c").alias("df"))
-    # one row, then a row for each token of the lines: joined by key
-    idf = df.join(F.broadcast(total)).select("token", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weighted = of_line.join(idf, "token").select("line", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighted.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    sides = of_notice.join(idf, "token").select("ord", "license", "token", (F.col("tf") * F.col("idf")).alias("v"))
-    own = sides.groupBy("ord").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("own"))
-    sides = sides.join(F.broadcast(own), "ord")
-    dots = weighted.join(F.broadcast(sides), "token").groupBy("line", "ord", "license").agg((F.sum(F.col("w") * F.col("v")) / F.first("own")).alias("dot"))
-    cosine = dots.join(norms, "line").select("line", "ord", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
-    best = cosine.groupBy("line").agg(F.max(F.struct("similarity", (-F.col("ord")).alias("o"), "license")).alias("b"))
-    return best.filter(F.col("b.similarity") >= SIMILAR).select("line", "b.license", "b.similarity")
+    spark = compared.sparkSession
+    idf, templates, other = _weights()
+    vocabulary = spark.createDataFrame(sorted(idf.items()), "token string, idf double")
+    rows = [(t, k, TEMPLATES[k][0], w / math.sqrt(sum(x * x for x in v.values()))) for k, v in enumerate(templates) for t, w in sorted(v.items())]
+    sides = spark.createDataFrame(rows, "token string, ord int, license string, v double")
+    distinct = compared.groupBy("unit").agg(F.min("text").alias("text"))
+    counted = distinct.select("unit", F.explode(_tokens(F.col("text"))).alias("token")).filter(~F.col("token").isin(STOP_WORDS)).groupBy("unit", "token").agg(F.count("*").alias("tf"))
+    weighted = counted.join(F.broadcast(vocabulary), "token", "left").select("unit", "token", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(other))).alias("w"))
+    norms = weighted.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighted.join(F.broadcast(sides), "token").groupBy("unit", "ord", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    cosine = dots.join(norms, "unit").select("unit", "ord", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
+    best = cosine.groupBy("unit").agg(F.max(F.struct("similarity", (-F.col("ord")).alias("o"), "license")).alias("b"))
+    return best.filter(F.col("b.similarity") >= SIMILAR).select("unit", "b.license", "b.similarity")
 
 
 def scan_licenses(files: DataFrame) -> DataFrame:
     """(path, license, similarity, licensed_by) for each row of ``files`` (path, text, is_notice).
 
-    A file takes the most similar template of its own header lines (ties: the more similar, then the first by name).
-    Otherwise it takes the licence of the nearest directory above it that has one: a directory has the licence of the
-    file in it with ``is_notice`` (several: the most similar, then the first path). ``licensed_by`` is the file's own
-    path, or that directory, or null. Directories, not files, are joined with their ancestors, so a directory with a
-    third of all files is a few rows until the last join.
+    A file takes the most similar template of its own headers: whole, in windows, or one sentence of them (ties: the first
+    licence by name). A licence file is a header like any other. Otherwise it takes the licence of the nearest directory
+    above it that has one: a directory has the licence of the file in it with ``is_notice`` (several: the most similar,
+    then the first path). ``licensed_by`` is the file's own path, or that directory, or null. Directories, not files, are
+    joined with their ancestors, so a directory with a third of all files is a few rows until the last join.
 
     Null or empty text: nothing of its own. Null path: no directory, nothing inherited. Repeated rows: equal rows each.
     No rows: no rows. Other columns are ignored.
     """
-    base = files.select("path", "text", F.coalesce("is_notice", F.lit(False)).alias("is_notice"))
-    found = written(headers(base.filter("path is not null")), "headers")
-    lines = matched_lines(found)
-    own = found.join(lines, "line").groupBy("path").agg(F.max("similarity").alias("top"), F.min_by("license", F.struct(-F.col("similarity"), "license")).alias("own"))
+    return scan_runs(files.select("path", header_runs("text").alias("runs"), "is_notice"))
+
+
+def scan_runs(files: DataFrame) -> DataFrame:
+    """:func:`scan_licenses` of files (path, runs, is_notice) that are already brought down to :func:`header_runs`."""
+    base = files.select("path", "runs", F.coalesce("is_notice", F.lit(False)).alias("is_notice"))
+    found = units(written(base.filter("path is not null").select("path", F.explode("runs").alias("run")), "headers"))
+    alike = written(matched(found), "units")
+    own = found.select("path", "unit").join(alike, "unit").groupBy("path").agg(F.max("similarity").alias("top"), F.min_by("license", F.struct(-F.col("similarity"), "license")).alias("own"))
     own = written(own, "own")
     placed = written(base.select("path", "is_notice", F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).alias("dir")), "paths")
     notices = placed.filter("is_notice and dir is not null").join(own, "path").groupBy("dir").agg(F.min_by(F.struct("own", "top"), F.struct(-F.col("top"), "path")).alias("d")).select(F.col("dir").alias("above"), F.col("d.own").alias("theirs"), F.col("d.top").alias("their_top"))
@@ -97,25 +185,29 @@ def scan_licenses(files: DataFrame) -> DataFrame:
 
 def as_files(docs: DataFrame) -> DataFrame:
     """``documents`` as a tree of files: source/lang/hundred of doc_id/doc_id.txt; null parts are ``_``. In each directory
-    the first file stands for its licence file, and so does the first file of each source, one level up. ``text`` comes down
-    to its header lines where it is read, which are all that the scan uses, so that the join moves no whole texts."""
+    the first file stands for its licence file, and so does the first file of each source, one level up. Texts come down
+    to their headers (``runs``) where they are read, so that the join moves no whole texts."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
     top, deep = F.concat_ws("/", part("source"), part("lang")), F.coalesce(F.floor(F.col("doc_id") / 100).cast("string"), F.lit("_"))
     firsts = docs.groupBy("source", "lang").agg(F.min("doc_id").alias("first_doc"))
-    slim = docs.select("doc_id", "source", "lang", F.array_join(header_lines("text"), "\n").alias("text"))
+    slim = docs.select("doc_id", "source", "lang", header_runs("text").alias("runs"))
     marked = slim.join(firsts.select(F.col("source").alias("s"), F.col("lang").alias("l"), "first_doc"), F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l")))
     up = F.col("doc_id") == F.col("first_doc")
     path = F.when(up, F.concat_ws("/", top, F.concat(part("doc_id"), F.lit(".txt")))).otherwise(F.concat_ws("/", top, deep, F.concat(part("doc_id"), F.lit(".txt"))))
-    return marked.select("doc_id", path.alias("path"), "text", (up | (F.col("doc_id") % 100 == 0)).alias("is_notice"))
+    return marked.select("doc_id", path.alias("path"), "runs", (up | (F.col("doc_id") % 100 == 0)).alias("is_notice"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence of each document, its own or that of the nearest directory above it."""
-    found = scan_licenses(as_files(table(spark, sf_dir, "documents")))
+    found = scan_runs(as_files(table(spark, sf_dir, "documents")))
     return found.select(F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long").alias("doc_id"), "path", "license", "similarity", "licensed_by")
 
 
-_NOTICES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(sorted(TEMPLATES.items())))
+def _values() -> str:
+    quoted = [(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES)]
+    return ", ".join(f"({k}, '{name}', '{text}')" for k, name, text in quoted)
+
+
 OP4_SQL = f"""
 WITH firsts AS (SELECT source, lang, min(doc_id) AS first_doc FROM documents GROUP BY source, lang),
 files AS (
@@ -123,17 +215,30 @@ files AS (
     coalesce(d.source, '_') || '/' || coalesce(d.lang, '_') || CASE WHEN d.doc_id = f.first_doc THEN '' ELSE '/' || CAST(d.doc_id // 100 AS VARCHAR) END AS dir
   FROM documents d JOIN firsts f ON d.source IS NOT DISTINCT FROM f.source AND d.lang IS NOT DISTINCT FROM f.lang
 ), split AS (
-  SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[\\r\\n]+')) AS line FROM files
-), head AS (
-  SELECT doc_id, line FROM split WHERE regexp_matches(line, '{HINT.replace("(?i)", "")}', 'i')
-), lines AS (SELECT line, count(*) AS files FROM head GROUP BY line),
-notices(ord, license, text) AS (VALUES {_NOTICES}),
-lt AS (SELECT line, files, token, count(*) AS tf FROM (SELECT line, files, unnest(regexp_extract_all(lower(line), '{TOKEN}')) AS token FROM lines) GROUP BY ALL),
-nt AS (SELECT ord, license, token, count(*) AS tf FROM (SELECT ord, license, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS token FROM notices) GROUP BY ALL),
-df AS (SELECT token, sum(c) AS df FROM (SELECT token, files AS c FROM lt UNION ALL SELECT token, 1 FROM nt) GROUP BY token),
-total AS (SELECT coalesce(sum(files), 0) + {len(TEMPLATES)} AS n FROM lines),
-idf AS (SELECT token, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM df, total),
-w AS (SELECT line, token, tf * idf AS w FROM lt JOIN idf USING (token)),
+  SELECT doc_id, regexp_split_to_array(regexp_replace(text, '{STOP}', '\\1' || chr(10) || '\\2', 'g'), '{BREAK}') AS s FROM files
+), sentence AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i
+  FROM (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS k FROM split) WHERE regexp_matches(lower(s), '{TOKEN}')
+), anchored AS (
+  SELECT doc_id, s, i, list_has_any(regexp_extract_all(lower(s), '{TOKEN}'), {ANCHORS}) AS a FROM sentence
+), islands AS (
+  SELECT doc_id, s, i - sum(CASE WHEN a THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run, i FROM anchored QUALIFY a
+), placed AS (
+  SELECT doc_id, run, s, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY doc_id, run) AS n FROM islands
+), windows AS (
+  SELECT doc_id, run, n AS w, 0 AS lo FROM placed GROUP BY ALL
+  UNION ALL SELECT doc_id, run, 1, j FROM placed
+  UNION ALL SELECT doc_id, run, w, j FROM placed, (SELECT unnest({WINDOWS}) AS w) WHERE n > w AND j % (w // 2) = 0
+), unit AS (
+  SELECT DISTINCT doc_id, text AS line FROM (
+    SELECT p.doc_id, p.run, w, lo, string_agg(s, chr(10) ORDER BY j) AS text
+    FROM windows v JOIN placed p ON p.doc_id = v.doc_id AND p.run = v.run AND j >= lo AND j < lo + w GROUP BY ALL)
+), lines AS (SELECT DISTINCT line FROM unit),
+notices(ord, license, text) AS (VALUES {_values()}),
+lt AS (SELECT line, token, 1 + ln(count(*)) AS tf FROM (SELECT line, unnest(regexp_extract_all(lower(line), '{TOKEN}')) AS token FROM lines) WHERE token NOT IN ({str(STOP_WORDS)[1:-1]}) GROUP BY ALL),
+nt AS (SELECT ord, license, token, 1 + ln(count(*)) AS tf FROM (SELECT ord, license, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS token FROM notices) WHERE token NOT IN ({str(STOP_WORDS)[1:-1]}) GROUP BY ALL),
+idf AS (SELECT token, ln({1.0 + len(TEMPLATES)} / (1.0 + count(*))) + 1.0 AS idf FROM nt GROUP BY token),
+w AS (SELECT line, token, tf * coalesce(idf, ln({1.0 + len(TEMPLATES)}) + 1.0) AS w FROM lt LEFT JOIN idf USING (token)),
 v AS (SELECT ord, license, token, tf * idf AS v FROM nt JOIN idf USING (token)),
 cosine AS (
   SELECT line, v.ord, license, round(sum(w * v) / (any_value(nl.norm) * any_value(nv.norm)), 6) AS similarity
@@ -142,7 +247,7 @@ cosine AS (
 ), best AS (
   SELECT line, license, similarity FROM cosine QUALIFY row_number() OVER (PARTITION BY line ORDER BY similarity DESC, ord) = 1
 ), own AS (
-  SELECT doc_id, license AS own, similarity AS top FROM head JOIN best USING (line) WHERE similarity >= {SIMILAR}
+  SELECT doc_id, license AS own, similarity AS top FROM unit JOIN best USING (line) WHERE similarity >= {SIMILAR}
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, license) = 1
 ), noticed AS (
   SELECT dir AS above, own AS theirs, top AS their_top FROM files JOIN own USING (doc_id) WHERE is_notice

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -235,12 +236,34 @@ def test_secrets_edges(spark, edge):
     assert secret_scan.scan(edge.limit(0)).count() == 0
 
 
+def test_license_headers(spark):
+    """Standard headers of several lines, titles, whole files, notices inside other sentences; prose takes no licence."""
+    full = {}
+    for name, text in licenses.TEMPLATES:
+        full[name] = max(full.get(name, ""), text, key=len)
+    wrap = lambda text, mark, width=60: "\n".join(mark + line for line in textwrap.wrap(text, width))
+    code = "\nimport os\n\ndef run(x):\n    return os.path.join(x)\n" * 40
+    rows = [(f"{name}/{k}", text, name) for name, t in full.items() for k, text in enumerate([t, wrap(t, " * "), "#!/bin/sh\n" + wrap(t, "# ") + code, code + "/*\n" + wrap(t, " * ", 78) + "\n */" + code])]
+    rows += [("title", "ISC License\n\nCopyright (c) 2004 A. Person", "ISC"), ("inside", "Copyright (c) 2021 Jane Roe and contributors. Released under the MIT License.", "MIT"), ("spdx", "// SPDX-License-Identifier: Apache-2.0\npackage x", "Apache-2.0"), ("mit", "MIT License\n\nCopyright (c) 2020 Jane Roe\n\n" + wrap(full["MIT"], ""), "MIT"), ("first line", "Permission is hereby granted, free of charge, to any person obtaining a copy", "MIT"), ("prose", "We hope that you find this form of the work useful. All the details follow later." * 50, None), ("long", "x " * 300_000 + "\nLicensed under CC BY 4.0.\n" + "y. Z " * 100_000, "CC-BY-4.0")]
+    files = spark.createDataFrame([(p, t, False) for p, t, _ in rows], "path string, text string, is_notice boolean")
+    got = {r.path: r.license for r in licenses.scan_licenses(files.withColumn("runs", F.lit(1)).withColumn("unit", F.lit(2))).collect()}
+    assert got == {p: name for p, _, name in rows}
+
+
+def test_license_anchors():
+    """No text without an anchor word reaches the limit with any template: not even the template without its anchors."""
+    _, templates, _ = licenses._weights()
+    for v in templates:
+        rest = sum(w * w for t, w in v.items() if t not in licenses.ANCHORS)
+        assert rest < licenses.SIMILAR**2 * sum(w * w for w in v.values())
+
+
 def test_licenses(spark, edge):
     rows = [("LICENSE", "Released under the MIT License.", True), ("a/LICENSE", "Licensed under the Apache License, Version 2.0.", True), ("a/b/x.py", "nothing", False), ("a/b/c/y.py", None, False), ("d/z.py", "# Licensed under CC BY-NC 4.0.\ncode", False), ("d/w.py", "", False), (None, "Released under the MIT License.", None), ("a/b/x.py", "nothing", False)]
     got = Counter((r.path, r.license, r.licensed_by) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string, is_notice boolean")).collect())
     assert got == Counter({("LICENSE", "MIT", "LICENSE"): 1, ("a/LICENSE", "Apache-2.0", "a/LICENSE"): 1, ("a/b/x.py", "Apache-2.0", "a"): 2, ("a/b/c/y.py", "Apache-2.0", "a"): 1, ("d/z.py", "CC-BY-NC-4.0", "d/z.py"): 1, ("d/w.py", None, None): 1, (None, None, None): 1})
     files = licenses.as_files(edge)
-    assert licenses.scan_licenses(files).count() == len(EDGE) and licenses.scan_licenses(files.limit(0)).count() == 0
+    assert licenses.scan_runs(files).count() == len(EDGE) and licenses.scan_runs(files.limit(0)).count() == 0
 
 
 def test_toxicity_held_out(spark):
