@@ -168,7 +168,9 @@ def scan_licenses(files: DataFrame) -> DataFrame:
 def scan_runs(files: DataFrame) -> DataFrame:
     """:func:`scan_licenses` of files (path, runs, is_notice) that are already brought down to :func:`header_runs`."""
     base = files.select("path", "runs", F.coalesce("is_notice", F.lit(False)).alias("is_notice"))
-    found = units(written(base.filter("path is not null").select("path", F.explode("runs").alias("run")), "headers"))
+    # an inner explode would have Spark filter by the array's size where texts are read, and so find the headers twice
+    runs = base.filter("path is not null").select("path", F.explode_outer("runs").alias("run")).filter("run is not null")
+    found = units(written(runs, "headers"))
     alike = written(matched(found), "units")
     own = found.select("path", "unit").join(alike, "unit").groupBy("path").agg(F.max("similarity").alias("top"), F.min_by("license", F.struct(-F.col("similarity"), "license")).alias("own"))
     own = written(own, "own")
