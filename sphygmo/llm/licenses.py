@@ -57,6 +57,8 @@ TEMPLATES = [
 ]
 #: A header takes the licence of the most similar template from here on.
 SIMILAR = 0.6
+#: Words, but for function words, that it must share with the template: "Mit." in German prose is no MIT licence.
+SHARED = 2
 #: Headers of several sentences are also compared in windows of so many sentences, half a window apart.
 WINDOWS = [2, 4, 8, 16, 32, 64]
 TOKEN = r"[a-z0-9]+"
@@ -144,7 +146,7 @@ def matched(compared: DataFrame) -> DataFrame:
     counted = distinct.select("unit", F.explode(_tokens(F.col("text"))).alias("token")).filter(~F.col("token").isin(STOP_WORDS)).groupBy("unit", "token").agg(F.count("*").alias("tf"))
     weighted = counted.join(F.broadcast(vocabulary), "token", "left").select("unit", "token", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(other))).alias("w"))
     norms = weighted.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.join(F.broadcast(sides), "token").groupBy("unit", "ord", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    dots = weighted.join(F.broadcast(sides), "token").groupBy("unit", "ord", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.count("*").alias("shared")).filter(F.col("shared") >= SHARED)
     cosine = dots.join(norms, "unit").select("unit", "ord", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
     best = cosine.groupBy("unit").agg(F.max(F.struct("similarity", (-F.col("ord")).alias("o"), "license")).alias("b"))
     return best.filter(F.col("b.similarity") >= SIMILAR).select("unit", "b.license", "b.similarity")
@@ -153,8 +155,8 @@ def matched(compared: DataFrame) -> DataFrame:
 def scan_licenses(files: DataFrame) -> DataFrame:
     """(path, license, similarity, licensed_by) for each row of ``files`` (path, text, is_notice).
 
-    A file takes the most similar template of its own headers: whole, in windows, or one sentence of them (ties: the first
-    licence by name). A licence file is a header like any other. Otherwise it takes the licence of the nearest directory
+    A file takes the most similar template of its own headers: whole, in windows, or one sentence of them, with two
+    words in common at least (ties: the first licence by name). A licence file is a header like any other. Otherwise it takes the licence of the nearest directory
     above it that has one: a directory has the licence of the file in it with ``is_notice`` (several: the most similar,
     then the first path). ``licensed_by`` is the file's own path, or that directory, or null. Directories, not files, are
     joined with their ancestors, so a directory with a third of all files is a few rows until the last join.
@@ -245,7 +247,7 @@ v AS (SELECT ord, license, token, tf * idf AS v FROM nt JOIN idf USING (token)),
 cosine AS (
   SELECT line, v.ord, license, round(sum(w * v) / (any_value(nl.norm) * any_value(nv.norm)), 6) AS similarity
   FROM w JOIN v USING (token) JOIN (SELECT line, sqrt(sum(w * w)) AS norm FROM w GROUP BY line) nl USING (line)
-  JOIN (SELECT ord, sqrt(sum(v * v)) AS norm FROM v GROUP BY ord) nv ON nv.ord = v.ord GROUP BY line, v.ord, license
+  JOIN (SELECT ord, sqrt(sum(v * v)) AS norm FROM v GROUP BY ord) nv ON nv.ord = v.ord GROUP BY line, v.ord, license HAVING count(*) >= {SHARED}
 ), best AS (
   SELECT line, license, similarity FROM cosine QUALIFY row_number() OVER (PARTITION BY line ORDER BY similarity DESC, ord) = 1
 ), own AS (
