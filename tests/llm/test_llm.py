@@ -245,6 +245,9 @@ def test_license_headers(spark):
     code = "\nimport os\n\ndef run(x):\n    return os.path.join(x)\n" * 40
     rows = [(f"{name}/{k}", text, name) for name, t in full.items() for k, text in enumerate([t, wrap(t, " * "), "#!/bin/sh\n" + wrap(t, "# ") + code, code + "/*\n" + wrap(t, " * ", 78) + "\n */" + code])]
     rows += [("title", "ISC License\n\nCopyright (c) 2004 A. Person", "ISC"), ("inside", "Copyright (c) 2021 Jane Roe and contributors. Released under the MIT License.", "MIT"), ("spdx", "// SPDX-License-Identifier: Apache-2.0\npackage x", "Apache-2.0"), ("mit", "MIT License\n\nCopyright (c) 2020 Jane Roe\n\n" + wrap(full["MIT"], ""), "MIT"), ("first line", "Permission is hereby granted, free of charge, to any person obtaining a copy", "MIT"), ("one word", "Der Weg. Mit. Das Haus.\nMIT", None), ("prose", "We hope that you find this form of the work useful. All the details follow later." * 50, None), ("long", "x " * 300_000 + "\nLicensed under CC BY 4.0.\n" + "y. Z " * 100_000, "CC-BY-4.0")]
+    # long licences open with their titles
+    legal = "\n\n1. Scope.\n\nThe terms of this document apply to works that are offered by their owners, and to nothing else.\n" * 30
+    rows += [("GPL", "      GNU GENERAL PUBLIC LICENSE\n      Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc." + legal, "GPL-3.0"), ("APACHE", "      Apache License\n   Version 2.0, January 2004\n  http://www.apache.org/licenses/\n" + legal, "Apache-2.0"), ("CC0", "CC0 1.0 Universal\n\nStatement of Purpose" + legal, "CC0-1.0"), ("legal", legal, None)]
     files = spark.createDataFrame([(p, t, False) for p, t, _ in rows], "path string, text string, is_notice boolean")
     got = {r.path: r.license for r in licenses.scan_licenses(files.withColumn("runs", F.lit(1)).withColumn("unit", F.lit(2))).collect()}
     assert got == {p: name for p, _, name in rows}
