@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -33,6 +34,36 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _AS_CHAR = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
+#: The settings of a tokenizer whose words can be encoded one by one, as its file states them.
+_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
+class WholeIds:
+    """Ids of a text by any tokenizer file, encoded whole."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def of(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def ids_of(path: str) -> WordIds | WholeIds:
+    """The encoder of a tokenizer file: word by word where its settings are known to allow that, else whole texts."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    added = all(t["content"].startswith("<") and " " not in t["content"] and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in told.get("added_tokens") or [])
+    same = added and told["model"]["type"] == "BPE" and not told.get("truncation") and all(told.get(k) == v for k, v in _BY_WORD.items())
+    return WordIds(path) if same else WholeIds(path)
+
+
 class WordIds(dict):
     """Ids (little-endian unsigned 32-bit) of white-space separated words, just as the whole text's encoding has them.
 
@@ -93,7 +124,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema.replace(" long", "").replace(" int", "").replace(" array<int>", "").split(", "))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end, step, rows = WordIds(tokenizer), np.array([END], "<u4").tobytes(), 4 * capacity, []
+        known, end, step, rows = ids_of(tokenizer), np.array([END], "<u4").tobytes(), 4 * capacity, []
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 data = known.of(text.as_py() or "") + end
@@ -127,65 +158,83 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, steps: int = 1000) -> list[list[int]]:
+def _choices(items: list[int], lengths: list[int]) -> list[tuple[int, ...]]:
+    """None, one or two items of a bin, each combination of lengths once: a bin of n tokens has under sqrt(2 n) lengths."""
+    kept: dict[int, list[int]] = {}
+    for k in items:
+        kept.setdefault(lengths[k], []).append(k)
+    firsts = [v[0] for v in kept.values()]
+    return [(), *[(k,) for k in firsts], *combinations(firsts, 2), *[tuple(v[:2]) for v in kept.values() if len(v) > 1]]
+
+
+class _Offers:
+    """What bins could give in exchange, as arrays; a bin's former offers die when its items change."""
+
+    def __init__(self, lengths: list[int]) -> None:
+        self.lengths, self.sets = lengths, []
+        self.size = self.home = self.count = np.zeros(0, np.int64)
+
+    def add(self, bins: dict[int, list[int]]) -> None:
+        fresh = [(b, c) for b, items in bins.items() for c in _choices(items, self.lengths)]
+        self.sets += [c for _, c in fresh]
+        self.size = np.append(self.size, np.array([sum(self.lengths[k] for k in c) for _, c in fresh], np.int64))
+        self.home = np.append(self.home, np.array([b for b, _ in fresh], np.int64))
+        self.count = np.append(self.count, np.array([len(c) for _, c in fresh], np.int64))
+
+    def drop(self, bins: set[int]) -> None:
+        self.home[np.isin(self.home, list(bins))] = -1
+        if (dead := self.home < 0).sum() * 2 > len(dead):
+            self.sets = [c for c, d in zip(self.sets, dead.tolist(), strict=True) if not d]
+            self.size, self.home, self.count = self.size[~dead], self.home[~dead], self.count[~dead]
+
+    def best(self, low: int, mine: list[int], fill: np.ndarray, capacity: int) -> tuple[int, tuple, int, tuple]:
+        """(gain, given, bin, taken) of the exchange that takes most from ``low`` and raises squared fill; gain 0: none."""
+        found = (0, (), -1, ())
+        other = (self.home >= 0) & (self.home != low)
+        full = fill[self.home]
+        for given in _choices(mine, self.lengths)[1:]:
+            gain = sum(self.lengths[k] for k in given) - self.size
+            fits = other & (gain > found[0]) & (full + gain <= capacity) & (full + gain > fill[low])
+            if len(given) == 2:
+                fits &= self.count < 2
+            if fits.any():
+                at = int(np.where(fits, gain, 0).argmax())
+                found = (int(gain[at]), given, int(self.home[at]), self.sets[at])
+        return found
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Empties bins: the emptiest bin gives an item away, or swaps one of its items for a shorter one or for two that
     are shorter together, or two of its items for one, whenever the other underfull bin has room for the difference.
 
-    Each step must raise the sum of squared fills, so the search ends; it also ends at the least number of bins that
-    the total length allows, or after ``steps``. A bin that cannot be emptied is left as it is and the next emptiest is
-    tried; when that changed something, the former ones are tried again.
+    Each exchange must raise the sum of squared fills, so the search ends: when no underfull bin has one left, or at the
+    least number of bins that the total length allows. A bin that has none is passed over until something changed.
     """
     bins = [list(b) for b in bins]
-    fill = [sum(lengths[k] for k in b) for b in bins]
-    least, open_, stuck = -(-sum(fill) // capacity), sum(1 for b in bins if b), set()
-    while open_ > least and steps > 0:
-        under = [b for b in range(len(bins)) if bins[b] and fill[b] < capacity and b not in stuck]
-        if len(under) < 2 or len(stuck) > 8:
-            break
-        low = min(under, key=lambda b: (fill[b], b))
-        others = [b for b in range(len(bins)) if bins[b] and fill[b] < capacity and b != low]
-        single = [(lengths[k], b, (k,)) for b in others for k in bins[b]]
-        double = [(lengths[i] + lengths[j], b, (i, j)) for b in others for i, j in combinations(sorted(bins[b], key=lambda k: -lengths[k])[:12], 2)]
-        sets = [(0, b, ()) for b in others] + single + double
-        size = np.array([s for s, _, _ in sets])
-        home = np.array([b for _, b, _ in sets])
-        alive = np.ones(len(sets), bool)
-        room = capacity - np.array(fill)
-        while bins[low] and steps > 0:
-            steps -= 1
-            best = (0, None, None)
-            mine = [(k,) for k in bins[low]] + list(combinations(sorted(bins[low], key=lambda k: -lengths[k])[:12], 2))
-            for given in mine:
-                x = sum(lengths[k] for k in given)
-                gain = x - size
-                ok = alive & (gain > 0) & (gain <= room[home]) & (capacity - room[home] + gain > fill[low])
-                if len(given) == 2:
-                    ok &= np.arange(len(sets)) < len(others) + len(single)
-                if ok.any():
-                    at = int(np.where(ok, gain, 0).argmax())
-                    if gain[at] > best[0]:
-                        best = (int(gain[at]), given, at)
-            if best[1] is None:
+    fill = np.array([sum(lengths[k] for k in b) for b in bins], np.int64)
+    least, open_ = -(-sum(lengths) // capacity), sum(1 for b in bins if b)
+    if open_ <= least:
+        return [b for b in bins if b]
+    offers = _Offers(lengths)
+    offers.add({b: items for b, items in enumerate(bins) if items and fill[b] < capacity})
+    changed = True
+    while changed and open_ > least:
+        changed = False
+        for low in sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b)):
+            while bins[low]:
+                gain, given, b, taken = offers.best(low, bins[low], fill, capacity)
+                if not gain:
+                    break
+                changed = True
+                bins[low] = [k for k in bins[low] if k not in given] + list(taken)
+                bins[b] = [k for k in bins[b] if k not in taken] + list(given)
+                fill[low] -= gain
+                fill[b] += gain
+                offers.drop({low, b})
+                offers.add({x: bins[x] for x in (low, b) if bins[x] and fill[x] < capacity})
+            open_ -= not bins[low]
+            if changed:
                 break
-            gain, given, at = best
-            stuck.clear()
-            b, taken = int(home[at]), sets[at][2]
-            bins[low] = [k for k in bins[low] if k not in given] + list(taken)
-            bins[b] = [k for k in bins[b] if k not in taken] + list(given)
-            fill[low] -= gain
-            fill[b] += gain
-            room[low] += gain
-            room[b] -= gain
-            # what was listed of this bin is out of date: list what it holds now as single items
-            alive &= home != b
-            fresh = [(0, b, ())] + [(lengths[k], b, (k,)) for k in bins[b]]
-            sets += fresh
-            size, home = np.append(size, [s for s, _, _ in fresh]), np.append(home, [b] * len(fresh))
-            alive = np.append(alive, np.ones(len(fresh), bool))
-        if not bins[low]:
-            open_ -= 1
-        else:
-            stuck.add(low)
     return [b for b in bins if b]
 
 
@@ -212,9 +261,10 @@ def _pack_group(level: int, last: bool, capacity: int):
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows of (doc_id, piece, start, length, ids_crc32, ...).
 
-    Rows are dealt by hash to groups of about ``group``, each packed by best fit and local search in one task. The
-    sequences that are not full go on to a next level, dealt anew to fewer groups, until one group is left or a level
-    no longer halves the rows. A group of equal lengths or copies is dealt by hash like any other rows.
+    Rows are dealt by hash to groups of about ``group``, each packed by best fit and local search in one task. The rows
+    of sequences that are not full go on to a next level, dealt anew to fewer groups, until one group is left or a level
+    neither halves these rows nor saves a sequence a group (a group at its own least number wastes less than one). A
+    level that needs more sequences than the one before is not used. Equal lengths and copies are dealt like other rows.
     No rows: no rows. Lengths are 1 to ``capacity``.
     """
     rows = written(items, "pack-pieces")
@@ -223,18 +273,23 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     out = whole.withColumn("sequence_id", full).withColumn("offset", F.lit(0).cast("long"))
     rest, names = rows.filter(F.col("length") < capacity), items.columns
     schema = T.StructType([*items.schema.fields, *[T.StructField(n, T.LongType()) for n in ("sequence_id", "offset", "_done")]])
-    count, level = rest.count(), 0
+    count, level, before, needed = rest.count(), 0, None, 0
     while count:
         groups = max(1, -(-count // group))
         # the row's own number in the written table keeps repeated rows from meeting in one group
         salt = F.pmod(F.xxhash64(F.lit(level), "doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
         packed = written(rest.withColumn("_g", salt.cast("long")).groupBy("_g").applyInArrow(_pack_group(level, groups == 1, capacity), schema), f"pack-level{level}")
-        left = packed.filter("_done = 0").count()
-        if left > count // 2:
+        # a sequence has one row at offset 0
+        made, left, open_ = packed.agg(F.expr("count_if(offset = 0)"), F.expr("count_if(_done = 0)"), F.expr("count_if(_done = 0 AND offset = 0)")).first()
+        if before is not None and made > needed:
+            out = out.unionByName(before)
+            break
+        if left > count // 2 and before is not None and needed - made < groups:
             out = out.unionByName(packed.drop("_done"))
             break
         out = out.unionByName(packed.filter("_done = 1").drop("_done"))
-        rest, count, level = packed.filter("_done = 0").select(*names), left, level + 1
+        before, needed = packed.filter("_done = 0").drop("_done"), open_
+        rest, count, level = before.select(*names), left, level + 1
     return out
 
 

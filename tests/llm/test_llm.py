@@ -5,6 +5,7 @@ import re
 import textwrap
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -349,6 +350,56 @@ def test_local_search_empties_bins():
     assert len(packing.local_search([[0, 1], [2, 3], [4]], [60, 35, 55, 40, 10], 100)) == 2
 
 
+def test_local_search_looks_at_all_bins_and_pairs():
+    # 20 lengths in the giving bin and 10 stuck bins before it: neither bounds the search
+    lengths = [*[90] * 12, *range(1, 13), 22, 100 - 22 + 10, 10]
+    bins = [[k] for k in range(12)] + [list(range(12, 24)), [24], [25], [26]]
+    after = packing.local_search(bins, lengths, 100)
+    assert sorted(k for b in after for k in b) == list(range(len(lengths))) and all(sum(lengths[k] for k in b) <= 100 for b in after)
+    assert len(after) < len(bins)
+    assert len(packing._choices(list(range(4)), [5, 5, 5, 7])) == 1 + 2 + 1 + 1
+
+
+def test_search_empties_sequences_of_a_whole_packing(spark):
+    rng, capacity = np.random.default_rng(11), 100
+    for _ in range(200):  # documents at which best fit alone needs more sequences than the search
+        lengths = rng.integers(20, 60, 40).tolist()
+        rows = sorted(range(40), key=lambda k: (lengths[k], k))
+        ordered = [lengths[k] for k in rows]
+        first = packing.best_fit(ordered, capacity)
+        if len(packing.local_search(first, ordered, capacity)) < len(first):
+            break
+    docs = spark.createDataFrame([(k, "a " * (n - 1)) for k, n in enumerate(lengths)], "doc_id long, text string")
+    got = packing.pack_documents(docs, packing.default_tokenizer(), capacity).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(lengths))
+    assert len({r.sequence_id for r in got}) < len(first)
+
+
+def test_packing_levels(spark):
+    rng = np.random.default_rng(5)
+    for most in (95, 40):  # sequences that cannot be filled, and those that can
+        rows = [(int(k), 0, 0, int(n), 0) for k, n in enumerate(rng.integers(most // 2, most, 400))]
+        items = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        got = packing.pack(items, 100, 50).collect()
+        assert sorted((r.doc_id, r.length) for r in got) == [(r[0], r[3]) for r in rows]
+        by = {}
+        for r in got:
+            by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for parts in by.values():
+            ends = [o + n for o, n in sorted(parts)]
+            assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 100
+
+
+def test_other_tokenizers_encode_whole_texts(docs):
+    from tokenizers import Tokenizer
+
+    path = str(Path(packing.default_tokenizer()).parent / "byte_bpe_50k.json")
+    mine, whole = packing.ids_of(path), Tokenizer.from_file(path)
+    assert isinstance(mine, packing.WholeIds) and isinstance(packing.ids_of(packing.default_tokenizer()), packing.WordIds)
+    for r in docs.limit(50).collect():
+        assert np.frombuffer(mine.of(r.text or ""), "<u4").tolist() == whole.encode(r.text or "", add_special_tokens=False).ids
+
+
 def test_transfers_move_the_least():
     rng = np.random.default_rng(6)
     for _ in range(20):
