@@ -324,12 +324,22 @@ def modal_columns(s, d):
     return files.modal_columns(files.lines_of(table(s, d, "documents").select(F.col("doc_id").alias("file"), "text")))
 
 
-@query("data_start")
+@query("data_start", rf"""WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
+t AS (SELECT file, no, string_split(trim(replace(line, chr(13), ''), ' '), ',') AS k FROM l WHERE trim(replace(line, chr(13), ''), ' ') <> ''), n AS (SELECT file, no, CASE WHEN len(k) > 1 AND k[len(k)] = '' THEN k[1:len(k) - 1] ELSE k END AS k FROM t),
+g AS (SELECT file, len(k) AS columns, count(*) AS c, min(no) AS f FROM n GROUP BY 1, 2), m AS (SELECT file, columns FROM g QUALIFY row_number() OVER (PARTITION BY file ORDER BY c DESC, f) = 1),
+ok AS (SELECT file, no, len(k) = columns AND len(list_filter(k, lambda x: {_NUMBER_SQL})) >= columns - 1 AS ok FROM n JOIN m USING (file)),
+run AS (SELECT file, no, bool_and(ok) OVER (PARTITION BY file ORDER BY no RANGE BETWEEN CURRENT ROW AND 4 FOLLOWING) AS run FROM ok)
+SELECT file, CAST(coalesce(min(no) FILTER (run), 0) AS INTEGER) AS start FROM run GROUP BY file""")
 def data_start(s, d):
     return files.data_start(files.lines_of(table(s, d, "documents").select(F.col("doc_id").alias("file"), "text")))
 
 
-@query("file_class")
+@query("file_class", rf"""WITH h AS (SELECT doc_id, text, array_to_string(list_filter(string_split(text, chr(10))[1:20], lambda x: trim(x, ' ') <> ''), chr(10)) AS h FROM documents),
+c AS (SELECT *, length(h) - length(replace(h, ',', '')) AS a, length(h) - length(replace(h, ';', '')) AS b, length(h) - length(replace(h, chr(9), '')) AS t, length(h) - length(replace(h, ' ', '')) AS p FROM h),
+d AS (SELECT doc_id, text, CASE WHEN t > 0 THEN chr(9) WHEN greatest(a, b, t, p) = 0 OR greatest(a, b, t, p) = a THEN ',' WHEN greatest(a, b, t, p) = b THEN ';' ELSE ' ' END AS sep FROM c),
+k AS (SELECT *, flatten(list_transform(list_filter(string_split(substr(text, 1, 2048), chr(10)), lambda x: trim(x, ' ') <> '')[1:10], lambda x: CASE WHEN sep = ' ' THEN regexp_split_to_array(trim(x, ' '), '\s+') ELSE string_split(trim(x, ' '), sep) END)) AS k FROM d),
+s AS (SELECT *, CASE WHEN len(k) > 0 THEN len(list_filter(list_transform(k, lambda x: translate(x, chr(34) || chr(39), '')), lambda x: {_NUMBER_SQL})) / len(k) ELSE 1 END AS share FROM k)
+SELECT doc_id, CASE WHEN text IS NULL OR text = '' OR contains(substr(text, 1, 2048), chr(0)) THEN 'Unsafe' WHEN share < 0.1 THEN 'Research Only' WHEN doc_id % 3 = 0 AND sep = ',' THEN 'Ready' WHEN doc_id % 3 = 1 AND sep <> ';' THEN 'Ready' ELSE 'Partially Ready' END AS status FROM s""")
 def file_class(s, d):
     ext = F.when(F.col("doc_id") % 3 == 0, ".csv").when(F.col("doc_id") % 3 == 1, ".txt").otherwise(".tsv")
     docs = files.classified(table(s, d, "documents").select(F.concat(F.col("doc_id").cast("string"), ext).alias("file_path"), F.octet_length("text").cast("long").alias("size"), "text", "doc_id"))
@@ -454,7 +464,12 @@ def beat_overlay(s, d):
 
 # --- filters, spectra, kernels ---------------------------------------------------------------------------------
 
-@query("gauss_filter")
+_GAUSS = """wide AS (SELECT *, count(*) OVER (PARTITION BY recording_id) AS n FROM sig), bell AS (SELECT k, exp(-0.5 * (k / 1.5) * (k / 1.5)) AS w FROM (SELECT unnest(range(-6, 7)) AS k)),
+read AS (SELECT recording_id, idx AS i, CASE WHEN idx + k < 0 THEN -1 - idx - k WHEN idx + k >= n THEN 2 * n - 1 - idx - k ELSE idx + k END AS idx, w / (SELECT sum(w) FROM bell) AS w FROM wide, bell),
+gauss AS (SELECT recording_id, i AS idx, sum(w * v) AS v FROM read JOIN sig USING (recording_id, idx) GROUP BY 1, 2)"""
+
+
+@query("gauss_filter", f"WITH {_TYPE}, {_GAUSS} SELECT recording_id, idx, {_R('v')} AS v FROM gauss")
 def gauss_filter(s, d):
     return _v(samples.gaussian(sig_type(s, d), TYPE_FS))
 
@@ -472,7 +487,11 @@ def autocorr(s, d):
     return sums.join(zero, "recording_id").select("recording_id", "lag", rounded(r).alias("r"))
 
 
-@query("filter_scoreboard")
+_BOARD = f"""{_GAUSS}, {_MEDIAN}, each AS (SELECT recording_id, 'None' AS filter, 0 AS ord, v AS raw, v FROM sig UNION ALL SELECT recording_id, 'Gaussian', 1, sig.v, gauss.v FROM sig JOIN gauss USING (recording_id, idx) UNION ALL SELECT recording_id, 'Median', 2, raw, v FROM med),
+board AS (SELECT recording_id, filter, ord, round(CASE WHEN stddev_pop(raw) < 1e-9 OR stddev_pop(v) < 1e-9 THEN 0 ELSE greatest(0, covar_pop(raw, v) / (stddev_pop(raw) * stddev_pop(v))) * 100 END, 5) + 0.0 AS morphology FROM each GROUP BY ALL)"""
+
+
+@query("filter_scoreboard", f"WITH {_TYPE}, {_BOARD} SELECT * FROM board")
 def filter_scoreboard(s, d):
     """None, Median and Gaussian by correlation with the raw signal; not the full ranking, which needs the kernels."""
     raw = sig_type(s, d)
@@ -484,7 +503,7 @@ def filter_scoreboard(s, d):
     return rows
 
 
-@query("top3_filters")
+@query("top3_filters", f"WITH {_TYPE}, {_BOARD} SELECT *, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY morphology DESC, ord) AS INTEGER) AS place FROM board QUALIFY place <= 3")
 def top3_filters(s, d):
     from pyspark.sql.window import Window
 

@@ -19,7 +19,7 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["trim", "chunk_stats", "interpolate_gaps", "signal_quality", "verdict", "peaks_distance", "poincare", "beat_resample", "beat_consistency", "modal_columns", "peaks_standard", "trough_asof", "dft_power", "band_snr", "rate_scores", "rate_entries"])
+@pytest.mark.parametrize("name", ["trim", "chunk_stats", "interpolate_gaps", "signal_quality", "verdict", "peaks_distance", "poincare", "beat_resample", "beat_consistency", "modal_columns", "peaks_standard", "trough_asof", "dft_power", "band_snr", "rate_scores", "rate_entries", "gauss_filter", "filter_scoreboard", "top3_filters", "data_start", "file_class"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in NAMES:
