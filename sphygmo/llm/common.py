@@ -97,3 +97,10 @@ def blocked_rank(df: DataFrame, group: list[str], ties: list[str], rank: str, to
 def blocks_for(df: DataFrame, rows: int = 100_000) -> int:
     """Hash blocks so that even a group with all rows of ``df`` has about ``rows`` in each; 64 at least."""
     return max(64, df.count() // rows)
+
+
+def crc32_sql(value: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a value's text in ASCII, bit by bit."""
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"list_reduce(range(8), lambda c, k: {bit}, xor(r, b))"
+    return f"xor(list_reduce(list_transform(string_split(CAST({value} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda r, b: {byte}, 4294967295), 4294967295)"
