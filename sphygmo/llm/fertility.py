@@ -22,7 +22,7 @@ MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
 #: A band reaches so many interquartile ranges to either side of the median of a language, but no less than this: a share
 #: of the median for characters a token, else in the measure's own unit (share of tokens, bits).
 REACH = 6.0
-LEAST = {"chars_per_token": 0.25, "fallback_share": 0.05, "token_entropy": 1.5}
+LEAST = {"chars_per_token": 0.2, "fallback_share": 0.05, "token_entropy": 1.5}
 #: The bounds of a band that reject; a text of many token kinds, or without byte tokens, is no worse for that.
 SIDES = {"chars_per_token": ("low", "high"), "fallback_share": ("high",), "token_entropy": ("low",)}
 _SYMBOLS, _SPACES = b"#*$%&|<>", b" \t\n\r\x0b\x0c"

@@ -150,8 +150,8 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
     return tenth.select("doc_id", F.when(some, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
 
 
-def summed_up(found: DataFrame) -> list[Column]:
-    """The columns that tell of the runs and the collapsed text: counts, the longest run, and digests."""
+def summed_up() -> list[Column]:
+    """What tells of the columns ``runs`` and ``collapsed``: counts, the longest run, and digests."""
     best = F.aggregate("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda b, r: F.when(b.isNull() | (r["length"] > b["length"]), r).otherwise(b))
     of = lambda c: best[c].alias(c)
     lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]).cast("string")), "\n")
@@ -165,7 +165,7 @@ def summed_up(found: DataFrame) -> list[Column]:
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of every whole text of ``documents``, every tenth of which is made periodic from some word on."""
     found = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return found.select("doc_id", *summed_up(found))
+    return found.select("doc_id", *summed_up())
 
 
 #: All periods' grids in one table; of the periods with three agreeing neighbours, the stretches of equal words.
