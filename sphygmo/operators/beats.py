@@ -42,7 +42,7 @@ def drift(sig: DataFrame) -> DataFrame:
     for recordings of 3 * int(2 * fs) samples or fewer."""
     base = kernels.filtered(sig, "baseline").withColumnRenamed("v", "low")
     both = sig.select("recording_id", "idx", "v").join(base, ["recording_id", "idx"])
-    out = both.groupBy("recording_id").agg(F.count("*").alias("n"), F.first("fs").alias("fs"), F.stddev_pop("low").alias("s"), F.stddev_pop("v").alias("t"), F.first("applied").alias("ok"))
+    out = both.groupBy("recording_id").agg(F.count("*").alias("n"), F.first("fs").alias("fs"), F.stddev_pop("low").alias("s"), F.stddev_pop("v").alias("t"), F.first("error").isNull().alias("ok"))
     std = F.when(F.col("ok") & (F.col("n") > 3 * (2 * F.col("fs")).cast("long")), F.col("s")).otherwise(0.0)
     return out.select("recording_id", std.alias("drift_std"), F.when(F.col("t") > 1e-9, F.try_divide(std, F.col("t"))).otherwise(0.0).alias("drift_ratio"))
 
@@ -161,14 +161,15 @@ def features(sig: DataFrame) -> DataFrame:
 
 
 def metrics(raw: DataFrame, sig: DataFrame) -> DataFrame:
-    """(recording_id, and the thirteen quality metrics): gaps, flats and motion from ``raw`` with outliers clipped, all else
-    from ``sig``, which is the same without gaps."""
+    """(recording_id, and the thirteen quality metrics): gaps from ``raw``, all else from ``sig``, which is the same without
+    gaps, once its outliers are clipped."""
+    sig = samples.iqr_clip(sig).select("recording_id", "idx", "v", "fs")
     x = flat(sig)
     tops = kernels.found_peaks(x).filter("side = 'peak'")
     st = sig.groupBy("recording_id").agg(F.var_pop("v").alias("variance"), F.kurtosis("v").alias("kurtosis"), F.skewness("v").alias("skewness"))
     count = tops.groupBy("recording_id").agg(F.count("*").alias("peak_count"))
     gaps = quality.gaps_flats_motion(raw).select("recording_id", "missing_pct")
-    moves = quality.gaps_flats_motion(samples.iqr_clip(sig)).select("recording_id", "flat_pct", "motion_pct")
+    moves = quality.gaps_flats_motion(sig).select("recording_id", "flat_pct", "motion_pct")
     parts = (st, gaps, moves, band_snr(sig), drift(sig), quality.entropy(sig), peaks.stability(tops), peaks.consistency(x.select("recording_id", "idx", "v"), tops), count)
     rows = reduce(lambda a, b: a.join(b, "recording_id", "left"), parts)
     few = F.coalesce(F.col("peak_count"), F.lit(0)) <= 1
@@ -187,29 +188,40 @@ def scored(m: DataFrame) -> DataFrame:
 
 
 def scoreboard(sig: DataFrame) -> DataFrame:
-    """(recording_id, filter, ord, morphology, peak_retention, beat_similarity, snr_score, total_score, snr_db): how each of
-    the seven filters keeps the signal. All filters of all recordings go through the same jobs as variants."""
-    parts = [kernels.variant((sig if n == "None" else kernels.filtered(sig, n)).select("recording_id", "idx", "v", "fs"), n) for n in FILTERS]
+    """(recording_id, filter, ord, morphology, peak_retention, beat_similarity, snr_score, snr_db, total_score, error): how each
+    of the seven filters keeps the signal; a filter that cannot take a recording has no marks but an error. All filters of all
+    recordings go through the same jobs as variants."""
+    plain = sig.select("recording_id", "idx", "v", "fs")
+    parts = [kernels.variant((plain.withColumn("error", F.lit(None).cast("string")) if n == "None" else kernels.filtered(plain, n)).select("recording_id", "idx", "v", "fs", "error"), n) for n in FILTERS]
     every = reduce(DataFrame.unionByName, parts)
     raw = sig.select(F.col("recording_id").cast("string").alias("name"), "idx", F.col("v").alias("raw"))
     both = every.withColumn("name", F.split("recording_id", kernels.MARK)[0]).join(raw, ["name", "idx"])
+    failed = every.groupBy("recording_id").agg(F.first("error").alias("error"))
+    every = every.drop("error")
     x = flat(every)
     tops = kernels.found_peaks(x).filter("side = 'peak'")
     count = tops.groupBy("recording_id").agg(F.count("*").alias("n"))
-    rows = reduce(lambda a, b: a.join(b, "recording_id", "left"), (quality.correlation_score(both, "raw", "v"), count, peaks.consistency(x.select("recording_id", "idx", "v"), tops), band_snr(every)))
+    rows = reduce(lambda a, b: a.join(b, "recording_id", "left"), (quality.correlation_score(both, "raw", "v"), count, peaks.consistency(x.select("recording_id", "idx", "v"), tops), band_snr(every), failed))
     rows = kernels.by_variant(rows, "filter").withColumn("n", F.coalesce("n", F.lit(0)))
     own = rows.filter("filter = 'None'").select("recording_id", F.col("n").alias("raw_n"), F.col("snr_db").alias("raw_snr"))
     rows = rows.join(own, "recording_id")
     kept = F.greatest(F.lit(0.0), 100 - F.abs(F.col("n") - F.col("raw_n")) / F.greatest(F.lit(1), F.col("raw_n")) * 100)
     gain = 50 + 10 * (F.col("snr_db") - F.col("raw_snr"))
-    snr = F.when(F.isnan(gain), 50.0).otherwise(quality.clip(gain))
-    out = rows.select("recording_id", "filter", F.array_position(F.array(*map(F.lit, FILTERS)), F.col("filter")).cast("int").alias("ord"), "morphology", kept.alias("peak_retention"), (F.col("beat_consistency") * 100).alias("beat_similarity"), snr.alias("snr_score"), "snr_db")
+    snr = F.when(F.isnan(gain), 0.0).otherwise(quality.clip(gain))  # two of no signal at all: nothing gained
+    mark = lambda c: F.when(F.col("error").isNull(), c)
+    out = rows.select("recording_id", "filter", F.array_position(F.array(*map(F.lit, FILTERS)), F.col("filter")).cast("int").alias("ord"), mark(F.col("morphology")).alias("morphology"), mark(kept).alias("peak_retention"), mark(F.col("beat_consistency") * 100).alias("beat_similarity"), mark(snr).alias("snr_score"), mark(F.col("snr_db")).alias("snr_db"), "error")
     return out.withColumn("total_score", 0.4 * F.col("morphology") + 0.3 * F.col("peak_retention") + 0.2 * F.col("beat_similarity") + 0.1 * F.col("snr_score"))
 
 
 def best_filter(board: DataFrame) -> DataFrame:
-    """(recording_id, best, needs_comparison): the highest total, the first of equals; whether the next is within 3."""
+    """(recording_id, best, needs_comparison): the highest total, the first of equals, of those that have marks; whether the
+    next is within 3."""
     w = Window.partitionBy("recording_id").orderBy(F.desc("total_score"), "ord")
-    two = board.withColumn("place", F.row_number().over(w)).filter("place <= 2")
+    two = board.filter("error is null").withColumn("place", F.row_number().over(w)).filter("place <= 2")
     at = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
-    return two.groupBy("recording_id").agg(at(1, "filter").alias("best"), (at(1, "total_score") - at(2, "total_score") <= 3.0).alias("needs_comparison"))
+    return two.groupBy("recording_id").agg(at(1, "filter").alias("best"), F.coalesce(at(1, "total_score") - at(2, "total_score") <= 3.0, F.lit(False)).alias("needs_comparison"))
+
+
+def first_error(board: DataFrame) -> DataFrame:
+    """(recording_id, error): why the first filter that cannot take a recording cannot; none of the others."""
+    return board.filter("error is not null").groupBy("recording_id").agg(F.min_by("error", "ord").alias("error"))

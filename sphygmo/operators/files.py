@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: White space that is cut off lines.
+SPACES = " \t\n\r\x0b\x0c"
 DELIMITERS = {"comma": ",", "semicolon": ";", "tab": "\t", "space": " "}
 #: A number as float() reads it.
 NUMBER = r"^\s*[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\s*$|^\s*[+-]?([nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
@@ -17,7 +19,7 @@ def is_number(token: Column) -> Column:
 
 def delimiter(text: Column) -> Column:
     """Of the first 20 lines, blanks left out: tab if there is one, else the most frequent, ties in the order , ; space."""
-    lines = F.filter(F.slice(F.split(text, "\n"), 1, 20), lambda x: F.trim(x) != "")
+    lines = F.filter(F.slice(F.split(text, "\n"), 1, 20), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     head = F.array_join(lines, "\n")
     count = {n: F.length(head) - F.length(F.replace(head, F.lit(d), F.lit(""))) for n, d in DELIMITERS.items()}
     most = F.greatest(*count.values())
@@ -32,8 +34,8 @@ def tokens_of(line: Column, delimiter_: Column) -> Column:
 def numeric_share(text: Column, delimiter_: Column) -> Column:
     """Share of tokens that are numbers in the first ten lines, blanks left out, of the first 2048 characters; without
     tokens 1, as nothing speaks against numbers."""
-    lines = F.slice(F.filter(F.split(F.substring(text, 1, 2048), "\n"), lambda x: F.trim(x) != ""), 1, 10)
-    tokens = F.flatten(F.transform(lines, lambda x: tokens_of(F.trim(x), delimiter_)))
+    lines = F.slice(F.filter(F.split(F.substring(text, 1, 2048), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""), 1, 10)
+    tokens = F.flatten(F.transform(lines, lambda x: tokens_of(F.btrim(x, F.lit(SPACES)), delimiter_)))
     plain = F.transform(tokens, lambda x: F.translate(x, "\"'", ""))
     return F.coalesce(F.try_divide(F.size(F.filter(plain, is_number)).cast("double"), F.size(tokens).cast("double")), F.lit(1.0))
 
@@ -84,7 +86,7 @@ def lines_of(texts: DataFrame, delimiter_: str = ",") -> DataFrame:
     """(file, line_no, line, tokens) of the lines that are not blank, by ``delimiter_`` or a column ``delimiter``; one empty
     token at the end is dropped."""
     by = F.col("delimiter") if "delimiter" in texts.columns else F.lit(delimiter_)
-    lines = texts.select("file", by.alias("by"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.trim(F.translate("line", "\r", ""))).filter("line <> ''")
+    lines = texts.select("file", by.alias("by"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.btrim("line", F.lit(SPACES))).filter("line <> ''")
     tokens = tokens_of(F.col("line"), F.col("by"))
     lines = lines.withColumn("tokens", F.when((F.size(tokens) > 1) & (F.element_at(tokens, -1) == ""), F.slice(tokens, 1, F.size(tokens) - 1)).otherwise(tokens))
     return lines.select("file", "line_no", "line", "tokens")
@@ -105,49 +107,17 @@ def data_start(lines: DataFrame) -> DataFrame:
     return run.groupBy("file").agg(F.coalesce(F.min(F.when(F.col("run") == 1, F.col("line_no"))), F.lit(0)).alias("start"))
 
 
-def headers(lines: DataFrame) -> DataFrame:
-    """(file, columns, start, header_no, header, meta_end): of the three lines above the data, the nearest that is as wide
-    and mostly no numbers is the header, unless its first token is empty or one speaks of samples or counts. Metadata end
-    at the header, else at the first line so passed over, else at the data."""
-    known = modal_columns(lines).join(data_start(lines), "file")
-    near = lines.join(known, "file").filter((F.col("line_no") < F.col("start")) & (F.col("line_no") >= F.col("start") - 3))
-    words = F.size("tokens") - F.size(F.filter("tokens", is_number))
-    fits = (F.size("tokens") == F.col("columns")) & ((words >= F.floor(F.col("columns") / 2)) | (F.col("columns") == 1))
-    odd = (F.col("tokens")[0] == "") | F.exists("tokens", lambda t: F.lower(t).rlike("sample|count"))
-    found = near.filter(fits).groupBy("file").agg(F.max(F.when(~odd, F.struct("line_no", "tokens"))).alias("h"), F.collect_list(F.when(odd, F.col("line_no"))).alias("odd"))
-    below = F.array_min(F.filter("odd", lambda k: F.col("h").isNull() | (k > F.col("h.line_no"))))
-    out = known.join(found, "file", "left").withColumn("below", below)
-    return out.select("file", "columns", "start", F.col("h.line_no").alias("header_no"), F.transform("h.tokens", lambda t: F.trim(F.translate(t, "\"'", ""))).alias("header"), F.coalesce("h.line_no", "below", "start").alias("meta_end"))
-
-
-def metadata(lines: DataFrame, heads: DataFrame) -> DataFrame:
-    """(file, ord, key, value) of the lines before the data: parted at the first colon, or the line under a running name."""
-    before = lines.join(heads.select("file", "meta_end"), "file").filter("line_no < meta_end")
-    parts = F.split("line", ":", 2)
-    named = F.size(parts) == 2
-    return before.select("file", F.col("line_no").alias("ord"), F.when(named, F.trim(parts[0])).otherwise(F.concat(F.lit("meta_line_"), "line_no")).alias("key"), F.when(named, F.trim(F.get(parts, 1))).otherwise(F.col("line")).alias("value"))
-
-
-def cells(lines: DataFrame, heads: DataFrame) -> DataFrame:
-    """(file, idx, pos, name, v) of the data; tokens that are no numbers are null, columns without a name are left out."""
-    w = Window.partitionBy("file").orderBy("line_no")
-    rows = lines.join(heads.select("file", "start", "columns", "header"), "file").filter(F.col("line_no") >= F.col("start")).withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
-    each = rows.select("file", "idx", "columns", "header", F.posexplode("tokens").alias("pos", "token")).filter("pos < columns")
-    name = F.when(F.col("header").isNull(), F.concat(F.lit("col_"), "pos")).otherwise(F.get("header", F.col("pos")))
-    number = F.when(is_number(F.col("token")), F.translate(F.trim("token"), "_", "").try_cast("double"))
-    return each.select("file", "idx", "pos", name.alias("name"), number.alias("v")).filter("name <> ''")
-
-
 #: What the names of columns say.
 ID, TIME, SIGNAL = "id|subject|name", "time|timestamp|min|sec|ms|t", "ppg|pulse|pleth|ir|red|ch3|channel 3|signal"
 
 
-def roles(names: Column, rising: Column) -> Column:
+def roles(names: Column, rising: Column, wanted: Column) -> Column:
     """(id_col, timestamp_col, signal_col) of an array of column names, by what they contain; without a time column the
-    first of ``rising`` that is not the id; without a signal the last other column, or the last."""
+    first of ``rising`` that is not the id. The signal is the ``wanted`` column if there is one of that name; where none tells
+    by its name, the last other column, or the last."""
     like = lambda pattern: lambda c: F.lower(c).rlike(pattern)
     id_ = F.get(F.filter(names, like(ID)), 0)
     time = F.coalesce(F.get(F.filter(names, like(TIME)), 0), F.get(F.filter(rising, lambda c: ~c.eqNullSafe(id_)), 0))
     others = F.filter(names, lambda c: ~c.eqNullSafe(id_) & ~c.eqNullSafe(time))
-    signal = F.coalesce(F.get(F.filter(others, like(SIGNAL)), 0), F.get(others, F.size(others) - 1), F.get(names, F.size(names) - 1))
+    signal = F.coalesce(F.when(F.array_contains(names, wanted), wanted), F.get(F.filter(others, like(SIGNAL)), 0), F.get(others, F.size(others) - 1), F.get(names, F.size(names) - 1))
     return F.struct(id_.alias("id_col"), time.alias("timestamp_col"), signal.alias("signal_col"))

@@ -45,16 +45,16 @@ def _each(sig: DataFrame, run: Callable[..., dict[str, np.ndarray]], schema: str
 
 
 def filtered(sig: DataFrame, name: str | None = None, level: int = 0) -> DataFrame:
-    """(recording_id, v, applied, idx, fs) after a filter, without a name after the one in each recording's column
-    ``filter``; a recording too short for it stays as it is, not ``applied``."""
+    """(recording_id, v, error, idx, fs) after a filter, without a name after the one in each recording's column ``filter``;
+    a recording that it cannot take stays as it is, and ``error`` says why."""
 
     def run(x: np.ndarray, fs: float, own: str | None = name) -> dict:
         try:
-            return {"v": K.apply(own, x, fs, level), "applied": True}
-        except ValueError:
-            return {"v": x, "applied": False}
+            return {"v": K.apply(own, x, fs, level), "error": None}
+        except ValueError as e:
+            return {"v": x, "error": str(e)}
 
-    return _each(sig, run, "v double, applied boolean", "idx", "fs", told=() if name else ("filter",))
+    return _each(sig, run, "v double, error string", "idx", "fs", told=() if name else ("filter",))
 
 
 def found_peaks(sig: DataFrame, seconds: float = 0.4, share: float = 0.1) -> DataFrame:

@@ -78,6 +78,40 @@ def band(score: Column) -> Column:
     return F.when(score >= 95, "Excellent").when(score >= 85, "Very Good").when(score >= 70, "Good").when(score >= 50, "Acceptable").otherwise("Poor")
 
 
+def quality_radar(rows: DataFrame) -> DataFrame:
+    """(recording_id, and five axes of 0 to 100) of rows with the quality metrics; consistency is not clipped."""
+    axes = {
+        "snr_power": clip(F.col("snr_db") / 30 * 100), "baseline_stability": clip((1 - F.col("drift_ratio")) * 100), "beat_consistency": F.col("beat_consistency") * 100,
+        "sensor_connection": clip(100 - F.col("flat_region_pct")), "amplitude_stability": clip((1 - F.col("peak_stability")) * 100),
+    }
+    return rows.select("recording_id", *[c.alias(n) for n, c in axes.items()])
+
+
+def morphology_radar(rows: DataFrame) -> DataFrame:
+    """(recording_id, and four axes of 0 to 100) of rows with the features: how near each is to its usual value (fixed)."""
+    usual = {"heart_rate_bpm": 72.0, "pulse_width_sec": 0.3, "rise_time_sec": 0.2, "decay_time_sec": 0.5}
+    return rows.select("recording_id", *[clip(100 - F.abs(F.col(c) - mid) / mid * 100).alias(c.rsplit("_", 1)[0]) for c, mid in usual.items()])
+
+
+def submetric_status(rows: DataFrame) -> DataFrame:
+    """(recording_id, metric, value, ok): the eight marks that are shown with a state. The limits."""
+    c = F.col
+    marks = {
+        "snr_db": c("snr_db") >= 15, "drift_ratio": c("drift_ratio") < 0.1, "motion_artifact_pct": c("motion_artifact_pct") < 1, "entropy": (c("entropy") > 2) & (c("entropy") < 7),
+        "flat_region_pct": c("flat_region_pct") < 0.1, "missing_data_pct": c("missing_data_pct") == 0, "peak_stability": c("peak_stability") < 0.2, "beat_consistency": c("beat_consistency") >= 0.8,
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), c(n).alias("value"), ok.alias("ok")) for n, ok in marks.items()])).alias("m")
+    return rows.select("recording_id", each).select("recording_id", "m.*")
+
+
+def penalties(rows: DataFrame) -> DataFrame:
+    """(recording_id, missing, drift, consistency): what is shown as taken off the quality score."""
+    over = lambda ok, x: F.when(ok, x).otherwise(0.0)
+    return rows.select(
+        "recording_id", (3 * F.col("missing_data_pct")).alias("missing"), over(F.col("drift_ratio") > 0.1, (F.col("drift_ratio") - 0.1) * 40).alias("drift"), over(F.col("beat_consistency") < 0.85, (0.85 - F.col("beat_consistency")) * 60).alias("consistency"),
+    )
+
+
 #: Plausible ranges of the features.
 RANGES = {
     "heart_rate_bpm": (40.0, 160.0), "rr_mean_sec": (0.375, 1.5), "pulse_width_sec": (0.10, 0.60), "rise_time_sec": (0.05, 0.45), "decay_time_sec": (0.10, 1.20),
@@ -125,7 +159,7 @@ def duration_bucket(seconds: Column) -> Column:
 
 
 def source_kind(name: Column, metadata: Column, fs: Column, span: Column) -> Column:
-    """Where a recording comes from, by file name, then metadata, then rate and value range."""
+    """Where a recording comes from, by file name, then metadata (one text), then rate and value range."""
     n = F.lower(name)
     # fixed values: the words, rates and ranges
     return (

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sphygmo.operators import beats, files, kernels, peaks, quality, rates, samples
 from sphygmo.plans import batch
 from sphygmo.operators.samples import rounded
-from sphygmo.sources import recordings
+from sphygmo.sources import recordings, tables
+from sphygmo.sources.datasource import write_keyed
 from sphygmo.sources.signals import packed, sig_type, sig_user, table
 
 #: Nominal samples a second of the two signal views.
@@ -301,7 +302,11 @@ def submetric_status(s, d):
 
 # --- text ------------------------------------------------------------------------------------------------------
 
-@query("delimiter_detect", r"""WITH h AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10))[1:20], lambda x: trim(x, ' ') <> ''), chr(10)) AS h FROM documents),
+#: SQL for a line without the white space at its ends.
+_CUT = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))".format
+
+
+@query("delimiter_detect", rf"""WITH h AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10))[1:20], lambda x: {_CUT('x')} <> ''), chr(10)) AS h FROM documents),
 c AS (SELECT doc_id, length(h) - length(replace(h, ',', '')) AS a, length(h) - length(replace(h, ';', '')) AS b, length(h) - length(replace(h, chr(9), '')) AS t, length(h) - length(replace(h, ' ', '')) AS p FROM h)
 SELECT doc_id, CASE WHEN t > 0 THEN chr(9) WHEN greatest(a, b, t, p) = 0 OR greatest(a, b, t, p) = a THEN ',' WHEN greatest(a, b, t, p) = b THEN ';' ELSE ' ' END AS delimiter FROM c""")
 def delimiter_detect(s, d):
@@ -316,8 +321,8 @@ def float_tokens(s, d):
     return table(s, d, "documents").select("doc_id", F.size(F.filter(F.split("text", r"[\s,;|]+"), files.is_number)).alias("numbers"))
 
 
-@query("modal_columns", r"""WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
-t AS (SELECT file, no, string_split(trim(line, ' '), ',') AS k FROM l WHERE trim(line, ' ') <> ''), n AS (SELECT file, no, CASE WHEN len(k) > 1 AND k[len(k)] = '' THEN len(k) - 1 ELSE len(k) END AS columns FROM t),
+@query("modal_columns", rf"""WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+t AS (SELECT file, no, string_split({_CUT('line')}, ',') AS k FROM l WHERE {_CUT('line')} <> ''), n AS (SELECT file, no, CASE WHEN len(k) > 1 AND k[len(k)] = '' THEN len(k) - 1 ELSE len(k) END AS columns FROM t),
 g AS (SELECT file, columns, count(*) AS c, min(no) AS f FROM n GROUP BY ALL)
 SELECT file, CAST(columns AS INTEGER) AS columns FROM g QUALIFY row_number() OVER (PARTITION BY file ORDER BY c DESC, f) = 1""")
 def modal_columns(s, d):
@@ -325,7 +330,7 @@ def modal_columns(s, d):
 
 
 @query("data_start", rf"""WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
-t AS (SELECT file, no, string_split(trim(replace(line, chr(13), ''), ' '), ',') AS k FROM l WHERE trim(replace(line, chr(13), ''), ' ') <> ''), n AS (SELECT file, no, CASE WHEN len(k) > 1 AND k[len(k)] = '' THEN k[1:len(k) - 1] ELSE k END AS k FROM t),
+t AS (SELECT file, no, string_split({_CUT('line')}, ',') AS k FROM l WHERE {_CUT('line')} <> ''), n AS (SELECT file, no, CASE WHEN len(k) > 1 AND k[len(k)] = '' THEN k[1:len(k) - 1] ELSE k END AS k FROM t),
 g AS (SELECT file, len(k) AS columns, count(*) AS c, min(no) AS f FROM n GROUP BY 1, 2), m AS (SELECT file, columns FROM g QUALIFY row_number() OVER (PARTITION BY file ORDER BY c DESC, f) = 1),
 ok AS (SELECT file, no, len(k) = columns AND len(list_filter(k, lambda x: {_NUMBER_SQL})) >= columns - 1 AS ok FROM n JOIN m USING (file)),
 run AS (SELECT file, no, bool_and(ok) OVER (PARTITION BY file ORDER BY no RANGE BETWEEN CURRENT ROW AND 4 FOLLOWING) AS run FROM ok)
@@ -334,10 +339,10 @@ def data_start(s, d):
     return files.data_start(files.lines_of(table(s, d, "documents").select(F.col("doc_id").alias("file"), "text")))
 
 
-@query("file_class", rf"""WITH h AS (SELECT doc_id, text, array_to_string(list_filter(string_split(text, chr(10))[1:20], lambda x: trim(x, ' ') <> ''), chr(10)) AS h FROM documents),
+@query("file_class", rf"""WITH h AS (SELECT doc_id, text, array_to_string(list_filter(string_split(text, chr(10))[1:20], lambda x: {_CUT('x')} <> ''), chr(10)) AS h FROM documents),
 c AS (SELECT *, length(h) - length(replace(h, ',', '')) AS a, length(h) - length(replace(h, ';', '')) AS b, length(h) - length(replace(h, chr(9), '')) AS t, length(h) - length(replace(h, ' ', '')) AS p FROM h),
 d AS (SELECT doc_id, text, CASE WHEN t > 0 THEN chr(9) WHEN greatest(a, b, t, p) = 0 OR greatest(a, b, t, p) = a THEN ',' WHEN greatest(a, b, t, p) = b THEN ';' ELSE ' ' END AS sep FROM c),
-k AS (SELECT *, flatten(list_transform(list_filter(string_split(substr(text, 1, 2048), chr(10)), lambda x: trim(x, ' ') <> '')[1:10], lambda x: CASE WHEN sep = ' ' THEN regexp_split_to_array(trim(x, ' '), '\s+') ELSE string_split(trim(x, ' '), sep) END)) AS k FROM d),
+k AS (SELECT *, flatten(list_transform(list_filter(string_split(substr(text, 1, 2048), chr(10)), lambda x: {_CUT('x')} <> '')[1:10], lambda x: CASE WHEN sep = ' ' THEN regexp_split_to_array({_CUT('x')}, '\s+') ELSE string_split({_CUT('x')}, sep) END)) AS k FROM d),
 s AS (SELECT *, CASE WHEN len(k) > 0 THEN len(list_filter(list_transform(k, lambda x: translate(x, chr(34) || chr(39), '')), lambda x: {_NUMBER_SQL})) / len(k) ELSE 1 END AS share FROM k)
 SELECT doc_id, CASE WHEN text IS NULL OR text = '' OR contains(substr(text, 1, 2048), chr(0)) THEN 'Unsafe' WHEN share < 0.1 THEN 'Research Only' WHEN doc_id % 3 = 0 AND sep = ',' THEN 'Ready' WHEN doc_id % 3 = 1 AND sep <> ';' THEN 'Ready' ELSE 'Partially Ready' END AS status FROM s""")
 def file_class(s, d):
@@ -686,23 +691,49 @@ def _as_files(s: SparkSession, d: str) -> DataFrame:
     return made.select("file_path", "status", "reason", F.col("size").alias("file_size_bytes"), files.extension(F.col("file_path")).alias("file_extension"), F.lit("utf-8").alias("encoding"), "text")
 
 
-@query("file_columns")
+@query("file_columns", f"""WITH {_USER}, n AS (SELECT recording_id, count(*) AS n FROM sig WHERE recording_id % 9 <> 0 GROUP BY 1)
+SELECT 'set/user_' || recording_id || '.csv' AS file, ['time', 'ppg'] AS columns, CAST(NULL AS VARCHAR) AS id_col, 'time' AS timestamp_col, 'ppg' AS signal_col, CASE WHEN n > 1 THEN round(10 / 60.0, 6) END AS time_fs, true AS loader_ok, n FROM n""")
 def file_columns(s, d):
-    """Roles of the columns of each file, its rate by its time column, and how many samples it has."""
-    keep = batch.staged(batch.scratch(s))
-    info, signal = recordings.loaded(keep(_as_files(s, d), "scan"), keep)
-    n = signal.groupBy(F.col("recording_id").alias("file")).agg(F.count("*").alias("n"))
-    return info.join(n, "file", "left").select("file", "columns", "id_col", "timestamp_col", "signal_col", "time_fs", "loader_ok", "n")
+    """Roles of the columns of each file, its rate by its time column, and how many samples it has, by table functions."""
+    texts = batch.staged(batch.scratch(s))(_as_files(s, d).filter("status <> 'Unsafe'"), "scan")
+    info = recordings.described(tables.layouts_of(texts))
+    n = recordings.signals(tables.samples_of(texts), info).groupBy("recording_id").agg(F.count("*").alias("n"))
+    return info.drop("n").join(n, "recording_id", "left").select(F.col("recording_id").alias("file"), "columns", "id_col", "timestamp_col", "signal_col", rounded(F.col("time_fs")).alias("time_fs"), "loader_ok", "n")
 
 
 @query("batch_summary")
 def batch_summary(s, d):
     """The whole run over the users' recordings as files."""
+    return _analysed_files(s, d).drop("file_path")
+
+
+def _analysed_files(s: SparkSession, d: str) -> DataFrame:
     keep = batch.staged(batch.scratch(s))
     scan = keep(_as_files(s, d), "scan")
-    info, signal = recordings.loaded(scan, keep)
-    rows, _ = batch.analysed(keep(info, "info"), keep(signal, "samples"), None, keep)
-    return batch.summary(scan, rows)
+    texts = scan.filter("status <> 'Unsafe'")
+    info = keep(recordings.described(tables.layouts_of(texts)), "info")
+    signal = keep(recordings.signals(tables.samples_of(texts), info), "samples")
+    rows, _, errors = batch.analysed(info, signal, None, keep)
+    return batch.summary(scan, keep(rows, "rows"), errors)
+
+
+@query("batch_shown")
+def batch_shown(s, d):
+    """The columns of the summary that are shown."""
+    return _analysed_files(s, d).select(*batch.SHOWN)
+
+
+@query("file_round_trip", f"""WITH {_USER} SELECT 'user_' || recording_id || '.csv' AS file, recording_id AS user_id, idx, {_R('idx / 10.0')} AS time, {_R('v')} AS ppg, CAST(CASE WHEN idx % 5 = 0 THEN NULL ELSE 0.0 END AS DOUBLE) IS NULL AS gap FROM sig""")
+def file_round_trip(s, d):
+    """The users' recordings written as a file each and read back from there, gaps in one column filled."""
+    sig = sig_user(s, d)
+    name = F.concat(F.lit("user_"), F.col("recording_id").cast("string"), F.lit(".csv"))
+    gap = F.when(F.col("idx") % 5 == 0, F.lit("")).otherwise(F.col("idx").cast("string"))
+    cells = F.concat_ws(",", (F.col("idx") / USER_FS).cast("string"), gap, F.col("v").cast("string"))
+    folder = f"{batch.scratch(s)}/files"
+    write_keyed(batch.table_lines(sig, name, F.col("idx"), F.lit("time,step,ppg"), cells), folder)
+    back = recordings.frames(s, folder)
+    return back.select(batch.name_of("file_path").alias("file"), F.regexp_extract("file_path", r"user_(\d+)\.csv$", 1).cast("long").alias("user_id"), "idx", rounded(F.col("v")[0]).alias("time"), rounded(F.col("v")[2]).alias("ppg"), (F.col("idx") % 5 == 0).alias("gap"))
 
 
 @query("packed_signals", f"WITH {_TYPE} SELECT recording_id, CAST(count(*) AS INTEGER) AS n FROM sig GROUP BY 1")

@@ -1,80 +1,69 @@
-"""Delimited recordings from files: scan, classify, load."""
+"""Delimited recordings: scan, classify, load, from files or from texts in a table."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sphygmo.operators import files, rates
-from sphygmo.operators.samples import fill_gaps
+from sphygmo.sources.datasource import register
 
-_FILE = "file_path string, content binary, failed boolean"
+SCAN = ("file_path", "status", "reason", "file_size_bytes", "file_extension", "encoding", "digest")
 
 
-def _unzipped(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        for path, content in zip(part["file_path"], part["content"], strict=True):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if not name.endswith("/") and not name.rsplit("/", 1)[-1].startswith(".") and "__pycache__" not in name:
-                            yield pd.DataFrame({"file_path": [f"{path}/{name}"], "content": [z.read(name)], "failed": [False]})
-            except zipfile.BadZipFile:
-                yield pd.DataFrame({"file_path": [path], "content": [b""], "failed": [True]})
+def _read(spark: SparkSession, path: str, rows: str, only: str | None = None) -> DataFrame:
+    register(spark)
+    reader = spark.read.format("recordings").option("rows", rows)
+    return (reader if only is None else reader.option("only", only)).load(path)
 
 
 def scanned(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, status, reason, file_size_bytes, file_extension, encoding, text) of a file or of a folder's files at any
-    depth, those of ZIP files in their place. Names that begin with a dot and cache folders are passed over; a path that is
-    not there, and ZIP files that cannot be read, are one Unsafe row each. Empty files outside ZIP files are not listed, as
-    Spark's file source leaves them out."""
-    try:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        gone = [(path, "Unsafe", files.WHY["path"], 0, "", None, None)]
-        return spark.createDataFrame(gone, "file_path string, status string, reason string, file_size_bytes long, file_extension string, encoding string, text string")
-    found = found.select(F.col("path").alias("file_path"), "content", F.lit(False).alias("failed")).filter(~F.col("path").contains("__pycache__"))
-    zipped = F.hex(F.substring("content", 1, 4)) == "504B0304"
-    every = found.filter(~zipped).unionByName(found.filter(zipped).mapInPandas(_unzipped, _FILE))
-    every = every.withColumn("d", files.decoded(F.col("content"))).withColumn("size", F.octet_length("content").cast("long"))
-    every = files.classified(every.select("file_path", "failed", "size", "d.encoding", "d.text"))
-    bad = lambda good, c: F.when(F.col("failed"), good).otherwise(F.col(c)).alias(c)
-    return every.select("file_path", bad("Unsafe", "status"), bad(files.WHY["zip"], "reason"), F.col("size").alias("file_size_bytes"), files.extension(F.col("file_path")).alias("file_extension"), "encoding", "text")
-
-
-def loaded(scan: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> tuple[DataFrame, DataFrame]:
-    """(info, samples) of the files of :func:`scanned` that are not Unsafe.
-
-    ``info`` is (file, columns, id_col, timestamp_col, signal_col, meta_fs, time_fs, name_fs, loader_ok), one row a file;
-    ``samples`` (recording_id, idx, raw, v): the signal as it stands and without gaps. A file whose signal has no number at
-    all is not ok and has no samples. White space as delimiter is any run of it. ``keep`` may hold the tables on the way.
+    """The columns :data:`SCAN` of a file or of a folder's files at any depth, those of ZIP files in their place. Names that
+    begin with a dot and cache folders are passed over; a path that is not there, empty files, and ZIP files that cannot be
+    read, are one Unsafe row each."""
+    found = _read(spark, path, "files")
+    known = files.classified(found.withColumnsRenamed({"file_size_bytes": "size", "head": "text"}))
+    odd = lambda c, gone, bad: F.when(F.col("state") == "gone", gone).when(F.col("state") == "zip", bad).otherwise(F.col(c)).alias(c)
+    return known.select("file_path", odd("status", "Unsafe", "Unsafe"), odd("reason", files.WHY["path"], files.WHY["zip"]), F.col("size").alias("file_size_bytes"), F.when(F.col("state") == "gone", "").otherwise(files.extension(F.col("file_path"))).alias("file_extension"), "encoding", "digest")
+
+
+def layouts(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
+    return _read(spark, path, "layout", only)
+
+
+def frames(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
+    """(file_path, idx, v): all columns of each file without gaps, one row a line."""
+    return _read(spark, path, "samples", only).select("file_path", "idx", "v")
+
+
+def _stat(name: Column) -> Column:
+    return F.get(F.filter("stats", lambda c: c["name"].eqNullSafe(name)), 0)
+
+
+def described(layout: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(recording_id, columns, id_col, timestamp_col, signal_col, signal_at, metadata, meta_fs, time_fs, name_fs, n, loader_ok,
+    error) of rows (file_path, and a layout): which column is what, and what the file tells of its rate.
+
+    ``wanted`` (recording_id, signal) names signal columns by hand; such a column is taken where the file has it. A file
+    without data, or whose signal has no number, is not ok, and ``error`` says why.
     """
-    texts = scan.filter("status <> 'Unsafe'").select(F.col("file_path").alias("file"), "text", files.delimiter(F.col("text")).alias("delimiter"))
-    lines = keep(files.lines_of(texts), "lines")
-    heads = keep(files.headers(lines), "heads")
-    cells = keep(files.cells(lines, heads), "cells")
-    w = Window.partitionBy("file", "pos").orderBy("idx")
-    step = cells.withColumn("up", F.col("v") > F.lag("v").over(w))
-    column = step.groupBy("file", "pos", "name").agg(F.bool_and("up").alias("up"), F.count("v").alias("n"), F.min_by("v", F.when(F.col("v").isNotNull(), F.col("idx"))).alias("first"), F.max_by("v", F.when(F.col("v").isNotNull(), F.col("idx"))).alias("last"))
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "name", "up", "n", "first", "last")))
-    per = column.groupBy("file").agg(ordered.alias("c"))
-    rising = F.transform(F.filter("c", lambda c: F.coalesce(c["up"], F.lit(False)) & (c["n"] > 1)), lambda c: c["name"])
-    per = per.withColumn("columns", F.transform("c", lambda c: c["name"])).withColumn("r", files.roles(F.col("columns"), rising))
-    time = F.get(F.filter("c", lambda c: c["name"].eqNullSafe(F.col("r.timestamp_col"))), 0)
-    signal = F.get(F.filter("c", lambda c: c["name"].eqNullSafe(F.col("r.signal_col"))), 0)
-    told = files.metadata(lines, heads).withColumn("fs", rates.from_entry(F.concat_ws(" ", "key", "value"))).filter("fs is not null").groupBy("file").agg(F.min_by("fs", "ord").alias("meta_fs"))
-    time_fs = rates.from_times(F.col("r.timestamp_col"), F.try_divide(time["last"] - time["first"], time["n"] - 1), time["last"], time["n"])
-    info = texts.select("file").join(per, "file", "left").join(told, "file", "left")
-    info = info.select("file", "columns", "r.*", "meta_fs", time_fs.alias("time_fs"), rates.from_name(F.regexp_extract("file", "[^/]*$", 0)).alias("name_fs"), F.coalesce(signal["n"] > 0, F.lit(False)).alias("loader_ok"))
-    wanted = info.filter("loader_ok").select("file", "signal_col")
-    own = cells.join(wanted, (cells["file"] == wanted["file"]) & (cells["name"] == wanted["signal_col"])).select(cells["file"].alias("recording_id"), "idx", "v")
-    return info, fill_gaps(own.withColumn("raw", F.col("v"))).select("recording_id", "idx", "raw", "v")
+    if wanted is not None:
+        layout = layout.join(wanted.select(F.col("recording_id").alias("file_path"), "signal"), "file_path", "left")
+    else:
+        layout = layout.withColumn("signal", F.lit(None).cast("string"))
+    rising = F.transform(F.filter("stats", lambda c: c["rising"]), lambda c: c["name"])
+    x = layout.withColumn("r", files.roles(F.col("columns"), rising, F.col("signal")))
+    time, signal = _stat(F.col("r.timestamp_col")), _stat(F.col("r.signal_col"))
+    told = F.get(F.filter(F.transform("metadata", lambda m: rates.from_entry(F.concat_ws(" ", m["key"], m["value"]))), lambda v: v.isNotNull()), 0)
+    time_fs = rates.from_times(F.col("r.timestamp_col"), F.try_divide(time["last"] - time["first"], F.col("n_rows") - 1), time["last"], F.col("n_rows"))
+    ok = F.col("error").isNull() & F.coalesce(signal["n"] > 0, F.lit(False))
+    return x.select(
+        F.col("file_path").alias("recording_id"), "columns", "r.*", F.array_position("columns", F.col("r.signal_col")).cast("int").alias("signal_at"), "metadata", told.alias("meta_fs"), time_fs.alias("time_fs"),
+        rates.from_name(F.regexp_extract("file_path", "[^/]*$", 0)).alias("name_fs"), F.col("n_rows").alias("n"), ok.alias("loader_ok"), F.coalesce("error", F.when(~ok, "the signal column holds no numbers")).alias("error"),
+    )
+
+
+def signals(frame: DataFrame, info: DataFrame) -> DataFrame:
+    """(recording_id, idx, v): the signal column of each file that is ok, of rows (file_path, idx, v)."""
+    own = info.filter("loader_ok").select(F.col("recording_id").alias("file_path"), "signal_at")
+    return frame.join(own, "file_path").select(F.col("file_path").alias("recording_id"), "idx", F.element_at("v", F.col("signal_at")).alias("v"))

@@ -1,5 +1,7 @@
 """Core operators: kernels by their invariants, decisions by literal rows, queries against DuckDB."""
 
+import zipfile
+
 import duckdb
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ import __spark_entry__ as entry
 from sphygmo.functions import kernels as K
 from sphygmo.operators import beats, files, quality, rates, samples
 from sphygmo.plans import batch
-from sphygmo.sources import recordings
+from sphygmo.sources import recordings, tables
 
 SF = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -148,41 +150,100 @@ def test_beats_of_a_pulse(spark):
     assert e["up"] == 30.0 and e["flat"] == 100.0
 
 
-def test_batch_over_files(spark, tmp_path):
-    folder = tmp_path / "set"
+def made_files(folder):
+    """The recordings that FIXTURES names, in folders of their own."""
     (folder / "deep").mkdir(parents=True)
     acq = "acq title\n1 msec/sample\n2 channels\nmin,CH1,CH3\n,5000 samples,5000 samples\n" + "\n".join(f"{k / 60000:.8f},{k % 7},{v:.6f}" for k, v in enumerate(pulse(1000.0, 5)))
     (folder / "acq.csv").write_text(acq)
     (folder / "plain_30hz.txt").write_text("\n".join(f"{v:.6f}" for v in pulse(30.0, 80)))
-    (folder / "deep" / "tabs.tsv").write_text("time\tppg\n" + "\n".join(f"{k / 30:.5f}\t{v:.6f}" for k, v in enumerate(pulse(30.0, 40))))
+    (folder / "deep" / "tabs.tsv").write_text("time\tppg\t\t\n" + "\n".join(f"\t{k / 30:.5f}\t{v:.6f}\t\t" if k == 7 else f"{k / 30:.5f}\t{v:.6f}" for k, v in enumerate(pulse(30.0, 40))))
     (folder / "utf16.csv").write_text("id,signal\n" + "\n".join(f"1,{v:.5f}" for v in pulse(30.0, 20)), encoding="utf-16")
+    (folder / "latin1.csv").write_bytes("mètre,ppg\n".encode("latin-1") + "\n".join(f"{k},{v:.5f}" for k, v in enumerate(pulse(30.0, 12))).encode())
+    (folder / "short.csv").write_text("ppg\n" + "\n".join(f"{k % 4}" for k in range(12)))
+    gaps = [[f"{k / 30:.5f}", f"{v:.5f}", ""] for k, v in enumerate(pulse(30.0, 30))]
+    for k, x in ((0, "nan"), (1, "NaN"), (40, "inf"), (41, "-inf"), (42, "oops"), (899, "nan")):
+        gaps[k][1] = x
+    (folder / "gaps.csv").write_text("time,ppg,hollow,end\n" + "\n".join(",".join(r) + f",{k}" for k, r in enumerate(gaps)))
     (folder / "nul.txt").write_bytes(b"1,2\x00,3\n")
     (folder / "prose.txt").write_text("nothing but words here\nand more of them\n")
     (folder / "data.dat").write_text("1,2\n3,4\n5,6\n")
-    import zipfile
-
+    (folder / "empty.csv").write_text("")
+    (folder / "_under.csv").write_text("ppg\n" + "\n".join(f"{v:.5f}" for v in pulse(30.0, 15)))
+    (folder / ".hidden.csv").write_text("1\n2\n")
+    for sub, seconds in (("a", 30), ("b", 24)):
+        (folder / sub).mkdir()
+        (folder / sub / "x.csv").write_text("time,ppg\n" + "\n".join(f"{k / 30:.5f},{v:.6f}" for k, v in enumerate(pulse(30.0, seconds, seed=seconds))))
     with zipfile.ZipFile(folder / "set.zip", "w") as z:
-        z.writestr("inner.csv", "ppg\n" + "\n".join(f"{v:.5f}" for v in pulse(30.0, 15)))
+        z.writestr("inner.csv", "ppg,other\n" + "\n".join(f"{v:.5f},{k % 5}" for k, v in enumerate(pulse(30.0, 15))))
         z.writestr(".hidden", "1")
     (folder / "broken.zip").write_bytes(b"PK\x03\x04nonsense")
-    hand = spark.createDataFrame([("inner.csv", 30.0, "Force Normal", "Median", None)], batch.OVERRIDES)
+
+
+def test_batch_over_files(spark, tmp_path):
+    folder = tmp_path / "set"
+    made_files(folder)
+    hand = spark.createDataFrame([(f"{folder}/set.zip/inner.csv", 30.0, "Force Normal", "Median", None, "ppg"), (f"{folder}/b/x.csv", None, None, None, True, None)], batch.OVERRIDES)
     batch.process(spark, str(folder), str(tmp_path / "out"), hand)
-    got = {r.file_name: r for r in spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / "summary")).collect()}
-    assert set(got) == {"acq.csv", "plain_30hz.txt", "tabs.tsv", "utf16.csv", "nul.txt", "prose.txt", "data.dat", "inner.csv", "broken.zip"}
-    assert {n: got[n].status for n in ("acq.csv", "plain_30hz.txt", "tabs.tsv", "nul.txt", "prose.txt", "data.dat", "broken.zip")} == {
-        "acq.csv": "Ready", "plain_30hz.txt": "Ready", "tabs.tsv": "Partially Ready", "nul.txt": "Unsafe", "prose.txt": "Research Only", "data.dat": "Research Only", "broken.zip": "Unsafe",
+    rows = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / "summary")).collect()
+    got = {r.file_name: r for r in rows}
+    assert len(rows) == 16 and set(rows[0].asDict()) == set(batch.SUMMARY)
+    assert {n: got[n].status for n in ("acq.csv", "plain_30hz.txt", "tabs.tsv", "nul.txt", "prose.txt", "data.dat", "broken.zip", "empty.csv", "_under.csv")} == {
+        "acq.csv": "Ready", "plain_30hz.txt": "Ready", "tabs.tsv": "Partially Ready", "nul.txt": "Unsafe", "prose.txt": "Research Only", "data.dat": "Research Only", "broken.zip": "Unsafe", "empty.csv": "Unsafe", "_under.csv": "Ready",
     }
     assert got["acq.csv"].sampling_rate_hz == 1000.0 and got["plain_30hz.txt"].sampling_rate_hz == 30.0 and got["inner.csv"].sampling_rate_hz == 30.0
     assert got["plain_30hz.txt"].overall_verdict == "Verification PASS" and got["plain_30hz.txt"].duration_seconds == 80.0
-    empty = files.classified(spark.createDataFrame([("a.csv", 0, "")], "file_path string, size long, text string")).first()
-    assert (empty.status, empty.reason) == ("Unsafe", files.WHY["empty"]) and got["nul.txt"].failure_reasons == files.WHY["binary"] and got["prose.txt"].failure_reasons == quality.REASONS["loader"]
-    rows = spark.read.parquet(str(tmp_path / "out" / "steps" / "info")).collect()
-    role = {r.file.rsplit("/", 1)[-1]: (r.timestamp_col, r.signal_col) for r in rows}
-    assert role["acq.csv"] == ("min", "CH3") and role["tabs.tsv"] == ("time", "ppg") and role["utf16.csv"][1] == "signal"
-    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "preprocessed")).columns == ["time_sec", "preprocessed_signal", "vpg_1st_derivative", "apg_2nd_derivative", "file"]
-    assert spark.read.text(str(tmp_path / "out" / "reports")).count() == sum(r.loader_ok for r in rows)
+    assert got["empty.csv"].failure_reasons == files.WHY["empty"] and got["nul.txt"].failure_reasons == files.WHY["binary"]
+    # what a step cannot take fails, and says why; the others are unharmed
+    short = got["short.csv"]
+    assert short.failure_reasons == "Pipeline execution failed: The length of the input vector x must be greater than padlen, which is 21."
+    assert (short.quality_score, short.quality_band, short.overall_verdict) == (0.0, "Poor", "Verification FAIL")
+    assert got["prose.txt"].failure_reasons == "Pipeline execution failed: the signal column holds no numbers" and got["data.dat"].failure_reasons.startswith("Pipeline execution failed: The length")
+    # one file a recording: two of one name stay apart
+    out = tmp_path / "out" / "recordings"
+    for sub, n in (("a", 900), ("b", 720)):
+        lines = (out / sub / "x.csv_raw.csv").read_text().split("\n")
+        assert lines[0] == "time,ppg" and len(lines) == n + 2 and (out / sub / "x.csv_features.csv").exists() and (out / sub / "x.csv_report.json").exists()
+        assert [float(x.split(",")[1]) for x in lines[1:-1]] == [round(v, 6) for v in pulse(30.0, n / 30, seed=n // 30).tolist()]
+    assert (out / "b" / "x.csv_report.json").read_text().count('"orientation":"inverted"') == 1
+    pre = (out / "deep" / "tabs.tsv_preprocessed.csv").read_text().split("\n")
+    assert pre[0] == "time_sec,preprocessed_signal,vpg_1st_derivative,apg_2nd_derivative" and len(pre) == 1202
+    assert not list(out.glob("short*")) and not [p for p in out.iterdir() if p.name.startswith("_temporary")]
+    raw = [x.split(",") for x in (out / "gaps.csv_raw.csv").read_text().split("\n")[1:-1]]
+    v = [round(x, 5) for x in pulse(30.0, 30).tolist()]
+    ppg = [float(r[1]) for r in raw]
+    assert ppg[:3] == [v[2]] * 3 and ppg[898:] == [v[898]] * 2 and np.allclose(ppg[39:44], np.linspace(v[39], v[43], 5)) and {r[2] for r in raw} == {"0.0"}
+    role = {r.recording_id.rsplit("/", 1)[-1]: (r.timestamp_col, r.signal_col) for r in spark.read.parquet(str(tmp_path / "out" / "steps" / "info")).collect()}
+    assert role["acq.csv"] == ("min", "CH3") and role["tabs.tsv"] == ("time", "ppg") and role["utf16.csv"][1] == "signal" and role["inner.csv"][1] == "ppg" and role["latin1.csv"] == ("mètre", "ppg")
     gone = recordings.scanned(spark, str(tmp_path / "nowhere")).collect()
     assert [(r.status, r.reason) for r in gone] == [("Unsafe", files.WHY["path"])]
+    # read through the source's own interface, with the columns that are asked for
+    frame = spark.read.format("recordings").option("rows", "samples").schema("file_path string, v array<double>").load(str(folder / "a"))
+    assert frame.count() == 900 and "idx" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batch_remembers(spark, tmp_path):
+    folder, memo = tmp_path / "set", str(tmp_path / "memo")
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"f{k}.csv").write_text("ppg\n" + "\n".join(f"{v:.5f}" for v in pulse(30.0, 20, seed=k)))
+    first = sorted(batch.process(spark, str(folder), str(tmp_path / "one"), None, memo).collect())
+    (folder / "f1.csv").write_text("ppg\n" + "\n".join(f"{v:.5f}" for v in pulse(30.0, 25, seed=9)))
+    second = sorted(batch.process(spark, str(folder), str(tmp_path / "two"), None, memo).collect())
+    read = spark.read.parquet(str(tmp_path / "two" / "steps" / "info")).collect()
+    assert [r.recording_id.rsplit("/", 1)[-1] for r in read] == ["f1.csv"] and [p.name for p in (tmp_path / "two" / "recordings").glob("*_raw.csv")] == ["f1.csv_raw.csv"]
+    assert len(second) == 3 and second[0] == first[0] and second[2] == first[2] and second[1] != first[1]
+    hand = spark.createDataFrame([(f"{folder}/f2.csv", 60.0, None, None, None, None)], batch.OVERRIDES)
+    third = {r.file_name: r.sampling_rate_hz for r in batch.process(spark, str(folder), None, hand, memo).collect()}
+    assert third == {"f0.csv": 30.0, "f1.csv": 30.0, "f2.csv": 60.0}
+
+
+def test_layout_of_texts(spark):
+    made = [("a", "x;y\n1;2\n;4\n5;6"), ("b", None), ("c", "id name\n1 2\n3 4\n5 6\n7 8\n9 x"), ("d", "count,n\n1,2\n3,4")]
+    texts = spark.createDataFrame(made, "file_path string, text string")
+    found = {r.recording_id: r for r in recordings.described(tables.layouts_of(texts)).collect()}
+    assert found["a"].columns == ["x", "y"] and found["a"].loader_ok and found["b"].error.startswith("No delimited data") and found["c"].id_col == "id"
+    assert found["d"].columns == ["col_0", "col_1"]  # a header that counts is none
+    assert [r.v for r in tables.samples_of(texts).filter("file_path = 'a'").orderBy("idx").collect()] == [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]
 
 
 def test_gaps_and_short_chunks(spark):
