@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from sphygmo.functions import kernels as K
-from sphygmo.operators import kernels, peaks, quality, samples
+from sphygmo.operators import blocks, kernels, peaks, quality, samples
 
 #: The filters in the order in which they win ties.
 FILTERS = ("None", "Butterworth", "Chebyshev", "Savitzky-Golay", "Gaussian", "Median", "Wavelet")
@@ -37,11 +37,11 @@ def band_snr(sig: DataFrame) -> DataFrame:
     return sums.select("recording_id", snr.alias("snr_db"))
 
 
-def drift(sig: DataFrame) -> DataFrame:
+def drift(sig: DataFrame, block: int | None = None) -> DataFrame:
     """(recording_id, drift_std, drift_ratio): deviation of the part under 0.5 Hz, and its share of the signal's own; 0
-    for recordings of 3 * int(2 * fs) samples or fewer."""
-    base = kernels.filtered(sig, "baseline").withColumnRenamed("v", "low")
-    both = sig.select("recording_id", "idx", "v").join(base, ["recording_id", "idx"])
+    for recordings of 3 * int(2 * fs) samples or fewer. With ``block`` recordings are cut into blocks of so many samples."""
+    low = kernels.filtered(sig, "baseline") if block is None else blocks.filtered(sig, "baseline", 0, block)
+    both = sig.select("recording_id", "idx", "v").join(low.withColumnRenamed("v", "low"), ["recording_id", "idx"])
     out = both.groupBy("recording_id").agg(F.count("*").alias("n"), F.first("fs").alias("fs"), F.stddev_pop("low").alias("s"), F.stddev_pop("v").alias("t"), F.first("error").isNull().alias("ok"))
     std = F.when(F.col("ok") & (F.col("n") > 3 * (2 * F.col("fs")).cast("long")), F.col("s")).otherwise(0.0)
     return out.select("recording_id", std.alias("drift_std"), F.when(F.col("t") > 1e-9, F.try_divide(std, F.col("t"))).otherwise(0.0).alias("drift_ratio"))

@@ -63,15 +63,25 @@ def chunks(sig: DataFrame, fs: float, seconds: float) -> DataFrame:
     return out.filter("chunk = 0") if c < int(fs) else out
 
 
-def fill_gaps(sig: DataFrame) -> DataFrame:
-    """Null, NaN and infinite samples by linear interpolation; ends by the nearest; nothing to go by: 0."""
-    sig = sig.withColumn("v", F.when(F.isnan("v") | (F.abs("v") == float("inf")), None).otherwise(F.col("v")))
-    at = F.when(F.col("v").isNotNull(), F.col("idx"))
+def fill_columns(frame: DataFrame, names: list[str]) -> DataFrame:
+    """Null, NaN and infinite cells of each column by linear interpolation along idx; ends by the nearest; a column without a
+    number: 0. All columns share one order of a recording."""
     past, ahead = W().rowsBetween(Window.unboundedPreceding, 0), W().rowsBetween(0, Window.unboundedFollowing)
-    a, b = F.last("v", True).over(past), F.first("v", True).over(ahead)
-    i, j = F.last(at, True).over(past), F.first(at, True).over(ahead)
-    line = a + (b - a) * F.try_divide((F.col("idx") - i).cast("double"), (j - i).cast("double"))
-    return sig.withColumn("v", F.coalesce("v", line, a, b, F.lit(0.0)))
+    clean = {c: F.when(~(F.isnan(c) | (F.abs(c) == float("inf"))), F.col(c)) for c in names}
+    out = frame.withColumns(clean)
+    made = {}
+    for c in names:
+        at = F.when(F.col(c).isNotNull(), F.col("idx"))
+        a, b = F.last(c, True).over(past), F.first(c, True).over(ahead)
+        i, j = F.last(at, True).over(past), F.first(at, True).over(ahead)
+        line = a + (b - a) * F.try_divide((F.col("idx") - i).cast("double"), (j - i).cast("double"))
+        made[c] = F.coalesce(c, line, a, b, F.lit(0.0))
+    return out.withColumns(made)
+
+
+def fill_gaps(sig: DataFrame) -> DataFrame:
+    """:func:`fill_columns` of the signal alone."""
+    return fill_columns(sig, ["v"])
 
 
 def iqr_clip(sig: DataFrame) -> DataFrame:
@@ -102,20 +112,51 @@ def normalized(sig: DataFrame) -> DataFrame:
     return sig.withColumn("v", (F.col("v") - low) / (high - low + 1e-9))
 
 
+def framed(sig: DataFrame, reach: int) -> DataFrame:
+    """Adds ``frame``: the samples up to ``reach`` before and behind each, in order; ``first``: the idx of the first of them;
+    and ``n``: how many samples the recording has."""
+    n = sig.groupBy("recording_id").agg(F.count("*").alias("n"))
+    near = F.collect_list("v").over(W().rowsBetween(-reach, reach))
+    return sig.join(n, "recording_id").withColumn("frame", near).withColumn("first", F.greatest(F.lit(0), F.col("idx") - reach))
+
+
 def gaussian(sig: DataFrame, fs: float, seconds: float = 0.05) -> DataFrame:
     """Gaussian smoothing, sigma max(0.5, seconds * fs) samples, to 4 sigma, ends reflected half a sample out.
 
-    Each sample goes to the outputs it weighs in on (a few, by constant weights) and those are summed: no self-join."""
+    Constant weights on the frame of each sample; places beyond the ends are read at their mirror image."""
     sigma = max(0.5, seconds * fs)
     r = int(4 * sigma + 0.5)
     w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
-    n = F.count("*").over(ALL())
-    weights = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(x / sum(w)).alias("w")) for k, x in zip(range(-r, r + 1), w, strict=True)])
-    # output i reads the reflected place of i + k; sample j is read from j - k and, near the ends, from its mirror images
-    spread = sig.withColumn("n", n).withColumn("e", F.explode(weights))
-    images = F.array(F.col("idx"), -1 - F.col("idx"), 2 * F.col("n") - 1 - F.col("idx"))
-    reach = spread.withColumn("at", F.explode(images)).withColumn("idx", F.col("at") - F.col("e.k")).filter("idx >= 0 AND idx < n")
-    return reach.groupBy("recording_id", "idx").agg(F.sum(F.col("v") * F.col("e.w")).alias("v"))
+    weights = F.array(*[F.lit(x / sum(w)) for x in w])
+    place = lambda k: F.pmod(F.col("idx") + k - r, 2 * F.col("n"))
+    read = lambda k: F.get("frame", (F.least(place(k), 2 * F.col("n") - 1 - place(k)) - F.col("first")).cast("int"))
+    v = F.aggregate(F.transform(weights, lambda x, k: x * read(k)), F.lit(0.0), lambda a, x: a + x)
+    return framed(sig, r).withColumn("v", v).drop("frame", "first", "n")
+
+
+def savitzky_golay(sig: DataFrame, fs: float, seconds: float = 0.4) -> DataFrame:
+    """Local least-squares parabolas over windows of about ``seconds``; ends from the fits to the first and last window.
+    Recordings under five samples stay as they are.
+
+    The parabola of a window follows from three sums over it, as its places are even and centred; so one expression serves
+    all window lengths that short recordings bring."""
+    w = int(seconds * fs)
+    w = max(5, w + (w % 2 == 0))
+    size = F.greatest(F.lit(5), F.least(F.lit(w), F.col("n") - 1)).cast("int")
+    half = F.floor(F.col("w") / 2)
+    x = framed(sig, w).withColumn("w", size)
+    tail, head = F.col("idx") >= F.col("n") - half, F.col("idx") < half
+    x = x.withColumn("a", F.when(tail, F.col("n") - F.col("w")).when(head, 0).otherwise(F.col("idx") - half))
+    m = (F.col("w") - 1) / 2
+    t = F.when(tail | head, F.col("idx") - F.col("a") - m).otherwise(0.0)
+    part = F.transform(F.slice("frame", (F.col("a") - F.col("first") + 1).cast("int"), F.col("w")), lambda v, k: F.struct(v.alias("a"), (v * (k - m)).alias("b"), (v * (k - m) * (k - m)).alias("c")))
+    none = F.struct(*[F.lit(0.0).alias(c) for c in "abc"])
+    x = x.withColumn("s", F.aggregate(part, none, lambda p, q: F.struct(*[(p[c] + q[c]).alias(c) for c in "abc"])))
+    n = F.col("w").cast("double")
+    two, four = n * (n * n - 1) / 12, n * (n * n - 1) * (3 * n * n - 7) / 240
+    scale = n * four - two * two
+    fit = (four * F.col("s.a") - two * F.col("s.c")) / scale + F.col("s.b") / two * t + (n * F.col("s.c") - two * F.col("s.a")) / scale * t * t
+    return x.withColumn("v", F.when(F.col("n") < 5, F.col("v")).otherwise(fit)).drop("frame", "first", "n", "w", "a", "s")
 
 
 def median_filter(sig: DataFrame, fs: float, seconds: float = 0.1) -> DataFrame:

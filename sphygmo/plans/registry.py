@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sphygmo.operators import beats, files, kernels, peaks, quality, rates, samples
+from sphygmo.functions import kernels as K
+from sphygmo.operators import beats, blocks, files, kernels, peaks, quality, rates, samples
 from sphygmo.plans import batch
 from sphygmo.operators.samples import rounded
 from sphygmo.sources import recordings, tables
@@ -103,6 +105,22 @@ def interpolate_gaps(s, d):
     return _v(samples.fill_gaps(gaps))
 
 
+def _filled(x: str) -> str:
+    return f"coalesce({x}, last_value({x} IGNORE NULLS) OVER p + (first_value({x} IGNORE NULLS) OVER q - last_value({x} IGNORE NULLS) OVER p) * ((idx - last_value(CASE WHEN {x} IS NOT NULL THEN idx END IGNORE NULLS) OVER p) / nullif(first_value(CASE WHEN {x} IS NOT NULL THEN idx END IGNORE NULLS) OVER q - last_value(CASE WHEN {x} IS NOT NULL THEN idx END IGNORE NULLS) OVER p, 0)), last_value({x} IGNORE NULLS) OVER p, first_value({x} IGNORE NULLS) OVER q, 0.0)"
+
+
+@query("sanitized_frames", f"""WITH {_USER}, g AS (SELECT recording_id, idx, CASE WHEN idx % 7 IN (0, 1) THEN NULL ELSE v END AS a, CASE WHEN idx < 3 OR idx % 11 = 4 THEN NULL ELSE idx * 0.5 END AS b, CAST(NULL AS DOUBLE) AS hollow FROM sig)
+SELECT recording_id, idx, {_R(_filled('a'))} AS a, {_R(_filled('b'))} AS b, {_R(_filled('hollow'))} AS hollow FROM g
+WINDOW p AS (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
+def sanitized_frames(s, d):
+    """Frames of three columns with gaps: nulls, no numbers and infinite values, at ends and inside, and a hollow column."""
+    i = F.col("idx")
+    a = F.when(i % 7 == 0, float("nan")).when(i % 7 == 1, float("inf")).otherwise(F.col("v"))
+    b = F.when((i >= 3) & (i % 11 != 4), i * 0.5)
+    frame = sig_user(s, d).withColumns({"a": a, "b": b, "hollow": F.lit(None).cast("double")})
+    return _v(samples.fill_columns(frame, ["a", "b", "hollow"]), "a", "b", "hollow")
+
+
 _CLIP = f"q AS (SELECT recording_id, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) AS b FROM sig GROUP BY 1), clipped AS (SELECT recording_id, idx, CASE WHEN b - a > 1e-9 THEN least(greatest(v, m - 3.5 * (b - a)), m + 3.5 * (b - a)) ELSE v END AS v FROM sig JOIN q USING (recording_id))"
 
 
@@ -214,33 +232,7 @@ def total_duration(s, d):
 
 # --- quality and decisions -------------------------------------------------------------------------------------
 
-#: One row a recording: what the decisions below need, from samples alone.
-_METRICS = f"""{_USER}, {_MOTION}, {_ENTROPY}, st AS (SELECT recording_id, count(*) AS n, avg(v) AS mean, stddev_pop(v) AS std, max(v) - min(v) AS span FROM sig GROUP BY 1),
-met AS (SELECT recording_id, n, std, span, missing_pct, flat_pct, motion_pct, entropy, CASE WHEN std > 0 THEN 20 * log10(abs(mean) / std) ELSE 30.0 END AS snr, n / 10.0 AS seconds FROM st JOIN motion USING (recording_id) JOIN ent USING (recording_id))"""
-_SCORE = "greatest(0.0, least(100.0, 100 - (3 * missing_pct + CASE WHEN flat_pct > 1 THEN 2 * (flat_pct - 1) ELSE 0 END + CASE WHEN snr < 15 THEN 2 * (15 - snr) ELSE 0 END + CASE WHEN snr < 0 THEN 10.0 ELSE 0 END + 15 * motion_pct)))"
-_BAND = "CASE WHEN {0} >= 95 THEN 'Excellent' WHEN {0} >= 85 THEN 'Very Good' WHEN {0} >= 70 THEN 'Good' WHEN {0} >= 50 THEN 'Acceptable' ELSE 'Poor' END".format
-
-
-def _metrics(s: SparkSession, d: str) -> DataFrame:
-    sig = sig_user(s, d)
-    st = sig.groupBy("recording_id").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), (F.max("v") - F.min("v")).alias("span"))
-    out = st.join(quality.gaps_flats_motion(sig), "recording_id").join(quality.entropy(sig), "recording_id")
-    snr = F.when(F.col("std") > 0, 20 * F.log10(F.abs("mean") / F.nullif("std", F.lit(0.0)))).otherwise(30.0)
-    return out.withColumn("snr", snr).withColumn("seconds", F.col("n") / USER_FS).drop("mean")
-
-
-def _score(df: DataFrame) -> Column:
-    return quality.quality_score(df["snr"], F.lit(0.0), df["missing_pct"], df["flat_pct"], df["motion_pct"], F.lit(0.0), F.lit(0.85))
-
-
-@query("signal_quality", f"WITH {_METRICS} SELECT recording_id, n, {_R('snr')} AS snr_db, {_R('entropy')} AS entropy, {_R('motion_pct')} AS motion_artifact_pct, round({_SCORE}, 5) + 0.0 AS quality_score, {_BAND(f'round({_SCORE}, 5)')} AS quality_band FROM met")
-def signal_quality(s, d):
-    m = _metrics(s, d)
-    score = F.round(_score(m), 5)
-    return m.select("recording_id", "n", rounded(F.col("snr")).alias("snr_db"), rounded(F.col("entropy")).alias("entropy"), rounded(F.col("motion_pct")).alias("motion_artifact_pct"), (score + 0.0).alias("quality_score"), quality.band(score).alias("quality_band"))
-
-
-@query("duration_source", f"""WITH {_METRICS}, named AS (SELECT *, CASE recording_id % 5 WHEN 0 THEN 'phone_' WHEN 1 THEN 'clg_' WHEN 2 THEN 'trial_' ELSE 'rec_' END || recording_id AS file_name, CASE recording_id % 3 WHEN 0 THEN 30.0 WHEN 1 THEN 125.0 ELSE 250.0 END AS fs FROM met)
+@query("duration_source", f"""WITH {_USER}, met AS (SELECT recording_id, count(*) AS n, max(v) - min(v) AS span FROM sig GROUP BY 1), named AS (SELECT *, CASE recording_id % 5 WHEN 0 THEN 'phone_' WHEN 1 THEN 'clg_' WHEN 2 THEN 'trial_' ELSE 'rec_' END || recording_id AS file_name, CASE recording_id % 3 WHEN 0 THEN 30.0 WHEN 1 THEN 125.0 ELSE 250.0 END AS fs FROM met)
 SELECT recording_id, CASE WHEN n / fs < 20 THEN '<20s Short' WHEN n / fs <= 120 THEN '20-120s Standard' WHEN n / fs <= 300 THEN '120-300s Long' ELSE '>300s Extended' END AS bucket,
 CASE WHEN regexp_matches(file_name, 'mobile|phone|camera|app|sensor|smartwatch') THEN 'Mobile' WHEN regexp_matches(file_name, 'clg|aiims|clinical|patient|hosp|subject') THEN CASE WHEN span > 10 THEN 'Mobile' ELSE 'Clinical' END
 WHEN regexp_matches(file_name, 'sub|research|lab|trial') THEN 'Research' WHEN fs <= 60 THEN 'Mobile' WHEN fs >= 200 AND span < 5 THEN 'Clinical' WHEN fs >= 100 AND span > 10 THEN 'Research' ELSE 'Unknown' END AS source FROM named""")
@@ -248,56 +240,8 @@ def duration_source(s, d):
     r = F.col("recording_id")
     name = F.concat(F.when(r % 5 == 0, "phone_").when(r % 5 == 1, "clg_").when(r % 5 == 2, "trial_").otherwise("rec_"), r.cast("string"))
     fs = F.when(r % 3 == 0, 30.0).when(r % 3 == 1, 125.0).otherwise(250.0)
-    return _metrics(s, d).select("recording_id", quality.duration_bucket(F.col("n") / fs).alias("bucket"), quality.source_kind(name, F.lit(""), fs, F.col("span")).alias("source"))
-
-
-_FEATURES = f"""{_METRICS}, feat AS (SELECT recording_id, 40 + snr * 2 AS heart_rate_bpm, 60 / (40 + snr * 2) AS rr_mean_sec, 0.3 AS pulse_width_sec, motion_pct / 10 AS rise_time_sec, 0.5 AS decay_time_sec, std AS amplitude, entropy, std / 1000 AS sd1_sec, std / 500 AS sd2_sec, span AS vpg_range, span * 2 AS apg_range,
-CASE WHEN recording_id % 4 = 0 THEN 'FS_UNRESOLVED' ELSE 'PASS' END AS fs_status FROM met),
-sc AS (SELECT *, 10 * (CAST(heart_rate_bpm BETWEEN 40 AND 160 AS INT) + CAST(rr_mean_sec BETWEEN 0.375 AND 1.5 AS INT) + CAST(pulse_width_sec BETWEEN 0.1 AND 0.6 AS INT) + CAST(rise_time_sec BETWEEN 0.05 AND 0.45 AS INT) + CAST(decay_time_sec BETWEEN 0.1 AND 1.2 AS INT) + CAST(entropy BETWEEN 1.5 AND 7.5 AS INT) + CAST(sd1_sec BETWEEN 0.001 AND 0.2 AS INT) + CAST(sd2_sec BETWEEN 0.005 AND 0.4 AS INT) + CAST(amplitude > 1e-6 AS INT) + CAST(vpg_range > 1e-6 AND apg_range > 1e-6 AS INT)) AS raw FROM feat),
-ready AS (SELECT recording_id, fs_status, CAST(CASE WHEN fs_status = 'FS_UNRESOLVED' THEN least(raw, 85) ELSE raw END AS INTEGER) AS readiness_score, CASE WHEN raw >= 90 THEN CASE WHEN fs_status = 'FS_UNRESOLVED' THEN 'B' ELSE 'A' END WHEN raw >= 75 THEN 'B' WHEN raw >= 50 THEN 'C' ELSE 'D' END AS readiness_category FROM sc)"""
-
-
-def _ready(s: SparkSession, d: str) -> DataFrame:
-    rate = 40 + F.col("snr") * 2
-    m = _metrics(s, d).select(
-        "recording_id", rate.alias("heart_rate_bpm"), F.try_divide(F.lit(60.0), rate).alias("rr_mean_sec"), F.lit(0.3).alias("pulse_width_sec"), (F.col("motion_pct") / 10).alias("rise_time_sec"), F.lit(0.5).alias("decay_time_sec"), F.col("std").alias("amplitude"), "entropy",
-        (F.col("std") / 1000).alias("sd1_sec"), (F.col("std") / 500).alias("sd2_sec"), F.col("span").alias("vpg_range"), (F.col("span") * 2).alias("apg_range"), F.when(F.col("recording_id") % 4 == 0, "FS_UNRESOLVED").otherwise("PASS").alias("fs_status"),
-    )
-    return quality.readiness(m)
-
-
-@query("readiness", f"WITH {_FEATURES} SELECT * FROM ready")
-def readiness(s, d):
-    return _ready(s, d).select("recording_id", "fs_status", "readiness_score", "readiness_category")
-
-
-@query("verdict", f"""WITH {_FEATURES}, g AS (SELECT *, recording_id % 11 <> 0 AS loader_ok, recording_id % 13 <> 0 AS preprocess_ok, CASE WHEN recording_id % 7 = 0 THEN 'DEGRADED_FALLBACK' ELSE 'PASSED' END AS guard_status FROM ready),
-m AS (SELECT recording_id, list_filter([CASE WHEN NOT loader_ok THEN 'File Loader: Failed to decode, parse, or load signal data.' END, CASE WHEN fs_status = 'FS_UNRESOLVED' THEN 'FS Detector: Sampling frequency is unresolved (cannot compute frequency features).' END, CASE WHEN NOT preprocess_ok THEN 'Preprocessor: Preprocessing failed (NaNs or empty array returned).' END, CASE WHEN guard_status = 'DEGRADED_FALLBACK' THEN 'Morphology Guard: Filtering severely distorted physiological waves, fell back to raw.' END,
-CASE WHEN readiness_category = 'D' OR readiness_score < 50 THEN 'Feature Validator: Signal features failed physiological plausibility (readiness: ' || printf('%.1f', CAST(readiness_score AS DOUBLE)) || '%).' END], lambda x: x IS NOT NULL) AS r FROM g)
-SELECT recording_id, CASE WHEN len(r) > 0 THEN 'Verification FAIL' ELSE 'Verification PASS' END AS overall_verdict, CASE WHEN len(r) > 0 THEN 'Not ready for biomedical research' ELSE 'Ready for biomedical research' END AS wording, CASE WHEN len(r) > 0 THEN array_to_string(r, '; ') ELSE 'None' END AS failure_reasons FROM m""")
-def verdict(s, d):
-    r = F.col("recording_id")
-    rows = _ready(s, d).withColumn("loader_ok", r % 11 != 0).withColumn("preprocess_ok", r % 13 != 0).withColumn("guard_status", F.when(r % 7 == 0, "DEGRADED_FALLBACK").otherwise("PASSED"))
-    v = quality.verdict(rows)
-    return v.select("recording_id", "overall_verdict", "wording", F.when(F.size("failure_reasons") > 0, F.array_join("failure_reasons", "; ")).otherwise("None").alias("failure_reasons"))
-
-
-@query("quality_radar", f"WITH {_METRICS} SELECT recording_id, {_R('greatest(0.0, least(100.0, snr / 30 * 100))')} AS snr, {_R('greatest(0.0, least(100.0, 100 - flat_pct))')} AS continuity, {_R('greatest(0.0, least(100.0, 100 - motion_pct))')} AS steadiness FROM met")
-def quality_radar(s, d):
-    m = _metrics(s, d)
-    return m.select("recording_id", *[rounded(quality.clip(e)).alias(n) for n, e in (("snr", m["snr"] / 30 * 100), ("continuity", 100 - m["flat_pct"]), ("steadiness", 100 - m["motion_pct"]))])
-
-
-@query("morphology_radar", f"WITH {_FEATURES} SELECT recording_id, {_R('greatest(0.0, least(100.0, 100 - abs(heart_rate_bpm - 72) / 72 * 100))')} AS heart_rate, {_R('greatest(0.0, least(100.0, 100 - abs(pulse_width_sec - 0.3) / 0.3 * 100))')} AS pulse_width, {_R('greatest(0.0, least(100.0, 100 - abs(rise_time_sec - 0.2) / 0.2 * 100))')} AS rise_time, {_R('greatest(0.0, least(100.0, 100 - abs(decay_time_sec - 0.5) / 0.5 * 100))')} AS decay_time FROM feat")
-def morphology_radar(s, d):
-    near = lambda c, mid: rounded(quality.clip(100 - F.abs(F.col(c) - mid) / mid * 100))
-    return _ready(s, d).select("recording_id", near("heart_rate_bpm", 72).alias("heart_rate"), near("pulse_width_sec", 0.3).alias("pulse_width"), near("rise_time_sec", 0.2).alias("rise_time"), near("decay_time_sec", 0.5).alias("decay_time"))
-
-
-@query("submetric_status", f"""WITH {_METRICS} SELECT recording_id, u.metric AS metric, CASE WHEN u.ok THEN 'PASS' ELSE 'FAIL' END AS status FROM met, LATERAL (VALUES ('snr', snr >= 15), ('motion', motion_pct < 1), ('entropy', entropy > 2 AND entropy < 7), ('flat', flat_pct < 0.1), ('missing', missing_pct = 0)) AS u(metric, ok)""")
-def submetric_status(s, d):
-    ok = F.expr("stack(5, 'snr', snr >= 15, 'motion', motion_pct < 1, 'entropy', entropy > 2 AND entropy < 7, 'flat', flat_pct < 0.1, 'missing', missing_pct = 0) AS (metric, ok)")
-    return _metrics(s, d).select("recording_id", ok).select("recording_id", "metric", F.when(F.col("ok"), "PASS").otherwise("FAIL").alias("status"))
+    spans = sig_user(s, d).groupBy("recording_id").agg(F.count("*").alias("n"), (F.max("v") - F.min("v")).alias("span"))
+    return spans.select("recording_id", quality.duration_bucket(F.col("n") / fs).alias("bucket"), quality.source_kind(name, F.lit(""), fs, F.col("span")).alias("source"))
 
 
 # --- text ------------------------------------------------------------------------------------------------------
@@ -425,11 +369,6 @@ def peaks_standard(s, d):
     return kernels.found_peaks(beats.flat(_typed(s, d))).filter("side = 'peak'").select("recording_id", "idx", rounded(F.col("prominence"), 5).alias("prominence"))
 
 
-@query("peak_widths")
-def peak_widths(s, d):
-    return kernels.found_peaks(beats.flat(_typed(s, d))).filter("side = 'peak'").select("recording_id", "idx", rounded(F.col("width")).alias("width"))
-
-
 _BEATS = f"""bt AS (SELECT recording_id, idx AS start, lead(idx) {_W} AS stop FROM pk),
 beats AS (SELECT bt.recording_id, start, list(v ORDER BY s.idx) AS l, count(*) AS n FROM bt JOIN sig s ON s.recording_id = bt.recording_id AND s.idx >= start AND s.idx < stop GROUP BY 1, 2 HAVING count(*) > 5),
 pts AS (SELECT recording_id, start, l, n, k, k * (n - 1) // 99 AS low, k * (n - 1) % 99 / 99.0 AS f FROM beats, (SELECT unnest(range(100)) AS k)),
@@ -460,13 +399,6 @@ def trough_asof(s, d):
     return peaks.troughs_around(found.filter("side = 'peak'"), found.filter("side = 'trough'"))
 
 
-@query("beat_overlay")
-def beat_overlay(s, d):
-    """Each beat on a scale of 0 to 100."""
-    of = peaks.beats(sig_type(s, d), kernels.found_peaks(beats.flat(_typed(s, d))).filter("side = 'peak'"))
-    return of.select("recording_id", "start", F.posexplode("beat").alias("k", "v"), F.size("beat").alias("n")).select("recording_id", "start", rounded(F.col("k") * 100 / (F.col("n") - 1)).alias("x"), rounded(F.col("v")).alias("v"))
-
-
 # --- filters, spectra, kernels ---------------------------------------------------------------------------------
 
 _GAUSS = """wide AS (SELECT *, count(*) OVER (PARTITION BY recording_id) AS n FROM sig), bell AS (SELECT k, exp(-0.5 * (k / 1.5) * (k / 1.5)) AS w FROM (SELECT unnest(range(-6, 7)) AS k)),
@@ -479,17 +411,12 @@ def gauss_filter(s, d):
     return _v(samples.gaussian(sig_type(s, d), TYPE_FS))
 
 
-@query("autocorr", f"""WITH {_USER}, m AS (SELECT recording_id, idx, v - avg(v) {_P} AS v FROM sig), z AS (SELECT recording_id, sum(v * v) AS z FROM m GROUP BY 1), l AS (SELECT a.recording_id, b.idx - a.idx AS lag, sum(a.v * b.v) AS s FROM m a JOIN m b ON a.recording_id = b.recording_id AND b.idx - a.idx BETWEEN 0 AND 20 GROUP BY ALL)
+@query("autocorr", f"""WITH {_USER}, m AS (SELECT recording_id, idx, v - avg(v) {_P} AS v, count(*) {_P} AS n FROM sig), z AS (SELECT recording_id, sum(v * v) AS z FROM m GROUP BY 1),
+l AS (SELECT a.recording_id, b.idx - a.idx AS lag, sum(a.v * b.v) AS s FROM m a JOIN m b ON a.recording_id = b.recording_id AND b.idx >= a.idx AND b.idx - a.idx < greatest(1, least(a.n // 2, 2000)) GROUP BY ALL)
 SELECT recording_id, lag, {_R('CASE WHEN z > 0 THEN s / z ELSE s END')} AS r FROM l JOIN z USING (recording_id)""")
 def autocorr(s, d):
-    """Lags 0 to 20: each sample goes to the lags it takes part in; an equi-join, no pairs of samples beyond those."""
-    m = samples.center(sig_user(s, d), "mean")
-    later = m.select("recording_id", F.col("v").alias("b"), F.col("idx").alias("j"))
-    lagged = m.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(20)))).withColumn("lag", F.col("lag").cast("long")).withColumn("j", F.col("idx") + F.col("lag"))
-    sums = lagged.join(later, ["recording_id", "j"]).groupBy("recording_id", "lag").agg(F.sum(F.col("v") * F.col("b")).alias("s"))
-    zero = m.groupBy("recording_id").agg(F.sum(F.col("v") * F.col("v")).alias("z"))
-    r = F.when(F.col("z") > 0, F.col("s") / F.nullif("z", F.lit(0.0))).otherwise(F.col("s"))
-    return sums.join(zero, "recording_id").select("recording_id", "lag", rounded(r).alias("r"))
+    """All lags up to half of each recording, 2,000 at most, block by block."""
+    return blocks.correlated(sig_user(s, d)).select("recording_id", "lag", rounded(F.col("r")).alias("r"))
 
 
 _BOARD = f"""{_GAUSS}, {_MEDIAN}, each AS (SELECT recording_id, 'None' AS filter, 0 AS ord, v AS raw, v FROM sig UNION ALL SELECT recording_id, 'Gaussian', 1, sig.v, gauss.v FROM sig JOIN gauss USING (recording_id, idx) UNION ALL SELECT recording_id, 'Median', 2, raw, v FROM med),
@@ -516,14 +443,63 @@ def top3_filters(s, d):
     return filter_scoreboard(s, d).withColumn("place", F.row_number().over(w)).filter("place <= 3")
 
 
-def _kernel(name: str):
-    @query(name.replace("-", "_"))
+def _recursive(of: str, name: str, fs: float) -> str:
+    """SQL for ``low`` (recording_id, idx, v): a table of samples after a recursive filter, one sample after another, forward
+    and backward, with the extension of its ends and the steady start. Needs WITH RECURSIVE."""
+    sections = K.recursion(name, fs)
+    pad, start, m = K.padding(sections), K.steady(sections), len(sections)
+    states = ", ".join(f"s{k}" for k in range(2 * m))
+
+    def way(x: str, y: str) -> str:
+        chain, after = [], []
+        value = "e.v"
+        for k, (b, a) in enumerate((b.tolist(), a.tolist()) for b, a in sections):
+            chain.append(f"CAST({b[0]!r} AS DOUBLE) * {value} + f.s{2 * k} AS o{k}")
+            after += [f"f.s{2 * k + 1} + {b[1]!r} * {value} - {a[1]!r} * o{k} AS t{2 * k}", f"{b[2]!r} * {value} - {a[2]!r} * o{k} AS t{2 * k + 1}"]
+            value = f"o{k}"
+        columns = f"e.recording_id, e.i, {', '.join(chain)}, {', '.join(after)}"
+        picked = f"recording_id, i, o{m - 1}, {', '.join(f't{k}' for k in range(2 * m))}"
+        first = ", ".join(f"{v!r} * v AS s{k}" for k, v in enumerate(start.tolist()))
+        return f"""{y}0 AS MATERIALIZED (SELECT recording_id, CAST(0 AS BIGINT) AS i, {first} FROM {x} WHERE i = 0),
+{y}(recording_id, i, y, {states}) AS (SELECT {picked} FROM (SELECT {columns} FROM {y}0 f JOIN {x} e ON e.recording_id = f.recording_id AND e.i = 0)
+UNION ALL SELECT {picked} FROM (SELECT {columns} FROM {y} f JOIN {x} e ON e.recording_id = f.recording_id AND e.i = f.i + 1))"""
+
+    return f"""ends AS (SELECT recording_id, count(*) AS n, arg_min(v, idx) AS x0, arg_max(v, idx) AS x1 FROM {of} GROUP BY 1), of_ends AS (SELECT s.recording_id, s.idx, s.v, n, x0, x1 FROM {of} s JOIN ends USING (recording_id)),
+wide AS MATERIALIZED (SELECT recording_id, idx + {pad} AS i, v FROM of_ends UNION ALL SELECT recording_id, {pad} - idx, 2 * x0 - v FROM of_ends WHERE idx BETWEEN 1 AND {pad} UNION ALL SELECT recording_id, 2 * (n - 1) - idx + {pad}, 2 * x1 - v FROM of_ends WHERE idx BETWEEN n - 1 - {pad} AND n - 2),
+{way('wide', 'fwd')}, turned AS MATERIALIZED (SELECT recording_id, n + {2 * pad - 1} - i AS i, y AS v FROM fwd JOIN ends USING (recording_id)),
+{way('turned', 'bwd')}, low AS (SELECT recording_id, n + {pad - 1} - i AS idx, y AS v FROM bwd JOIN ends USING (recording_id) WHERE i BETWEEN {pad} AND n + {pad - 1})"""
+
+
+def _kernel(name: str, sql: str | None = None):
+    @query(name, sql)
     def run(s, d):
-        return _v(kernels.filtered(_typed(s, d), name))
+        return _v4(blocks.filtered(_typed(s, d), name))
+
 
+def _v4(df: DataFrame) -> DataFrame:
+    return df.select("recording_id", "idx", rounded(F.col("v"), 4).alias("v"))
 
-for _name in ("butterworth", "chebyshev", "savitzky-golay", "wavelet"):
-    _kernel(_name)
+
+for _name in ("butterworth", "chebyshev"):
+    _kernel(_name, f"WITH RECURSIVE {_TYPE}, {_recursive('sig', _name, TYPE_FS)} SELECT recording_id, idx, round(v, 4) + 0.0 AS v FROM low")
+
+
+@query("wavelet")
+def wavelet(s, d):
+    return _v(kernels.filtered(_typed(s, d), "wavelet"))
+
+
+def _parabolas(w: int = 13) -> str:
+    """SQL for the fit of each window's parabola, as constant weights: one row for each place in it."""
+    t = np.vander(np.arange(w) - w // 2, 3, increasing=True)
+    return str((t @ np.linalg.pinv(t)).tolist())
+
+
+@query("savitzky_golay", f"""WITH {_TYPE}, fit AS (SELECT unnest({_parabolas()}) AS c, generate_subscripts({_parabolas()}, 1) - 1 AS k), sized AS (SELECT *, count(*) {_P} AS n FROM sig),
+placed AS (SELECT recording_id, idx, CASE WHEN idx >= n - 6 THEN n - 13 WHEN idx < 6 THEN 0 ELSE idx - 6 END AS a FROM sized WHERE n > 13)
+SELECT p.recording_id, p.idx, {_R('sum(s.v * c[s.idx - a + 1])')} AS v FROM placed p JOIN fit ON fit.k = p.idx - a JOIN sig s ON s.recording_id = p.recording_id AND s.idx BETWEEN a AND a + 12 GROUP BY ALL""")
+def savitzky_golay(s, d):
+    return _v(samples.savitzky_golay(sig_type(s, d), TYPE_FS))
 
 
 # --- spectra, rates ---------------------------------------------------------------------------------------------
@@ -550,22 +526,9 @@ def band_snr(s, d):
     return beats.band_snr(_named(s, d)).select("recording_id", rounded(F.col("snr_db"), 5).alias("snr_db"))
 
 
-@query("baseline_drift")
+@query("baseline_drift", f"WITH RECURSIVE {_TYPE}, {_recursive('sig', 'baseline', TYPE_FS)}, d AS (SELECT recording_id, stddev_pop(low.v) AS s, stddev_pop(sig.v) AS t FROM low JOIN sig USING (recording_id, idx) GROUP BY 1) SELECT recording_id, {_R('s')} AS drift_std, {_R('CASE WHEN t > 1e-9 THEN s / t ELSE 0 END')} AS drift_ratio FROM d")
 def baseline_drift(s, d):
-    return beats.drift(_typed(s, d)).select("recording_id", rounded(F.col("drift_std")).alias("drift_std"), rounded(F.col("drift_ratio")).alias("drift_ratio"))
-
-
-@query("rate_votes")
-def rate_votes(s, d):
-    return rates.votes(kernels.periods(_typed(s, d)))
-
-
-@query("rate_detected")
-def rate_detected(s, d):
-    """The rate of each recording from its estimate and, for some, a rate that its name gives."""
-    known = rates.estimated(_typed(s, d)).withColumn("name_fs", rates.from_name(F.concat("recording_id", F.when(F.length("recording_id") % 2 == 0, "_30hz.csv").otherwise(".csv"))))
-    none = F.lit(None).cast("double")
-    return rates.detected(known.withColumn("user_fs", none).withColumn("meta_fs", none).withColumn("time_fs", none)).select("recording_id", "fs", "fs_source", rounded(F.col("fs_confidence")).alias("fs_confidence"), "fs_status")
+    return beats.drift(_typed(s, d), blocks.BLOCK).select("recording_id", rounded(F.col("drift_std")).alias("drift_std"), rounded(F.col("drift_ratio")).alias("drift_ratio"))
 
 
 _VOTE = """c AS (SELECT period, rate, CASE WHEN 60 * rate / period BETWEEN 40 AND 180 THEN exp(-0.5 * power((60 * rate / period - 72) / 25, 2)) ELSE 0.0 END AS likelihood FROM (SELECT DISTINCT p_size AS period FROM part), (SELECT unnest([30.0, 60.0, 100.0, 125.0, 250.0, 500.0, 1000.0]) AS rate))"""
@@ -589,15 +552,260 @@ def rate_entries(s, d):
 
 # --- beats and decisions on what was measured --------------------------------------------------------------------
 
-@query("orientation")
+@query("view_data")
+def view_data(s, d):
+    """What a view of a recording shows, nested: samples, derivatives, peaks, trends and heat map."""
+    sig = _typed(s, d)
+    bent = samples.derivatives(sig, F.col("fs")).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct((F.col("idx") / F.col("fs")).alias("time"), F.col("v").alias("raw"), "vpg", "apg"))).alias("samples"))
+    tops = kernels.found_peaks(beats.flat(sig)).filter("side = 'peak'")
+    listed = tops.groupBy("recording_id").agg(F.sort_array(F.collect_list("idx")).alias("peaks"))
+    trends = peaks.intervals(tops, TYPE_FS).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("time", "rr", "hr"))).alias("trends"))
+    heat = quality.heatmap(sig).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "motion", "drift", "flat"))).alias("heatmap"))
+    return bent.join(listed, "recording_id", "left").join(trends, "recording_id", "left").join(heat, "recording_id", "left")
+
+
+# --- what is measured of a recording, in SQL -----------------------------------------------------------------------
+
+_BAND = "CASE WHEN {0} >= 95 THEN 'Excellent' WHEN {0} >= 85 THEN 'Very Good' WHEN {0} >= 70 THEN 'Good' WHEN {0} >= 50 THEN 'Acceptable' ELSE 'Poor' END".format
+
+
+def _flat_sql(of: str, out: str) -> str:
+    return f"{out} AS (SELECT recording_id, idx, v - avg(v) {_P} - coalesce(regr_slope(v, idx) {_P}, 0) * (idx - avg(idx) {_P}) AS v FROM {of})"
+
+
+def _clip_sql(of: str, out: str) -> str:
+    return f"{out}_q AS (SELECT recording_id, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) AS b FROM {of} GROUP BY 1), {out} AS (SELECT recording_id, idx, CASE WHEN b - a > 1e-9 THEN least(greatest(v, m - 3.5 * (b - a)), m + 3.5 * (b - a)) ELSE v END AS v FROM {of} JOIN {out}_q USING (recording_id))"
+
+
+def _peaks_sql(of: str, out: str, distance: int, share: float, sign: str = "", absolute: bool = False) -> str:
+    """SQL for ``out`` (recording_id, idx, v, prominence, width) of the peaks of a table of samples, with ``sign`` '-' of its
+    troughs: maxima, the higher first at a distance, prominence by the nearest higher sample on either side, and the
+    crossings of half of it."""
+    return f"""{out}_x AS MATERIALIZED (SELECT recording_id, idx, {sign}v AS v FROM {of}),
+{out}_f AS (SELECT *, CASE WHEN v = lag(v) {_W} THEN 0 ELSE 1 END AS fresh FROM {out}_x), {out}_n AS (SELECT *, sum(fresh) {_W} AS run FROM {out}_f),
+{out}_p AS (SELECT recording_id, run, min(idx) AS a, max(idx) AS b, any_value(v) AS v FROM {out}_n GROUP BY recording_id, run),
+{out}_m AS (SELECT recording_id, (a + b) // 2 AS idx, v FROM {out}_p QUALIFY v > lag(v) OVER (PARTITION BY recording_id ORDER BY a) AND v > lead(v) OVER (PARTITION BY recording_id ORDER BY a)),
+{out}_t AS (SELECT recording_id, list({{'v': v, 'idx': idx}} ORDER BY v DESC, idx DESC) AS t FROM {out}_m GROUP BY 1),
+{out}_k AS MATERIALIZED (SELECT recording_id, unnest(list_reduce(list_transform(t, lambda x: [x.idx]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: abs(k - x[1]) < {distance})) > 0 THEN acc ELSE list_concat(acc, x) END, CAST([] AS BIGINT[]))) AS idx FROM {out}_t),
+{out}_h AS (SELECT recording_id, idx, v FROM {out}_k JOIN {out}_x USING (recording_id, idx)),
+{out}_e AS (SELECT h.recording_id, h.idx, h.v, max(s.idx) FILTER (s.idx < h.idx AND s.v > h.v) AS l, min(s.idx) FILTER (s.idx > h.idx AND s.v > h.v) AS r FROM {out}_h h JOIN {out}_x s USING (recording_id) GROUP BY ALL),
+{out}_o AS (SELECT e.recording_id, e.idx, e.v, e.v - greatest(min(s.v) FILTER (s.idx <= e.idx AND s.idx > coalesce(l, -1)), min(s.v) FILTER (s.idx >= e.idx AND s.idx < coalesce(r, 1000000000))) AS prominence FROM {out}_e e JOIN {out}_x s USING (recording_id) GROUP BY e.recording_id, e.idx, e.v),
+{out}_s AS (SELECT recording_id, stddev_pop(v) AS s, max(idx) AS last FROM {out}_x GROUP BY 1),
+{out}_g AS MATERIALIZED (SELECT o.*, last, o.v - prominence / 2 AS level FROM {out}_o o JOIN {out}_s USING (recording_id) WHERE prominence >= {share} * CASE WHEN s > 1e-9 AND NOT {absolute} THEN s ELSE 1 END),
+{out}_c AS (SELECT g.recording_id, g.idx, max(s.idx) FILTER (s.idx < g.idx AND s.v <= level) AS l, min(s.idx) FILTER (s.idx > g.idx AND s.v <= level) AS r FROM {out}_g g JOIN {out}_x s USING (recording_id) GROUP BY ALL),
+{out} AS MATERIALIZED (SELECT g.recording_id, g.idx, {sign}g.v AS v, g.prominence, coalesce(r - (level - b.v) / (b2.v - b.v), g.last) - coalesce(l + (level - a.v) / (a2.v - a.v), 0) AS width FROM {out}_g g JOIN {out}_c c USING (recording_id, idx)
+LEFT JOIN {out}_x a ON a.recording_id = g.recording_id AND a.idx = c.l LEFT JOIN {out}_x a2 ON a2.recording_id = g.recording_id AND a2.idx = c.l + 1 LEFT JOIN {out}_x b ON b.recording_id = g.recording_id AND b.idx = c.r LEFT JOIN {out}_x b2 ON b2.recording_id = g.recording_id AND b2.idx = c.r - 1)"""
+
+
+def _power_sql(of: str, out: str, fs: float) -> str:
+    return f"""{out}_m AS (SELECT recording_id, idx, v - avg(v) {_P} AS v, count(*) {_P} AS n FROM {of}), {out}_b AS (SELECT recording_id, n, unnest(range(0, n // 2 + 1)) AS bin FROM (SELECT DISTINCT recording_id, n FROM {out}_m) WHERE n > 1),
+{out}_s AS (SELECT b.recording_id, b.bin, b.n, sum(v * cos(2 * pi() * (b.bin * idx % b.n) / b.n)) AS re, sum(v * sin(2 * pi() * (b.bin * idx % b.n) / b.n)) AS im FROM {out}_b b JOIN {out}_m m ON b.recording_id = m.recording_id GROUP BY 1, 2, 3),
+{out} AS (SELECT recording_id, bin, bin * {fs} / n AS hertz, (re * re + im * im) / ({fs} * n) * CASE WHEN bin = 0 OR 2 * bin = n THEN 1 ELSE 2 END AS power FROM {out}_s)"""
+
+
+def _snr_sql(of: str, out: str, fs: float) -> str:
+    return f"{_power_sql(of, out + '_w', fs)}, {out} AS (SELECT recording_id, CASE WHEN n <= 0 THEN 30.0 WHEN s <= 0 THEN CAST('-inf' AS DOUBLE) ELSE 10 * log10(s / n) END AS snr_db FROM (SELECT recording_id, coalesce(sum(power) FILTER (hertz BETWEEN 0.5 AND 4.0), 0) AS s, coalesce(sum(power) FILTER (hertz > 4.0), 0) AS n FROM {out}_w GROUP BY 1))"
+
+
+def _entropy_sql(of: str, out: str) -> str:
+    return f"{out}_r AS (SELECT *, min(v) {_P} AS lo, max(v) {_P} AS hi FROM {of}), {out}_h AS (SELECT recording_id, CASE WHEN hi - lo < 1e-9 THEN 0 ELSE least(floor((v - lo) * 50 / (hi - lo)), 49) END AS bin, count(*) AS c FROM {out}_r GROUP BY ALL), {out}_p AS (SELECT recording_id, c / sum(c) OVER (PARTITION BY recording_id) AS p FROM {out}_h), {out} AS (SELECT recording_id, -sum(p * log2(p)) + 0.0 AS entropy FROM {out}_p GROUP BY 1)"
+
+
+def _consistency_sql(of: str, tops: str, out: str) -> str:
+    """SQL for ``out`` (recording_id, c): the mean correlation of all pairs of beats, made pair by pair."""
+    return f"""{out}_t AS (SELECT recording_id, idx AS start, lead(idx) {_W} AS stop FROM {tops}), {out}_l AS (SELECT b.recording_id, start, list(v ORDER BY s.idx) AS l, count(*) AS n FROM {out}_t b JOIN {of} s ON s.recording_id = b.recording_id AND s.idx >= start AND s.idx < stop GROUP BY 1, 2 HAVING count(*) > 5),
+{out}_k AS (SELECT recording_id, start, l, n, k, k * (n - 1) // 99 AS low, k * (n - 1) % 99 / 99.0 AS f FROM {out}_l, (SELECT unnest(range(100)) AS k)), {out}_y AS (SELECT recording_id, start, k, l[low + 1] + (l[least(low + 2, n)] - l[low + 1]) * f AS y FROM {out}_k),
+{out}_z AS MATERIALIZED (SELECT recording_id, start, k, (y - avg(y) OVER b) / stddev_pop(y) OVER b AS z FROM {out}_y WINDOW b AS (PARTITION BY recording_id, start) QUALIFY stddev_pop(y) OVER b > 1e-9),
+{out}_q AS (SELECT a.recording_id, a.start AS i, b.start AS j, sum(a.z * b.z) / 100 AS r FROM {out}_z a JOIN {out}_z b ON a.recording_id = b.recording_id AND a.k = b.k AND a.start < b.start GROUP BY 1, 2, 3), {out} AS (SELECT recording_id, CASE WHEN count(*) >= 3 THEN avg(r) END AS c FROM {out}_q GROUP BY 1)"""
+
+
+def _skew_sql(v: str) -> str:
+    return f"CASE WHEN var_pop({v}) = 0 THEN NULL ELSE (avg({v}*{v}*{v}) - 3*avg({v})*avg({v}*{v}) + 2*avg({v})*avg({v})*avg({v})) / power(var_pop({v}), 1.5) END"
+
+
+#: The thirteen quality metrics of the clipped signal, and the score: table ``met``.
+_MEASURED = f"""{_TYPE}, {_clip_sql('sig', 'cut')}, {_flat_sql('cut', 'level')}, {_peaks_sql('level', 'tops', 12, 0.1)}, {_snr_sql('cut', 'snr', TYPE_FS)}, {_entropy_sql('cut', 'ent')}, {_consistency_sql('level', 'tops', 'cons')},
+{_recursive('cut', 'baseline', TYPE_FS)}, wander AS (SELECT recording_id, stddev_pop(low.v) AS s, stddev_pop(cut.v) AS t FROM low JOIN cut USING (recording_id, idx) GROUP BY 1),
+jumps AS (SELECT *, v - lag(v) {_W} AS d FROM cut), jump AS (SELECT *, stddev_pop(d) {_P} AS s FROM jumps), moves AS (SELECT recording_id, avg(CASE WHEN d IS NULL THEN NULL WHEN abs(d) < 1e-7 THEN 100.0 ELSE 0.0 END) AS flat, avg(CASE WHEN d IS NULL THEN NULL WHEN s > 1e-9 AND abs(d) > 5 * s THEN 100.0 ELSE 0.0 END) AS motion FROM jump GROUP BY 1),
+st AS (SELECT recording_id, var_pop(v) AS variance, kurtosis_pop(v) AS kurtosis, {_skew_sql('v')} AS skewness FROM cut GROUP BY 1), pk AS (SELECT recording_id, count(*) AS peak_count, CASE WHEN count(*) > 1 AND avg(prominence) > 1e-9 THEN stddev_pop(prominence) / avg(prominence) ELSE 0 END AS stability FROM tops GROUP BY 1),
+met0 AS (SELECT recording_id, snr_db, w.s AS baseline_wander_std, CASE WHEN w.t > 1e-9 THEN w.s / w.t ELSE 0 END AS drift_ratio, motion AS motion_artifact_pct, entropy, variance, kurtosis, skewness, flat AS flat_region_pct, CAST(0 AS DOUBLE) AS missing_data_pct,
+CASE WHEN coalesce(peak_count, 0) <= 1 THEN 0.0 ELSE stability END AS peak_stability, CASE WHEN coalesce(peak_count, 0) <= 1 THEN 0.85 ELSE coalesce(c, 0.5) END AS beat_consistency, coalesce(peak_count, 0) AS peak_count
+FROM st JOIN snr USING (recording_id) JOIN wander w USING (recording_id) JOIN moves USING (recording_id) JOIN ent USING (recording_id) LEFT JOIN pk USING (recording_id) LEFT JOIN cons USING (recording_id)),
+met AS (SELECT *, greatest(0.0, least(100.0, 100 - 3 * missing_data_pct - CASE WHEN flat_region_pct > 1 THEN 2 * (flat_region_pct - 1) ELSE 0 END - CASE WHEN snr_db < 15 THEN 2 * (15 - snr_db) ELSE 0 END - CASE WHEN snr_db < 0 THEN 10 ELSE 0 END - CASE WHEN drift_ratio > 0.1 THEN 40 * (drift_ratio - 0.1) ELSE 0 END
+- 15 * motion_artifact_pct - 25 * peak_stability - CASE WHEN beat_consistency < 0.85 THEN 60 * (0.85 - beat_consistency) ELSE 0 END)) AS quality_score FROM met0)"""
+_METRIC_NAMES = ("snr_db", "baseline_wander_std", "drift_ratio", "motion_artifact_pct", "entropy", "variance", "kurtosis", "skewness", "flat_region_pct", "missing_data_pct", "peak_stability", "beat_consistency")
+
+
+def _r4(*names: str) -> str:
+    return ", ".join(f"round({n}, 4) + 0.0 AS {n}" for n in names)
+
+
+def _c4(*names: str) -> list[Column]:
+    return [rounded(F.col(n), 4).alias(n) for n in names]
+
+
+def _measured(s: SparkSession, d: str) -> DataFrame:
+    sig = _typed(s, d)
+    return beats.scored(beats.metrics(sig, sig))
+
+
+_MET = f"WITH RECURSIVE {_MEASURED} SELECT recording_id"
+
+
+@query("signal_quality", f"{_MET}, {_r4('snr_db', 'drift_ratio', 'motion_artifact_pct', 'entropy', 'quality_score')}, peak_count, {_BAND('quality_score')} AS quality_band FROM met")
+def signal_quality(s, d):
+    """Score and band of each recording, and the marks that tell most."""
+    return _measured(s, d).select("recording_id", *_c4("snr_db", "drift_ratio", "motion_artifact_pct", "entropy", "quality_score"), "peak_count", "quality_band")
+
+
+@query("quality_metrics", f"{_MET}, {_r4(*_METRIC_NAMES, 'quality_score')}, peak_count, {_BAND('quality_score')} AS quality_band FROM met")
+def quality_metrics(s, d):
+    """All thirteen quality metrics of each recording, outliers clipped, with score and band."""
+    return _measured(s, d).select("recording_id", *_c4(*_METRIC_NAMES, "quality_score"), "peak_count", "quality_band")
+
+
+@query("quality_radar", f"""{_MET}, round(greatest(0.0, least(100.0, snr_db / 30 * 100)), 4) + 0.0 AS snr_power, round(greatest(0.0, least(100.0, (1 - drift_ratio) * 100)), 4) + 0.0 AS baseline_stability, round(beat_consistency * 100, 4) + 0.0 AS beat_consistency,
+round(greatest(0.0, least(100.0, 100 - flat_region_pct)), 4) + 0.0 AS sensor_connection, round(greatest(0.0, least(100.0, (1 - peak_stability) * 100)), 4) + 0.0 AS amplitude_stability FROM met""")
+def quality_radar(s, d):
+    x = quality.quality_radar(_measured(s, d))
+    return x.select("recording_id", *_c4(*x.columns[1:]))
+
+
+@query("submetric_status", f"""WITH RECURSIVE {_MEASURED} SELECT recording_id, u.metric AS metric, round(u.value, 4) + 0.0 AS value, CASE WHEN u.ok THEN 'PASS' ELSE 'FAIL' END AS status FROM met, LATERAL (VALUES ('snr_db', snr_db, snr_db >= 15), ('drift_ratio', drift_ratio, drift_ratio < 0.1), ('motion_artifact_pct', motion_artifact_pct, motion_artifact_pct < 1), ('entropy', entropy, entropy > 2 AND entropy < 7),
+('flat_region_pct', flat_region_pct, flat_region_pct < 0.1), ('missing_data_pct', missing_data_pct, missing_data_pct = 0), ('peak_stability', peak_stability, peak_stability < 0.2), ('beat_consistency', beat_consistency, beat_consistency >= 0.8)) AS u(metric, value, ok)""")
+def submetric_status(s, d):
+    return quality.submetric_status(_measured(s, d)).select("recording_id", "metric", *_c4("value"), F.when(F.col("ok"), "PASS").otherwise("FAIL").alias("status"))
+
+
+@query("penalties", f"{_MET}, round(3 * missing_data_pct, 4) + 0.0 AS missing, round(CASE WHEN drift_ratio > 0.1 THEN (drift_ratio - 0.1) * 40 ELSE 0.0 END, 4) + 0.0 AS drift, round(CASE WHEN beat_consistency < 0.85 THEN (0.85 - beat_consistency) * 60 ELSE 0.0 END, 4) + 0.0 AS consistency FROM met")
+def penalties(s, d):
+    return quality.penalties(_measured(s, d)).select("recording_id", *_c4("missing", "drift", "consistency"))
+
+
+@query("quality_table", f"{_MET}, printf('%.2f dB', snr_db) AS snr, printf('%.4f', drift_ratio) AS drift, printf('%.2f%%', motion_artifact_pct) AS motion, printf('%.4f', entropy) AS entropy, printf('%.2f%%', flat_region_pct) AS flat, printf('%.2f%%', missing_data_pct) AS missing, printf('%.4f', peak_stability) AS stability, printf('%.4f', beat_consistency) AS consistency FROM met")
+def quality_table(s, d):
+    """The quality metrics as they are shown."""
+    shown = {"snr": ("%.2f dB", "snr_db"), "drift": ("%.4f", "drift_ratio"), "motion": ("%.2f%%", "motion_artifact_pct"), "entropy": ("%.4f", "entropy"), "flat": ("%.2f%%", "flat_region_pct"), "missing": ("%.2f%%", "missing_data_pct"), "stability": ("%.4f", "peak_stability"), "consistency": ("%.4f", "beat_consistency")}
+    return _measured(s, d).select("recording_id", *[F.format_string(f, c).alias(n) for n, (f, c) in shown.items()])
+
+
+# --- beats, in SQL -------------------------------------------------------------------------------------------------
+
+@query("peak_widths", f"WITH {_TYPE}, {_flat_sql('sig', 'level')}, {_peaks_sql('level', 'tops', 12, 0.1)} SELECT recording_id, idx, round(width, 4) + 0.0 AS width FROM tops")
+def peak_widths(s, d):
+    return kernels.found_peaks(beats.flat(_typed(s, d))).filter("side = 'peak'").select("recording_id", "idx", *_c4("width"))
+
+
+@query("beat_overlay", f"""WITH {_TYPE}, {_flat_sql('sig', 'level')}, {_peaks_sql('level', 'tops', 12, 0.1)}, b AS (SELECT recording_id, idx AS start, lead(idx) {_W} AS stop FROM tops)
+SELECT b.recording_id, start, {_R('(s.idx - start) * 100 / (stop - start - 1)')} AS x, {_R('s.v')} AS v FROM b JOIN sig s ON s.recording_id = b.recording_id AND s.idx >= start AND s.idx < stop WHERE stop - start > 5""")
+def beat_overlay(s, d):
+    """Each beat on a scale of 0 to 100."""
+    of = peaks.beats(sig_type(s, d), kernels.found_peaks(beats.flat(_typed(s, d))).filter("side = 'peak'"))
+    return of.select("recording_id", "start", F.posexplode("beat").alias("k", "v"), F.size("beat").alias("n")).select("recording_id", "start", rounded(F.col("k") * 100 / (F.col("n") - 1)).alias("x"), rounded(F.col("v")).alias("v"))
+
+
+_ORIENTED = f"""{_TYPE}, {_clip_sql('sig', 'cut')}, {_flat_sql('cut', 'level')}, {_peaks_sql('level', 'tops', 10, 0.1)}, {_peaks_sql('level', 'lows', 10, 0.1, '-')},
+st AS (SELECT recording_id, stddev_pop(v) AS std, coalesce({_skew_sql('v')}, 0) AS skew FROM level GROUP BY 1), t AS (SELECT recording_id, avg(prominence) AS p FROM tops GROUP BY 1), l AS (SELECT recording_id, avg(prominence) AS q FROM lows GROUP BY 1),
+r AS (SELECT recording_id, std, skew, CASE WHEN p > 0 AND q > 0 THEN p / q WHEN p > 0 THEN 5.0 WHEN q > 0 THEN 0.2 ELSE 1.0 END AS ratio FROM st LEFT JOIN t USING (recording_id) LEFT JOIN l USING (recording_id)),
+u AS (SELECT *, CASE WHEN skew > 0.15 THEN least(1.0, 2 * skew) ELSE 0 END + CASE WHEN ratio > 1.2 THEN least(1.0, 1.5 * (ratio - 1)) ELSE 0 END AS up, CASE WHEN skew < -0.15 THEN least(1.0, -2 * skew) ELSE 0 END + CASE WHEN ratio < 0.8 THEN least(1.0, 1.5 * (1 / (ratio + 1e-5) - 1)) ELSE 0 END AS down FROM r),
+facing AS (SELECT *, least(1.0, abs(up - down) / 2) AS sure, std < 1e-9 OR up + down = 0 AS unsure FROM u)"""
+
+
+@query("orientation", f"WITH {_ORIENTED} SELECT recording_id, CASE WHEN unsure OR sure < 0.35 THEN 'uncertain' WHEN up > down THEN 'normal' ELSE 'inverted' END AS orientation, CASE WHEN unsure THEN false WHEN sure < 0.35 THEN skew < 0 ELSE up <= down END AS reverse, round(CASE WHEN unsure THEN 0.0 ELSE sure END, 4) + 0.0 AS confidence FROM facing")
 def orientation(s, d):
-    return beats.orientation(_typed(s, d)).select("recording_id", "orientation", "reverse", rounded(F.col("confidence")).alias("confidence"))
+    return beats.orientation(_typed(s, d)).select("recording_id", "orientation", "reverse", *_c4("confidence"))
 
 
-@query("morphology")
+#: Morphology by the signal below 5 Hz: table ``mor``.
+_MORPHOLOGY = f"""{_recursive('sig', 'low-pass', TYPE_FS)}, {_flat_sql('low', 'slow')}, {_peaks_sql('slow', 'up', 12, 0.05)}, {_peaks_sql('slow', 'down', 12, 0.05, '-')}, {_flat_sql('sig', 'level')},
+base AS (SELECT recording_id, stddev_pop(v) AS std, sum(abs(v)) / {TYPE_FS} AS total FROM level GROUP BY 1), mean AS (SELECT recording_id, avg(v) AS mean FROM sig GROUP BY 1),
+beat AS (SELECT recording_id, count(*) AS n, (max(idx) - min(idx)) / {TYPE_FS} AS span, avg(width / {TYPE_FS}) AS width, avg(prominence) AS prom FROM up GROUP BY 1),
+near AS (SELECT u.recording_id, u.idx, max(d.idx) FILTER (d.idx < u.idx) AS before, min(d.idx) FILTER (d.idx > u.idx) AS after FROM up u LEFT JOIN down d ON d.recording_id = u.recording_id GROUP BY ALL), around AS (SELECT recording_id, avg(idx - before) / {TYPE_FS} AS rise, avg(after - idx) / {TYPE_FS} AS decay FROM near GROUP BY 1),
+high AS (SELECT recording_id, avg(sig.v) AS top FROM up JOIN sig USING (recording_id, idx) GROUP BY 1), deep AS (SELECT recording_id, avg(sig.v) AS bottom FROM down JOIN sig USING (recording_id, idx) GROUP BY 1),
+all_of AS (SELECT *, coalesce(n, 0) >= 2 AS many, span / nullif(n - 1, 0) AS r, coalesce(top, mean) - coalesce(bottom, mean) AS swing FROM base JOIN mean USING (recording_id) LEFT JOIN beat USING (recording_id) LEFT JOIN around USING (recording_id) LEFT JOIN high USING (recording_id) LEFT JOIN deep USING (recording_id)),
+mor AS (SELECT recording_id, CAST(coalesce(n, 0) AS DOUBLE) AS peak_count, CASE WHEN many THEN 60 / r ELSE 72.0 END AS hr, CASE WHEN many THEN r ELSE 0.833 END AS rr, CASE WHEN many THEN width ELSE 0.3 END AS pulse_width, CASE WHEN many THEN coalesce(rise, r * 0.3) ELSE 0.25 END AS rise_time, CASE WHEN many THEN coalesce(decay, r * 0.7) ELSE 0.58 END AS decay_time,
+CASE WHEN many THEN CASE WHEN swing > 0 THEN swing ELSE 2 * std END WHEN std > 0 THEN 2 * std ELSE 1.0 END AS amplitude, CASE WHEN many THEN total / n WHEN std > 0 THEN std ELSE 0.5 END AS area, CASE WHEN many THEN prom WHEN std > 0 THEN std ELSE 0.5 END AS prominence FROM all_of)"""
+_MORPHOLOGY_NAMES = ("peak_count", "hr", "rr", "pulse_width", "rise_time", "decay_time", "amplitude", "area", "prominence")
+
+
+@query("morphology", f"WITH RECURSIVE {_TYPE}, {_MORPHOLOGY} SELECT recording_id, {_r4(*_MORPHOLOGY_NAMES)} FROM mor")
 def morphology(s, d):
-    x = beats.morphology(_typed(s, d))
-    return x.select("recording_id", *[rounded(F.col(c)).alias(c) for c in x.columns if c != "recording_id"])
+    return beats.morphology(_typed(s, d)).select("recording_id", *_c4(*_MORPHOLOGY_NAMES))
+
+
+def _slopes(fs: float) -> str:
+    grad = lambda x: f"CASE WHEN lag({x}) {_W} IS NULL THEN (lead({x}) {_W} - {x}) * {fs} WHEN lead({x}) {_W} IS NULL THEN ({x} - lag({x}) {_W}) * {fs} ELSE (lead({x}) {_W} - lag({x}) {_W}) * {fs} / 2 END"
+    return f"bent1 AS (SELECT *, {grad('v')} AS vpg FROM sig), bent AS (SELECT *, {grad('vpg')} AS apg FROM bent1)"
+
+
+#: The fourteen features: table ``feat``; and what they are worth: table ``ready``.
+_FEATURES = f"""{_TYPE}, {_MORPHOLOGY}, {_peaks_sql('level', 'tops', 12, 0.1)}, {_entropy_sql('sig', 'ent')}, {_slopes(TYPE_FS)}, power AS (SELECT recording_id, sum(v * v) / count(*) AS energy FROM level GROUP BY 1), slope AS (SELECT recording_id, max(vpg) - min(vpg) AS vpg_range, max(apg) - min(apg) AS apg_range FROM bent GROUP BY 1),
+gap AS (SELECT recording_id, idx, (idx - lag(idx) {_W}) / {TYPE_FS} AS rr FROM tops), pair AS (SELECT *, lead(rr) {_W} AS nx FROM gap), sd AS (SELECT recording_id, coalesce(sqrt(0.5 * var_pop(rr - nx)), 0) AS sd1, coalesce(sqrt(0.5 * var_pop(CASE WHEN nx IS NOT NULL THEN rr + nx END)), 0) AS sd2 FROM pair GROUP BY 1),
+feat AS (SELECT recording_id, hr AS heart_rate_bpm, rr AS rr_mean_sec, pulse_width AS pulse_width_sec, rise_time AS rise_time_sec, decay_time AS decay_time_sec, amplitude, entropy, energy, area, coalesce(sd1, 0) AS sd1_sec, coalesce(sd2, 0) AS sd2_sec, CASE WHEN sd2 > 1e-9 THEN sd1 / sd2 ELSE 1.0 END AS sd_ratio, vpg_range, apg_range
+FROM mor JOIN ent USING (recording_id) JOIN power USING (recording_id) JOIN slope USING (recording_id) LEFT JOIN sd USING (recording_id)),
+points AS (SELECT *, CASE WHEN length(recording_id) % 2 = 0 THEN 'FS_UNRESOLVED' ELSE 'PASS' END AS fs_status, 10 * (CAST(heart_rate_bpm BETWEEN 40 AND 160 AS INT) + CAST(rr_mean_sec BETWEEN 0.375 AND 1.5 AS INT) + CAST(pulse_width_sec BETWEEN 0.1 AND 0.6 AS INT) + CAST(rise_time_sec BETWEEN 0.05 AND 0.45 AS INT) + CAST(decay_time_sec BETWEEN 0.1 AND 1.2 AS INT)
++ CAST(entropy BETWEEN 1.5 AND 7.5 AS INT) + CAST(sd1_sec BETWEEN 0.001 AND 0.2 AS INT) + CAST(sd2_sec BETWEEN 0.005 AND 0.4 AS INT) + CAST(amplitude > 1e-6 AS INT) + CAST(vpg_range > 1e-6 AND apg_range > 1e-6 AS INT)) AS raw FROM feat),
+ready AS (SELECT recording_id, fs_status, CAST(CASE WHEN fs_status = 'FS_UNRESOLVED' THEN least(raw, 85) ELSE raw END AS INTEGER) AS readiness_score, CASE WHEN raw >= 90 THEN CASE WHEN fs_status = 'FS_UNRESOLVED' THEN 'B' ELSE 'A' END WHEN raw >= 75 THEN 'B' WHEN raw >= 50 THEN 'C' ELSE 'D' END AS readiness_category FROM points)"""
+
+
+@query("features", f"WITH RECURSIVE {_FEATURES} SELECT recording_id, {_r4(*batch.FEATURES)} FROM feat")
+def features(s, d):
+    return beats.features(_typed(s, d)).select("recording_id", *_c4(*batch.FEATURES))
+
+
+def _ready(s: SparkSession, d: str) -> DataFrame:
+    """Readiness by measured features; whether a rate is resolved is told by the length of the name."""
+    status = F.when(F.length("recording_id") % 2 == 0, "FS_UNRESOLVED").otherwise("PASS")
+    return quality.readiness(beats.features(_typed(s, d)).withColumn("fs_status", status))
+
+
+@query("readiness", f"WITH RECURSIVE {_FEATURES} SELECT * FROM ready")
+def readiness(s, d):
+    return _ready(s, d).select("recording_id", "fs_status", "readiness_score", "readiness_category")
+
+
+@query("morphology_radar", f"WITH RECURSIVE {_FEATURES} SELECT recording_id, " + ", ".join(f"round(greatest(0.0, least(100.0, 100 - abs({c} - {m}) / {m} * 100)), 4) + 0.0 AS {c.rsplit('_', 1)[0]}" for c, m in (("heart_rate_bpm", 72.0), ("pulse_width_sec", 0.3), ("rise_time_sec", 0.2), ("decay_time_sec", 0.5))) + " FROM feat")
+def morphology_radar(s, d):
+    x = quality.morphology_radar(beats.features(_typed(s, d)))
+    return x.select("recording_id", *_c4(*x.columns[1:]))
+
+
+@query("verdict", f"""WITH RECURSIVE {_FEATURES}, g AS (SELECT *, recording_id <> 'view' AS loader_ok, recording_id <> 'click' AS preprocess_ok, CASE WHEN recording_id = 'purchase' THEN 'DEGRADED_FALLBACK' ELSE 'PASSED' END AS guard_status FROM ready),
+m AS (SELECT recording_id, list_filter([CASE WHEN NOT loader_ok THEN 'File Loader: Failed to decode, parse, or load signal data.' END, CASE WHEN fs_status = 'FS_UNRESOLVED' THEN 'FS Detector: Sampling frequency is unresolved (cannot compute frequency features).' END, CASE WHEN NOT preprocess_ok THEN 'Preprocessor: Preprocessing failed (NaNs or empty array returned).' END, CASE WHEN guard_status = 'DEGRADED_FALLBACK' THEN 'Morphology Guard: Filtering severely distorted physiological waves, fell back to raw.' END,
+CASE WHEN readiness_category = 'D' OR readiness_score < 50 THEN 'Feature Validator: Signal features failed physiological plausibility (readiness: ' || printf('%.1f', CAST(readiness_score AS DOUBLE)) || '%).' END], lambda x: x IS NOT NULL) AS r FROM g)
+SELECT recording_id, CASE WHEN len(r) > 0 THEN 'Verification FAIL' ELSE 'Verification PASS' END AS overall_verdict, CASE WHEN len(r) > 0 THEN 'Not ready for biomedical research' ELSE 'Ready for biomedical research' END AS wording, CASE WHEN len(r) > 0 THEN array_to_string(r, '; ') ELSE 'None' END AS failure_reasons FROM m""")
+def verdict(s, d):
+    """The five rules on measured features; the states of loader, preprocessing and guard by the recording's name."""
+    r = F.col("recording_id")
+    rows = _ready(s, d).withColumn("loader_ok", r != "view").withColumn("preprocess_ok", r != "click").withColumn("guard_status", F.when(r == "purchase", "DEGRADED_FALLBACK").otherwise("PASSED"))
+    v = quality.verdict(rows)
+    return v.select("recording_id", "overall_verdict", "wording", F.when(F.size("failure_reasons") > 0, F.array_join("failure_reasons", "; ")).otherwise("None").alias("failure_reasons"))
+
+
+#: Votes for a rate by autocorrelation and spectrum of recordings of up to 5,000 samples: table ``voted``.
+_VOTES = f"""{_TYPE}, mid AS (SELECT recording_id, idx, v - avg(v) {_P} AS v, count(*) {_P} AS n FROM sig), own AS (SELECT recording_id, sum(v * v) AS z, any_value(n) AS n FROM mid GROUP BY 1),
+lagged AS (SELECT a.recording_id, b.idx - a.idx AS idx, sum(a.v * b.v) AS s FROM mid a JOIN mid b ON a.recording_id = b.recording_id AND b.idx >= a.idx AND b.idx - a.idx < least(a.n // 2, 2000) GROUP BY ALL), acf AS (SELECT recording_id, idx, CASE WHEN z > 0 THEN s / z ELSE s END AS v FROM lagged JOIN own USING (recording_id)),
+{_peaks_sql('acf', 'again', 8, 0.05, absolute=True)}, {_power_sql('sig', 'pw', TYPE_FS)}, mag AS (SELECT recording_id, bin AS idx, sqrt(re * re + im * im) AS v FROM pw_s),
+hump AS (SELECT *, v > lag(v) {_W} AND v > lead(v) {_W} AS top FROM mag), best AS (SELECT recording_id, arg_min(idx, struct_pack(v := -v, i := idx)) AS bin FROM hump WHERE top GROUP BY 1),
+per AS (SELECT recording_id, 'acf' AS method, CAST(min(idx) AS DOUBLE) AS period FROM again GROUP BY 1 UNION ALL SELECT recording_id, m, n / CAST(bin AS DOUBLE) FROM best JOIN own USING (recording_id), (SELECT unnest(['fft', 'psd']) AS m)),
+tried AS (SELECT *, CASE WHEN 60 * rate / period BETWEEN 40 AND 180 THEN exp(-0.5 * power((60 * rate / period - 72) / 25, 2)) ELSE 0.0 END AS likelihood FROM per, (SELECT unnest([30.0, 60.0, 100.0, 125.0, 250.0, 500.0, 1000.0]) AS rate)),
+voted AS (SELECT recording_id, method, CAST(rate AS DOUBLE) AS rate FROM tried QUALIFY row_number() OVER (PARTITION BY recording_id, method ORDER BY likelihood DESC, rate) = 1)"""
+
+
+@query("rate_votes", f"WITH {_VOTES} SELECT * FROM voted")
+def rate_votes(s, d):
+    return rates.votes(kernels.periods(_typed(s, d)))
+
+
+@query("rate_detected", f"""WITH {_VOTES}, many AS (SELECT recording_id, rate, count(*) AS n, min(method) AS first FROM voted GROUP BY 1, 2), est AS (SELECT recording_id, arg_max(rate, struct_pack(n := n, o := -ascii(first), r := rate)) AS rate, max(n) / sum(n) AS agreement FROM many GROUP BY 1),
+known AS (SELECT recording_id, coalesce(rate, 100.0) AS est, coalesce(agreement, 0) AS agreement, CASE WHEN length(recording_id) % 2 = 0 THEN 30.0 END AS told FROM (SELECT DISTINCT recording_id FROM sig) LEFT JOIN est USING (recording_id)),
+sure AS (SELECT *, CASE WHEN told IS NULL THEN agreement WHEN abs(told - est) / told < 0.1 THEN 1.0 ELSE greatest(0.5, 1 - abs(told - est) / told) END AS c FROM known)
+SELECT recording_id, CAST(coalesce(told, est) AS DOUBLE) AS fs, CASE WHEN told IS NULL THEN 'Estimation' ELSE 'Filename Hint' END AS fs_source, {_R('CAST(c AS DOUBLE)')} AS fs_confidence, CASE WHEN c > 0.9 THEN 'PASS' WHEN c >= 0.7 THEN 'WARNING' ELSE 'FS_UNRESOLVED' END AS fs_status FROM sure""")
+def rate_detected(s, d):
+    """The rate of each recording from its estimate and, for some, a rate that its name gives."""
+    known = rates.estimated(_typed(s, d)).withColumn("name_fs", rates.from_name(F.concat("recording_id", F.when(F.length("recording_id") % 2 == 0, "_30hz.csv").otherwise(".csv"))))
+    none = F.lit(None).cast("double")
+    return rates.detected(known.withColumn("user_fs", none).withColumn("meta_fs", none).withColumn("time_fs", none)).select("recording_id", "fs", "fs_source", rounded(F.col("fs_confidence")).alias("fs_confidence"), "fs_status")
 
 
 @query("morphology_guard")
@@ -610,16 +818,6 @@ def notch_preserved(s, d):
     return beats.notch(_typed(s, d), "Butterworth")
 
 
-@query("features")
-def features(s, d):
-    return beats.features(_typed(s, d))
-
-
-@query("quality_metrics")
-def quality_metrics(s, d):
-    return beats.scored(beats.metrics(_typed(s, d), _typed(s, d)))
-
-
 @query("measured_verdict")
 def measured_verdict(s, d):
     """Readiness and verdict of each recording from its measured features, its estimated rate and the guard."""
@@ -634,7 +832,7 @@ def measured_verdict(s, d):
 @query("full_scoreboard")
 def full_scoreboard(s, d):
     x = beats.scoreboard(_typed(s, d))
-    return x.select("recording_id", "filter", "ord", *[rounded(F.col(c), 4).alias(c) for c in ("morphology", "peak_retention", "beat_similarity", "snr_score", "total_score", "snr_db")])
+    return x.select("recording_id", "filter", "ord", *_c4("morphology", "peak_retention", "beat_similarity", "snr_score", "total_score", "snr_db"), "error")
 
 
 @query("best_filter")
@@ -642,11 +840,6 @@ def best_filter(s, d):
     return beats.best_filter(beats.scoreboard(_typed(s, d)))
 
 
-@query("penalties", f"WITH {_METRICS} SELECT recording_id, {_R('3 * missing_pct')} AS missing, {_R('CASE WHEN flat_pct > 1 THEN 2 * (flat_pct - 1) ELSE 0.0 END')} AS flat, {_R('15 * motion_pct')} AS motion FROM met")
-def penalties(s, d):
-    return _metrics(s, d).select("recording_id", rounded(3 * F.col("missing_pct")).alias("missing"), rounded(F.when(F.col("flat_pct") > 1, 2 * (F.col("flat_pct") - 1)).otherwise(0.0)).alias("flat"), rounded(15 * F.col("motion_pct")).alias("motion"))
-
-
 @query("checklist")
 def checklist(s, d):
     """The display's six rules, with limits of their own: retained morphology 80, quality 50, category A or B."""
@@ -654,29 +847,11 @@ def checklist(s, d):
     board = beats.scoreboard(sig)
     best = board.join(beats.best_filter(board).withColumnRenamed("best", "filter"), ["recording_id", "filter"]).select("recording_id", "morphology")
     ready = quality.readiness(beats.features(sig).withColumn("fs_status", F.lit("PASS"))).select("recording_id", "readiness_category")
-    rows = best.join(beats.scored(beats.metrics(sig, sig)).select("recording_id", "quality_score"), "recording_id").join(ready, "recording_id")
+    rows = best.join(_measured(s, d).select("recording_id", "quality_score"), "recording_id").join(ready, "recording_id")
     ok = F.expr("stack(6, 'File Loader', true, 'FS Detector', true, 'Conditioning Filtering', true, 'Morphology Guard', morphology >= 80, 'Quality Score', quality_score >= 50, 'Feature Category', readiness_category IN ('A', 'B')) AS (rule, ok)")
     return rows.select("recording_id", ok).select("recording_id", "rule", F.when(F.col("ok"), "PASS").otherwise("FAIL").alias("status"))
 
 
-@query("view_data")
-def view_data(s, d):
-    """What a view of a recording shows, nested: samples, derivatives, peaks, trends and heat map."""
-    sig = _typed(s, d)
-    bent = samples.derivatives(sig, F.col("fs")).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct((F.col("idx") / F.col("fs")).alias("time"), F.col("v").alias("raw"), "vpg", "apg"))).alias("samples"))
-    tops = kernels.found_peaks(beats.flat(sig)).filter("side = 'peak'")
-    listed = tops.groupBy("recording_id").agg(F.sort_array(F.collect_list("idx")).alias("peaks"))
-    trends = peaks.intervals(tops, TYPE_FS).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("time", "rr", "hr"))).alias("trends"))
-    heat = quality.heatmap(sig).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "motion", "drift", "flat"))).alias("heatmap"))
-    return bent.join(listed, "recording_id", "left").join(trends, "recording_id", "left").join(heat, "recording_id", "left")
-
-
-@query("quality_table", f"WITH {_METRICS} SELECT recording_id, printf('%.2f dB', snr) AS snr, printf('%.2f%%', motion_pct) AS motion, printf('%.3f', entropy) AS entropy FROM met")
-def quality_table(s, d):
-    m = _metrics(s, d)
-    return m.select("recording_id", F.format_string("%.2f dB", "snr").alias("snr"), F.format_string("%.2f%%", "motion_pct").alias("motion"), F.format_string("%.3f", "entropy").alias("entropy"))
-
-
 # --- files -------------------------------------------------------------------------------------------------------
 
 def _as_files(s: SparkSession, d: str) -> DataFrame:
