@@ -16,14 +16,20 @@ from sphygmo.llm.graph import by_group, components
 
 #: Vectors link at or above this cosine.
 THRESHOLD = 0.9
-#: Neighbours kept for each vector, random-projection orders that start the graph, hyperplanes of an order, and
-#: neighbouring vectors of an order compared with each other.
-LISTS, ORDERS, PLANES, BLOCK = 10, 6, 20, 96
-#: Rounds go on while they join components; then an audit must find this recall, in one of so many audits.
-AUDITS, RECALL = 10, 0.95
+#: Neighbours kept for each vector, and neighbouring vectors of an order that are compared with each other.
+LISTS, BLOCK = 10, 1024
+#: The chance at which an isolated pair at the threshold may be missed by the orders that start the graph: their number
+#: follows from it and from the size of the table.
+MISSED = 0.01
+#: Probes that are laid at the threshold beside random vectors, and the share of them, less its standard error times
+#: :data:`SURE`, that the orders must find; else more orders follow, so many times at most.
+PROBES, SURE, TURNS = 1024, 1.645, 6
+#: Rounds go on while they join components; then an audit must find this recall, in one of so many audits. An audit asks more
+#: and more vectors until it has seen so many links, or asked all, or what :data:`ASKED_BYTES` of vectors allow.
+AUDITS, RECALL, LEAST_RECALL, SEEN, ASKED_BYTES = 10, 0.95, 0.9, 100, 8 << 20
 #: Cosines this near the threshold are computed again, in one fixed order of sums, so that every stage decides alike.
 NEAR = 1e-12
-#: Vectors that the audit compares with all others, and members of a component that one task compares.
+#: Vectors that the audit first compares with all others, and members of a component that one task compares.
 AUDITED, TILE = 256, 1024
 
 
@@ -71,8 +77,42 @@ def sound() -> Column:
     return F.coalesce(F.col("embedding").isNotNull() & fine, F.lit(False))
 
 
-def starting_graph(nodes: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """(u, v, s): what :func:`_kept` keeps of each node's neighbours in several random-projection orders.
+def orders_for(n: int, missed: float = MISSED) -> tuple[int, int]:
+    """(orders, hyperplanes of each) that start the graph of ``n`` vectors.
+
+    A pair at the threshold is on one side of a random hyperplane with chance p = 1 - angle / pi. In an order by signs it
+    meets in a run when about log2(n / BLOCK) + 1 signs agree; so the orders grow with the table.
+    """
+    p = 1 - np.arccos(THRESHOLD) / np.pi
+    signs = max(0.0, np.log2(max(n, 1) / BLOCK)) + 1
+    return max(3, int(np.ceil(np.log(missed) / np.log(1 - p**signs)))), min(62, max(20, int(signs) + 4))
+
+
+def with_probes(nodes: DataFrame, n: int) -> DataFrame:
+    """The nodes, and about PROBES more with negative ids: vectors at the threshold from some nodes, in random directions."""
+
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, size = _unit(_matrix(b.column(1))), b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            out = []
+            for k, i in enumerate(b.column(0).to_pylist()):
+                u, d = x[k, : size[k]], int(size[k])
+                v = np.random.Generator(np.random.PCG64(i)).standard_normal(d)
+                v -= u * (u @ v)
+                length = np.sqrt(v @ v)
+                out.append((THRESHOLD * u + np.sqrt(1 - THRESHOLD**2) * v / length if length > 1e-9 else u) * (1 + 1e-9))
+            yield pa.record_batch([pa.array([-1 - i for i in b.column(0).to_pylist()], pa.int64()), pa.array([o.tolist() for o in out], b.schema.field(1).type)], ["id", "embedding"])
+
+    kind = nodes.schema["embedding"].dataType.simpleString()
+    some = nodes.select("id", "embedding").filter(F.pmod(F.xxhash64(F.lit("probe"), "id"), F.lit(max(1, n // PROBES))) == 0)
+    return nodes.select("id", "embedding").unionByName(some.mapInArrow(laid, f"id long, embedding {kind}"))
+
+
+def starting_graph(nodes: DataFrame, orders: int, planes: int, seed: int = 0) -> DataFrame:
+    """(u, v, s): what :func:`_kept` keeps of each node's neighbours in several random-projection orders; and for each probe
+    (negative id) that meets a vector within the threshold, one such link.
 
     An order sorts the nodes by the signs of random projections, equal signs by a hash, and compares runs of BLOCK; so a
     dense group of any size spreads over many runs, others in each order.
@@ -80,25 +120,38 @@ def starting_graph(nodes: DataFrame, orders: int = ORDERS) -> DataFrame:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(1))
-            planes = np.random.Generator(np.random.PCG64(7)).standard_normal((x.shape[1], orders * PLANES))
-            bits = (x @ planes > 0).reshape(len(x), orders, PLANES)
-            codes = bits @ (1 << np.arange(PLANES, dtype=np.int64))
             for t in range(orders):
-                yield pa.record_batch([pa.array(np.full(len(x), t, np.int32)), pa.array(codes[:, t]), b.column(0), b.column(1)], ["order", "code", "id", "embedding"])
+                sides = np.random.Generator(np.random.PCG64([7, seed, t])).standard_normal((x.shape[1], planes))
+                codes = (x @ sides > 0) @ (1 << np.arange(planes, dtype=np.int64)[::-1])
+                yield pa.record_batch([pa.array(np.full(len(x), t, np.int32)), pa.array(codes), b.column(0), b.column(1)], ["order", "code", "id", "embedding"])
 
     def found(run: pa.Table) -> pa.RecordBatch:
         name = run.column("id").to_numpy()
-        return pa.record_batch([*map(pa.array, _kept(name, name, _cosines(run.column("embedding"))))], ["u", "v", "s"])
+        s = _cosines(run.column("embedding"))
+        real, probe = np.flatnonzero(name >= 0), np.flatnonzero(name < 0)
+        u, v, w = _kept(name[real], name[real], s[np.ix_(real, real)]) if len(real) > 1 else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        if len(probe) and len(real):
+            near = s[np.ix_(probe, real)]
+            at = near.argmax(axis=1)
+            top = near[np.arange(len(probe)), at]
+            hit = top >= THRESHOLD - 1e-6  # a probe is rounded to the vectors' own precision
+            u, v, w = np.r_[u, name[probe][hit]], np.r_[v, name[real][at[hit]]], np.r_[w, top[hit]]
+        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(w, pa.float64())], ["u", "v", "s"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for b in batches:
-            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            while held.num_rows >= 2 * BLOCK:
-                yield found(held.slice(0, BLOCK))
-                held = held.slice(BLOCK)
-        if held is not None and held.num_rows > 1:
-            yield found(held)
+            held.append(b)
+            rows += b.num_rows
+            if rows >= 2 * BLOCK:
+                whole = pa.Table.from_batches(held)
+                while whole.num_rows >= 2 * BLOCK:
+                    yield found(whole.slice(0, BLOCK))
+                    whole = whole.slice(BLOCK)
+                held, rows = whole.to_batches(), whole.num_rows
+        if rows > 1:
+            yield found(pa.Table.from_batches(held))
 
     kind = nodes.schema["embedding"].dataType.simpleString()
     coded = nodes.select("id", "embedding").mapInArrow(code, f"order int, code long, id long, embedding {kind}")
@@ -106,6 +159,22 @@ def starting_graph(nodes: DataFrame, orders: int = ORDERS) -> DataFrame:
     return dealt.select("id", "embedding").mapInArrow(runs, "u long, v long, s double")
 
 
+def started(nodes: DataFrame) -> DataFrame:
+    """(u, v, s) that start the graph, by as many orders as find the probes; RuntimeError if TURNS times the orders do not."""
+    n = nodes.count()
+    orders, planes = orders_for(n)
+    probed = written(with_probes(nodes, n), "probed")
+    laid = probed.filter("id < 0").count()
+    none = nodes.sparkSession.createDataFrame([], "u long, v long, s double")
+    graph, share = none, 0.0
+    for turn in range(TURNS):
+        graph = written(graph.unionByName(starting_graph(probed, orders, planes, turn)).groupBy("u", "v").agg(F.max("s").alias("s")), "orders")
+        share = graph.filter("u < 0").select("u").distinct().count() / laid if laid else 1.0
+        if share - SURE * (share * (1 - share) / max(1, laid)) ** 0.5 >= LEAST_RECALL:
+            return graph.filter("u >= 0")
+    raise RuntimeError(f"{share:.1%} of {laid} probes found, too few to be sure of {LEAST_RECALL:.0%}")
+
+
 def _forest(label: np.ndarray, linked: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Of the links, as few as join all the labels that they join; and the labels joined."""
     label, edges = label.copy(), []
@@ -194,23 +263,35 @@ def refine(graph: DataFrame, nodes: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def audit(nodes: DataFrame, part: DataFrame, turn: int) -> tuple[int, DataFrame | None, int]:
-    """Of AUDITED nodes picked by hash, others in each turn: how many links they have, by comparison with all nodes,
-    which of those join components, and how many these are. The queries are a fixed number, so they can be broadcast."""
-    queries = nodes.orderBy(F.xxhash64(F.lit("audit"), F.lit(turn), "id")).limit(AUDITED).select("id", "embedding").toArrow()
-    if not queries.num_rows:
-        return 0, None, 0
-    name, width = queries.column("id").to_numpy(), queries.column("embedding")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            both = pa.chunked_array([*width.chunks, b.column(1)])
-            s = _cosines_between(both, len(name))
-            i, j = np.nonzero((s >= THRESHOLD) & (name[:, None] != b.column(0).to_numpy()[None, :]))
-            yield pa.record_batch([pa.array(name[i]), b.column(0).take(pa.array(j))], ["u", "v"])
+    """How many links some nodes have, by comparison with all nodes, which of those join components, and how many these are.
 
-    links = sided(nodes.select("id", "embedding").mapInArrow(run, "u long, v long"), part)
-    true, missed = links.agg(F.count("*"), F.count(F.when(F.col("far"), 1))).first()
-    return true, links.filter("far").select("u", "v"), missed
+    The nodes are picked by hash, others in each turn: AUDITED first, then four times as many, until SEEN links are seen, or
+    all nodes were asked, or their vectors reach ASKED_BYTES; so what is broadcast has a fixed bound.
+    """
+    asked, n = AUDITED, nodes.count()
+    picked = nodes.select("id", "embedding").orderBy(F.xxhash64(F.lit("audit"), F.lit(turn), "id"))
+    while True:
+        queries = picked.limit(asked).toArrow()
+        if not queries.num_rows:
+            return 0, None, 0
+        name, width = queries.column("id").to_numpy(), queries.column("embedding")
+
+        def run(batches: Iterator[pa.RecordBatch], name: np.ndarray = name, width: pa.ChunkedArray = width) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for k in range(0, whole.num_rows, BLOCK):  # a block of vectors against a block of queries at a time
+                    b = whole.slice(k, BLOCK)
+                    for q in range(0, len(name), BLOCK):
+                        both = pa.chunked_array([*width.slice(q, BLOCK).chunks, b.column(1)])
+                        own = name[q : q + BLOCK]
+                        s = _cosines_between(both, len(own))
+                        i, j = np.nonzero((s >= THRESHOLD) & (own[:, None] != b.column(0).to_numpy()[None, :]))
+                        yield pa.record_batch([pa.array(own[i]), b.column(0).take(pa.array(j))], ["u", "v"])
+
+        links = written(sided(nodes.select("id", "embedding").mapInArrow(run, "u long, v long"), part), "audit")
+        true, missed = links.agg(F.count("*"), F.count(F.when(F.col("far"), 1))).first()
+        if true >= SEEN or asked >= n or 4 * queries.nbytes > ASKED_BYTES:
+            return true, links.filter("far").select("u", "v"), missed
+        asked *= 4
 
 
 def linking(graph: DataFrame) -> DataFrame:
@@ -257,11 +338,12 @@ def complete(nodes: DataFrame, part: DataFrame) -> DataFrame:
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding).
 
-    Equal vectors become one node that counts for all of them. Random-projection orders start a neighbour graph; rounds
-    of neighbours-of-neighbours joins refine it until a round joins no components and an audit against all vectors
-    finds the recall. Each link met between components joins them; a list filled by links is enlarged beyond its
+    Equal vectors become one node that counts for all of them. Random-projection orders start a neighbour graph, as many as
+    the table's size asks for and as probes at the threshold show to be enough: that holds for isolated pairs, which no
+    neighbour leads to. Rounds of neighbours-of-neighbours joins refine it until a round joins no components and an audit
+    against all vectors finds the recall. Each link met between components joins them; a list filled by links is enlarged beyond its
     component, and to the whole of it in the end, where every pair is confirmed in double precision. Links that an audit
-    misses are added; RuntimeError if AUDITS audits do not find the recall.
+    misses are added; RuntimeError if AUDITS audits do not find the recall, or the orders too few probes.
 
     Vectors of floats stay floats until they are compared; any other numbers are taken as doubles.
 
@@ -278,7 +360,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     nodes = keyed.groupBy("class").agg(F.min("vec_id").alias("first_vec"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     part = nodes.sparkSession.createDataFrame([], "node long, component long")
-    graph = written(nearest(starting_graph(nodes), part), "graph")
+    graph = written(nearest(started(nodes), part), "graph")
     part, turn = joined(part, linking(graph)), 0
     while True:
         graph = written(nearest(graph.select("u", "v", "s").unionByName(refine(graph, nodes, part)), part), "graph")

@@ -8,6 +8,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,35 @@ def test_embedding_of_many_dimensions(spark):
     assert [(r.n_links, r.component_id) for r in sorted(embedding.near_vectors(made).collect())] == [(0, 0), (0, 1), (1, 2), (1, 2), (0, 4), (0, 5)]
 
 
+def test_embedding_finds_isolated_pairs(spark):
+    """Few links in a large table: no neighbour leads to them, and an audit would hardly see one."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(50_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(50):
+        v = rng.normal(size=64)
+        v -= x[k] * (x[k] @ v)
+        x[49_999 - k] = 0.905 * x[k] + np.sqrt(1 - 0.905**2) * v / np.linalg.norm(v)
+    made = spark.createDataFrame(pa.table({"vec_id": np.arange(50_000), "embedding": list(x)}))
+    got = {r.vec_id: r for r in embedding.near_vectors(made).filter("n_links > 0").collect()}
+    assert len(got) >= 95 and all(r.n_links == 1 and r.component_id == min(k, 49_999 - k) for k, r in got.items())
+
+
+def test_embedding_raises_when_probes_are_missed(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "BLOCK", 2)
+    monkeypatch.setattr(embedding, "orders_for", lambda n: (1, 20))
+    monkeypatch.setattr(embedding, "TURNS", 1)
+    rng = np.random.default_rng(3)
+    made = spark.createDataFrame([(k, v) for k, v in enumerate(rng.normal(size=(3000, 16)).tolist())], "vec_id long, embedding array<float>")
+    with pytest.raises(RuntimeError, match="probes found"):
+        embedding.near_vectors(made)
+
+
+def test_orders_grow_with_the_table():
+    orders = [embedding.orders_for(n)[0] for n in (10, 10_000, 10**6, 10**9)]
+    assert orders == sorted(orders) and orders[0] >= 3 and orders[-1] > 3 * orders[1] and embedding.orders_for(10**12)[1] > 30
+
+
 def test_embedding_raises_below_recall(spark, monkeypatch):
     x = np.eye(40, 64)
     x[20:] = x[:20] + 0.01 * np.eye(64)[40:60]
