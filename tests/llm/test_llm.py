@@ -270,7 +270,7 @@ def test_secrets_edges(spark, edge):
 def test_license_headers(spark):
     """Standard headers of several lines, titles, whole files, notices inside other sentences; prose takes no licence."""
     full = {}
-    for name, text in licenses.TEMPLATES:
+    for name, text, _ in licenses.TEMPLATES:
         full[name] = max(full.get(name, ""), text, key=len)
     wrap = lambda text, mark, width=60: "\n".join(mark + line for line in textwrap.wrap(text, width))
     code = "\nimport os\n\ndef run(x):\n    return os.path.join(x)\n" * 40
@@ -284,6 +284,26 @@ def test_license_headers(spark):
     assert got == {p: name for p, _, name in rows}
 
 
+def test_license_names_and_versions(spark):
+    """The licence and version that is meant, or none; never a neighbour."""
+    lgpl3 = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."
+    preamble = "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users. This General Public License applies to most of the Free Software Foundation's software and to any other program whose authors commit to using it. You can apply it to your programs, too. When we speak of free software, we are referring to freedom, not price."
+    rows = [
+        ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("// SPDX-License-Identifier: MPL-2.0", "MPL-2.0"), (lgpl3, "LGPL-3.0"), ("/* SPDX-License-Identifier: LGPL-2.1-or-later */", "LGPL-2.1"), (preamble, "GPL-2.0"),
+        ("# SPDX-License-Identifier: (MIT OR Apache-2.0)", "MIT OR Apache-2.0"), ("SPDX-License-Identifier: EUPL-1.2", "EUPL-1.2"), ("SPDX-License-Identifier: AGPL-3.0+", "AGPL-3.0"), ("SPDX-License-Identifier: 0BSD", "0BSD"), ("SPDX-License-Identifier: Unlicense", "Unlicense"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"), ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"), ("Licensed under the Apache License, Version 1.1.", None), ("Licensed under CC BY 3.0.", None), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+        ("Licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"), ("Licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"), ("Mozilla Public License Version 1.1", None), ("Released under the X License.", None), ("BSD 4-Clause License", None),
+    ]
+    files = spark.createDataFrame([(str(k), t, False) for k, (t, _) in enumerate(rows)], "path string, text string, is_notice boolean")
+    got = {int(r.path): r.license for r in licenses.scan_licenses(files).collect()}
+    assert [got[k] for k in range(len(rows))] == [name for _, name in rows]
+    assert not {t for _, t, *_ in licenses._needs()} & set(licenses.STOP_WORDS)
+    for k, (_, text, _) in enumerate(licenses.TEMPLATES):  # each agrees with itself
+        words = set(re.findall(licenses.TOKEN, text.lower()))
+        mine = [(t, bit, barred) for o, t, bit, barred in licenses._needs() if o == k and t in words]
+        assert not any(b for *_, b in mine) and sum({bit for _, bit, _ in mine}) == licenses._whole(k)
+
+
 def test_license_anchors():
     """No text without an anchor word reaches the limit with any template: not even the template without its anchors."""
     _, templates, _ = licenses._weights()
