@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +9,7 @@ from pyspark.sql import functions as F
 from sphygmo.operators import beats, quality, rates, samples
 from sphygmo.sources import recordings
 from sphygmo.sources.datasource import write_keyed
+from sphygmo.sources.shared import Keep, scratch, staged
 
 #: What each file of a scan gets in the summary where it fails: fixed values.
 DEFAULTS = {
@@ -27,34 +24,11 @@ OVERRIDES = "recording_id string, fs double, orientation string, filter string,
 #: Fixed value: what stands before the reason where a step failed.
 FAILED = "Pipeline execution failed: "
 
-Keep = Callable[[DataFrame, str], DataFrame]
-
 
 def name_of(path: str) -> Column:
     return F.regexp_extract(path, "[^/]*$", 0)
 
 
-def staged(folder: str) -> Keep:
-    """Writes each step's table under ``folder`` and reads it again, so that no step is computed twice and a lost executor
-    costs one step."""
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    return keep
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; a temporary one where Spark runs on this machine alone."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-steps-")
-    return f"{found.rstrip('/')}/steps-{uuid.uuid4().hex}"
-
-
 def analysed(info: DataFrame, signal: DataFrame, overrides: DataFrame | None = None, keep: Keep = lambda df, name: df) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, signals, errors): one row for each recording that all steps took, with all that was found; the signals
     (recording_id, idx, raw, v, fs) before and after; and (recording_id, error) of the others.

@@ -14,6 +14,7 @@ from sphygmo.plans import batch
 from sphygmo.operators.samples import rounded
 from sphygmo.sources import recordings, tables
 from sphygmo.sources.datasource import write_keyed
+from sphygmo.sources.shared import scratch, staged
 from sphygmo.sources.signals import packed, sig_type, sig_user, table
 
 #: Nominal samples a second of the two signal views.
@@ -365,8 +366,8 @@ def peak_stability(s, d):
 @query("peaks_standard", f"""WITH {_TYPE}, {_DETREND}, {_MAX.replace('FROM sig', 'FROM flat')}, {_FAR}, {_prominent('flat')}, sd AS (SELECT recording_id, stddev_pop(v) AS s FROM flat GROUP BY 1)
 SELECT recording_id, idx, round(prominence, 5) + 0.0 AS prominence FROM prom JOIN sd USING (recording_id) WHERE prominence >= 0.1 * CASE WHEN s > 1e-9 THEN s ELSE 1 END""")
 def peaks_standard(s, d):
-    """Peaks of the detrended signal, 0.4 seconds apart and a tenth of its deviation high."""
-    return kernels.found_peaks(beats.flat(_typed(s, d))).filter("side = 'peak'").select("recording_id", "idx", rounded(F.col("prominence"), 5).alias("prominence"))
+    """Peaks of the detrended signal, 0.4 seconds apart and a tenth of its deviation high, of recordings cut into blocks."""
+    return blocks.found_peaks(beats.flat(_typed(s, d))).filter("side = 'peak'").select("recording_id", "idx", rounded(F.col("prominence"), 5).alias("prominence"))
 
 
 _BEATS = f"""bt AS (SELECT recording_id, idx AS start, lead(idx) {_W} AS stop FROM pk),
@@ -693,7 +694,7 @@ def quality_table(s, d):
 
 @query("peak_widths", f"WITH {_TYPE}, {_flat_sql('sig', 'level')}, {_peaks_sql('level', 'tops', 12, 0.1)} SELECT recording_id, idx, round(width, 4) + 0.0 AS width FROM tops")
 def peak_widths(s, d):
-    return kernels.found_peaks(beats.flat(_typed(s, d))).filter("side = 'peak'").select("recording_id", "idx", *_c4("width"))
+    return blocks.found_peaks(beats.flat(_typed(s, d))).filter("side = 'peak'").select("recording_id", "idx", *_c4("width"))
 
 
 @query("beat_overlay", f"""WITH {_TYPE}, {_flat_sql('sig', 'level')}, {_peaks_sql('level', 'tops', 12, 0.1)}, b AS (SELECT recording_id, idx AS start, lead(idx) {_W} AS stop FROM tops)
@@ -870,7 +871,7 @@ def _as_files(s: SparkSession, d: str) -> DataFrame:
 SELECT 'set/user_' || recording_id || '.csv' AS file, ['time', 'ppg'] AS columns, CAST(NULL AS VARCHAR) AS id_col, 'time' AS timestamp_col, 'ppg' AS signal_col, CASE WHEN n > 1 THEN round(10 / 60.0, 6) END AS time_fs, true AS loader_ok, n FROM n""")
 def file_columns(s, d):
     """Roles of the columns of each file, its rate by its time column, and how many samples it has, by table functions."""
-    texts = batch.staged(batch.scratch(s))(_as_files(s, d).filter("status <> 'Unsafe'"), "scan")
+    texts = staged(scratch(s))(_as_files(s, d).filter("status <> 'Unsafe'"), "scan")
     info = recordings.described(tables.layouts_of(texts))
     n = recordings.signals(tables.samples_of(texts), info).groupBy("recording_id").agg(F.count("*").alias("n"))
     return info.drop("n").join(n, "recording_id", "left").select(F.col("recording_id").alias("file"), "columns", "id_col", "timestamp_col", "signal_col", rounded(F.col("time_fs")).alias("time_fs"), "loader_ok", "n")
@@ -883,7 +884,7 @@ def batch_summary(s, d):
 
 
 def _analysed_files(s: SparkSession, d: str) -> DataFrame:
-    keep = batch.staged(batch.scratch(s))
+    keep = staged(scratch(s))
     scan = keep(_as_files(s, d), "scan")
     texts = scan.filter("status <> 'Unsafe'")
     info = keep(recordings.described(tables.layouts_of(texts)), "info")
@@ -905,7 +906,7 @@ def file_round_trip(s, d):
     name = F.concat(F.lit("user_"), F.col("recording_id").cast("string"), F.lit(".csv"))
     gap = F.when(F.col("idx") % 5 == 0, F.lit("")).otherwise(F.col("idx").cast("string"))
     cells = F.concat_ws(",", (F.col("idx") / USER_FS).cast("string"), gap, F.col("v").cast("string"))
-    folder = f"{batch.scratch(s)}/files"
+    folder = f"{scratch(s)}/files"
     write_keyed(batch.table_lines(sig, name, F.col("idx"), F.lit("time,step,ppg"), cells), folder)
     back = recordings.frames(s, folder)
     return back.select(batch.name_of("file_path").alias("file"), F.regexp_extract("file_path", r"user_(\d+)\.csv$", 1).cast("long").alias("user_id"), "idx", rounded(F.col("v")[0]).alias("time"), rounded(F.col("v")[2]).alias("ppg"), (F.col("idx") % 5 == 0).alias("gap"))

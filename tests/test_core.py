@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sphygmo.functions import kernels as K
-from sphygmo.operators import beats, files, quality, rates, samples
+from sphygmo.operators import beats, blocks, files, kernels, quality, rates, samples
 from sphygmo.plans import batch
 from sphygmo.sources import recordings, tables
 
@@ -21,7 +21,7 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["trim", "chunk_stats", "interpolate_gaps", "signal_quality", "verdict", "peaks_distance", "poincare", "beat_resample", "beat_consistency", "modal_columns", "peaks_standard", "trough_asof", "dft_power", "band_snr", "rate_scores", "rate_entries", "gauss_filter", "filter_scoreboard", "top3_filters", "data_start", "file_class"])
+@pytest.mark.parametrize("name", ["trim", "chunk_stats", "interpolate_gaps", "signal_quality", "verdict", "peaks_distance", "poincare", "beat_resample", "beat_consistency", "modal_columns", "peaks_standard", "trough_asof", "dft_power", "band_snr", "rate_scores", "rate_entries", "gauss_filter", "filter_scoreboard", "top3_filters", "data_start", "file_class", "file_columns", "file_round_trip", "sanitized_frames", "butterworth", "baseline_drift", "savitzky_golay", "autocorr", "quality_metrics", "features", "orientation", "peak_widths", "rate_detected"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in NAMES:
@@ -259,9 +259,10 @@ def test_batch_remembers(spark, tmp_path):
     read = spark.read.parquet(str(tmp_path / "two" / "steps" / "info")).collect()
     assert [r.recording_id.rsplit("/", 1)[-1] for r in read] == ["f1.csv"] and [p.name for p in (tmp_path / "two" / "recordings").glob("*_raw.csv")] == ["f1.csv_raw.csv"]
     assert len(second) == 3 and second[0] == first[0] and second[2] == first[2] and second[1] != first[1]
+    scan = recordings.scanned(spark, str(folder))
     hand = spark.createDataFrame([(f"{folder}/f2.csv", 60.0, None, None, None, None)], batch.OVERRIDES)
-    third = {r.file_name: r.sampling_rate_hz for r in batch.process(spark, str(folder), None, hand, memo).collect()}
-    assert third == {"f0.csv": 30.0, "f1.csv": 30.0, "f2.csv": 60.0}
+    keys = [{r.file_path: r.run_key for r in batch._keyed(scan, h).collect()} for h in (None, hand)]
+    assert [p.rsplit("/", 1)[-1] for p in keys[0] if keys[0][p] != keys[1][p]] == ["f2.csv"]  # what is set by hand is part of what is remembered
 
 
 def test_layout_of_texts(spark):
@@ -273,6 +274,73 @@ def test_layout_of_texts(spark):
     assert [r.v for r in tables.samples_of(texts).filter("file_path = 'a'").orderBy("idx").collect()] == [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]
 
 
+def as_signal(spark, made, fs=100.0):
+    return spark.createDataFrame([(n, k, float(v), fs) for n, x in made.items() for k, v in enumerate(x)], "recording_id string, idx long, v double, fs double")
+
+
+def test_recursive_filters_over_blocks(spark):
+    rng = np.random.default_rng(0)
+    made = {"a": rng.normal(size=700).cumsum(), "b": rng.normal(size=60), "c": rng.normal(size=22), "d": rng.normal(size=21), "e": rng.normal(size=1)}
+    sig = as_signal(spark, made)
+    for name, size in (("Butterworth", 1000), ("chebyshev", 120), ("baseline", 15)):
+        out = blocks.filtered(sig, name, 0, size)
+        got = {(r.recording_id, r.idx): (r.v, r.error) for r in out.collect()}
+        assert set(got) == {(n, k) for n, x in made.items() for k in range(len(x))}
+        for n, x in made.items():
+            v, errors = [got[n, k][0] for k in range(len(x))], {got[n, k][1] for k in range(len(x))}
+            try:
+                assert np.abs(np.array(v) - K.apply(name, x, 100.0)).max() < 1e-9 and errors == {None}
+            except ValueError as e:
+                assert v == x.tolist() and errors == {str(e)}
+    assert blocks.filtered(sig, "Wavelet").filter("error is null").count() == sig.count()
+
+
+def test_autocorrelation_over_blocks(spark):
+    rng = np.random.default_rng(1)
+    made = {"a": rng.normal(size=700), "b": rng.normal(size=61), "c": np.ones(9), "d": np.ones(1)}
+    got = {(r.recording_id, r.lag): r.r for r in blocks.correlated(as_signal(spark, made), 50, 64).collect()}
+    for n, x in made.items():
+        y, most = x - x.mean(), max(1, min(len(x) // 2, 50))
+        f = np.correlate(y, y, "full")[len(y) - 1 :]
+        assert sorted(k for m, k in got if m == n) == list(range(most)) and np.allclose([got[n, k] for k in range(most)], (f / f[0] if f[0] > 0 else f)[:most], atol=1e-9)
+
+
+def test_peaks_over_blocks(spark):
+    rng = np.random.default_rng(2)
+    made = {"a": rng.normal(size=260).cumsum(), "b": rng.integers(0, 4, 150).astype(float), "ramp": np.arange(60) + 5 * (np.arange(60) % 3 == 0), "flat": np.ones(20), "plate": np.repeat(rng.integers(0, 3, 20), 7).astype(float)}
+    sig = as_signal(spark, made, 25.0)
+    for seconds, share, size in ((0.4, 0.1, 64), (0.0, 0.0, 8)):
+        want = {(r.recording_id, r.side, r.idx): (r.v, r.prominence, r.width, r.fs) for r in kernels.found_peaks(sig, seconds, share).collect()}
+        got = {(r.recording_id, r.side, r.idx): (r.v, r.prominence, r.width, r.fs) for r in blocks.found_peaks(sig, seconds, share, size).collect()}
+        assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_filters_on_frames(spark):
+    rng = np.random.default_rng(4)
+    made = {n: rng.normal(size=n) for n in (1, 3, 5, 6, 9, 13, 14, 40)}
+    sig = spark.createDataFrame([(str(n), k, float(v)) for n, x in made.items() for k, v in enumerate(x)], "recording_id string, idx long, v double")
+    for out, kernel in ((samples.savitzky_golay(sig, 30.0), K.savitzky_golay), (samples.gaussian(sig, 30.0), K.gaussian)):
+        got = {(r.recording_id, r.idx): r.v for r in out.collect()}
+        assert len(got) == sum(made) and all(np.allclose([got[str(n), k] for k in range(n)], kernel(x, 30.0)) for n, x in made.items())
+
+
+def test_quality_of_a_spike(spark):
+    """One sample far out is clipped before anything but gaps is measured."""
+    clean = pulse(30.0, 40)
+    spiked = clean.copy()
+    spiked[500] = 400.0
+    got = {r.recording_id: r for r in beats.scored(beats.metrics(*[as_signal(spark, {"clean": clean, "spiked": spiked}, 30.0)] * 2)).collect()}
+    a, b = got["clean"], got["spiked"]
+    assert b.variance == pytest.approx(a.variance, rel=0.1) and abs(b.kurtosis - a.kurtosis) < 1 and b.entropy > 3 and b.peak_stability < 1 and b.quality_score > 40
+
+
+def test_filters_that_fail_have_no_marks(spark):
+    board = beats.scoreboard(as_signal(spark, {"short": np.arange(12.0) % 4, "long": pulse(30.0, 10)}, 30.0)).collect()
+    errors = {(r.recording_id, r.filter): r.error for r in board}
+    assert errors["short", "Butterworth"] == K.too_short(21) and errors["short", "None"] is None and not any(errors["long", f] for f in beats.FILTERS)
+    assert all((r.total_score is None) == (r.error is not None) for r in board)
+
+
 def test_gaps_and_short_chunks(spark):
     sig = spark.createDataFrame([("a", k, v) for k, v in enumerate([None, 1.0, None, 3.0, float("inf")])], "recording_id string, idx long, v double")
     assert [r.v for r in samples.fill_gaps(sig).orderBy("idx").collect()] == [1.0, 1.0, 2.0, 3.0, 3.0]
