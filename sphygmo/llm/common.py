@@ -72,30 +72,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def blocked_rank(df: DataFrame, group: list[str], ties: list[str], rank: str, total: str, blocks: int = 64) -> DataFrame:
-    """Adds ``rank`` (0-based place of each row in its group) and ``total`` (rows of the group).
+def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, total: str) -> DataFrame:
+    """Adds ``rank``, the 0-based place of each row in its group by ``order`` (nulls first), and ``total``, the group's rows.
 
-    A group may hold a third of all rows, so no window runs over a whole group: rows are dealt to blocks by a hash
-    of ``ties``, blocks are counted (partial counts before the shuffle), block offsets come from those few counts,
-    and rows are numbered within their block by ``ties``. The order is by (block, ties), the same on every run.
+    Rows are sorted by range over all tasks, equal ones by their number in a written table, so neither a hot group nor
+    a row repeated in a third of the table meets in one task. Places follow from the few counts of (task, group).
     ``group`` columns may be null.
     """
-    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", *ties)), 1, 8), 16, 10).cast("long")
-    keyed = df.withColumn("_g", F.struct(*group)).withColumn("_b", F.pmod(hashed, F.lit(blocks)))
-    counts = keyed.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
+    rows = written(df, "rank-rows").withColumn("_row", F.monotonically_increasing_id())
+    by = [*group, *order, "_row"]
+    rows = written(rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("_row").withColumn("_at", F.monotonically_increasing_id()), "rank-sorted")
+    rows = rows.withColumn("_g", F.struct(*group)).withColumn("_task", F.shiftright("_at", 33))
+    counts = rows.groupBy("_g", "_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     w = Window.partitionBy("_g")
-    before = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_g", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(w).alias(total))
-    inner = Window.partitionBy("_g", "_b").orderBy(*ties)
-    return (
-        keyed.join(offsets, ["_g", "_b"])
-        .withColumn(rank, F.col("_before") + F.row_number().over(inner) - 1)
-        .drop("_g", "_b", "_before")
-    )
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_g", "_task", "_first", before.alias("_before"), F.sum("_n").over(w).alias(total))
+    return rows.join(counts, ["_g", "_task"]).withColumn(rank, F.col("_before") + F.col("_at") - F.col("_first")).drop("_g", "_task", "_at", "_first", "_before")
+
+
+def blocked_rank(df: DataFrame, group: list[str], ties: list[str], rank: str, total: str, blocks: int = 64) -> DataFrame:
+    """:func:`ranked` by a hash of ``ties`` in so many blocks, then ``ties``: an order that has nothing to do with the values,
+    the same on every run."""
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", *ties)), 1, 8), 16, 10).cast("long")
+    return ranked(df.withColumn("_b", F.pmod(hashed, F.lit(blocks))), group, ["_b", *ties], rank, total).drop("_b")
 
 
 def blocks_for(df: DataFrame, rows: int = 100_000) -> int:
-    """Hash blocks so that even a group with all rows of ``df`` has about ``rows`` in each; 64 at least."""
+    """Hash blocks of about ``rows`` each in a group that has all rows of ``df``; 64 at least."""
     return max(64, df.count() // rows)
 
 

@@ -8,9 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from sphygmo.llm.common import crc32_sql, table, written
+from sphygmo.llm.common import crc32_sql, ranked, table, written
 from sphygmo.llm.graph import by_group
 
 #: Children of a node, and tree levels below a block's root: a block has FAN ** DEEP leaves and is one task's group.
@@ -97,23 +96,6 @@ def leaf_digest(text: Column, fields: tuple[str, ...] = FIELDS) -> Column:
     return F.sha2(F.concat(*[framed(text if c == "text" else F.col(c)) for c in fields]), 256)
 
 
-def ranked(df: DataFrame, group: str, order: list[str], rank: str, total: str) -> DataFrame:
-    """Adds the 0-based place of each row in its group by ``order`` (nulls first) and how many rows the group has.
-
-    Rows are sorted by range over all tasks, equal ones by their number in a written table, so neither a hot group nor
-    a row repeated in a third of the table meets in one task. Places follow from the few counts of (task, group).
-    """
-    rows = written(df, "rank-rows").withColumn("_row", F.monotonically_increasing_id())
-    by = [group, *order, "_row"]
-    rows = written(rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("_row").withColumn("_at", F.monotonically_increasing_id()), "rank-sorted")
-    rows = rows.withColumn("_g", F.struct(group)).withColumn("_task", F.shiftright("_at", 33))
-    counts = rows.groupBy("_g", "_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    w = Window.partitionBy("_g")
-    before = F.coalesce(F.sum("_n").over(w.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("_g", "_task", "_first", before.alias("_before"), F.sum("_n").over(w).alias(total))
-    return rows.join(counts, ["_g", "_task"]).withColumn(rank, F.col("_before") + F.col("_at") - F.col("_first")).drop("_g", "_task", "_at", "_first", "_before")
-
-
 _STEP = "struct<before:string,after:string>"
 
 
@@ -219,7 +201,7 @@ def manifest(leaves: DataFrame, paths: bool = False) -> DataFrame:
     aligned blocks of :data:`BLOCK`; block roots are built block by block, the tree above them by grouping level by level.
     Repeated rows are leaves of their own. No rows: no rows.
     """
-    placed = ranked(leaves.select("source", "doc_id", "leaf", "now"), "source", ["doc_id", "leaf"], "rank", "total")
+    placed = ranked(leaves.select("source", "doc_id", "leaf", "now"), ["source"], ["doc_id", "leaf"], "rank", "total")
     key = F.concat_ws(":", F.floor(F.col("rank") / BLOCK).cast("string"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
     placed = written(placed.withColumn("key", key), "leaves")
     if placed.isEmpty():
@@ -229,7 +211,7 @@ def manifest(leaves: DataFrame, paths: bool = False) -> DataFrame:
     nodes = written(block_roots(placed).join(per, "key").select(tree.alias("tree"), k.alias("k"), "digest", F.ceil(F.col("total") / BLOCK).cast("long").alias("n"), "key"), "block-roots")
     subroots, inner = climbed(nodes)
     sources = subroots.withColumn("all", F.lit(0)).withColumn("source", F.when(F.col("tree") != "-", F.substring("tree", 2, 1 << 30)))
-    sources = written(ranked(sources, "all", ["source"], "k", "n"), "subroots")
+    sources = written(ranked(sources, ["all"], ["source"], "k", "n"), "subroots")
     top, outer = climbed(sources.select(F.lit("").alias("tree"), "k", F.col("root").alias("digest"), "n"))
     (root,) = (r.root for r in top.collect())  # one row
     outer = sources.join(outer.select("k", F.col("path").alias("outer")), "k").select("tree", F.col("root").alias("subroot"), "outer")

@@ -12,6 +12,8 @@ from sphygmo.llm.common import WORD, blocked_rank, blocks_for, table, written
 
 #: Sources in order of their names weigh 5, 2, 1, 5, 2, 1, ...
 WEIGHTS = (5, 2, 1)
+#: Rows that agree in doc_id, source and size which share their copies in one task.
+SHARED = 4096
 
 
 def with_targets(sources: DataFrame, share: Fraction = Fraction(3, 2), most: int = 2) -> DataFrame:
@@ -40,8 +42,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
     Each document of a source is expected ``target / source_size`` times. Within a source the documents stand by size
     class (16 to an octave) and, inside a class, by a hash of doc_id; the running sum of the expected copies plus one
     random offset (a hash of the seed and the source) gives the copies: one for each integer boundary crossed. As sizes
-    rise along the sum, the words taken are off by about the largest document at most. Running sums are split twice,
-    by size class and by hash block, so that a source with a third of all rows is no single task.
+    rise along the sum, the words taken are off by about the largest document at most. Places along the sums come from a
+    sort by range over all tasks, so that neither a source nor a document with a third of all rows is a single task.
 
     Null or empty text: size 0, taken 0. Null source: a source of its own, last in order. Equal doc_ids and repeated
     rows are documents of their own; rows that tie in all of (doc_id, size, source) are interchangeable. No rows: no rows.
@@ -76,15 +78,22 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, all columns, each as often as :func:`mix` takes it; order is free.
 
     The plan goes back to the documents by (doc_id, source, size); rows that agree in all three share their copies
-    evenly. Documents without words add nothing to a mix and are kept or left out like all others.
+    evenly: where there are more than SHARED of them, they are dealt to parts, each of which takes its share, so that none of
+    them meets in one task. Documents without words add nothing to a mix and are kept or left out like all others.
     """
     plan = mix(docs, **options).groupBy(F.struct("doc_id", "source", "size").alias("key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     # a document is one struct here, so its columns may have any names
-    keyed = docs.select(F.struct("*").alias("row"), F.struct("doc_id", "source", size.alias("size")).alias("key")).join(plan.filter("copies > 0"), "key")
-    place = F.row_number().over(Window.partitionBy("key").orderBy("key")) - 1
-    own = F.floor((place + 1) * F.col("copies") / F.col("n")) - F.floor(place * F.col("copies") / F.col("n"))
-    taken = keyed.withColumn("own", own.cast("int")).filter("own > 0")
+    keyed = docs.select(F.struct("*").alias("row"), F.struct("doc_id", "source", size.alias("size")).alias("key"), F.monotonically_increasing_id().alias("number")).join(plan.filter("copies > 0"), "key")
+    parts = F.ceil(F.col("n") / SHARED)
+    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("number"), parts))
+    # a part starts somewhere between two copies, so that all parts together take as many as they should
+    start = F.when(parts > 1, F.pmod(F.xxhash64("key", "part"), F.lit(1 << 20)) / float(1 << 20)).otherwise(0.0)
+    rate = F.col("copies") / F.col("n")
+    place = F.row_number().over(Window.partitionBy("key", "part").orderBy("number")) - 1
+    # copies / n of whole numbers: floor((place + 1) * copies / n) where there is one part
+    upto = lambda p: F.when(parts > 1, F.floor(p * rate + start)).otherwise(F.floor(p * F.col("copies") / F.col("n")))
+    taken = keyed.withColumn("own", (upto(place + 1) - upto(place)).cast("int")).filter("own > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("own")))).select("row.*")
 
 

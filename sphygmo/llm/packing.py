@@ -8,6 +8,7 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import combinations
 
 import numpy as np
@@ -168,10 +169,11 @@ def _choices(items: list[int], lengths: list[int]) -> list[tuple[int, ...]]:
 
 
 class _Offers:
-    """What bins could give in exchange, as arrays; a bin's former offers die when its items change."""
+    """What bins could give in exchange, as arrays in the order in which they came; a bin's former offers die when its items
+    change."""
 
     def __init__(self, lengths: list[int]) -> None:
-        self.lengths, self.sets = lengths, []
+        self.lengths, self.sets, self.new = lengths, [], 0
         self.size = self.home = self.count = np.zeros(0, np.int64)
 
     def add(self, bins: dict[int, list[int]]) -> None:
@@ -182,33 +184,52 @@ class _Offers:
         self.count = np.append(self.count, np.array([len(c) for _, c in fresh], np.int64))
 
     def drop(self, bins: set[int]) -> None:
-        self.home[np.isin(self.home, list(bins))] = -1
+        for b in bins:
+            self.home[self.home == b] = -1
         if (dead := self.home < 0).sum() * 2 > len(dead):
+            self.new -= int(dead[: self.new].sum())
             self.sets = [c for c, d in zip(self.sets, dead.tolist(), strict=True) if not d]
             self.size, self.home, self.count = self.size[~dead], self.home[~dead], self.count[~dead]
 
     def best(self, low: int, mine: list[int], fill: np.ndarray, capacity: int) -> tuple[int, tuple, int, tuple]:
         """(gain, given, bin, taken) of the exchange that takes most from ``low`` and raises squared fill; gain 0: none."""
         found = (0, (), -1, ())
-        other = (self.home >= 0) & (self.home != low)
         full = fill[self.home]
+        most = np.where((self.home >= 0) & (self.home != low), capacity - full, -1)
+        least = np.maximum(fill[low] - full, 0)
+        few = self.count < 2
         for given in _choices(mine, self.lengths)[1:]:
             gain = sum(self.lengths[k] for k in given) - self.size
-            fits = other & (gain > found[0]) & (full + gain <= capacity) & (full + gain > fill[low])
+            fits = (gain <= most) & (gain > least)
             if len(given) == 2:
-                fits &= self.count < 2
-            if fits.any():
-                at = int(np.where(fits, gain, 0).argmax())
-                found = (int(gain[at]), given, int(self.home[at]), self.sets[at])
+                fits &= few
+            at = np.flatnonzero(fits)
+            if len(at):
+                k = int(at[gain[at].argmax()])
+                if gain[k] > found[0]:
+                    found = (int(gain[k]), given, int(self.home[k]), self.sets[k])
         return found
 
+    def woken(self, fill: np.ndarray, capacity: int) -> set[int]:
+        """The bins for which an offer that came since the last call makes an exchange."""
+        alive = self.home >= 0
+        at, self.new = np.flatnonzero(alive[self.new :]) + self.new, len(self.home)
+        givers = alive & (self.count > 0)
+        size, home, count, own = self.size[givers], self.home[givers], self.count[givers], fill[self.home[givers]]
+        hit = np.zeros(len(size), bool)
+        for k in at.tolist():
+            gain, full = size - self.size[k], fill[self.home[k]]
+            hit |= (gain > 0) & (full + gain <= capacity) & (full + gain > own) & (home != self.home[k]) & ((count < 2) | (self.count[k] < 2))
+        return set(np.unique(home[hit]).tolist())
+
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Empties bins: the emptiest bin gives an item away, or swaps one of its items for a shorter one or for two that
     are shorter together, or two of its items for one, whenever the other underfull bin has room for the difference.
 
     Each exchange must raise the sum of squared fills, so the search ends: when no underfull bin has one left, or at the
-    least number of bins that the total length allows. A bin that has none is passed over until something changed.
+    least number of bins that the total length allows. A bin that has none is not looked at again until an offer comes up
+    that makes one.
     """
     bins = [list(b) for b in bins]
     fill = np.array([sum(lengths[k] for k in b) for b in bins], np.int64)
@@ -217,24 +238,34 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
         return [b for b in bins if b]
     offers = _Offers(lengths)
     offers.add({b: items for b, items in enumerate(bins) if items and fill[b] < capacity})
-    changed = True
-    while changed and open_ > least:
-        changed = False
-        for low in sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b)):
-            while bins[low]:
-                gain, given, b, taken = offers.best(low, bins[low], fill, capacity)
-                if not gain:
-                    break
-                changed = True
-                bins[low] = [k for k in bins[low] if k not in given] + list(taken)
-                bins[b] = [k for k in bins[b] if k not in taken] + list(given)
-                fill[low] -= gain
-                fill[b] += gain
-                offers.drop({low, b})
-                offers.add({x: bins[x] for x in (low, b) if bins[x] and fill[x] < capacity})
-            open_ -= not bins[low]
-            if changed:
+    offers.new = len(offers.home)
+    queue = [(int(fill[b]), b) for b in range(len(bins)) if bins[b] and fill[b] < capacity]
+    heapify(queue)
+    waiting = {b for _, b in queue}
+    while waiting and open_ > least:
+        size, low = heappop(queue)
+        if low not in waiting or size != fill[low]:
+            continue
+        waiting.discard(low)
+        touched = set()
+        while bins[low]:
+            gain, given, b, taken = offers.best(low, bins[low], fill, capacity)
+            if not gain:
                 break
+            bins[low] = [k for k in bins[low] if k not in given] + list(taken)
+            bins[b] = [k for k in bins[b] if k not in taken] + list(given)
+            fill[low] -= gain
+            fill[b] += gain
+            touched.add(b)
+            offers.drop({low, b})
+            offers.add({x: bins[x] for x in (low, b) if bins[x] and fill[x] < capacity})
+        if touched:
+            open_ -= not bins[low]
+            for b in (touched | offers.woken(fill, capacity)) - {low}:
+                waiting.discard(b)
+                if bins[b] and fill[b] < capacity:
+                    waiting.add(b)
+                    heappush(queue, (int(fill[b]), b))
     return [b for b in bins if b]
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sphygmo.llm import chat, embedding, licenses, media, mixing, near_dup, packing, secret_scan, sharding, toxicity
+from sphygmo.llm import chat, common, embedding, licenses, media, mixing, near_dup, packing, secret_scan, sharding, toxicity
 from sphygmo.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -357,6 +358,21 @@ def test_mixing(spark, edge, docs):
     assert mixed.columns == odd.columns and mixed.filter("key = 'k' and own = 'o' and copies = 3 and _copies = 'c'").count() == copies
 
 
+def test_a_row_in_half_the_table(spark, monkeypatch):
+    """Ranks and shared copies of one repeated row: all of it, split over tasks."""
+    rows = [(k, "s", " ".join(["w"] * (1 + k % 5))) for k in range(1000)] + [(7, "s", "w w w")] * 1000
+    made = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    sized = made.withColumn("size", F.lit(3))
+    found = common.blocked_rank(sized, ["source"], ["doc_id", "size"], "rank", "n")
+    assert sorted(r["rank"] for r in found.select("rank").collect()) == list(range(2000)) and {r.n for r in found.select("n").distinct().collect()} == {2000}
+    want = mixing.mix(made).agg(F.sum("copies")).first()[0]
+    assert mixing.mixed_documents(made).count() == want
+    monkeypatch.setattr(mixing, "SHARED", 50)
+    got = mixing.mixed_documents(made)
+    own = mixing.mix(made).filter("doc_id = 7 and size = 3").agg(F.sum("copies")).first()[0]
+    assert abs(got.filter("doc_id = 7").count() - own) <= 20 and abs(got.count() - want) <= 20
+
+
 def test_packing(spark, edge):
     from tokenizers import Tokenizer
 
@@ -400,6 +416,14 @@ def test_local_search_empties_bins():
     assert len(packing.local_search([[0, 1], [2, 3], [4]], [60, 35, 55, 40, 10], 100)) == 2
 
 
+def test_local_search_ends_in_time():
+    """Long documents that do not fill sequences by themselves: a whole group in seconds, fewer bins than best fit."""
+    lengths = np.random.default_rng(1).integers(1100, 2000, 4096).tolist()
+    before, began = packing.best_fit(lengths, 4096), time.process_time()
+    after = packing.local_search(before, lengths, 4096)
+    assert sorted(k for b in after for k in b) == list(range(4096)) and len(after) < 0.98 * len(before) and time.process_time() - began < 60
+
+
 def test_local_search_looks_at_all_bins_and_pairs():
     # 20 lengths in the giving bin and 10 stuck bins before it: neither bounds the search
     lengths = [*[90] * 12, *range(1, 13), 22, 100 - 22 + 10, 10]
