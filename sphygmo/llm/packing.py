@@ -261,7 +261,7 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
             offers.add({x: bins[x] for x in (low, b) if bins[x] and fill[x] < capacity})
         if touched:
             open_ -= not bins[low]
-            for b in (touched | offers.woken(fill, capacity)) - {low}:
+            for b in (touched | (offers.woken(fill, capacity) - waiting)) - {low}:
                 waiting.discard(b)
                 if bins[b] and fill[b] < capacity:
                     waiting.add(b)
