@@ -21,4 +21,7 @@ QUERIES = {
 }
 
 #: The others are not SQL: their tests hold them against brute force or an exact round trip.
-SQL = {"op1_embedding": embedding.OP1_SQL, "op2_chat": chat.OP2_SQL, "op4_licenses": licenses.OP4_SQL, "op7_mixing": mixing.OP7_SQL, "op12_periodic_runs": periodic.OP12_SQL, "op13_merkle": merkle.OP13_SQL}
+SQL = {
+    "op1_embedding": embedding.OP1_SQL, "op2_chat": chat.OP2_SQL, "op3_secrets": secret_scan.OP3_SQL, "op4_licenses": licenses.OP4_SQL, "op6_near_duplicates": near_dup.OP6_SQL, "op7_mixing": mixing.OP7_SQL,
+    "op12_periodic_runs": periodic.OP12_SQL, "op13_merkle": merkle.OP13_SQL,
+}

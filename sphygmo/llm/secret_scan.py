@@ -238,3 +238,24 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = [r.kind for r in BASE]
     return found.select("doc_id", *[count(k) for k in base], F.sha2(joined(F.col("spans"), base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _sql() -> str:
+    """Each rule's matches in order; a match stands where its text first comes after the end of the one before, as no rule looks
+    beyond its match."""
+    parts = []
+    for order, r in enumerate(RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(f"""m{order} AS (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {r.group}) AS g FROM texts),
+e{order} AS (SELECT doc_id, list_reduce(range(1, len(m) + 1), lambda a, i: list_append(a, CAST(a[-1] + strpos(substr(text, a[-1] + 1), m[i]) - 1 + len(m[i]) AS BIGINT)), [CAST(0 AS BIGINT)]) AS e, m, g FROM m{order} WHERE len(m) > 0),
+k{order} AS (SELECT doc_id, {order} AS ord, '{r.kind}' AS kind, e - n AS start, e AS stop FROM (SELECT doc_id, unnest(e[2:]) AS e, unnest(list_transform(m, lambda x: len(x))) AS n, unnest(list_transform(g, lambda x: len(x))) AS size FROM e{order}) WHERE size >= {r.least})""")
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    every = " UNION ALL ".join(f"SELECT * FROM k{k}" for k in range(len(RULES)))
+    span = "kind || ':' || start || ':' || stop"
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {", ".join(parts)}, every AS ({every}),
+told AS (SELECT doc_id, {counts}, string_agg({span}, ',' ORDER BY start, ord) FILTER (kind IN ({base})) AS base, string_agg({span}, ',' ORDER BY start, ord) AS spans FROM every GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts LEFT JOIN told USING (doc_id)"""
+
+
+OP3_SQL = _sql()

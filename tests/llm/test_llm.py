@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sphygmo.llm import chat, common, embedding, licenses, media, mixing, near_dup, packing, secret_scan, sharding, toxicity
+from sphygmo.llm import registry as llm_registry
 from sphygmo.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -564,12 +565,33 @@ def test_pipeline_stages(spark, docs):
     assert packed.filter("piece = 0").count() == words
 
 
-def test_pipeline_edges(spark, edge, tmp_path):
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, edge, SF)
-        assert out.count() >= 0 and stage(spark, edge.limit(0), SF).count() == 0
-        if name == "near_duplicates":
-            assert sorted(r.doc_id for r in out.collect() if r.doc_id) == [1, 2, 3, 5, 6, 7] and out.columns == edge.columns
+def test_pipeline_edges(spark, edge):
+    """What each stage makes of null, empty, repeated and very long texts, and of no rows."""
+    out = {name: stage(spark, edge, SF).collect() for name, stage in corpus_pipeline.STAGES}
+    assert all(stage(spark, edge.limit(0), SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
+    assert all(rows[0].asDict().keys() == set(edge.columns) for name, rows in out.items() if name != "packing")
+    assert sorted(map(str, out["toxicity"])) == sorted(map(str, edge.collect()))  # nothing toxic
+    assert sorted(r.doc_id for r in out["near_duplicates"] if r.doc_id) == [1, 2, 3, 5, 6, 7] and len(out["near_duplicates"]) == 7
+    hidden = [r for r in out["secrets"] if r.text and "[assign]" in r.text]
+    assert len(out["secrets"]) == len(EDGE) and len(hidden) == 1 and hidden[0].doc_id is None and hidden[0].n_chars == len(hidden[0].text)
+    copies = {str((r.doc_id, r.source, r.size)): r.copies for r in mixing.mix(edge).collect()}
+    assert len(out["mixing"]) == sum(r.copies for r in mixing.mix(edge).collect()) and all(v <= 2 for v in copies.values())
+    pieces = [r for r in out["packing"] if r.piece == 0]
+    assert len(pieces) == len(EDGE) and sum(r.length for r in out["packing"] if r.doc_id == 5) == 300_001 and [r.length for r in out["packing"] if r.doc_id in (1, 2, 6)] == [1, 1, 1]
+
+
+def test_queries_equal_sql(spark):
+    """On the smallest tables, with a null and an empty text and a null role beside them."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF}/conversations.parquet')")
+    for name in ("op3_secrets", "op6_near_duplicates", "op12_periodic_runs", "op13_merkle"):
+        got = llm_registry.QUERIES[name](spark, SF)
+        cols = sorted(got.columns)
+        want = con.execute(f"SELECT {', '.join(cols)} FROM ({llm_registry.SQL[name]})").fetchall()
+        assert sorted(map(tuple, got.select(*cols).collect()), key=repr) == sorted(map(tuple, want), key=repr), name
 
 
 def test_digests(spark):
