@@ -10,8 +10,10 @@ from sphygmo.operators import kernels
 #: Rates that are voted for, in order; the heart rate that is likeliest and how far others fall off.
 RATES, USUAL, SPREAD, LOWEST, HIGHEST = (30, 60, 100, 125, 250, 500, 1000), 72.0, 25.0, 40.0, 180.0
 #: How header lines give a rate.
-STEP = r"([0-9]+([.][0-9]+)?)\s*m?sec/sample"
-KEYWORD = r"(?:sample\s*rate|sampling\s*rate|sampling\s*freq|fs|frequency)\b.*?([0-9]+(?:[.][0-9]+)?)\s*(?:hz|samples/sec)?"
+STEP = r"(\d+(?:\.\d+)?)\s*m?sec/sample"
+KEYWORD = r"(?:sample\s*rate|sampling\s*rate|sampling\s*freq|fs|frequency)\b.*?(\d+(?:\.\d+)?)\s*(?:hz|samples/sec)?"
+#: Fixed value: how a file's name gives a rate.
+IN_NAME = r"(\d+)\s*hz"
 
 
 def likelihood(rate: Column, period: Column) -> Column:
@@ -43,7 +45,7 @@ def from_entry(entry: Column) -> Column:
 
 
 def from_name(name: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.lower(name), r"([0-9]+)\s*hz", 1), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_extract(F.lower(name), IN_NAME, 1), F.lit("")).try_cast("double")
 
 
 def from_times(name: Column, step: Column, last: Column, n: Column) -> Column:

@@ -130,8 +130,8 @@ def iqr_clip(s, d):
     return _v(samples.iqr_clip(sig_user(s, d)))
 
 
-def _grad(x: str, w: str = _W) -> str:
-    return f"CASE WHEN lag({x}) {w} IS NULL THEN (lead({x}) {w} - {x}) * 10 WHEN lead({x}) {w} IS NULL THEN ({x} - lag({x}) {w}) * 10 ELSE (lead({x}) {w} - lag({x}) {w}) * 10 / 2 END"
+def _grad(x: str, w: str = _W, fs: str = "10") -> str:
+    return f"CASE WHEN lag({x}) {w} IS NULL THEN (lead({x}) {w} - {x}) * {fs} WHEN lead({x}) {w} IS NULL THEN ({x} - lag({x}) {w}) * {fs} ELSE (lead({x}) {w} - lag({x}) {w}) * {fs} / 2 END"
 
 
 _DERIV = f"g1 AS (SELECT *, {_grad('v')} AS vpg FROM sig), g2 AS (SELECT *, {_grad('vpg')} AS apg FROM g1)"
@@ -444,10 +444,10 @@ def top3_filters(s, d):
     return filter_scoreboard(s, d).withColumn("place", F.row_number().over(w)).filter("place <= 3")
 
 
-def _recursive(of: str, name: str, fs: float) -> str:
-    """SQL for ``low`` (recording_id, idx, v): a table of samples after a recursive filter, one sample after another, forward
+def _recursive(of: str, name: str, fs: float, out: str = "low", level: int = 0) -> str:
+    """SQL for ``out`` (recording_id, idx, v): a table of samples after a recursive filter, one sample after another, forward
     and backward, with the extension of its ends and the steady start. Needs WITH RECURSIVE."""
-    sections = K.recursion(name, fs)
+    sections = K.recursion(name, fs, level)
     pad, start, m = K.padding(sections), K.steady(sections), len(sections)
     states = ", ".join(f"s{k}" for k in range(2 * m))
 
@@ -465,10 +465,10 @@ def _recursive(of: str, name: str, fs: float) -> str:
 {y}(recording_id, i, y, {states}) AS (SELECT {picked} FROM (SELECT {columns} FROM {y}0 f JOIN {x} e ON e.recording_id = f.recording_id AND e.i = 0)
 UNION ALL SELECT {picked} FROM (SELECT {columns} FROM {y} f JOIN {x} e ON e.recording_id = f.recording_id AND e.i = f.i + 1))"""
 
-    return f"""ends AS (SELECT recording_id, count(*) AS n, arg_min(v, idx) AS x0, arg_max(v, idx) AS x1 FROM {of} GROUP BY 1), of_ends AS (SELECT s.recording_id, s.idx, s.v, n, x0, x1 FROM {of} s JOIN ends USING (recording_id)),
-wide AS MATERIALIZED (SELECT recording_id, idx + {pad} AS i, v FROM of_ends UNION ALL SELECT recording_id, {pad} - idx, 2 * x0 - v FROM of_ends WHERE idx BETWEEN 1 AND {pad} UNION ALL SELECT recording_id, 2 * (n - 1) - idx + {pad}, 2 * x1 - v FROM of_ends WHERE idx BETWEEN n - 1 - {pad} AND n - 2),
-{way('wide', 'fwd')}, turned AS MATERIALIZED (SELECT recording_id, n + {2 * pad - 1} - i AS i, y AS v FROM fwd JOIN ends USING (recording_id)),
-{way('turned', 'bwd')}, low AS (SELECT recording_id, n + {pad - 1} - i AS idx, y AS v FROM bwd JOIN ends USING (recording_id) WHERE i BETWEEN {pad} AND n + {pad - 1})"""
+    return f"""{out}_n AS (SELECT recording_id, count(*) AS n, arg_min(v, idx) AS x0, arg_max(v, idx) AS x1 FROM {of} GROUP BY 1), {out}_s AS (SELECT s.recording_id, s.idx, s.v, n, x0, x1 FROM {of} s JOIN {out}_n USING (recording_id)),
+{out}_w AS MATERIALIZED (SELECT recording_id, idx + {pad} AS i, v FROM {out}_s UNION ALL SELECT recording_id, {pad} - idx, 2 * x0 - v FROM {out}_s WHERE idx BETWEEN 1 AND {pad} UNION ALL SELECT recording_id, 2 * (n - 1) - idx + {pad}, 2 * x1 - v FROM {out}_s WHERE idx BETWEEN n - 1 - {pad} AND n - 2),
+{way(out + '_w', out + '_f')}, {out}_t AS MATERIALIZED (SELECT recording_id, n + {2 * pad - 1} - i AS i, y AS v FROM {out}_f JOIN {out}_n USING (recording_id)),
+{way(out + '_t', out + '_b')}, {out} AS MATERIALIZED (SELECT recording_id, n + {pad - 1} - i AS idx, y AS v FROM {out}_b JOIN {out}_n USING (recording_id) WHERE i BETWEEN {pad} AND n + {pad - 1})"""
 
 
 def _kernel(name: str, sql: str | None = None):
@@ -544,10 +544,10 @@ def rate_scores(s, d):
     return tried.join(vote, "period").select("period", "rate", rounded(F.col("likelihood")).alias("likelihood"), (F.col("rate") == F.col("voted")).alias("chosen"))
 
 
-@query("rate_entries", r"SELECT doc_id, CAST(coalesce(1000.0 / nullif(try_cast(nullif(regexp_extract(e, '([0-9]+([.][0-9]+)?)\s*m?sec/sample', 1), '') AS DOUBLE), 0), nullif(try_cast(nullif(regexp_extract(e, '(?:sample\s*rate|sampling\s*rate|sampling\s*freq|fs|frequency)\b.*?([0-9]+(?:[.][0-9]+)?)\s*(?:hz|samples/sec)?', 1), '') AS DOUBLE), 0)) AS DOUBLE) AS fs FROM (SELECT doc_id, lower(CASE doc_id % 4 WHEN 0 THEN doc_id % 9 || ' msec/sample' WHEN 1 THEN 'Sample rate: ' || doc_id % 7 * 50 || ' Hz' WHEN 2 THEN 'fs = 12.5' ELSE substr(text, 1, 200) END) AS e FROM documents)")
+@query("rate_entries", r"SELECT doc_id, CAST(coalesce(1000.0 / nullif(try_cast(nullif(regexp_extract(e, '(\d+(?:\.\d+)?)\s*m?sec/sample', 1), '') AS DOUBLE), 0), nullif(try_cast(nullif(regexp_extract(e, '(?:sample\s*rate|sampling\s*rate|sampling\s*freq|fs|frequency)\b.*?(\d+(?:\.\d+)?)\s*(?:hz|samples/sec)?', 1), '') AS DOUBLE), 0)) AS DOUBLE) AS fs FROM (SELECT doc_id, lower(CASE doc_id % 4 WHEN 0 THEN doc_id % 9 || ' msec/sample' WHEN 1 THEN 'Sample rate: ' || doc_id % 7 * 50 || ' Hz' WHEN 2 THEN 'fs = 12.5' ELSE text END) AS e FROM documents)")
 def rate_entries(s, d):
     i = F.col("doc_id")
-    entry = F.when(i % 4 == 0, F.concat((i % 9).cast("string"), F.lit(" msec/sample"))).when(i % 4 == 1, F.concat(F.lit("Sample rate: "), (i % 7 * 50).cast("string"), F.lit(" Hz"))).when(i % 4 == 2, "fs = 12.5").otherwise(F.substring("text", 1, 200))
+    entry = F.when(i % 4 == 0, F.concat((i % 9).cast("string"), F.lit(" msec/sample"))).when(i % 4 == 1, F.concat(F.lit("Sample rate: "), (i % 7 * 50).cast("string"), F.lit(" Hz"))).when(i % 4 == 2, "fs = 12.5").otherwise(F.col("text"))
     return table(s, d, "documents").select("doc_id", rates.from_entry(entry).alias("fs"))
 
 
@@ -555,14 +555,31 @@ def rate_entries(s, d):
 
 @query("view_data")
 def view_data(s, d):
-    """What a view of a recording shows, nested: samples, derivatives, peaks, trends and heat map."""
+    """What a view of a recording shows, nested: samples before and after filtering, derivatives, peaks, trends, heat map and
+    radars."""
     sig = _typed(s, d)
-    bent = samples.derivatives(sig, F.col("fs")).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct((F.col("idx") / F.col("fs")).alias("time"), F.col("v").alias("raw"), "vpg", "apg"))).alias("samples"))
-    tops = kernels.found_peaks(beats.flat(sig)).filter("side = 'peak'")
+    after = kernels.filtered(sig, "Butterworth").select("recording_id", "idx", "v", "fs")
+    bent = samples.derivatives(after, F.col("fs")).join(sig.select("recording_id", "idx", F.col("v").alias("raw")), ["recording_id", "idx"])
+    shown = bent.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct((F.col("idx") / F.col("fs")).alias("time"), "raw", F.col("v").alias("preprocessed"), "vpg", "apg"))).alias("samples"))
+    tops = kernels.found_peaks(beats.flat(after)).filter("side = 'peak'")
     listed = tops.groupBy("recording_id").agg(F.sort_array(F.collect_list("idx")).alias("peaks"))
     trends = peaks.intervals(tops, TYPE_FS).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("time", "rr", "hr"))).alias("trends"))
     heat = quality.heatmap(sig).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "motion", "drift", "flat"))).alias("heatmap"))
-    return bent.join(listed, "recording_id", "left").join(trends, "recording_id", "left").join(heat, "recording_id", "left")
+    radar = lambda rows, name: rows.select("recording_id", F.struct(*rows.columns[1:]).alias(name))
+    parts = (listed, trends, heat, radar(quality.quality_radar(_measured(s, d)), "quality_radar"), radar(quality.morphology_radar(beats.features(after)), "morphology_radar"))
+    for part in parts:
+        shown = shown.join(part, "recording_id", "left")
+    return shown
+
+
+@query("view_samples", f"""WITH RECURSIVE {_TYPE}, {_recursive('sig', 'butterworth', TYPE_FS)}, g1 AS (SELECT *, {_grad('v', fs='30')} AS vpg FROM low), g2 AS (SELECT *, {_grad('vpg', fs='30')} AS apg FROM g1)
+SELECT recording_id, idx, {_R('idx / 30.0')} AS time, {_R('sig.v')} AS raw, round(g2.v, 4) + 0.0 AS preprocessed, round(vpg, 3) + 0.0 AS vpg, round(apg, 2) + 0.0 AS apg FROM g2 JOIN sig USING (recording_id, idx)""")
+def view_samples(s, d):
+    """The samples of a view, flat: before and after filtering, with derivatives of the latter."""
+    sig = _typed(s, d)
+    after = blocks.filtered(sig, "Butterworth").select("recording_id", "idx", "v", "fs")
+    bent = samples.derivatives(after, F.col("fs")).join(sig.select("recording_id", "idx", F.col("v").alias("raw")), ["recording_id", "idx"])
+    return bent.select("recording_id", "idx", rounded(F.col("idx") / F.col("fs")).alias("time"), rounded(F.col("raw")).alias("raw"), rounded(F.col("v"), 4).alias("preprocessed"), rounded(F.col("vpg"), 3).alias("vpg"), rounded(F.col("apg"), 2).alias("apg"))
 
 
 # --- what is measured of a recording, in SQL -----------------------------------------------------------------------
@@ -717,30 +734,29 @@ def orientation(s, d):
     return beats.orientation(_typed(s, d)).select("recording_id", "orientation", "reverse", *_c4("confidence"))
 
 
-#: Morphology by the signal below 5 Hz: table ``mor``.
-_MORPHOLOGY = f"""{_recursive('sig', 'low-pass', TYPE_FS)}, {_flat_sql('low', 'slow')}, {_peaks_sql('slow', 'up', 12, 0.05)}, {_peaks_sql('slow', 'down', 12, 0.05, '-')}, {_flat_sql('sig', 'level')},
-base AS (SELECT recording_id, stddev_pop(v) AS std, sum(abs(v)) / {TYPE_FS} AS total FROM level GROUP BY 1), mean AS (SELECT recording_id, avg(v) AS mean FROM sig GROUP BY 1),
-beat AS (SELECT recording_id, count(*) AS n, (max(idx) - min(idx)) / {TYPE_FS} AS span, avg(width / {TYPE_FS}) AS width, avg(prominence) AS prom FROM up GROUP BY 1),
-near AS (SELECT u.recording_id, u.idx, max(d.idx) FILTER (d.idx < u.idx) AS before, min(d.idx) FILTER (d.idx > u.idx) AS after FROM up u LEFT JOIN down d ON d.recording_id = u.recording_id GROUP BY ALL), around AS (SELECT recording_id, avg(idx - before) / {TYPE_FS} AS rise, avg(after - idx) / {TYPE_FS} AS decay FROM near GROUP BY 1),
-high AS (SELECT recording_id, avg(sig.v) AS top FROM up JOIN sig USING (recording_id, idx) GROUP BY 1), deep AS (SELECT recording_id, avg(sig.v) AS bottom FROM down JOIN sig USING (recording_id, idx) GROUP BY 1),
-all_of AS (SELECT *, coalesce(n, 0) >= 2 AS many, span / nullif(n - 1, 0) AS r, coalesce(top, mean) - coalesce(bottom, mean) AS swing FROM base JOIN mean USING (recording_id) LEFT JOIN beat USING (recording_id) LEFT JOIN around USING (recording_id) LEFT JOIN high USING (recording_id) LEFT JOIN deep USING (recording_id)),
-mor AS (SELECT recording_id, CAST(coalesce(n, 0) AS DOUBLE) AS peak_count, CASE WHEN many THEN 60 / r ELSE 72.0 END AS hr, CASE WHEN many THEN r ELSE 0.833 END AS rr, CASE WHEN many THEN width ELSE 0.3 END AS pulse_width, CASE WHEN many THEN coalesce(rise, r * 0.3) ELSE 0.25 END AS rise_time, CASE WHEN many THEN coalesce(decay, r * 0.7) ELSE 0.58 END AS decay_time,
-CASE WHEN many THEN CASE WHEN swing > 0 THEN swing ELSE 2 * std END WHEN std > 0 THEN 2 * std ELSE 1.0 END AS amplitude, CASE WHEN many THEN total / n WHEN std > 0 THEN std ELSE 0.5 END AS area, CASE WHEN many THEN prom WHEN std > 0 THEN std ELSE 0.5 END AS prominence FROM all_of)"""
+def _morphology_sql(of: str, out: str) -> str:
+    """SQL for ``out``: the morphology of a table of samples, by its part below 5 Hz; ``out``_level is the table without its line."""
+    o = out
+    return f"""{_recursive(of, 'low-pass', TYPE_FS, o + '_low')}, {_flat_sql(o + '_low', o + '_slow')}, {_peaks_sql(o + '_slow', o + '_up', 12, 0.05)}, {_peaks_sql(o + '_slow', o + '_down', 12, 0.05, '-')}, {_flat_sql(of, o + '_level')},
+{o}_base AS (SELECT recording_id, stddev_pop(v) AS std, sum(abs(v)) / {TYPE_FS} AS total FROM {o}_level GROUP BY 1), {o}_mean AS (SELECT recording_id, avg(v) AS mean FROM {of} GROUP BY 1),
+{o}_beat AS (SELECT recording_id, count(*) AS n, (max(idx) - min(idx)) / {TYPE_FS} AS span, avg(width / {TYPE_FS}) AS width, avg(prominence) AS prom FROM {o}_up GROUP BY 1),
+{o}_near AS (SELECT u.recording_id, u.idx, max(d.idx) FILTER (d.idx < u.idx) AS before, min(d.idx) FILTER (d.idx > u.idx) AS after FROM {o}_up u LEFT JOIN {o}_down d ON d.recording_id = u.recording_id GROUP BY ALL), {o}_around AS (SELECT recording_id, avg(idx - before) / {TYPE_FS} AS rise, avg(after - idx) / {TYPE_FS} AS decay FROM {o}_near GROUP BY 1),
+{o}_high AS (SELECT recording_id, avg(s.v) AS top FROM {o}_up u JOIN {of} s USING (recording_id, idx) GROUP BY 1), {o}_deep AS (SELECT recording_id, avg(s.v) AS bottom FROM {o}_down d JOIN {of} s USING (recording_id, idx) GROUP BY 1),
+{o}_all AS (SELECT *, coalesce(n, 0) >= 2 AS many, span / nullif(n - 1, 0) AS r, coalesce(top, mean) - coalesce(bottom, mean) AS swing FROM {o}_base JOIN {o}_mean USING (recording_id) LEFT JOIN {o}_beat USING (recording_id) LEFT JOIN {o}_around USING (recording_id) LEFT JOIN {o}_high USING (recording_id) LEFT JOIN {o}_deep USING (recording_id)),
+{o} AS (SELECT recording_id, CAST(coalesce(n, 0) AS DOUBLE) AS peak_count, CASE WHEN many THEN 60 / r ELSE 72.0 END AS hr, CASE WHEN many THEN r ELSE 0.833 END AS rr, CASE WHEN many THEN width ELSE 0.3 END AS pulse_width, CASE WHEN many THEN coalesce(rise, r * 0.3) ELSE 0.25 END AS rise_time, CASE WHEN many THEN coalesce(decay, r * 0.7) ELSE 0.58 END AS decay_time,
+CASE WHEN many THEN CASE WHEN swing > 0 THEN swing ELSE 2 * std END WHEN std > 0 THEN 2 * std ELSE 1.0 END AS amplitude, CASE WHEN many THEN total / n WHEN std > 0 THEN std ELSE 0.5 END AS area, CASE WHEN many THEN prom WHEN std > 0 THEN std ELSE 0.5 END AS prominence FROM {o}_all)"""
+
+
 _MORPHOLOGY_NAMES = ("peak_count", "hr", "rr", "pulse_width", "rise_time", "decay_time", "amplitude", "area", "prominence")
 
 
-@query("morphology", f"WITH RECURSIVE {_TYPE}, {_MORPHOLOGY} SELECT recording_id, {_r4(*_MORPHOLOGY_NAMES)} FROM mor")
+@query("morphology", f"WITH RECURSIVE {_TYPE}, {_morphology_sql('sig', 'mor')} SELECT recording_id, {_r4(*_MORPHOLOGY_NAMES)} FROM mor")
 def morphology(s, d):
     return beats.morphology(_typed(s, d)).select("recording_id", *_c4(*_MORPHOLOGY_NAMES))
 
 
-def _slopes(fs: float) -> str:
-    grad = lambda x: f"CASE WHEN lag({x}) {_W} IS NULL THEN (lead({x}) {_W} - {x}) * {fs} WHEN lead({x}) {_W} IS NULL THEN ({x} - lag({x}) {_W}) * {fs} ELSE (lead({x}) {_W} - lag({x}) {_W}) * {fs} / 2 END"
-    return f"bent1 AS (SELECT *, {grad('v')} AS vpg FROM sig), bent AS (SELECT *, {grad('vpg')} AS apg FROM bent1)"
-
-
 #: The fourteen features: table ``feat``; and what they are worth: table ``ready``.
-_FEATURES = f"""{_TYPE}, {_MORPHOLOGY}, {_peaks_sql('level', 'tops', 12, 0.1)}, {_entropy_sql('sig', 'ent')}, {_slopes(TYPE_FS)}, power AS (SELECT recording_id, sum(v * v) / count(*) AS energy FROM level GROUP BY 1), slope AS (SELECT recording_id, max(vpg) - min(vpg) AS vpg_range, max(apg) - min(apg) AS apg_range FROM bent GROUP BY 1),
+_FEATURES = f"""{_TYPE}, {_morphology_sql('sig', 'mor')}, {_peaks_sql('mor_level', 'tops', 12, 0.1)}, {_entropy_sql('sig', 'ent')}, bent1 AS (SELECT *, {_grad('v', fs='30')} AS vpg FROM sig), bent AS (SELECT *, {_grad('vpg', fs='30')} AS apg FROM bent1), power AS (SELECT recording_id, sum(v * v) / count(*) AS energy FROM mor_level GROUP BY 1), slope AS (SELECT recording_id, max(vpg) - min(vpg) AS vpg_range, max(apg) - min(apg) AS apg_range FROM bent GROUP BY 1),
 gap AS (SELECT recording_id, idx, (idx - lag(idx) {_W}) / {TYPE_FS} AS rr FROM tops), pair AS (SELECT *, lead(rr) {_W} AS nx FROM gap), sd AS (SELECT recording_id, coalesce(sqrt(0.5 * var_pop(rr - nx)), 0) AS sd1, coalesce(sqrt(0.5 * var_pop(CASE WHEN nx IS NOT NULL THEN rr + nx END)), 0) AS sd2 FROM pair GROUP BY 1),
 feat AS (SELECT recording_id, hr AS heart_rate_bpm, rr AS rr_mean_sec, pulse_width AS pulse_width_sec, rise_time AS rise_time_sec, decay_time AS decay_time_sec, amplitude, entropy, energy, area, coalesce(sd1, 0) AS sd1_sec, coalesce(sd2, 0) AS sd2_sec, CASE WHEN sd2 > 1e-9 THEN sd1 / sd2 ELSE 1.0 END AS sd_ratio, vpg_range, apg_range
 FROM mor JOIN ent USING (recording_id) JOIN power USING (recording_id) JOIN slope USING (recording_id) LEFT JOIN sd USING (recording_id)),
@@ -809,17 +825,41 @@ def rate_detected(s, d):
     return rates.detected(known.withColumn("user_fs", none).withColumn("meta_fs", none).withColumn("time_fs", none)).select("recording_id", "fs", "fs_source", rounded(F.col("fs_confidence")).alias("fs_confidence"), "fs_status")
 
 
-@query("morphology_guard")
+_MOST = {c: most for c, (most, _) in beats.GUARD.items()}
+_SHIFTS = ", ".join(f"abs(a.{c} - r.{c}) / greatest({least}, r.{c}) AS {c}_deviation" for c, (_, least) in beats.GUARD.items())
+#: The first strength of the filter that moves nothing too far: table ``guarded``.
+_GUARDED = f"""{', '.join(_recursive('sig', 'butterworth', TYPE_FS, f'g{k}', k) for k in range(3))}, g3 AS (SELECT * FROM sig), {', '.join(_morphology_sql(f'g{k}', f'm{k}') for k in range(4))},
+attempts AS ({' UNION ALL '.join(f'SELECT {k} AS attempt, * FROM m{k}' for k in range(4))}), shifts AS (SELECT a.recording_id, a.attempt, {_SHIFTS} FROM attempts a JOIN m3 r USING (recording_id)),
+judged AS (SELECT *, {' AND '.join(f'{c}_deviation < {m}' for c, m in _MOST.items())} AS fine FROM shifts),
+guarded AS (SELECT *, NOT bool_or(fine) OVER (PARTITION BY recording_id) AS lost FROM judged QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY fine DESC, CASE WHEN fine THEN attempt ELSE -attempt END) = 1)"""
+_DEVIATIONS = tuple(f"{c}_deviation" for c in beats.GUARD)
+
+
+@query("morphology_guard", f"WITH RECURSIVE {_TYPE}, {_GUARDED} SELECT recording_id, attempt, CASE WHEN lost THEN 'DEGRADED_FALLBACK' ELSE 'PASSED' END AS status, lost OR attempt > 0 AS degraded, {_r4(*_DEVIATIONS)} FROM guarded")
 def morphology_guard(s, d):
-    return beats.guarded(_typed(s, d), "Butterworth")
+    return beats.guarded(_typed(s, d), "Butterworth").select("recording_id", "attempt", "status", "degraded", *_c4(*_DEVIATIONS))
 
 
-@query("notch_preserved")
+def _bumps_sql(of: str, out: str) -> str:
+    """SQL for ``out`` (recording_id, b): the mean number of peaks of the second derivative in a beat, each beat by itself."""
+    o = out
+    return f"""{_flat_sql(of, o + '_l')}, {_peaks_sql(o + '_l', o + '_t', 12, 0.1)}, {o}_g AS (SELECT *, {_grad('v', fs='30')} AS vpg FROM {of}), {o}_a AS (SELECT *, {_grad('vpg', fs='30')} AS apg FROM {o}_g), {o}_i AS (SELECT recording_id, idx AS start, lead(idx) {_W} AS stop, count(*) {_P} AS n FROM {o}_t),
+{o}_x AS (SELECT a.recording_id || ':' || start AS recording_id, a.idx, apg AS v FROM {o}_i i JOIN {o}_a a ON a.recording_id = i.recording_id AND a.idx >= start AND a.idx < stop WHERE stop - start > 5 AND n >= 3), {_peaks_sql(o + '_x', o + '_p', 1, 0.01)},
+{o}_c AS (SELECT recording_id, count(*) AS c FROM {o}_p GROUP BY 1), {o}_b AS (SELECT i.recording_id, avg(coalesce(c, 0)) AS b FROM {o}_i i LEFT JOIN {o}_c c ON c.recording_id = i.recording_id || ':' || start WHERE stop - start > 5 AND n >= 3 GROUP BY 1),
+{o} AS (SELECT recording_id, coalesce(b, 1.0) AS b FROM (SELECT DISTINCT recording_id FROM {of}) LEFT JOIN {o}_b USING (recording_id))"""
+
+
+@query("notch_preserved", f"WITH RECURSIVE {_TYPE}, {_recursive('sig', 'butterworth', TYPE_FS)}, {_bumps_sql('sig', 'own')}, {_bumps_sql('low', 'far')} SELECT recording_id, round(own.b, 4) AS raw, round(far.b, 4) AS filtered, NOT (own.b >= 1.5 AND far.b < 1.2) AS notch_preserved FROM own JOIN far USING (recording_id)")
 def notch_preserved(s, d):
-    return beats.notch(_typed(s, d), "Butterworth")
+    return beats.notch(_typed(s, d), "Butterworth").select("recording_id", *_c4("raw", "filtered"), "notch_preserved")
 
 
-@query("measured_verdict")
+@query("measured_verdict", f"""WITH RECURSIVE {_FEATURES}, {_GUARDED}, {_VOTES.removeprefix(_TYPE + ', ')}, many AS (SELECT recording_id, rate, count(*) AS n, min(method) AS first FROM voted GROUP BY 1, 2), est AS (SELECT recording_id, arg_max(rate, struct_pack(n := n, o := -ascii(first), r := rate)) AS rate FROM many GROUP BY 1),
+sure AS (SELECT recording_id, CASE WHEN abs(30 - coalesce(rate, 100)) / 30 < 0.1 THEN 1.0 ELSE greatest(0.5, 1 - abs(30 - coalesce(rate, 100)) / 30) END AS c FROM feat LEFT JOIN est USING (recording_id)),
+whole AS (SELECT recording_id, CASE WHEN c > 0.9 THEN 'PASS' WHEN c >= 0.7 THEN 'WARNING' ELSE 'FS_UNRESOLVED' END AS fs_status, CASE WHEN lost THEN 'DEGRADED_FALLBACK' ELSE 'PASSED' END AS guard_status, raw FROM points JOIN sure USING (recording_id) JOIN guarded USING (recording_id)),
+graded AS (SELECT recording_id, fs_status, guard_status, CAST(CASE WHEN fs_status = 'FS_UNRESOLVED' THEN least(raw, 85) ELSE raw END AS INTEGER) AS readiness_score, CASE WHEN raw >= 90 THEN CASE WHEN fs_status = 'FS_UNRESOLVED' THEN 'B' ELSE 'A' END WHEN raw >= 75 THEN 'B' WHEN raw >= 50 THEN 'C' ELSE 'D' END AS readiness_category FROM whole),
+why AS (SELECT *, list_filter([CASE WHEN fs_status = 'FS_UNRESOLVED' THEN 'FS Detector: Sampling frequency is unresolved (cannot compute frequency features).' END, CASE WHEN guard_status = 'DEGRADED_FALLBACK' THEN 'Morphology Guard: Filtering severely distorted physiological waves, fell back to raw.' END, CASE WHEN readiness_category = 'D' OR readiness_score < 50 THEN 'Feature Validator: Signal features failed physiological plausibility (readiness: ' || printf('%.1f', CAST(readiness_score AS DOUBLE)) || '%).' END], lambda x: x IS NOT NULL) AS r FROM graded)
+SELECT recording_id, fs_status, guard_status, readiness_score, readiness_category, CASE WHEN len(r) > 0 THEN 'Verification FAIL' ELSE 'Verification PASS' END AS overall_verdict, CASE WHEN len(r) > 0 THEN 'Not ready for biomedical research' ELSE 'Ready for biomedical research' END AS wording, array_to_string(r, '; ') AS failure_reasons FROM why""")
 def measured_verdict(s, d):
     """Readiness and verdict of each recording from its measured features, its estimated rate and the guard."""
     sig = _typed(s, d)
@@ -853,6 +893,28 @@ def checklist(s, d):
     return rows.select("recording_id", ok).select("recording_id", "rule", F.when(F.col("ok"), "PASS").otherwise("FAIL").alias("status"))
 
 
+# --- tables that are shown -----------------------------------------------------------------------------------------
+
+@query("feature_table", f"WITH RECURSIVE {_FEATURES} SELECT recording_id, u.metric AS metric, printf('%.4f', u.value) AS value FROM feat, LATERAL (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {n})' for n in batch.FEATURES)}) AS u(metric, value)")
+def feature_table(s, d):
+    """The features of each recording as they are shown, one row each."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.format_string("%.4f", n).alias("value")) for n in batch.FEATURES])).alias("m")
+    return beats.features(_typed(s, d)).select("recording_id", each).select("recording_id", "m.*")
+
+
+@query("scoreboard_table")
+def scoreboard_table(s, d):
+    """The marks of the seven filters as they are shown."""
+    percent = {"morphology": "%.1f%%", "peak_retention": "%.1f%%", "beat_similarity": "%.1f%%", "snr_score": "%.1f%%", "total_score": "%.2f%%", "snr_db": "%.2f dB"}
+    return beats.scoreboard(_typed(s, d)).select("recording_id", "filter", *[F.format_string(f, c).alias(c) for c, f in percent.items()])
+
+
+@query("registry_table", "SELECT 'user_' || user_id || '.csv' AS file_name, 'set/user_' || user_id || '.csv' AS path, CASE WHEN user_id % 9 = 0 THEN 'Unsafe' ELSE 'Ready' END AS status, CASE WHEN user_id % 9 = 0 THEN 'File is empty (0 bytes).' ELSE 'Standard CSV with comma delimiter.' END AS note FROM (SELECT DISTINCT user_id FROM events)")
+def registry_table(s, d):
+    """The scanned files as they are listed."""
+    return _as_files(s, d).select(batch.name_of("file_path").alias("file_name"), F.col("file_path").alias("path"), "status", F.col("reason").alias("note"))
+
+
 # --- files -------------------------------------------------------------------------------------------------------
 
 def _as_files(s: SparkSession, d: str) -> DataFrame:

@@ -28,8 +28,3 @@ def sig_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed(long: DataFrame) -> DataFrame:
     """(recording_id, v array<double>): the samples of each recording in order."""
     return long.groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda x: x["v"]).alias("v"))
-
-
-def delimited(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, content, length) of delimited recordings, any nesting of folders; parse with operators.files."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "content", "length")
