@@ -485,7 +485,27 @@ for _name in ("butterworth", "chebyshev"):
     _kernel(_name, f"WITH RECURSIVE {_TYPE}, {_recursive('sig', _name, TYPE_FS)} SELECT recording_id, idx, round(v, 4) + 0.0 AS v FROM low")
 
 
-@query("wavelet")
+def _wavelet_sql(of: str, out: str) -> str:
+    """SQL for ``out``: four levels of the wavelet's two filters, soft shrinkage by the finest band, and back. For recordings of
+    112 samples or more."""
+    low, taps = K.DB4.tolist(), range(8)
+    high = [low[7 - j] * (1 if j % 2 else -1) for j in taps]
+    table = lambda a, b: ", ".join(f"({j}, CAST({x!r} AS DOUBLE), CAST({y!r} AS DOUBLE))" for j, x, y in zip(taps, a, b))
+    parts = [f"{out}_d(j, a, b) AS (VALUES {table(low, high)}), {out}_u(j, a, b) AS (VALUES {table(low[::-1], [x * (-1 if j % 2 else 1) for j, x in enumerate(low)])}), {out}_l0 AS MATERIALIZED (SELECT recording_id, idx, v FROM {of})"]
+    for k in range(4):
+        x = f"{out}_l{k}"
+        parts.append(f"""{out}_n{k} AS (SELECT recording_id, count(*) AS n FROM {x} GROUP BY 1), {out}_k{k} AS (SELECT recording_id, n, unnest(range(0, (n + 7) // 2)) AS k FROM {out}_n{k}),
+{out}_p{k} AS (SELECT recording_id, k, a, b, CASE WHEN 2 * k + 1 - j < 0 THEN j - 2 * k - 2 WHEN 2 * k + 1 - j >= n THEN 2 * n - 2 - 2 * k + j ELSE 2 * k + 1 - j END AS idx FROM {out}_k{k}, {out}_d),
+{out}_c{k} AS MATERIALIZED (SELECT p.recording_id, k AS idx, sum(a * v) AS v, sum(b * v) AS h FROM {out}_p{k} p JOIN {x} x USING (recording_id, idx) GROUP BY 1, 2), {out}_l{k + 1} AS (SELECT recording_id, idx, v FROM {out}_c{k})""")
+    parts.append(f"{out}_t AS (SELECT c.recording_id, median(abs(h)) / 0.6745 * sqrt(2 * ln(any_value(n))) AS t FROM {out}_c0 c JOIN {out}_n0 USING (recording_id) GROUP BY 1), {out}_r4 AS (SELECT * FROM {out}_l4)")
+    for k in (3, 2, 1, 0):
+        parts.append(f"""{out}_b{k} AS (SELECT c.recording_id, c.idx, r.v, sign(h) * greatest(abs(h) - t, 0) AS h FROM {out}_c{k} c JOIN {out}_r{k + 1} r USING (recording_id, idx) JOIN {out}_t USING (recording_id)),
+{out}_r{k} AS MATERIALIZED (SELECT recording_id, 2 * idx + j - 6 AS idx, sum(v * a + h * b) AS v FROM {out}_b{k} JOIN {out}_n{k} USING (recording_id), {out}_u WHERE 2 * idx + j - 6 BETWEEN 0 AND 2 * ((n + 7) // 2) - 7 GROUP BY 1, 2)""")
+    parts.append(f"{out} AS MATERIALIZED (SELECT r.recording_id, r.idx, r.v FROM {out}_r0 r JOIN {out}_n0 USING (recording_id) WHERE idx < n)")
+    return ", ".join(parts)
+
+
+@query("wavelet", f"WITH {_TYPE}, {_wavelet_sql('sig', 'wave')} SELECT recording_id, idx, {_R('v')} AS v FROM wave")
 def wavelet(s, d):
     return _v(kernels.filtered(_typed(s, d), "wavelet"))
 
@@ -496,9 +516,12 @@ def _parabolas(w: int = 13) -> str:
     return str((t @ np.linalg.pinv(t)).tolist())
 
 
-@query("savitzky_golay", f"""WITH {_TYPE}, fit AS (SELECT unnest({_parabolas()}) AS c, generate_subscripts({_parabolas()}, 1) - 1 AS k), sized AS (SELECT *, count(*) {_P} AS n FROM sig),
-placed AS (SELECT recording_id, idx, CASE WHEN idx >= n - 6 THEN n - 13 WHEN idx < 6 THEN 0 ELSE idx - 6 END AS a FROM sized WHERE n > 13)
-SELECT p.recording_id, p.idx, {_R('sum(s.v * c[s.idx - a + 1])')} AS v FROM placed p JOIN fit ON fit.k = p.idx - a JOIN sig s ON s.recording_id = p.recording_id AND s.idx BETWEEN a AND a + 12 GROUP BY ALL""")
+_SAVGOL = f"""fit AS (SELECT unnest({_parabolas()}) AS c, generate_subscripts({_parabolas()}, 1) - 1 AS k), sized AS (SELECT *, count(*) {_P} AS n FROM sig),
+placed AS (SELECT recording_id, idx, CASE WHEN idx >= n - 6 THEN n - 13 WHEN idx < 6 THEN 0 ELSE idx - 6 END AS a FROM sized WHERE n > 13),
+smooth AS (SELECT p.recording_id, p.idx, sum(s.v * c[s.idx - a + 1]) AS v FROM placed p JOIN fit ON fit.k = p.idx - a JOIN sig s ON s.recording_id = p.recording_id AND s.idx BETWEEN a AND a + 12 GROUP BY ALL)"""
+
+
+@query("savitzky_golay", f"WITH {_TYPE}, {_SAVGOL} SELECT recording_id, idx, {_R('v')} AS v FROM smooth")
 def savitzky_golay(s, d):
     return _v(samples.savitzky_golay(sig_type(s, d), TYPE_FS))
 
@@ -642,13 +665,13 @@ def _skew_sql(v: str) -> str:
 
 
 #: The thirteen quality metrics of the clipped signal, and the score: table ``met``.
-_MEASURED = f"""{_TYPE}, {_clip_sql('sig', 'cut')}, {_flat_sql('cut', 'level')}, {_peaks_sql('level', 'tops', 12, 0.1)}, {_snr_sql('cut', 'snr', TYPE_FS)}, {_entropy_sql('cut', 'ent')}, {_consistency_sql('level', 'tops', 'cons')},
+_MEASURED = f"""{_TYPE}, {_clip_sql('sig', 'cut')}, {_flat_sql('cut', 'level')}, {_peaks_sql('level', 'crests', 12, 0.1)}, {_snr_sql('cut', 'snr', TYPE_FS)}, {_entropy_sql('cut', 'mess')}, {_consistency_sql('level', 'crests', 'cons')},
 {_recursive('cut', 'baseline', TYPE_FS)}, wander AS (SELECT recording_id, stddev_pop(low.v) AS s, stddev_pop(cut.v) AS t FROM low JOIN cut USING (recording_id, idx) GROUP BY 1),
 jumps AS (SELECT *, v - lag(v) {_W} AS d FROM cut), jump AS (SELECT *, stddev_pop(d) {_P} AS s FROM jumps), moves AS (SELECT recording_id, avg(CASE WHEN d IS NULL THEN NULL WHEN abs(d) < 1e-7 THEN 100.0 ELSE 0.0 END) AS flat, avg(CASE WHEN d IS NULL THEN NULL WHEN s > 1e-9 AND abs(d) > 5 * s THEN 100.0 ELSE 0.0 END) AS motion FROM jump GROUP BY 1),
-st AS (SELECT recording_id, var_pop(v) AS variance, kurtosis_pop(v) AS kurtosis, {_skew_sql('v')} AS skewness FROM cut GROUP BY 1), pk AS (SELECT recording_id, count(*) AS peak_count, CASE WHEN count(*) > 1 AND avg(prominence) > 1e-9 THEN stddev_pop(prominence) / avg(prominence) ELSE 0 END AS stability FROM tops GROUP BY 1),
+st AS (SELECT recording_id, var_pop(v) AS variance, kurtosis_pop(v) AS kurtosis, {_skew_sql('v')} AS skewness FROM cut GROUP BY 1), pk AS (SELECT recording_id, count(*) AS peak_count, CASE WHEN count(*) > 1 AND avg(prominence) > 1e-9 THEN stddev_pop(prominence) / avg(prominence) ELSE 0 END AS stability FROM crests GROUP BY 1),
 met0 AS (SELECT recording_id, snr_db, w.s AS baseline_wander_std, CASE WHEN w.t > 1e-9 THEN w.s / w.t ELSE 0 END AS drift_ratio, motion AS motion_artifact_pct, entropy, variance, kurtosis, skewness, flat AS flat_region_pct, CAST(0 AS DOUBLE) AS missing_data_pct,
 CASE WHEN coalesce(peak_count, 0) <= 1 THEN 0.0 ELSE stability END AS peak_stability, CASE WHEN coalesce(peak_count, 0) <= 1 THEN 0.85 ELSE coalesce(c, 0.5) END AS beat_consistency, coalesce(peak_count, 0) AS peak_count
-FROM st JOIN snr USING (recording_id) JOIN wander w USING (recording_id) JOIN moves USING (recording_id) JOIN ent USING (recording_id) LEFT JOIN pk USING (recording_id) LEFT JOIN cons USING (recording_id)),
+FROM st JOIN snr USING (recording_id) JOIN wander w USING (recording_id) JOIN moves USING (recording_id) JOIN mess USING (recording_id) LEFT JOIN pk USING (recording_id) LEFT JOIN cons USING (recording_id)),
 met AS (SELECT *, greatest(0.0, least(100.0, 100 - 3 * missing_data_pct - CASE WHEN flat_region_pct > 1 THEN 2 * (flat_region_pct - 1) ELSE 0 END - CASE WHEN snr_db < 15 THEN 2 * (15 - snr_db) ELSE 0 END - CASE WHEN snr_db < 0 THEN 10 ELSE 0 END - CASE WHEN drift_ratio > 0.1 THEN 40 * (drift_ratio - 0.1) ELSE 0 END
 - 15 * motion_artifact_pct - 25 * peak_stability - CASE WHEN beat_consistency < 0.85 THEN 60 * (0.85 - beat_consistency) ELSE 0 END)) AS quality_score FROM met0)"""
 _METRIC_NAMES = ("snr_db", "baseline_wander_std", "drift_ratio", "motion_artifact_pct", "entropy", "variance", "kurtosis", "skewness", "flat_region_pct", "missing_data_pct", "peak_stability", "beat_consistency")
@@ -870,18 +893,32 @@ def measured_verdict(s, d):
     return x.select("recording_id", "fs_status", "guard_status", "readiness_score", "readiness_category", "overall_verdict", "wording", F.array_join("failure_reasons", "; ").alias("failure_reasons"))
 
 
-@query("full_scoreboard")
+#: The marks of the seven filters: table ``marks``. A filter of a recording is a series of its own.
+_MARKS = f"""{_recursive('sig', 'butterworth', TYPE_FS, 'f1')}, {_recursive('sig', 'chebyshev', TYPE_FS, 'f2')}, {_SAVGOL}, {_GAUSS}, {_MEDIAN}, {_wavelet_sql('sig', 'wave')},
+series AS MATERIALIZED ({' UNION ALL '.join(f"SELECT recording_id || ':{k + 1}' AS recording_id, idx, v FROM {t}" for k, t in enumerate(('sig', 'f1', 'f2', 'smooth', 'gauss', '(SELECT recording_id, idx, v FROM med)', 'wave')))}),
+{_flat_sql('series', 'even')}, {_peaks_sql('even', 'crest', 12, 0.1)}, {_snr_sql('series', 'pure', TYPE_FS)}, {_consistency_sql('even', 'crest', 'alike')},
+shape AS (SELECT s.recording_id, CASE WHEN stddev_pop(s.v) < 1e-9 OR stddev_pop(r.v) < 1e-9 THEN 0 ELSE greatest(0, covar_pop(s.v, r.v) / (stddev_pop(s.v) * stddev_pop(r.v))) * 100 END AS morphology FROM series s JOIN sig r ON r.recording_id = split_part(s.recording_id, ':', 1) AND r.idx = s.idx GROUP BY 1),
+num AS (SELECT recording_id, count(*) AS n FROM crest GROUP BY 1), seen AS (SELECT split_part(recording_id, ':', 1) AS recording_id, CAST(split_part(recording_id, ':', 2) AS INTEGER) AS ord, morphology, coalesce(n, 0) AS n, coalesce(c, 0.5) AS c, snr_db FROM shape JOIN pure USING (recording_id) LEFT JOIN num USING (recording_id) LEFT JOIN alike USING (recording_id)),
+parts AS (SELECT a.recording_id, [{', '.join(f"'{f}'" for f in beats.FILTERS)}][a.ord] AS filter, a.ord, a.morphology, greatest(0.0, 100 - abs(a.n - r.n) / greatest(1, r.n) * 100) AS peak_retention, a.c * 100 AS beat_similarity, least(100.0, greatest(0.0, 50 + 10 * (a.snr_db - r.snr_db))) AS snr_score, a.snr_db FROM seen a JOIN seen r ON r.recording_id = a.recording_id AND r.ord = 1),
+marks AS (SELECT *, 0.4 * morphology + 0.3 * peak_retention + 0.2 * beat_similarity + 0.1 * snr_score AS total_score FROM parts),
+chosen AS (SELECT recording_id, max(filter) FILTER (place = 1) AS best, max(total_score) FILTER (place = 1) - max(total_score) FILTER (place = 2) <= 3 AS needs_comparison FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY total_score DESC, ord) AS place FROM marks) GROUP BY 1)"""
+
+
+@query("full_scoreboard", f"WITH RECURSIVE {_TYPE}, {_MARKS} SELECT recording_id, filter, ord, {_r4('morphology', 'peak_retention', 'beat_similarity', 'snr_score', 'total_score', 'snr_db')}, CAST(NULL AS VARCHAR) AS error FROM marks")
 def full_scoreboard(s, d):
     x = beats.scoreboard(_typed(s, d))
     return x.select("recording_id", "filter", "ord", *_c4("morphology", "peak_retention", "beat_similarity", "snr_score", "total_score", "snr_db"), "error")
 
 
-@query("best_filter")
+@query("best_filter", f"WITH RECURSIVE {_TYPE}, {_MARKS} SELECT * FROM chosen")
 def best_filter(s, d):
     return beats.best_filter(beats.scoreboard(_typed(s, d)))
 
 
-@query("checklist")
+_CHECKS = "('File Loader', true), ('FS Detector', true), ('Conditioning Filtering', true), ('Morphology Guard', morphology >= 80), ('Quality Score', quality_score >= 50), ('Feature Category', raw >= 75)"
+
+
+@query("checklist", f"WITH RECURSIVE {_MEASURED}, {_FEATURES.removeprefix(_TYPE + ', ')}, {_MARKS} SELECT recording_id, u.rule AS rule, CASE WHEN u.ok THEN 'PASS' ELSE 'FAIL' END AS status FROM met JOIN points USING (recording_id) JOIN chosen USING (recording_id) JOIN marks ON marks.recording_id = met.recording_id AND marks.filter = best, LATERAL (VALUES {_CHECKS}) AS u(rule, ok)")
 def checklist(s, d):
     """The display's six rules, with limits of their own: retained morphology 80, quality 50, category A or B."""
     sig = _typed(s, d)
@@ -902,7 +939,7 @@ def feature_table(s, d):
     return beats.features(_typed(s, d)).select("recording_id", each).select("recording_id", "m.*")
 
 
-@query("scoreboard_table")
+@query("scoreboard_table", f"WITH RECURSIVE {_TYPE}, {_MARKS} SELECT recording_id, filter, printf('%.1f%%', morphology) AS morphology, printf('%.1f%%', peak_retention) AS peak_retention, printf('%.1f%%', beat_similarity) AS beat_similarity, printf('%.1f%%', snr_score) AS snr_score, printf('%.2f%%', total_score) AS total_score, printf('%.2f dB', snr_db) AS snr_db FROM marks")
 def scoreboard_table(s, d):
     """The marks of the seven filters as they are shown."""
     percent = {"morphology": "%.1f%%", "peak_retention": "%.1f%%", "beat_similarity": "%.1f%%", "snr_score": "%.1f%%", "total_score": "%.2f%%", "snr_db": "%.2f dB"}
