@@ -16,8 +16,9 @@ from sphygmo.llm.graph import by_group, components
 
 #: Vectors link at or above this cosine.
 THRESHOLD = 0.9
-#: Neighbours kept for each vector, and neighbouring vectors of an order that are compared with each other.
-LISTS, BLOCK = 10, 1024
+#: Neighbours kept for each vector, neighbouring vectors of an order that are compared with each other, and bytes that these
+#: have as doubles at most: fewer are compared where vectors are long.
+LISTS, BLOCK, BLOCK_BYTES = 10, 1024, 64 << 20
 #: The chance at which an isolated pair at the threshold may be missed by the orders that start the graph: their number
 #: follows from it and from the size of the table.
 MISSED = 0.01
@@ -77,14 +78,14 @@ def sound() -> Column:
     return F.coalesce(F.col("embedding").isNotNull() & fine, F.lit(False))
 
 
-def orders_for(n: int, missed: float = MISSED) -> tuple[int, int]:
+def orders_for(n: int, block: int, missed: float = MISSED) -> tuple[int, int]:
     """(orders, hyperplanes of each) that start the graph of ``n`` vectors.
 
     A pair at the threshold is on one side of a random hyperplane with chance p = 1 - angle / pi. In an order by signs it
-    meets in a run when about log2(n / BLOCK) + 1 signs agree; so the orders grow with the table.
+    meets in a run when about log2(n / block) + 1 signs agree; so the orders grow with the table.
     """
     p = 1 - np.arccos(THRESHOLD) / np.pi
-    signs = max(0.0, np.log2(max(n, 1) / BLOCK)) + 1
+    signs = max(0.0, np.log2(max(n, 1) / block)) + 1
     return max(3, int(np.ceil(np.log(missed) / np.log(1 - p**signs)))), min(62, max(20, int(signs) + 4))
 
 
@@ -110,11 +111,11 @@ def with_probes(nodes: DataFrame, n: int) -> DataFrame:
     return nodes.select("id", "embedding").unionByName(some.mapInArrow(laid, f"id long, embedding {kind}"))
 
 
-def starting_graph(nodes: DataFrame, orders: int, planes: int, seed: int = 0) -> DataFrame:
+def starting_graph(nodes: DataFrame, orders: int, planes: int, seed: int, block: int) -> DataFrame:
     """(u, v, s): what :func:`_kept` keeps of each node's neighbours in several random-projection orders; and for each probe
     (negative id) that meets a vector within the threshold, one such link.
 
-    An order sorts the nodes by the signs of random projections, equal signs by a hash, and compares runs of BLOCK; so a
+    An order sorts the nodes by the signs of random projections, equal signs by a hash, and compares runs of ``block``; so a
     dense group of any size spreads over many runs, others in each order.
     """
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +145,11 @@ def starting_graph(nodes: DataFrame, orders: int, planes: int, seed: int = 0) ->
         for b in batches:
             held.append(b)
             rows += b.num_rows
-            if rows >= 2 * BLOCK:
+            if rows >= 2 * block:
                 whole = pa.Table.from_batches(held)
-                while whole.num_rows >= 2 * BLOCK:
-                    yield found(whole.slice(0, BLOCK))
-                    whole = whole.slice(BLOCK)
+                while whole.num_rows >= 2 * block:
+                    yield found(whole.slice(0, block))
+                    whole = whole.slice(block)
                 held, rows = whole.to_batches(), whole.num_rows
         if rows > 1:
             yield found(pa.Table.from_batches(held))
@@ -162,13 +163,15 @@ def starting_graph(nodes: DataFrame, orders: int, planes: int, seed: int = 0) ->
 def started(nodes: DataFrame) -> DataFrame:
     """(u, v, s) that start the graph, by as many orders as find the probes; RuntimeError if TURNS times the orders do not."""
     n = nodes.count()
-    orders, planes = orders_for(n)
+    width = nodes.agg(F.max(F.size("embedding"))).first()[0] or 1
+    block = min(BLOCK, max(64, BLOCK_BYTES // (8 * width)))
+    orders, planes = orders_for(n, block)
     probed = written(with_probes(nodes, n), "probed")
     laid = probed.filter("id < 0").count()
     none = nodes.sparkSession.createDataFrame([], "u long, v long, s double")
     graph, share = none, 0.0
     for turn in range(TURNS):
-        graph = written(graph.unionByName(starting_graph(probed, orders, planes, turn)).groupBy("u", "v").agg(F.max("s").alias("s")), "orders")
+        graph = written(graph.unionByName(starting_graph(probed, orders, planes, turn, block)).groupBy("u", "v").agg(F.max("s").alias("s")), "orders")
         share = graph.filter("u < 0").select("u").distinct().count() / laid if laid else 1.0
         if share - SURE * (share * (1 - share) / max(1, laid)) ** 0.5 >= LEAST_RECALL:
             return graph.filter("u >= 0")
