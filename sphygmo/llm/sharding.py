@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sphygmo.llm.common import blocked_rank, blocks_for, table, written
+from sphygmo.llm.common import shared_folder, table, written
 
 #: Hash blocks of texts over all old shards; a block moves as a whole, so equal texts stay together.
 BLOCKS = 6144
@@ -66,28 +69,32 @@ def old_layout(sized: DataFrame, shards: int = OLD) -> Column:
     return F.pmod(F.xxhash64(F.lit("old"), "text_crc32", "size"), F.lit(shards)).cast("int")
 
 
-def reshard(sized: DataFrame, new: int = NEW, blocks: int = BLOCKS) -> DataFrame:
-    """Adds ``shard`` to rows (doc_id, size, text_crc32, old_shard, ...): sizes near equal, fewest bytes moved.
+def resharding(sized: DataFrame, new: int = NEW, blocks: int = BLOCKS) -> Callable[[DataFrame], DataFrame]:
+    """What adds ``shard`` to rows (doc_id, size, text_crc32, old_shard, ...) like those of ``sized``: sizes near equal, fewest bytes moved.
 
     Each old shard's rows fall into hash blocks of their texts. The blocks stand by falling bytes; the first bytes of
     that order stay, the next go to the new shards that the flow names, and a block goes where its middle byte falls.
     Large blocks thus stay and the cut is among small ones. Only a block beyond half a new shard (a text repeated so
-    often, or one so long) is split by doc_id before. No rows: no rows.
+    often, or one so long) is split by doc_id before. No rows: no rows. The table of blocks is bounded by their number, so rows
+    find their shard where they are.
     """
     total, *_ = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()
     if not total:
-        return sized.withColumn("shard", F.lit(0))
+        return lambda rows: rows.withColumn("shard", F.lit(0))
     sizes = [0] * (1 + max(r[0] for r in sized.select("old_shard").distinct().collect()))
     for shard, size in sized.groupBy("old_shard").agg(F.sum("size")).collect():  # a row for each old shard
         sizes[shard] = size
     moves = transfers(sizes, even(total, new))
     block = F.pmod(F.xxhash64("text_crc32", "size"), F.lit(blocks)).cast("int")
-    rows = sized.withColumn("_block", block)
-    heavy = rows.groupBy("old_shard", "_block").agg(F.sum("size").alias("_bytes")).filter(F.col("_bytes") > total // new // 2)
+    heavy = sized.withColumn("_block", block).groupBy("old_shard", "_block").agg(F.sum("size").alias("_bytes")).filter(F.col("_bytes") > total // new // 2)
     # heavy blocks: 2 * new at most, as each holds more than a half of a new shard's bytes
-    rows = rows.join(F.broadcast(heavy.select("old_shard", "_block", F.lit(True).alias("_heavy"))), ["old_shard", "_block"], "left")
-    rows = rows.withColumn("_sub", F.when(F.col("_heavy"), F.pmod(F.xxhash64("doc_id"), F.lit(1024))).otherwise(F.lit(0)).cast("int")).drop("_heavy")
-    units = rows.groupBy("old_shard", "_block", "_sub").agg(F.sum("size").alias("_bytes"))
+    heavy = F.broadcast(heavy.select("old_shard", "_block", F.lit(True).alias("_heavy")))
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_block", block).join(heavy, ["old_shard", "_block"], "left")
+        return rows.withColumn("_sub", F.when(F.col("_heavy"), F.pmod(F.xxhash64("doc_id"), F.lit(1024))).otherwise(F.lit(0)).cast("int")).drop("_heavy")
+
+    units = keyed(sized).groupBy("old_shard", "_block", "_sub").agg(F.sum("size").alias("_bytes"))
     w = Window.partitionBy("old_shard").orderBy(F.desc("_bytes"), "_block", "_sub")
     middle = F.sum("_bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_bytes") / 2
     to = F.lit(None).cast("int")
@@ -101,28 +108,28 @@ def reshard(sized: DataFrame, new: int = NEW, blocks: int = BLOCKS) -> DataFrame
         for at, j in reversed(bounds[:-1]):
             pick = F.when(F.col("_middle") <= at, F.lit(j)).otherwise(pick)
         to = F.when(F.col("old_shard") == i, pick).otherwise(to)
-    units = units.withColumn("_middle", middle).withColumn("shard", to.cast("int")).select("old_shard", "_block", "_sub", "shard")
-    return rows.join(units, ["old_shard", "_block", "_sub"]).drop("_block", "_sub")
-
-
-def with_slots(sharded: DataFrame) -> DataFrame:
-    """Adds ``slot``: the place in the shard, gapless from 0, by hash block and doc_id."""
-    ranked = blocked_rank(sharded, ["shard"], ["doc_id", "text_crc32", "size"], "slot", "_rows", blocks_for(sharded))
-    return ranked.drop("_rows")
+    units = F.broadcast(written(units.withColumn("_middle", middle).withColumn("shard", to.cast("int")).select("old_shard", "_block", "_sub", "shard"), "shard-units"))
+    return lambda rows: keyed(rows).join(units, ["old_shard", "_block", "_sub"]).drop("_block", "_sub")
 
 
 def shard_documents(docs: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
-    """(doc_id, size, text_crc32, old_shard, shard, slot) for each row of ``docs``.
+    """(doc_id, size, text_crc32, old_shard, shard, slot) for each row of ``docs``, read back from a layout of ``new`` shards.
 
-    Size is the text's UTF-8 bytes plus 1; null text has no bytes and checksum 0. Repeated rows are rows of their own.
+    ``docs`` are stored as a layout of ``old`` shards, and its affected shards are written again; both layouts stand in the
+    shared folder. Size is the text's UTF-8 bytes plus 1; null text has no bytes and checksum 0. Repeated rows are rows of their own.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_sized(F.col("text")))
-    sized = written(sized.withColumn("old_shard", old_layout(sized, old)), "shard-sizes")
-    return with_slots(written(reshard(sized, new), "shards"))
+    folder = f"{shared_folder(docs.sparkSession)}/layouts-{uuid.uuid4().hex}"
+    manifest = rewrite(store(docs, f"{folder}/old", old), f"{folder}/new", new)
+    if manifest.isEmpty():
+        rows = docs.limit(0).select(F.struct("*").alias("row"), F.lit(0).cast("long").alias("slot"), F.lit(0).alias("shard"))
+    else:
+        rows = read_layout(manifest)
+    sized = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), *_sized(F.col("row.text")), "shard", "slot")
+    return sized.select("doc_id", "size", "text_crc32", old_layout(sized, old).alias("old_shard"), "shard", "slot")
 
 
 def moved_bytes(placed: DataFrame) -> int:
-    """Bytes of the rows of :func:`shard_documents` or :func:`reshard` that change their shard."""
+    """Bytes of the rows of :func:`shard_documents` that change their shard."""
     return placed.agg(F.coalesce(F.sum(F.when(F.col("shard") != F.col("old_shard"), F.col("size"))), F.lit(0))).first()[0]
 
 
@@ -131,34 +138,35 @@ def _sized(text: Column) -> list[Column]:
     return [(F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")]
 
 
-def _store(rows: DataFrame, folder: str, shard_bytes: int) -> None:
-    """Writes rows (row, shard, slot), one folder a shard, in files of about FILE bytes, of the ``shard_bytes`` of a large shard."""
-    files = max(1, -(-shard_bytes // FILE))
-    rows.repartition("shard", F.pmod(F.col("slot"), F.lit(files))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+def _store(rows: DataFrame, folder: str) -> list[tuple[int, str]]:
+    """Writes rows (row, shard), one folder a shard, and says which shards are there.
 
-
-def _largest(placed: DataFrame) -> int:
-    return placed.groupBy("shard").agg(F.sum("size").alias("b")).agg(F.coalesce(F.max("b"), F.lit(0))).first()[0]
+    Beside ``row`` stands ``at``: the task and the place in it. A task's rows of a shard have places next to each other, so
+    slots follow from a count for each task and shard.
+    """
+    made = rows.select("row", "shard", F.monotonically_increasing_id().alias("at"))
+    made.write.partitionBy("shard").option("compression", "zstd").parquet(folder)
+    found = rows.sparkSession.read.schema("at long, shard int").parquet(folder)
+    return [(k, f"{folder}/shard={k}") for (k,) in found.select("shard").distinct().collect()]
 
 
 def store(docs: DataFrame, folder: str, shards: int = OLD) -> DataFrame:
     """Writes ``docs`` as a new layout of ``shards`` shards under ``folder``; the layout's manifest (shard, path).
 
-    ``folder`` must not exist. A document is the struct ``row``, so that its columns may have any names; beside it stands
-    ``slot``, which with the shard names the row, whatever its doc_id: null and repeated doc_ids are rows of their own.
+    ``folder`` must not exist. A document is the struct ``row``, so that its columns may have any names; a row is named by its
+    shard and slot, whatever its doc_id: null and repeated doc_ids are rows of their own. Each task writes its own rows, a file
+    for each shard.
     """
-    rows = written(docs.select(F.struct("*").alias("row"), "doc_id", *_sized(F.col("text"))), "rows")
-    rows = with_slots(rows.withColumn("shard", old_layout(rows, shards)))
-    _store(rows.select("row", "shard", "slot"), folder, _largest(rows))
-    return _manifest(docs.sparkSession, [(k, f"{folder}/shard={k}") for (k,) in rows.select("shard").distinct().collect()])
+    rows = docs.select(F.struct("*").alias("row"), *_sized(F.col("text")))
+    return _manifest(docs.sparkSession, _store(rows.withColumn("shard", old_layout(rows, shards)).sortWithinPartitions("shard"), folder))
 
 
 def _manifest(spark: SparkSession, paths: list[tuple[int, str]]) -> DataFrame:
     return spark.createDataFrame(sorted(paths), "shard int, path string")
 
 
-def read_layout(manifest: DataFrame) -> DataFrame:
-    """(row, slot, shard) of all documents that the manifest's folders hold; the shards are few."""
+def _written_rows(manifest: DataFrame) -> DataFrame:
+    """(row, at, shard) of all documents that the manifest's folders hold; the shards are few."""
     parts = [manifest.sparkSession.read.parquet(path).withColumn("shard", F.lit(shard)) for shard, path in manifest.select("shard", "path").collect()]
     out = parts[0]
     for p in parts[1:]:
@@ -166,26 +174,37 @@ def read_layout(manifest: DataFrame) -> DataFrame:
     return out
 
 
+def read_layout(manifest: DataFrame) -> DataFrame:
+    """(row, slot, shard) of all documents of a layout; ``slot`` is the place in the shard, gapless from 0."""
+    rows = _written_rows(manifest)
+    task = F.shiftright("at", 33)
+    counts = rows.groupBy("shard", task.alias("_task")).agg(F.count("*").alias("_n"), F.min("at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("shard", "_task", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    placed = rows.withColumn("_task", task).join(F.broadcast(counts), ["shard", "_task"])
+    return placed.select("row", (F.col("at") + F.col("_shift")).alias("slot"), "shard")
+
+
 def rewrite(manifest: DataFrame, folder: str, new: int = NEW) -> DataFrame:
     """Rewrites an existing layout to ``new`` shards: only the shards that gain or lose rows; the new manifest.
 
-    Rows are named by (shard, slot) of the old layout. The affected shards are written whole under ``folder``, which must
-    not exist, and the manifest then names the new folders for these and the old ones for the others; old folders are not
-    changed, so a lost executor or a failed run leaves the old layout as it was. An empty layout stays as it is.
+    The affected shards are written whole under ``folder``, which must not exist, in files of about FILE bytes, and the manifest
+    then names the new folders for these and the old ones for the others; old folders are not changed, so a lost executor or a
+    failed run leaves the old layout as it was. An empty layout stays as it is.
     """
     spark = manifest.sparkSession
     if manifest.isEmpty():
         return manifest
-    old = read_layout(manifest)
-    keys = old.select(F.col("row.doc_id").cast("long").alias("doc_id"), *_sized(F.col("row.text")), F.col("shard").alias("old_shard"), F.col("slot").alias("old_slot"))
-    placed = written(reshard(written(keys, "shard-sizes"), new), "shards")
-    moved = placed.filter("shard <> old_shard").select("old_shard", "shard").distinct().collect()  # of few shards
-    touched = {s for pair in moved for s in pair}
+    keys = _written_rows(manifest).select("row", "at", F.col("row.doc_id").cast("long").alias("doc_id"), *_sized(F.col("row.text")), F.col("shard").alias("old_shard"))
+    sized = written(keys.drop("row", "at"), "shard-sizes")
+    placing = resharding(sized, new)
+    flows = placing(sized).groupBy("old_shard", "shard").agg(F.sum("size")).collect()  # of few shards
+    touched = {s for old, to, _ in flows if old != to for s in (old, to)}
+    held = {to for _, to, _ in flows}
     if touched:
-        slots = with_slots(placed.filter(F.col("shard").isin(*touched))).select("old_shard", "old_slot", F.col("shard").alias("to"), F.col("slot").alias("at"))
-        rows = old.join(slots, (old["shard"] == slots["old_shard"]) & (old["slot"] == slots["old_slot"]))
-        _store(rows.select("row", F.col("to").alias("shard"), F.col("at").alias("slot")), folder, _largest(placed))
-    held = {s for (s,) in placed.select("shard").distinct().collect()}
+        files = max(1, -(-max(sum(size for _, to, size in flows if to == s) for s in touched) // FILE))
+        rows = placing(keys.filter(F.col("old_shard").isin(*touched))).repartition("shard", F.pmod(F.xxhash64("old_shard", "at"), F.lit(files)))
+        _store(rows.sortWithinPartitions("shard", "doc_id", "text_crc32", "size"), folder)
     paths = {s: p for s, p in manifest.select("shard", "path").collect() if s in held} | {s: f"{folder}/shard={s}" for s in touched & held}
     return _manifest(spark, list(paths.items()))
 
