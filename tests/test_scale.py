@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import random
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from sphygmo.functions import kernels as K
 from sphygmo.llm import sharding
+from sphygmo.operators import beats, kernels, peaks, samples
 
 
 def test_sharding_reads_back_a_rewritten_layout(spark, tmp_path, monkeypatch):
@@ -20,3 +25,47 @@ def test_sharding_reads_back_a_rewritten_layout(spark, tmp_path, monkeypatch):
     assert sorted(key(r.doc_id) for r in got) == sorted([*range(3000), *range(5), -1])
     for k in range(sharding.NEW):
         assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
+def _signal(spark, n: int = 400):
+    """Two recordings, rows out of order; one has no name."""
+    rows = [("a" if k % 2 else None, k // 2, math.sin(k / 9) + (k * 7919 % 13) / 40 + k / 300, 30.0) for k in range(n)]
+    return spark.createDataFrame(sorted(rows, key=lambda r: r[1] * 7919 % 101), "recording_id string, idx long, v double, fs double")
+
+
+def test_troughs_ahead_are_asked_backward(spark):
+    rng = random.Random(3)
+    tops, lows = sorted(rng.sample(range(500), 60)), sorted(rng.sample(range(500), 45))
+    make = lambda at: spark.createDataFrame([("r", k) for k in at], "recording_id string, idx long")
+    got = peaks.troughs_around(make(tops), make(lows))
+    assert "unboundedfollowing" not in _plan(got).lower()  # such a frame is gone through whole for each row
+    want = {k: (max((x for x in lows if x < k), default=None), min((x for x in lows if x > k), default=None)) for k in tops}
+    assert {r.idx: (r.before, r.after) for r in got.collect() if r.idx not in lows} == {k: v for k, v in want.items() if k not in lows}
+
+
+def test_kernels_stream_recordings(spark):
+    sig = _signal(spark)
+    for made in (kernels.filtered(sig, "Butterworth"), kernels.found_peaks(sig), kernels.spectrum(sig), kernels.periods(sig)):
+        assert "FlatMapGroups" not in _plan(made)  # a frame for each recording, all of its columns at once
+    for name in ("a", None):
+        x = np.array([r.v for r in sorted(sig.collect(), key=lambda r: r.idx) if r.recording_id == name])
+        mine = sorted((r for r in kernels.filtered(sig, "Butterworth").collect() if r.recording_id == name), key=lambda r: r.idx)
+        assert np.allclose([r.v for r in mine], K.apply("Butterworth", x, 30.0)) and [r.idx for r in mine] == list(range(len(x)))
+
+
+def test_peaks_of_a_levelled_signal(spark):
+    sig = _signal(spark).filter("recording_id = 'a'")
+    key = lambda df: sorted((r.side, r.idx, round(r.prominence, 9), round(r.width, 9)) for r in df.collect())
+    low = kernels.filtered(sig, "low-pass").select("recording_id", "idx", "v", "fs")
+    assert key(kernels.found_peaks(sig, 0.4, 0.05, level=True, after="low-pass")) == key(kernels.found_peaks(beats.flat(low), 0.4, 0.05)) != []
+    assert "Window" not in _plan(kernels.found_peaks(sig, level=True))
+
+
+def test_clipping_holds_no_map_of_values(spark):
+    sig = _signal(spark)
+    got = samples.iqr_clip(sig)
+    assert "percentile" not in _plan(got).lower() and got.count() == sig.count()  # the unnamed recording included
