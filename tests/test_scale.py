@@ -7,11 +7,12 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sphygmo.functions import kernels as K
 from sphygmo.llm import sharding
-from sphygmo.operators import beats, kernels, peaks, samples
+from sphygmo.operators import beats, kernels, peaks, quality, samples
 
 
 def test_sharding_reads_back_a_rewritten_layout(spark, tmp_path, monkeypatch):
@@ -69,3 +70,56 @@ def test_clipping_holds_no_map_of_values(spark):
     sig = _signal(spark)
     got = samples.iqr_clip(sig)
     assert "percentile" not in _plan(got).lower() and got.count() == sig.count()  # the unnamed recording included
+
+
+def test_lines_and_shares_hold_no_recording_in_a_window(spark):
+    sig = _signal(spark)
+    assert "Window" not in _plan(samples.detrend(sig)) and "min(v" not in "".join(x for x in _plan(quality.entropy(sig)).splitlines() if "Window" in x)
+    assert samples.detrend(sig).count() == sig.count()  # the unnamed recording included
+    got = [r.v for r in samples.detrend(sig.filter("recording_id IS NULL")).orderBy("idx").collect()]
+    assert np.allclose(got, K.leveled(np.array([r.v for r in sig.filter("recording_id IS NULL").orderBy("idx").collect()])))
+
+
+def test_beats_are_scored_where_they_stand(spark):
+    of = spark.createDataFrame([("r", 0, [0.0, 1.0, 4.0, 9.0, 16.0, 25.0]), ("r", 6, [2.0] * 7), ("r", 13, [1.0, None, 3.0, 2.0, 0.0, 5.0]), ("r", 19, [1.0, float("nan"), 3.0, 2.0, 0.0, 5.0])], "recording_id string, start long, beat array<double>")
+    got = peaks.resampled(of, 11)
+    assert "Window" not in _plan(got)
+    rows = {(r.start, r.k): r.z for r in got.collect()}
+    y = np.interp(np.arange(11) / 2, np.arange(6), [0.0, 1.0, 4.0, 9.0, 16.0, 25.0])
+    assert np.allclose([rows[0, k] for k in range(11)], (y - y.mean()) / y.std()) and (6, 0) not in rows
+    assert [k for k in range(11) if rows[13, k] is None] == [0, 1, 2, 3]  # what leans on the missing sample
+    assert all(math.isnan(rows[19, k]) for k in range(11))
+
+
+def test_filters_are_run_once_for_the_ranking(spark):
+    sig = _signal(spark).filter("recording_id = 'a'")
+    assert _plan(beats.scoreboard(sig)).split("== Physical Plan ==")[-1].count("MapInArrow") <= 2  # the spectrum; peaks and filters are read back
+    assert "MapInArrow" not in _plan(beats.guarded(sig, "Butterworth")).split("== Physical Plan ==")[-1]
+
+
+def test_maxima_piece_by_piece(monkeypatch):
+    x = np.random.default_rng(5).integers(0, 4, 3000).astype(float)
+    x[900:1100] = 9.0
+    whole = K._maxima(x)
+    monkeypatch.setattr(K, "PIECE", 64)
+    assert np.array_equal(K.maxima(x), whole) and 999 in whole
+
+
+def test_results_of_a_long_recording_go_back_some_at_a_time(spark):
+    def counted(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    made = kernels.filtered(_signal(spark, 300_000), "None")
+    sizes = made.mapInArrow(counted, "n long").collect()
+    assert sum(r.n for r in sizes) == 300_000 and max(r.n for r in sizes) <= kernels.ROWS
+
+
+def test_views_nest_samples_in_order(spark):
+    sig = _signal(spark).filter("recording_id = 'a'")
+    got = kernels.viewed(kernels.filtered(sig, "Butterworth", raw=True)).first()
+    assert [round(r.raw, 9) for r in got.samples] == [round(r.v, 9) for r in sig.orderBy("idx").collect()]
+    bent = samples.derivatives(kernels.filtered(sig, "Butterworth"), F.col("fs")).orderBy("idx").collect()
+    assert np.allclose([(r.preprocessed, r.vpg, r.apg) for r in got.samples], [(r.v, r.vpg, r.apg) for r in bent])
+    one = kernels.viewed(sig.filter("idx = 0").withColumn("raw", F.col("v"))).first().samples[0]
+    assert one.vpg is None and one.apg is None
