@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import datetime
 import math
 import random
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from sphygmo.functions import kernels as K
 from sphygmo.llm import sharding
-from sphygmo.operators import beats, kernels, peaks, quality, samples
+from sphygmo.operators import beats, kernels, peaks, quality, rates, samples
+from sphygmo.plans import registry
 
 
 def test_sharding_reads_back_a_rewritten_layout(spark, tmp_path, monkeypatch):
@@ -123,3 +127,22 @@ def test_views_nest_samples_in_order(spark):
     assert np.allclose([(r.preprocessed, r.vpg, r.apg) for r in got.samples], [(r.v, r.vpg, r.apg) for r in bent])
     one = kernels.viewed(sig.filter("idx = 0").withColumn("raw", F.col("v"))).first().samples[0]
     assert one.vpg is None and one.apg is None
+
+
+def test_rates_are_voted_by_whole_recordings(spark, tmp_path):
+    """The middle 5,000 samples of a recording beat at another rate than the rest; the whole of it votes, as in SQL."""
+    t = np.arange(8000)
+    x = np.where(abs(t - 4000) < 2500, np.sin(t * 2 * np.pi / 100), 6 * np.sin(t * 2 * np.pi / 25))
+    pa_rows = {"event_id": t, "ts": [datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=int(k)) for k in t], "user_id": t % 3, "event_type": ["view"] * len(t), "value": x, "props": ["{}"] * len(t)}
+    pq.write_table(pa.table(pa_rows), tmp_path / "events.parquet")
+    got = rates.votes(kernels.periods(registry._kept(spark, str(tmp_path)))).select("recording_id", "method", "rate")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    want = con.execute(f"WITH {registry._votes_sql('a.n // 2')} SELECT recording_id, method, rate FROM voted").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {(m, r) for _, m, r in want} == {("acf", 30.0), ("fft", 30.0), ("psd", 30.0)}
+    assert "2000" not in registry.SQL["measured_verdict"]
+
+
+def test_long_periods_are_found(spark):
+    x = np.sin(np.arange(9000) * 2 * np.pi / 2500)
+    assert abs(K.periods(x)["acf"] - 2500) < 60 and "acf" not in K.periods(x, 2000)
