@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from sphygmo.operators import beats, quality, rates, samples
 from sphygmo.sources import recordings
 from sphygmo.sources.datasource import write_keyed
-from sphygmo.sources.shared import Keep, scratch, staged
+from sphygmo.sources.shared import Keep, matched, scratch, staged
 
 #: What each file of a scan gets in the summary where it fails: fixed values.
 DEFAULTS = {
@@ -42,39 +44,39 @@ def analysed(info: DataFrame, signal: DataFrame, overrides: DataFrame | None = N
     hand = hand.select("recording_id", F.col("fs").alias("hand_fs"), F.col("orientation").alias("hand_orientation"), F.col("filter").alias("hand_filter"), F.col("reverse").alias("hand_reverse"))
     loaded = info.join(hand, "recording_id", "left")
     voted = rates.estimated(signal.withColumn("fs", F.lit(1.0)))
-    rated = rates.detected(loaded.filter("loader_ok").drop("error").join(voted, "recording_id").withColumn("user_fs", F.lit(None).cast("double")))
+    rated = rates.detected(matched(loaded.filter("loader_ok").drop("error"), voted).withColumn("user_fs", F.lit(None).cast("double")))
     set_ = F.coalesce(F.col("hand_fs") > 0, F.lit(False))
     rated = rated.withColumn("fs", F.when(set_, F.col("hand_fs")).otherwise(F.col("fs"))).withColumn("fs_status", F.when(set_, "Overridden").otherwise(F.col("fs_status"))).withColumn("fs_confidence", F.when(set_, 1.0).otherwise(F.col("fs_confidence"))).withColumn("fs_source", F.when(set_, "manual").otherwise(F.col("fs_source")))
     rated = keep(rated, "rates")
-    sig = keep(signal.join(rated.select("recording_id", "fs"), "recording_id").select("recording_id", "idx", "v", "fs"), "signals")
+    sig = keep(matched(signal, rated.select("recording_id", "fs")).select("recording_id", "idx", "v", "fs"), "signals")
     span = sig.groupBy("recording_id").agg((F.max("v") - F.min("v")).alias("span"))
-    facing = beats.orientation(sig).join(rated.select("recording_id", "hand_orientation", "hand_reverse"), "recording_id")
+    facing = matched(beats.orientation(sig), rated.select("recording_id", "hand_orientation", "hand_reverse"))
     forced = F.when(F.col("hand_orientation") == "Force Inverted", True).when(F.col("hand_orientation") == "Force Normal", False)
     by_hand = F.coalesce("hand_reverse", forced)
     label = F.when(by_hand, "inverted").when(~by_hand, "normal").otherwise(F.col("orientation"))
     facing = keep(facing.select("recording_id", label.alias("orientation"), F.col("confidence").alias("orientation_confidence"), F.coalesce(by_hand, "reverse").alias("reverse")), "orientations")
-    clean = sig.join(facing.select("recording_id", "reverse"), "recording_id").select("recording_id", "idx", F.col("v").alias("raw"), F.when(F.col("reverse"), -F.col("v")).otherwise(F.col("v")).alias("v"), "fs")
+    clean = matched(sig, facing.select("recording_id", "reverse")).select("recording_id", "idx", F.col("v").alias("raw"), F.when(F.col("reverse"), -F.col("v")).otherwise(F.col("v")).alias("v"), "fs")
     clean = keep(clean, "clean")
     plain = clean.select("recording_id", "idx", "v", "fs")
     scored = keep(beats.scored(beats.metrics(clean.select("recording_id", "idx", F.col("raw").alias("v"), "fs"), plain)), "quality")
     board = keep(beats.scoreboard(plain), "scoreboard")
     errors = info.filter(~F.col("loader_ok")).select("recording_id", "error").unionByName(beats.first_error(board))
     errors = keep(errors, "errors")
-    fine = plain.join(errors.select("recording_id"), "recording_id", "left_anti")
-    best = beats.best_filter(board).join(errors.select("recording_id"), "recording_id", "left_anti").join(rated.select("recording_id", "hand_filter"), "recording_id")
+    fine = matched(plain, errors.select("recording_id"), how="left_anti")
+    best = matched(matched(beats.best_filter(board), errors.select("recording_id"), how="left_anti"), rated.select("recording_id", "hand_filter"))
     known = F.when(F.col("hand_filter").isin(*beats.FILTERS), F.col("hand_filter"))  # any other name: as if none were set
     best = keep(best.select("recording_id", F.coalesce(known, "best").alias("filter"), "needs_comparison"), "filters")
-    named = fine.join(best.select("recording_id", "filter"), "recording_id")
+    named = matched(fine, best.select("recording_id", "filter"))
     guards = keep(beats.guarded(named), "guards")
     after = keep(beats.guard_output(named, None, guards), "preprocessed")
     ok = after.groupBy("recording_id").agg(F.bool_and(F.col("v").isNotNull() & ~F.isnan("v")).alias("preprocess_ok"))
-    rows = rated.drop("columns").join(facing, "recording_id").join(scored, "recording_id").join(best, "recording_id").join(span, "recording_id")
-    rows = rows.join(guards.select("recording_id", "attempt", F.col("status").alias("guard_status"), "degraded"), "recording_id").join(ok, "recording_id", "left")
-    rows = rows.join(keep(beats.features(after).withColumnRenamed("entropy", "signal_entropy"), "features"), "recording_id", "left").withColumn("preprocess_ok", F.coalesce("preprocess_ok", F.lit(False)))
+    rows = reduce(matched, (rated.drop("columns"), facing, scored, best, span))
+    rows = matched(matched(rows, guards.select("recording_id", "attempt", F.col("status").alias("guard_status"), "degraded")), ok, how="left")
+    rows = matched(rows, keep(beats.features(after).withColumnRenamed("entropy", "signal_entropy"), "features"), how="left").withColumn("preprocess_ok", F.coalesce("preprocess_ok", F.lit(False)))
     rows = rows.withColumnRenamed("entropy", "quality_entropy").withColumnRenamed("signal_entropy", "entropy").withColumn("duration_seconds", F.col("n") / F.col("fs"))
     meta = F.concat_ws(" ", F.transform("metadata", lambda m: F.concat_ws(" ", m["key"], m["value"])))
     rows = rows.withColumn("duration_bucket", quality.duration_bucket(F.col("duration_seconds"))).withColumn("source_guess", quality.source_kind(name_of("recording_id"), meta, F.col("fs"), F.col("span")))
-    signals = clean.select("recording_id", "idx", "raw").join(after.select("recording_id", "idx", "v", "fs"), ["recording_id", "idx"])
+    signals = matched(clean.select("recording_id", "idx", "raw"), after.select("recording_id", "idx", "v", "fs"), ["recording_id", "idx"])
     return quality.verdict(quality.readiness(rows)), signals, errors
 
 
@@ -84,7 +86,7 @@ def summary(scan: DataFrame, rows: DataFrame, errors: DataFrame) -> DataFrame:
     why = F.when(F.size("failure_reasons") == 0, "None").otherwise(F.array_join("failure_reasons", "; "))
     found = rows.select(F.col("recording_id").alias("file_path"), F.col("fs").alias("sampling_rate_hz"), *[c for c in DEFAULTS if c not in ("sampling_rate_hz", "failure_reasons")], why.alias("failure_reasons"))
     failed = errors.select(F.col("recording_id").alias("file_path"), F.concat(F.lit(FAILED), F.col("error")).alias("failed"))
-    x = scan.join(found, "file_path", "left").join(failed, "file_path", "left")
+    x = matched(matched(scan, found, "file_path", "left"), failed, "file_path", "left")
     x = x.withColumn("failure_reasons", F.when(F.col("status") == "Unsafe", F.col("reason")).otherwise(F.coalesce("failed", "failure_reasons")))
     return x.select("file_path", name_of("file_path").alias("file_name"), "status", *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in DEFAULTS.items()])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sphygmo.operators import files, rates
 from sphygmo.sources.datasource import register
+from sphygmo.sources.shared import matched
 
 SCAN = ("file_path", "status", "reason", "file_size_bytes", "file_extension", "encoding", "digest")
 
@@ -66,4 +67,4 @@ def described(layout: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
 def signals(frame: DataFrame, info: DataFrame) -> DataFrame:
     """(recording_id, idx, v): the signal column of each file that is ok, of rows (file_path, idx, v)."""
     own = info.filter("loader_ok").select(F.col("recording_id").alias("file_path"), "signal_at")
-    return frame.join(own, "file_path").select(F.col("file_path").alias("recording_id"), "idx", F.element_at("v", F.col("signal_at")).alias("v"))
+    return matched(frame, own, "file_path").select(F.col("file_path").alias("recording_id"), "idx", F.element_at("v", F.col("signal_at")).alias("v"))

@@ -17,6 +17,7 @@ from sphygmo.functions import kernels as K
 from sphygmo.llm import sharding
 from sphygmo.operators import beats, kernels, peaks, quality, rates, samples
 from sphygmo.plans import registry
+from sphygmo.sources.shared import matched, staged
 
 
 def test_sharding_reads_back_a_rewritten_layout(spark, tmp_path, monkeypatch):
@@ -146,3 +147,28 @@ def test_rates_are_voted_by_whole_recordings(spark, tmp_path):
 def test_long_periods_are_found(spark):
     x = np.sin(np.arange(9000) * 2 * np.pi / 2500)
     assert abs(K.periods(x)["acf"] - 2500) < 60 and "acf" not in K.periods(x, 2000)
+
+
+def _sent(df) -> list[str]:
+    """The plans of what is sent to every executor, once the query was run."""
+    df.collect()
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "BroadcastExchange" in x]
+
+
+def test_tables_that_grow_with_the_recordings_are_not_sent_whole(spark, tmp_path):
+    """Written tables are small as files, so their size tells nothing; rows a recording are merged, and samples never sent."""
+    keep = staged(f"file://{tmp_path}/steps")
+    sig = keep(spark.range(40_000).select(F.concat(F.lit("set/user_"), (F.col("id") % 2000).cast("string")).alias("recording_id"), F.floor(F.col("id") / 2000).alias("idx"), F.sin("id").alias("v"), F.lit(10.0).alias("fs")), "sig")
+    for made in (samples.detrend(sig), samples.iqr_clip(sig), quality.gaps_flats_motion(sig), quality.entropy(sig)):
+        made.collect()
+        joins = [x for x in made._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x]
+        assert all("LeftOuter, BuildRight" in x for x in joins) and made.count() >= 2000
+    tops = keep(kernels.found_peaks(sig, level=True).filter("side = 'peak'"), "tops")
+    assert _sent(peaks.beats(sig, tops)) == [] and _sent(matched(sig, tops.groupBy("recording_id").count())) == []
+
+
+def test_beats_end_at_the_last_peak(spark):
+    sig = spark.createDataFrame([(r, k, float(k)) for r in ("a", "b", "c") for k in range(40)], "recording_id string, idx long, v double")
+    tops = spark.createDataFrame([("a", 3), ("a", 10), ("a", 14), ("a", 30), ("b", 5)], "recording_id string, idx long")
+    got = sorted((r.recording_id, r.start, r.beat) for r in peaks.beats(sig, tops).collect())
+    assert got == [("a", 3, [float(k) for k in range(3, 10)]), ("a", 14, [float(k) for k in range(14, 30)])]
