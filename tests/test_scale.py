@@ -172,3 +172,22 @@ def test_beats_end_at_the_last_peak(spark):
     tops = spark.createDataFrame([("a", 3), ("a", 10), ("a", 14), ("a", 30), ("b", 5)], "recording_id string, idx long")
     got = sorted((r.recording_id, r.start, r.beat) for r in peaks.beats(sig, tops).collect())
     assert got == [("a", 3, [float(k) for k in range(3, 10)]), ("a", 14, [float(k) for k in range(14, 30)])]
+
+
+def test_awkward_lengths_are_transformed_block_by_block(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=10_007) + np.sin(np.arange(10_007) / 4) + 3
+    hertz, power = K.spectrum(x, 30.0)
+    want, whole, found = (power[(hertz >= 0.5) & (hertz <= 4)].sum(), power[hertz > 4].sum()), np.fft.rfft(x), K.periods(x)
+    assert np.allclose(K.band_power(x, 30.0, 0.5, 4.0), want, rtol=1e-12)
+    monkeypatch.setattr(K, "LONG", 1000)
+    assert np.allclose(np.concatenate([z for _, z in K._transformed(x)]), whole, atol=1e-9) and K.periods(x) == found
+    monkeypatch.setattr(np.fft, "rfft", None)  # a whole transform takes some 150 bytes a sample
+    assert np.allclose(K.band_power(x, 30.0, 0.5, 4.0), want, rtol=1e-12)
+
+
+def test_windows_over_samples_meet_in_no_task(spark):
+    """What windows tell of a recording is written before it is joined, so that no task sorts whole recordings for several at once."""
+    sig = _signal(spark, 4000)
+    for made in (beats.metrics(sig, sig), beats.features(sig)):
+        plan = _plan(made).split("== Physical Plan ==")[-1]
+        assert "lag(v" not in plan and "lag(vpg" not in plan and made.filter("recording_id = 'a'").count() == 1
